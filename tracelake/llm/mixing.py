@@ -121,7 +121,7 @@ def realise(texts: DataFrame, plan: list[Plan], seed: int = SEED) -> DataFrame:
     whole = marked.where(F.col("before") + F.col("held") <= F.col("rest"))
     running = Window.partitionBy("source", "bucket").orderBy("position", "key").rowsBetween(Window.unboundedPreceding, 0)
     cut = marked.where((F.col("before") < F.col("rest")) & (F.col("before") + F.col("held") > F.col("rest")))
-    cut = cut.withColumn("upto", F.col("before") + F.sum("n_tokens").over(running)).where(F.col("upto") <= F.col("rest"))
+    cut = cut.withColumn("upto", F.col("before") + F.sum("n_tokens").over(running)).where(F.col("upto") - F.col("n_tokens") / 2 <= F.col("rest"))  # the text that the budget cuts counts if most of it fits
     cols = ["key", "source", "block", "position", "n_tokens"]
     return full.unionByName(whole.select(cols)).unionByName(cut.select(cols))
 
