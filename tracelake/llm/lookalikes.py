@@ -59,31 +59,56 @@ LETTER_TOP = 0x2000
 SCRIPT_SWITCH, SMOOTH = 9.0, 0.5
 
 _MEMBERS = {c: cls for cls in LOOKALIKES for c in cls}
+_SKELETON = {ord(c): cls[0] for cls in LOOKALIKES for c in cls}
+_RUN = re.compile("[" + "".join(cls[0] for cls in LOOKALIKES) + "]+")
 _RADICAL = {ord(p[0]): p[1] for p in RADICALS} | {ord(c): "-" for c in HYPHENS}
 
 
-class _Compat(dict):
-    """Code point -> compatibility form, worked out once per character."""
+#: Where characters live that change: compatibility forms, controls, radicals, mathematical letters, tags.
+RANGES = [(0x09, 0x3400), (0xA000, 0xA4D0), (0xF900, 0x10000), (0x1BCA0, 0x1BCA4), (0x1D000, 0x1F200), (0x2F800, 0x2FA20), (0xE0000, 0xE1000)]
 
-    def __missing__(self, point: int) -> str:
-        c = chr(point)
-        tag = unicodedata.decomposition(c).split(" ", 1)[0]
-        form = c if tag in KEPT_TAGS else unicodedata.normalize("NFKC", c)
-        self[point] = form = "".join(_RADICAL.get(ord(x), x) for x in form) if point not in _RADICAL else _RADICAL[point]
-        return form
 
+def _changed(c: str) -> str:
+    """The form of one character after compatibility normalization, deletion and unification."""
+    if IGNORABLE.match(c):
+        return ""
+    if SPACES.match(c):
+        return " "
+    if ord(c) in _RADICAL:
+        return _RADICAL[ord(c)]
+    tag = unicodedata.decomposition(c).split(" ", 1)[0]
+    form = c if tag in KEPT_TAGS else unicodedata.normalize("NFKC", c)
+    return "".join(_RADICAL.get(ord(x), x) for x in form)
 
-_COMPAT = _Compat()
-_PLAIN = re.compile("[^\x00-\x7f一-鿿、。“”]")
+
+def _class_of(points: list[int]) -> str:
+    """A character class of runs of code points."""
+    runs: list[list[int]] = []
+    for p in points:
+        if runs and runs[-1][1] == p - 1:
+            runs[-1][1] = p
+        else:
+            runs.append([p, p])
+    return "[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in runs) + "]"
+
+
+_CHANGES = {chr(p): form for lo, hi in RANGES for p in range(lo, hi) if not 0xD800 <= p < 0xE000 and (form := _changed(chr(p))) != chr(p)}
+_COMMON = [(c, _CHANGES.pop(c)) for c in "，：（）；？！％" if c in _CHANGES]  # so frequent that a plain replacement pays
+_ODD = re.compile(_class_of(sorted(p for p in map(ord, _CHANGES) if p < 0x10000)))
+_FAR = re.compile("[\U00010000-\U0010ffff]")
 
 
 def prepare(text: str) -> str:
     """Steps (1) and (2); the letters' scripts are still as they were."""
-    if not _PLAIN.search(text) and "\t" not in text and "\v" not in text and "\f" not in text:
-        return text
-    text = IGNORABLE.sub("", text.replace("\r\n", "\n"))
-    text = SPACES.sub(" ", text)
-    return unicodedata.normalize("NFC", text.translate(_COMPAT))
+    if not text.isascii():
+        for c, form in _COMMON:
+            text = text.replace(c, form)
+    if "\r" in text:
+        text = text.replace("\r\n", "\n")
+    text = _ODD.sub(lambda m: _CHANGES[m[0]], text)
+    if _FAR.search(text):
+        text = _FAR.sub(lambda m: _CHANGES.get(m[0], m[0]), text)
+    return text if unicodedata.is_normalized("NFC", text) else unicodedata.normalize("NFC", text)
 
 
 def script(c: str) -> int:
@@ -99,32 +124,64 @@ class Lattice:
         self.total = dict.fromkeys((), 0)
         for k, n in counts.items():
             self.total[k >> 16] = self.total.get(k >> 16, 0) + n
-        self.memo: dict[str, str] = {}
+        self.scores: dict[int, float] = {}
+        self.memo: dict[tuple[str, str, str], str] = {}
+        self.seen: set[str] = set()
+        self.altered: dict[str, str] = {}
 
     def score(self, a: int, b: int) -> float:
-        gain = math.log((self.counts.get((a << 16) | b, 0) + SMOOTH) / (self.total.get(a, 0) + SMOOTH * 400))
-        return gain - SCRIPT_SWITCH if a and b and script(chr(a)) != script(chr(b)) else gain
+        known = self.scores.get((a << 16) | b)
+        if known is None:
+            known = math.log((self.counts.get((a << 16) | b, 0) + SMOOTH) / (self.total.get(a, 0) + SMOOTH * 400))
+            if a and b and script(chr(a)) != script(chr(b)):
+                known -= SCRIPT_SWITCH
+            self.scores[(a << 16) | b] = known
+        return known
 
     def best(self, token: str) -> str:
-        key = "".join(_MEMBERS.get(c, c)[0] for c in token)
-        known = self.memo.get(key)
+        """Letters without look-alikes are fixed points of every way, so each run between them is searched by itself."""
+        key = token.translate(_SKELETON)
+        return _RUN.sub(self._run, key)
+
+    def _run(self, m: re.Match) -> str:
+        key, a, b = m.string, m.start(), m.end()
+        at = (key[a - 1 : a], m[0], key[b : b + 1])
+        known = self.memo.get(at)
         if known is None:
             if len(self.memo) > 500_000:
                 self.memo.clear()
-            known = self.memo[key] = self._search(key)
+            known = self.memo[at] = self._search(*at)
         return known
 
-    def _search(self, key: str) -> str:
-        ways = {"": (0.0, "")}
-        for c in key:
-            nxt = {}
-            for d in _MEMBERS.get(c, c):
-                nxt[d] = max(((s + self.score(ord(e) if e else 0, ord(d)), way + d) for e, (s, way) in ways.items()), key=lambda w: (w[0], [-ord(x) for x in w[1]]))
+    def _search(self, left: str, run: str, right: str) -> str:
+        """Viterbi from the fixed letter (or edge) before the run to the one after it; ties go to the earlier letter of a class."""
+        score = self.score
+        ways = [(ord(left) if left else 0, 0.0, "")]
+        for c in run:
+            nxt = []
+            for d in _MEMBERS[c]:
+                q, most, way = ord(d), -math.inf, ""
+                for p, s, w in ways:
+                    if (v := s + score(p, q)) > most:
+                        most, way = v, w
+                nxt.append((q, most, way + d))
             ways = nxt
-        return max(((s + self.score(ord(e), 0), way) for e, (s, way) in ways.items()), key=lambda w: (w[0], [-ord(x) for x in w[1]]))[1]
+        end = ord(right) if right else 0
+        return max(ways, key=lambda w: w[1] + score(w[0], end))[2]
 
     def form(self, text: str) -> str:
-        return TOKEN.sub(lambda m: self.best(m[0]), prepare(text))
+        """Most texts have no token that changes, which is settled by set operations over their distinct tokens."""
+        text = prepare(text)
+        tokens = set(TOKEN.findall(text))
+        fresh = tokens - self.seen
+        if fresh:
+            if len(self.seen) > 1_000_000:
+                self.seen, self.altered, fresh = set(), {}, tokens
+            self.altered.update((t, b) for t in fresh if (b := self.best(t)) != t)
+            self.seen |= fresh
+        if self.altered.keys().isdisjoint(tokens):
+            return text
+        return TOKEN.sub(lambda m: self.altered.get(m[0], m[0]), text)
 
 
 def _bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
