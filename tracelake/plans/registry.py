@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import general
+from . import assembly, general
 
-MODULES = [general]
-FLAGSHIP = "p3_report"
+MODULES = [general, assembly]
+FLAGSHIP = "AGG-01"
 
 
 def queries() -> dict:
