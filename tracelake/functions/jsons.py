@@ -30,8 +30,10 @@ def json_or_text(c: Column | str) -> Column:
 
 
 def is_json(c: Column | str) -> Column:
-    """Whether the text parses as JSON."""
-    return F.try_parse_json(as_col(c)).isNotNull()
+    """Whether the whole text is JSON (the parser alone would let words after a number pass)."""
+    c = as_col(c)
+    closed = c.rlike(r'(?s)^\s*(?:\{.*\}|\[.*\]|".*"|true|false|null|-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?)\s*$')
+    return closed & F.try_parse_json(c).isNotNull()
 
 
 def first_object(c: Column | str) -> Column:

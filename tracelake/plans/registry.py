@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import assembly, general
+from . import assembly, general, judging
 
-MODULES = [general, assembly]
+MODULES = [general, assembly, judging]
 FLAGSHIP = "AGG-01"
 
 
