@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import assembly, general, judging
+from . import assembly, catalog, general, judging
 
-MODULES = [general, assembly, judging]
+MODULES = [general, assembly, judging, catalog]
 FLAGSHIP = "AGG-01"
 
 
