@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import assembly, catalog, general, judging
+from . import assembly, catalog, general, io, judging, tables
 
-MODULES = [general, assembly, judging, catalog]
+MODULES = [general, assembly, judging, catalog, tables, io]
 FLAGSHIP = "AGG-01"
 
 
