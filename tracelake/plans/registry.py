@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import assembly, catalog, general, io, judging, tables
+from . import assembly, catalog, general, io, judging, services, tables
 
-MODULES = [general, assembly, judging, catalog, tables, io]
+MODULES = [general, assembly, judging, catalog, tables, io, services]
 FLAGSHIP = "AGG-01"
 
 

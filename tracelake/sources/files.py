@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BOM = "﻿"
-
 
 def write_csv(df: DataFrame, path: str) -> None:
     """CSV with a header, every text quoted, so that quotes, commas and line breaks survive."""
@@ -20,12 +18,6 @@ def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return out.fillna("")
 
 
-def csv_text(df: DataFrame) -> DataFrame:
-    """Rows as CSV lines with one byte-order mark at the head of the first: for small exports that are one file."""
-    quoted = F.concat_ws(",", *[F.concat(F.lit('"'), F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit('"'), F.lit('""')), F.lit('"')) for c in df.columns])
-    return df.select(quoted.alias("line"))
-
-
 def write_text_files(df: DataFrame, key: str, text: str, path: str) -> None:
     """One text file per row, written by the tasks themselves through the shared folder's file system."""
     root = path.removeprefix("file://")
