@@ -48,12 +48,13 @@ def test_estimate_is_near_the_similarity(spark):
     texts = family(rng, 8, 20)
     rows = frame(spark, texts)
     _, reps = N.classes(rows)
-    signed = {r.cid: r for r in reps.select("cid", "field_name", "norm").mapInArrow(N._sign(3, False), N.SIGNED).collect()}
+    signed = {r.rid: r for r in reps.select("rid", "field_name", "norm").mapInArrow(N._sign(3, False), N.SIGNED).collect()}
+    sets = {r.rid: set(N.grams(r.norm).tolist()) for r in reps.collect()}
     pairs = spark.createDataFrame([(a, b, signed[a].planes, signed[b].planes) for a, b in itertools.combinations(sorted(signed), 2)], "a long, b long, x array<bigint>, y array<bigint>")
     from pyspark.sql import functions as F
 
     for r in pairs.withColumn("e", N.estimate(F.col("x"), F.col("y"))).collect():
-        a, b = set(signed[r.a].features), set(signed[r.b].features)
+        a, b = sets[r.a], sets[r.b]
         assert abs(r.e - len(a & b) / len(a | b)) < N.SLACK
 
 

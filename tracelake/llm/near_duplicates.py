@@ -10,7 +10,7 @@ matches, removes candidates that are far below the threshold. An exact count of
 Scale. Band keys are 64-bit numbers, so the candidate search shuffles 16 bytes per band and representative. A band key
 shared by more than ``HOT`` representatives isn't expanded into all its pairs: its members are searched by an exact
 prefix filter instead (rarest n-grams first, with the length bound), which loses no pair above the threshold.
-Estimates read 64 bytes per side; n-grams are only fetched for what is left.
+Estimates read 64 bytes per side; texts are only fetched for what is left, and their n-grams compared there.
 
 Recall. A pair of similarity 0.7 shares a band key with probability 0.998, one of 0.75 with 0.99996 (70 bands of seven
 minima); the estimate is allowed an error of four standard deviations.
@@ -21,6 +21,7 @@ match equal texts. Repeated keys count as repeated rows of the same text. Empty
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,12 +38,13 @@ BANDS, ROWS, PLANE_WORDS = 70, 7, 4
 SAMPLED = 64 * PLANE_WORDS  # minima of which the low bits are kept
 HOT = 2000
 SLACK = 4 * (0.25 / SAMPLED) ** 0.5 / 0.75
-_CHUNK = 2048
+_CHUNK = 128
 
 _rng = np.random.RandomState(20240229)
 _SALT = _rng.randint(0, 1 << 32, BANDS * ROWS, dtype=np.uint64).astype(np.uint32)
 _MULT = (_rng.randint(0, 1 << 31, BANDS * ROWS, dtype=np.uint64) * 2 + 1).astype(np.uint32)
 _BAND = _rng.randint(0, 1 << 62, (BANDS, ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BUFFER = np.empty((_CHUNK, BANDS * ROWS), dtype=np.uint32)
 _BAND_SALT = _rng.randint(0, 1 << 62, BANDS, dtype=np.uint64)
 
 
@@ -70,26 +72,30 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def minima(features: np.ndarray) -> np.ndarray:
-    """The minimum of every hash function over the features, in chunks so that long texts need no more memory."""
+    """The minimum of every hash function over the features, in chunks that stay in the processor's cache."""
     low = (_mix(features) >> np.uint64(32)).astype(np.uint32)
     best = np.full(len(_SALT), 0xFFFFFFFF, dtype=np.uint32)
     for k in range(0, len(low), _CHUNK):
-        part = (low[None, k : k + _CHUNK] ^ _SALT[:, None]) * _MULT[:, None]
-        np.minimum(best, part.min(axis=1), out=best)
+        part = low[k : k + _CHUNK]
+        hashed = _BUFFER[: len(part)]
+        np.bitwise_xor(part[:, None], _SALT[None, :], out=hashed)
+        np.multiply(hashed, _MULT[None, :], out=hashed)
+        np.minimum(best, hashed.min(axis=0), out=best)
     return best
 
 
-def signature(best: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(band keys, two bit planes of the low bits)."""
-    with np.errstate(over="ignore"):
-        bands = _mix((best.reshape(BANDS, ROWS).astype(np.uint64) * _BAND).sum(axis=1, dtype=np.uint64) ^ _BAND_SALT)
+def signature(best: np.ndarray, field: str = "") -> tuple[np.ndarray, np.ndarray]:
+    """(band keys, which differ between fields; two bit planes of the low bits)."""
+    salt = np.uint64(zlib.crc32(field.encode()))
+    bands = _mix((best.reshape(BANDS, ROWS).astype(np.uint64) * _BAND).sum(axis=1, dtype=np.uint64) ^ _BAND_SALT ^ (salt << np.uint64(20)))
     low = best[:SAMPLED]
     planes = np.concatenate([np.packbits((low >> np.uint32(b)).astype(np.uint8) & 1).view(np.int64) for b in (0, 1)])
     return bands.view(np.int64), planes
 
 
-_SIGNED = pa.schema([("cid", pa.int64()), ("field_name", pa.string()), ("features", pa.list_(pa.int64())), ("bands", pa.list_(pa.int64())), ("planes", pa.list_(pa.int64()))])
-SIGNED = "cid bigint, field_name string, features array<bigint>, bands array<bigint>, planes array<bigint>"
+_LONGS = pa.list_(pa.int64())
+_SIGNED = pa.schema([("rid", pa.int64()), ("bands", _LONGS), ("planes", _LONGS)])
+SIGNED = "rid bigint, bands array<bigint>, planes array<bigint>"
 
 
 def _word_features(text: str, n: int) -> np.ndarray:
@@ -101,19 +107,62 @@ def _word_features(text: str, n: int) -> np.ndarray:
     return np.unique(np.array([xxhash.xxh64_intdigest(" ".join(words[i : i + n])) for i in range(len(words) - n + 1)], dtype=np.uint64).view(np.int64))
 
 
+def _features(n: int, words: bool):
+    return (lambda text: _word_features(text, n)) if words else (lambda text: grams(text, n))
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in arrays])]).astype(np.int32)), pa.array(np.concatenate(arrays)))
+
+
 def _sign(n: int, words: bool):
+    """(rid, field_name, norm) -> band keys and bit planes."""
+    features = _features(n, words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 512):
+                part = batch.slice(start, 512)
+                bands, planes = [], []
+                for field, text in zip(part.column(1).to_pylist(), part.column(2).to_pylist()):
+                    f = features(text)
+                    b, p = signature(minima(f), field or "") if len(f) else (np.empty(0, np.int64), np.zeros(2 * PLANE_WORDS, np.int64))
+                    bands.append(b)
+                    planes.append(p)
+                yield pa.RecordBatch.from_arrays([part.column(0), _lists(bands), _lists(planes)], schema=_SIGNED)
+
+    return run
+
+
+def _featured(n: int, words: bool):
+    """(rid, field_name, norm) -> (rid, field_name, features)."""
+    features = _features(n, words)
+    schema = pa.schema([("rid", pa.int64()), ("field_name", pa.string()), ("features", _LONGS)])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
-                out: list[list] = [[], [], []]
-                for text in part.column("norm").to_pylist():
-                    f = _word_features(text, n) if words else grams(text, n)
-                    b, p = signature(minima(f)) if len(f) else (np.empty(0, np.int64), np.zeros(2 * PLANE_WORDS, np.int64))
-                    for store, x in zip(out, (f, b, p)):
-                        store.append(x)
-                lists = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in o])]).astype(np.int32)), pa.array(np.concatenate(o))) for o in out]
-                yield pa.RecordBatch.from_arrays([part.column("cid"), part.column("field_name"), *lists], schema=_SIGNED)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), _lists([features(t) for t in part.column(2).to_pylist()])], schema=schema)
+
+    return run
+
+
+def _compare(n: int, words: bool, threshold: float):
+    """(a, b, x, y) -> (a, b, similarity) of the texts x and y, where it reaches the threshold."""
+    features = _features(n, words)
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("similarity", pa.float64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for a, b, x, y in zip(*(c.to_pylist() for c in batch.columns)):
+                fx, fy = features(x), features(y)
+                common = len(np.intersect1d(fx, fy, assume_unique=True))
+                total = len(fx) + len(fy) - common
+                if total and common >= threshold * total - 1e-9:
+                    found.append((a, b, common / total))
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], schema.field(k).type) for k in range(3)], schema=schema)
 
     return run
 
@@ -130,36 +179,38 @@ def classes(rows: DataFrame, words: bool = False) -> tuple[DataFrame, DataFrame]
     norm = F.trim(F.regexp_replace(F.lower("text"), r"(?U)\s+", " ")) if words else F.pandas_udf(_squeezed, T.StringType())("text")
     normed = rows.where("text is not null").select("field_name", "key", norm.alias("norm")).withColumn("h", F.xxhash64("norm")).withColumn("h2", F.md5("norm"))
     reps = normed.groupBy("field_name", "h", "h2").agg(F.min(F.struct("key", "norm")).alias("first"))
-    reps = reps.select("field_name", "h", "h2", F.col("first.key").alias("cid"), F.col("first.norm").alias("norm"))
+    reps = reps.select("field_name", "h", "h2", F.col("first.key").alias("cid"), F.col("first.norm").alias("norm"), F.monotonically_increasing_id().alias("rid"))
     reps = materialise(reps, "classes")
-    members = normed.select("field_name", "key", "h", "h2").join(reps.select("field_name", "h", "h2", "cid"), ["field_name", "h", "h2"]).select("field_name", "key", "cid")
-    return members, reps
-
-
-def candidates(signed: DataFrame, threshold: float, hot: int = HOT) -> DataFrame:
-    """(field_name, a, b), a < b: pairs that share a band key, or that the prefix filter finds among hot band keys."""
-    bands = signed.select("field_name", "cid", F.explode("bands").alias("band"))
-    sizes = bands.groupBy("field_name", "band").agg(F.count("*").alias("n")).where("n > 1")
-    shared = materialise(bands.join(sizes, ["field_name", "band"]), "bands")
-    calm = shared.where(F.col("n") <= hot).select("field_name", "band", "cid")
-    a, b = calm.withColumnRenamed("cid", "a"), calm.withColumnRenamed("cid", "b")
-    pairs = a.join(b, ["field_name", "band"]).where("a < b").select("field_name", "a", "b")
-    crowded = shared.where(F.col("n") > hot).select("field_name", "cid").distinct()
-    among = signed.join(crowded, ["field_name", "cid"], "left_semi")
+    members = normed.select("field_name", "key", "h", "h2").join(reps.select("field_name", "h", "h2", "cid", "rid"), ["field_name", "h", "h2"]).select("field_name", "key", "cid", "rid")
+    return materialise(members, "members"), reps
+
+
+def candidates(signed: DataFrame, reps: DataFrame, threshold: float, n: int, words: bool, hot: int = HOT) -> DataFrame:
+    """(a, b), a < b: representatives that share a band key, or that the prefix filter finds among hot band keys.
+
+    The band keys are shuffled once: counting them and picking the shared ones use the same partitioning.
+    """
+    bands = signed.select("rid", F.explode("bands").alias("band")).repartition("band")
+    sizes = bands.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    shared = materialise(bands.join(sizes, "band"), "bands")
+    calm = shared.where(F.col("n") <= hot).select("band", "rid")
+    pairs = calm.withColumnRenamed("rid", "a").join(calm.withColumnRenamed("rid", "b"), "band").where("a < b").select("a", "b")
+    crowded = shared.where(F.col("n") > hot).select("rid").distinct()
+    among = reps.select("rid", "field_name", "norm").join(crowded, "rid", "left_semi").mapInArrow(_featured(n, words), "rid bigint, field_name string, features array<bigint>")
     return pairs.unionByName(prefix_pairs(among, threshold)).distinct()
 
 
-def prefix_pairs(signed: DataFrame, threshold: float) -> DataFrame:
+def prefix_pairs(featured: DataFrame, threshold: float) -> DataFrame:
     """Exact candidates: two sets of similarity t share a feature among their (1 - t) rarest, and differ little in size."""
-    features = signed.select("field_name", "cid", F.size("features").alias("size"), F.explode("features").alias("feature"))
+    features = featured.select("field_name", "rid", F.size("features").alias("size"), F.explode("features").alias("feature"))
     rare = features.groupBy("field_name", "feature").agg(F.count("*").alias("freq"))
-    order = Window.partitionBy("field_name", "cid").orderBy("freq", "feature")
+    order = Window.partitionBy("rid").orderBy("freq", "feature")
     keep = F.col("size") - F.ceil(F.col("size") * threshold - 1e-9) + 1
-    prefix = features.join(rare, ["field_name", "feature"]).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= keep).select("field_name", "feature", "cid", "size")
-    a = prefix.select("field_name", "feature", F.col("cid").alias("a"), F.col("size").alias("size_a"))
-    b = prefix.select("field_name", "feature", F.col("cid").alias("b"), F.col("size").alias("size_b"))
+    prefix = features.join(rare, ["field_name", "feature"]).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= keep)
+    a = prefix.select("field_name", "feature", F.col("rid").alias("a"), F.col("size").alias("size_a"))
+    b = prefix.select("field_name", "feature", F.col("rid").alias("b"), F.col("size").alias("size_b"))
     fits = F.least("size_a", "size_b") >= F.greatest("size_a", "size_b") * threshold - 1e-9
-    return a.join(b, ["field_name", "feature"]).where((F.col("a") < F.col("b")) & fits).select("field_name", "a", "b").distinct()
+    return a.join(b, ["field_name", "feature"]).where((F.col("a") < F.col("b")) & fits).select("a", "b").distinct()
 
 
 def estimate(x: Column, y: Column) -> Column:
@@ -171,30 +222,33 @@ def estimate(x: Column, y: Column) -> Column:
     return ((1 - apart / SAMPLED) - 0.25) / 0.75
 
 
-def _both(pairs: DataFrame, signed: DataFrame, column: str) -> DataFrame:
-    one = signed.select("field_name", F.col("cid").alias("a"), F.col(column).alias("x"))
-    two = signed.select("field_name", F.col("cid").alias("b"), F.col(column).alias("y"))
-    return pairs.join(one, ["field_name", "a"]).join(two, ["field_name", "b"])
+def _both(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
+    one = table.select(F.col("rid").alias("a"), F.col(column).alias("x"))
+    two = table.select(F.col("rid").alias("b"), F.col(column).alias("y"))
+    return pairs.join(one, "a").join(two, "b")
 
 
 def similar_classes(reps: DataFrame, threshold: float, n: int = 3, words: bool = False, hot: int = HOT) -> DataFrame:
-    """(field_name, a, b, similarity): pairs of representatives that reach the threshold."""
-    signed = materialise(reps.select("cid", "field_name", "norm").mapInArrow(_sign(n, words), SIGNED), "signed")
-    near = _both(candidates(signed, threshold, hot), signed, "planes").where(estimate(F.col("x"), F.col("y")) >= threshold - SLACK).select("field_name", "a", "b")
-    full = _both(near, signed, "features")
-    common = F.size(F.array_intersect("x", "y"))
-    similarity = common / (F.size("x") + F.size("y") - common)
-    return full.select("field_name", "a", "b", similarity.alias("similarity")).where(F.col("similarity") >= threshold - 1e-12)
+    """(a, b, similarity): ids (``rid``) of representatives that reach the threshold."""
+    signed = materialise(reps.select("rid", "field_name", "norm").mapInArrow(_sign(n, words), SIGNED), "signed")
+    near = _both(candidates(signed, reps, threshold, n, words, hot), signed, "planes").where(estimate(F.col("x"), F.col("y")) >= threshold - SLACK).select("a", "b")
+    return _both(near, reps, "norm").select("a", "b", "x", "y").mapInArrow(_compare(n, words, threshold), "a bigint, b bigint, similarity double")
 
 
 def near_pairs(rows: DataFrame, threshold: float = 0.7, n: int = 3, hot: int = HOT) -> DataFrame:
-    """(field_name, key_a, key_b): all pairs of rows of one field that are near duplicates or equal, least key first."""
+    """(field_name, key_a, key_b): all pairs of rows of one field that are near duplicates or equal, least key first.
+
+    Rows are only joined for classes that have a link or several members.
+    """
     members, reps = classes(rows)
-    members = materialise(members, "members")
-    links = similar_classes(reps, threshold, n, hot=hot).select("field_name", "a", "b").unionByName(reps.select("field_name", F.col("cid").alias("a"), F.col("cid").alias("b")))
-    one = members.select("field_name", F.col("cid").alias("a"), F.col("key").alias("ka"))
-    two = members.select("field_name", F.col("cid").alias("b"), F.col("key").alias("kb"))
-    out = links.join(one, ["field_name", "a"]).join(two, ["field_name", "b"]).where((F.col("a") != F.col("b")) | (F.col("ka") < F.col("kb")))
+    links = materialise(similar_classes(reps, threshold, n, hot=hot).select("a", "b"), "links")
+    repeated = members.where("key != cid").select("rid").distinct()
+    links = links.unionByName(repeated.select(F.col("rid").alias("a"), F.col("rid").alias("b")))
+    linked = links.select(F.col("a").alias("rid")).unionByName(links.select(F.col("b").alias("rid"))).distinct()
+    members = materialise(members.join(linked, "rid", "left_semi"), "members")
+    one = members.select("field_name", F.col("rid").alias("a"), F.col("key").alias("ka"))
+    two = members.select(F.col("rid").alias("b"), F.col("key").alias("kb"))
+    out = links.join(one, "a").join(two, "b").where((F.col("a") != F.col("b")) | (F.col("ka") < F.col("kb")))
     return out.select("field_name", F.least("ka", "kb").alias("key_a"), F.greatest("ka", "kb").alias("key_b"))
 
 
@@ -204,11 +258,11 @@ def near_groups(rows: DataFrame, threshold: float = 0.7, n: int = 3, words: bool
     With word shingles of five words and a threshold of 0.8 this is the usual near-duplicate stage of a corpus.
     """
     members, reps = classes(rows, words)
-    links = materialise(similar_classes(reps, threshold, n, words, hot), "links")
-    ends = links.select("field_name", F.col("a").alias("cid")).unionByName(links.select("field_name", F.col("b").alias("cid")))
-    degree = ends.groupBy("field_name", "cid").agg(F.count("*").alias("n_links"))
-    node = lambda c: F.concat_ws(":", "field_name", c)
-    parts = connected_components(links.select(node("a").alias("src"), node("b").alias("dst")))
-    parts = parts.select(F.substring_index("node", ":", 1).alias("field_name"), F.substring_index("node", ":", -1).cast("bigint").alias("cid"), F.substring_index("component", ":", -1).cast("bigint").alias("group_id"))
-    out = members.join(parts, ["field_name", "cid"], "left").join(degree, ["field_name", "cid"], "left")
+    links = materialise(similar_classes(reps, threshold, n, words, hot).select("a", "b"), "links")
+    ends = links.select(F.col("a").alias("rid")).unionByName(links.select(F.col("b").alias("rid")))
+    degree = ends.groupBy("rid").agg(F.count("*").alias("n_links"))
+    parts = connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst"))).withColumnRenamed("node", "rid")
+    least = parts.join(reps.select("rid", "cid"), "rid").groupBy("component").agg(F.min("cid").alias("group_id"))
+    parts = parts.join(least, "component").select("rid", "group_id")
+    out = members.join(parts, "rid", "left").join(degree, "rid", "left")
     return out.select("field_name", "key", F.col("cid").alias("class_id"), F.coalesce("group_id", "cid").alias("group_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
