@@ -241,13 +241,15 @@ def form_keys(docs: DataFrame, key: str = "doc_id", text: str = "text", counts:
 def lookalike_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id_a, doc_id_b): rows whose texts are different strings with one form, least id first.
 
-    Only forms that occur in several spellings are kept before any pair is made; the join pairs rows of different
-    spellings, so a group of exact copies isn't paired with itself.
+    Spellings are paired before rows: a spelling stands for all its copies, so a group of exact copies is never compared
+    with itself, and only the pairs of the result are expanded.
     """
     keys = materialise(form_keys(docs, key, text), "forms")
-    spellings = keys.select("form", "raw").distinct().groupBy("form").agg(F.count("*").alias("n")).where("n > 1").select("form")
-    rows = materialise(keys.join(spellings, "form", "left_semi"), "spelled")
-    a = rows.select("form", F.col("raw").alias("raw_a"), F.col("key").alias("a"))
-    b = rows.select("form", F.col("raw").alias("raw_b"), F.col("key").alias("b"))
-    pairs = a.join(b, "form").where((F.col("raw_a") != F.col("raw_b")) & (F.col("a") < F.col("b")))
-    return pairs.select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b")).distinct()
+    spellings = keys.select("form", "raw").distinct()
+    shared = spellings.groupBy("form").agg(F.count("*").alias("n")).where("n > 1").select("form")
+    spellings = materialise(spellings.join(shared, "form", "left_semi"), "spellings")
+    pairs = spellings.select("form", F.col("raw").alias("raw_a")).join(spellings.select("form", F.col("raw").alias("raw_b")), "form").where("raw_a < raw_b").select("raw_a", "raw_b")
+    rows = keys.join(spellings.select("raw"), "raw", "left_semi").select("raw", "key").distinct()
+    a, b = rows.select(F.col("raw").alias("raw_a"), F.col("key").alias("x")), rows.select(F.col("raw").alias("raw_b"), F.col("key").alias("y"))
+    out = pairs.join(a, "raw_a").join(b, "raw_b").where("x != y").select(F.least("x", "y").alias("doc_id_a"), F.greatest("x", "y").alias("doc_id_b"))
+    return out.distinct()
