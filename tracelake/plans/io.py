@@ -110,7 +110,7 @@ def snk_10(spark, d):
     """Question sets as partitions; reading one set only lists its folder."""
     path = new_path(spark, "sets")
     table(spark, d, "questions").select("question_set_id", "question_row", "question").write.partitionBy("question_set_id").parquet(path)
-    return spark.read.parquet(path).groupBy(F.col("question_set_id").cast("string").alias("question_set_id")).agg(F.count("*").alias("n"))
+    return spark.read.schema("question_row bigint, question string, question_set_id string").parquet(path).groupBy("question_set_id").agg(F.count("*").alias("n"))
 
 
 @query("SNK-11", "select question_row, coalesce(question, '') as question from questions")
@@ -163,11 +163,11 @@ def snk_25(spark, d):
     path = new_path(spark, "retry")
     refused = 0
     try:
-        files.write_all_or_nothing(t.withColumn("trace_id", F.lit("batch_qa_0")), path, bad)
+        files.write_all_or_nothing(t.withColumn("trace_id", F.lit("batch_qa_0")), new_path(spark, "refused"), bad)
     except ValueError:
         refused = 1
     files.write_all_or_nothing(t.where(~bad), path, bad)
-    return spark.read.parquet(path).agg(F.count("*").alias("n_written")).withColumn("n_rejected_runs", F.lit(1 - refused))
+    return spark.read.parquet(path).agg(F.count("*").alias("n_written")).withColumn("n_rejected_runs", F.when(F.col("n_written") > 0, 1 - refused).otherwise(0))
 
 
 @query("SNK-27", "select 'trace' as kind, count(*) as n from traces union all select 'observation', count(*) from observations")

@@ -84,7 +84,7 @@ _S = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
 
 def _office_folder(spark: SparkSession, d: str) -> str:
     """The 25 nations as a Word table, a sheet and a CSV file."""
-    rows = [("key", "name")] + sorted((str(r.n_nationkey), r.n_name) for r in table(spark, d, "nation").select("n_nationkey", "n_name").collect())  # 25 rows
+    rows = [("key", "name")] + sorted((str(r.n_nationkey), r.n_name or "") for r in table(spark, d, "nation").select("n_nationkey", "n_name").collect())  # 25 rows
     path = new_path(spark, "office")
     cell = lambda t: f"<w:tc><w:p><w:r><w:t>{escape(t)}</w:t></w:r></w:p></w:tc>"
     word = f"<w:document {_W}><w:body><w:p><w:r><w:t>第一章 Nations</w:t></w:r></w:p><w:tbl>{''.join('<w:tr>' + ''.join(map(cell, r)) + '</w:tr>' for r in rows)}</w:tbl></w:body></w:document>"
