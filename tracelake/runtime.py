@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import atexit
 import tempfile
+import threading
 import uuid
 import zipfile
 from pathlib import Path
@@ -15,6 +16,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _own_dir: str | None = None
+_shipping = threading.Lock()
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -67,15 +69,16 @@ def materialise(df: DataFrame, name: str = "step") -> DataFrame:
 def ship(spark: SparkSession) -> None:
     """Let the Python workers import this package, wherever they run: once per Spark context."""
     sc = spark.sparkContext
-    if getattr(sc, "_tracelake_shipped", False):
-        return
-    package = Path(__file__).resolve().parent
-    path = Path(tempfile.mkdtemp(prefix="tracelake-package-"), "tracelake.zip")
-    with zipfile.ZipFile(path, "w") as z:
-        for f in sorted(package.rglob("*.py")):
-            z.write(f, f.relative_to(package.parent))
-    sc.addPyFile(str(path))
-    sc._tracelake_shipped = True
+    with _shipping:
+        if getattr(sc, "_tracelake_shipped", False):
+            return
+        package = Path(__file__).resolve().parent
+        path = Path(tempfile.mkdtemp(prefix="tracelake-package-"), "tracelake.zip")
+        with zipfile.ZipFile(path, "w") as z:
+            for f in sorted(package.rglob("*.py")):
+                z.write(f, f.relative_to(package.parent))
+        sc.addPyFile(str(path))
+        sc._tracelake_shipped = True
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
