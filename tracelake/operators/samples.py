@@ -64,36 +64,57 @@ def is_llm() -> Column:
     return (F.col("raw_type") == "GENERATION") | get("meta_obj", "node_type").eqNullSafe("llm") | F.col("name").eqNullSafe("LLM")
 
 
-def assemble_samples(normalised: DataFrame) -> DataFrame:
-    """One sample per trace id."""
-    o = normalised.withColumn("ord", visiting_order())
+def _visits(normalised: DataFrame) -> DataFrame:
+    """Per row only what assembly can use: parsed values instead of payloads, which stay with the rows that need them."""
     strong = F.col("is_trace_root") | F.col("name").eqNullSafe("message")
     answers = F.coalesce(F.map_contains_key("output_obj", "answer"), F.lit(False))
     weak = ~strong & (F.col("type") == "SPAN") & answers
+    root = strong | weak
     retrieval, llm = is_retrieval(), is_llm()
-    given = lambda cond, v: F.when(cond, v)
-    query = get_filled("input_obj", "sys.query", "query")
     result = get("output_obj", "result")
+    return normalised.select(
+        "trace_id",
+        visiting_order().alias("ord"),
+        strong.alias("strong"),
+        weak.alias("weak"),
+        retrieval.alias("retrieval"),
+        llm.alias("llm"),
+        "is_trace_root",
+        non_empty("start_time").alias("start_time"),
+        non_empty("trace_name").alias("trace_name"),
+        "session_id",
+        "user_id",
+        F.coalesce(get_filled("meta_obj", "workflow_run_id"), get_filled("input_obj", "sys.workflow_run_id")).alias("workflow_run_id"),
+        get_filled("input_obj", "sys.query", "query").alias("question"),
+        F.when(retrieval, get_filled("input_obj", "query", "sys.query")).alias("retrieval_query"),
+        F.when(retrieval & (F.coalesce(F.length(result), F.lit(0)) > 2), result).alias("retrieval_json"),
+        F.when(llm, F.coalesce("model", get_filled("meta_obj", "model"))).alias("llm_model"),
+        F.when(root, F.col("input")).alias("root_input"),
+        F.when(root | llm, F.col("output")).alias("said"),
+        F.when(root, get_filled("output_obj", "answer")).alias("answer"),
+        F.when(llm, get_filled("output_obj", "text")).alias("llm_text"),
+    )
+
+
+def assemble_samples(normalised: DataFrame) -> DataFrame:
+    """One sample per trace id."""
+    o = _visits(normalised)
+    given = lambda cond, v: F.when(F.col(cond), v)
+    at = lambda cond, v: _first(F.when(F.col(cond) & F.col(v).isNotNull(), F.struct("ord", F.col(v).alias("v"))))
     agg = o.groupBy("trace_id").agg(
-        _first(non_empty("trace_name")).alias("trace_name"),
-        _first(F.col("session_id")).alias("session_id"),
-        _first(F.col("user_id")).alias("user_id"),
-        _first(F.coalesce(get_filled("meta_obj", "workflow_run_id"), get_filled("input_obj", "sys.workflow_run_id"))).alias("workflow_run_id"),
-        _first(query).alias("question"),
-        _last(given(retrieval, get_filled("input_obj", "query", "sys.query"))).alias("retrieval_query"),
-        F.count_if(retrieval).cast("int").alias("retrieval_call_count"),
-        _last(given(retrieval & (F.coalesce(F.length(result), F.lit(0)) > 2), result)).alias("retrieval_json"),
-        F.max_by(given(llm, F.col("output")), given(llm, F.col("ord"))).alias("llm_output"),
-        _last(given(llm, F.coalesce(F.col("model"), get_filled("meta_obj", "model")))).alias("llm_model"),
-        _first(given(strong & F.col("input").isNotNull(), F.struct("ord", F.col("input").alias("v")))).alias("strong_in"),
-        _first(given(weak & F.col("input").isNotNull(), F.struct("ord", F.col("input").alias("v")))).alias("weak_in"),
-        _first(given(strong & F.col("output").isNotNull(), F.struct("ord", F.col("output").alias("v")))).alias("strong_out"),
-        _first(given(weak, F.struct("ord", F.col("output").alias("v")))).alias("weak_out"),
-        _first(given(strong & get_filled("output_obj", "answer").isNotNull(), F.struct("ord", get("output_obj", "answer").alias("v")))).alias("strong_answer"),
-        _first(given(weak & get_filled("output_obj", "answer").isNotNull(), F.struct("ord", get("output_obj", "answer").alias("v")))).alias("weak_answer"),
-        _first(given(llm & get_filled("output_obj", "text").isNotNull(), F.struct("ord", get("output_obj", "text").alias("v")))).alias("llm_text"),
-        _last(given(F.col("is_trace_root"), non_empty("start_time"))).alias("trace_timestamp"),
-        F.min(non_empty("start_time")).alias("earliest_obs_time"),
+        *[_first(F.col(c)).alias(c) for c in ("trace_name", "session_id", "user_id", "workflow_run_id", "question")],
+        *[_last(F.col(c)).alias(c) for c in ("retrieval_query", "retrieval_json", "llm_model")],
+        F.count_if("retrieval").cast("int").alias("retrieval_call_count"),
+        F.max_by(given("llm", F.col("said")), given("llm", F.col("ord"))).alias("llm_output"),
+        at("strong", "root_input").alias("strong_in"),
+        at("weak", "root_input").alias("weak_in"),
+        at("strong", "said").alias("strong_out"),
+        at("weak", "said").alias("weak_out"),
+        at("strong", "answer").alias("strong_answer"),
+        at("weak", "answer").alias("weak_answer"),
+        at("llm", "llm_text").alias("llm_text"),
+        _last(given("is_trace_root", F.col("start_time"))).alias("trace_timestamp"),
+        F.min("start_time").alias("earliest_obs_time"),
         F.count("*").cast("int").alias("n_observations"),
     )
     # a span with an answer only counts as root while no root input has been seen before it
