@@ -38,10 +38,13 @@ def agg_01(spark, d):
     return S.assemble_samples(_obs(spark, d)).drop("retrieval_json", "root_input", "root_output", "llm_output")
 
 
-@query("SRT-01", "select trace_id, row_number() over (order by ts desc nulls last, trace_id) as place from (select trace_id, max(try_cast(case when regexp_matches(trace_timestamp, '(Z|[+-]\\d\\d:\\d\\d)$') then trace_timestamp else trace_timestamp || 'Z' end as timestamptz)) as ts from traces where trace_id is not null and trace_timestamp like '____-__-__T%' group by 1)")
+_INSTANT = f"try_cast(case when regexp_matches({q.non_blank('trace_timestamp')}, '{q.ISO}') then case when regexp_matches({q.iso('trace_timestamp')}, '(Z|[+-]\\d\\d:\\d\\d)$') then {q.iso('trace_timestamp')} else {q.iso('trace_timestamp')} || 'Z' end end as timestamptz)"
+
+
+@query("SRT-01", f"select trace_id, row_number() over (order by ts desc nulls last, trace_id) as place from (select trace_id, max({_INSTANT}) as ts from traces where trace_id is not null group by 1)")
 def srt_01(spark, d):
-    """Traces newest first, those without a time last; ties by id. The rank comes from a range-partitioned sort."""
-    t = table(spark, d, "traces").where("trace_id is not null and trace_timestamp like '____-__-__T%'").groupBy("trace_id").agg(F.max(iso_instant("trace_timestamp")).alias("ts"))
+    """Traces newest first, those without a readable time last; ties by id. The rank comes from a range-partitioned sort."""
+    t = table(spark, d, "traces").where("trace_id is not null").groupBy("trace_id").agg(F.max(iso_instant("trace_timestamp")).alias("ts"))
     return ranked(t, [F.col("ts").desc_nulls_last(), F.col("trace_id")], "place").select("trace_id", "place")
 
 

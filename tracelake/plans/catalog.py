@@ -54,7 +54,12 @@ def flt_03(spark, d):
     return table(spark, d, "samples").select("sample_id", F.array_join(C.query_errors(F.col("retrieval_query"), F.col("topic")), ",").alias("errors"))
 
 
-@query("FLT-04")
+_PAIRS2 = "flatten(list_transform(regexp_extract_all(x, '[一-鿿]+'), lambda r: case when length(r) <= 2 then [r] else list_transform(range(1, length(r)), lambda i: r[i:i + 1]) end))"
+_TERMS = r"list_concat(regexp_extract_all(x, '[A-Za-z][A-Za-z0-9_-]+'), regexp_extract_all(x, '\d+(?:\.\d+)*(?:\s*[条款项号])?'))"
+
+
+@query("FLT-04", f"""with g as (select sample_id, hit_id, {_Q} as x, lower(coalesce({q.strip('content')}, '')) as c from samples join (select hit_id, trace_id, content from retrieval_results where content is not null) using (trace_id))
+select sample_id, hit_id, x <> '' and c <> '' and (len(list_filter(list_concat({_PAIRS2}, {_TERMS}), lambda t: contains(c, lower(t)))) > 0 or len(list_filter(list_concat(regexp_extract_all(x, '[一-鿿]+'), {_TERMS}), lambda t: length(t) > 2)) = 0) as grounded from g""")
 def flt_04(spark, d):
     """Groundedness of every retrieval query in the contents that were returned for it."""
     h = table(spark, d, "retrieval_results").where("content is not null").select("hit_id", "trace_id", "content")
@@ -90,7 +95,22 @@ def flt_08(spark, d):
     return w.join(a, "document_id", "left").withColumn("available", F.coalesce("available", F.lit(0))).where("requested > available")
 
 
-@query("FLT-09")
+def _bare(c: str) -> str:
+    t = rf"regexp_replace(regexp_replace(regexp_replace({c}, '^\s*\d+[.\-]\d+[.\d]*\s*', ''), '[（(][^）)]*[）)]', '', 'g'), '[《》「」\"“”]', '', 'g')"
+    return q.strip(t)
+
+
+def _nows(c: str) -> str:
+    return f"regexp_replace({c}, '{q.WS}+', '', 'g')"
+
+
+_RWORDS = " or ".join(f"contains(x, '{w}')" for w in C.RETRIEVAL_WORDS)
+
+
+@query("FLT-09", f"""with c as (select segment_id, arg_min(coalesce(content, ''), chunk_row) as chunk from chunk_catalog where segment_id is not null group by 1),
+s as (select question_row, coalesce({q.strip('question')}, '') as x, coalesce({q.strip('reference_answer')}, '') as r, coalesce({q.strip('source_excerpt')}, '') as e, coalesce(chunk, '') as chunk from questions left join c on c.segment_id = expected_segment_id)
+select question_row, case when x = '' then 'empty' when regexp_matches(x, '[?？]') then 'question_mark' when {_RWORDS} then 'question_word' when r <> '' and length(r) < 15 then 'short_evidence'
+ when r <> '' and not contains({_nows('chunk')}, {_nows('r')}) then 'not_in_chunk' when r <> '' and {_bare('x')} <> '' and contains({_bare('r')}, {_bare('x')}) then 'copied' when e <> '' and r <> '' and e <> r then 'excerpt_differs' end as error from s""")
 def flt_09(spark, d):
     """Retrieval questions against the chunk they are bound to."""
     chunk = _catalog(spark, d).where("segment_id is not null").groupBy("segment_id").agg(F.min_by("content", "chunk_row").alias("chunk"))

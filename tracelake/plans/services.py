@@ -220,11 +220,10 @@ def snk_24(spark, d):
 
 
 
-@query("SNK-19", f"{judging._PAIR} select question_id || ',' || coalesce(cast(o as varchar), '') || ',' || coalesce(cast(n as varchar), '') as line from al where question_id not like '%,%' and question_id not like '%\"%'")
+@query("SNK-19", f"{judging._PAIR} select case when regexp_matches(question_id, '[\",\\n\\r]') then '\"' || replace(question_id, '\"', '\"\"') || '\"' else question_id end || ',' || coalesce(cast(o as varchar), '') || ',' || coalesce(cast(n as varchar), '') as line from al")
 def snk_19(spark, d):
     """The comparison of two runs as CSV lines."""
-    p = judging._pair(spark, d).where("question_id not like '%,%' and question_id not like '%\"%'")
-    return p.select(F.col("question_id"), F.col("old.rank").alias("o"), F.col("new.rank").alias("n")).select(T.csv_line("question_id", "o", "n").alias("line"))
+    return judging._pair(spark, d).select(F.col("question_id"), F.col("old.rank").alias("o"), F.col("new.rank").alias("n")).select(T.csv_line("question_id", "o", "n").alias("line"))
 
 
 @query("SNK-20", f"""{judging._PAIR}, c as (select k, coalesce(o <= k, false) as was, coalesce(n <= k, false) as now from al, (values (1), (3), (5)) v(k) where has_old and has_new), a as (select k, count(*) filter (was) as x, count(*) filter (now) as y from c group by 1)

@@ -140,7 +140,7 @@ def prj_44(spark, d):
     return g.select("sheet", "row", F.concat(F.lit("A"), F.col("row").cast("string"), F.lit(":"), "l", F.col("row").cast("string")).alias("cell_range"))
 
 
-# --- configurations: parts stand for profiles, order lines for runs ---------------------------------------------------
+# --- configurations: parts stand for profiles, suppliers for runs ---------------------------------------------------
 
 _FIELDS = ["p_brand", "p_type", "p_size"]
 _FP = "left(sha256('p_brand=' || p_brand || chr(31) || 'p_size=' || p_size || chr(31) || 'p_type=' || p_type), 16)"
@@ -163,11 +163,11 @@ def agg_16(spark, d):
 
 
 def _plan(spark, d):
-    runs = table(spark, d, "lineitem").where("l_quantity > 49").select(F.col("l_orderkey").alias("run"), F.col("l_partkey").alias("p_partkey"))
+    runs = table(spark, d, "supplier").select(F.col("s_name").alias("run"), F.col("s_suppkey").alias("p_partkey"))
     return C.cleanup_plan(table(spark, d, "part"), runs, "p_partkey", _FIELDS, "p_retailprice"), runs
 
 
-_PLAN = f"{_DUP}, us as (select l_partkey as p_partkey, count(*) as n_runs from lineitem where l_quantity > 49 group by 1), pl as (select fp.p_partkey, canonical, case when fp.p_partkey = canonical then 'keep' when n_runs is not null then 'archive' else 'delete' end as action, coalesce(n_runs, 0) as n_runs from fp join dup using (fingerprint) left join us using (p_partkey))"
+_PLAN = f"{_DUP}, us as (select s_suppkey as p_partkey, count(*) as n_runs from supplier group by 1), pl as (select fp.p_partkey, canonical, case when fp.p_partkey = canonical then 'keep' when n_runs is not null then 'archive' else 'delete' end as action, coalesce(n_runs, 0) as n_runs from fp join dup using (fingerprint) left join us using (p_partkey))"
 
 
 @query("AGG-17", f"with {_PLAN} select * from pl")
@@ -175,7 +175,7 @@ def agg_17(spark, d):
     return _plan(spark, d)[0]
 
 
-@query("CFG-04", f"with {_PLAN} select coalesce(pl.canonical, l_partkey) as p_partkey, count(*) as n from lineitem left join pl on pl.p_partkey = l_partkey where l_quantity > 49 group by 1")
+@query("CFG-04", f"with {_PLAN} select coalesce(pl.canonical, s_suppkey) as p_partkey, count(*) as n from supplier left join pl on pl.p_partkey = s_suppkey group by 1")
 def cfg_04(spark, d):
     """Runs after the merge of duplicate configurations."""
     plan, runs = _plan(spark, d)
