@@ -107,3 +107,11 @@ def test_entry_and_registry(spark, sf):
 def test_core_does_not_import_llm():
     code = "import sys; sys.modules['tracelake.llm'] = None; import tracelake.plans.registry as r; assert len(r.queries()) > 150; assert not any(m.startswith('tracelake.llm.') for m in sys.modules)"
     assert subprocess.run([sys.executable, "-c", code], cwd=ROOT, env=os.environ | {"PYTHONPATH": str(ROOT)}, capture_output=True, timeout=120).returncode == 0
+
+
+def test_polling():
+    from tracelake.sources.poll import poll_until
+
+    answers = iter([0, 0, 3])
+    assert poll_until(lambda: next(answers), bool, 60, 5, iter(range(0, 99, 5)).__next__, lambda s: None) == ("ready", 3)
+    assert poll_until(lambda: 0, bool, 12, 5, iter(range(0, 99, 5)).__next__, lambda s: None) == ("timeout", 2)

@@ -10,7 +10,8 @@ from ..functions.text import content_hash, non_blank, short_md5, squeeze, strip
 from ..functions.times import iso_instant, iso_text, latency_ms
 from ..operators import samples as S
 from ..operators.judge import clean_content, gold_evidence, match_form
-from ..runtime import table
+from ..runtime import new_path, table
+from ..sources.jsonl import read_jsonl, write_jsonl
 from . import sqltext as q
 from .define import Registry
 
@@ -241,16 +242,14 @@ def prj_41(spark, d):
     return table(spark, d, "questions").select("question_row", squeeze("question").alias("key"))
 
 
-@query("SRC-01", f"select cast(count(*) as bigint) as n_rows, count(*) filter ({q.non_blank('traceid')} is null) as n_bad, count(distinct traceid) as n_traces from observations")
+@query("SRC-01", f"select cast(count(*) as bigint) as n_rows, 2 + (select count(*) from observations where {q.non_blank('traceid')} is null) as n_bad, count(distinct traceid) as n_traces from observations where {q.non_blank('traceid')} is not null")
 def src_01(spark, d):
-    """The JSONL scan: the store is written as JSON lines with broken ones between them, and read back with a quarantine."""
-    from ..sources.jsonl import read_jsonl
-    from ..runtime import new_path
-
+    """The JSONL scan with its quarantine: the store is written as JSON lines, with a broken one, one without an id and a blank one."""
     path = new_path(spark, "jsonl")
-    table(spark, d, "observations").select("obs_key", F.col("traceid").alias("traceId"), "id", "type").write.json(path)
+    write_jsonl(table(spark, d, "observations").select("obs_key", F.col("traceid").alias("traceId"), "id", "type"), path)
+    spark.createDataFrame([("{broken",), ('{"id": "x"}',), ("  ",)], "value string").coalesce(1).write.mode("append").text(path)
     good, bad = read_jsonl(spark, path, "obs_key bigint, traceId string, id string, type string", "traceId")
-    return good.agg(F.count("*").alias("n_rows"), F.countDistinct("traceId").alias("n_traces")).crossJoin(bad.agg(F.count("*").alias("n_bad"))).select("n_rows", "n_bad", "n_traces")
+    return good.agg(F.count("*").alias("n_rows"), F.countDistinct("traceId").alias("n_traces")).crossJoin(bad.agg(F.count("*").alias("n_bad"))).select("n_rows", "n_bad", "n_traces")  # one row each
 
 
 @query("SRC-07", "select kind, count(*) as n from (select 'trace' as kind from traces union all select 'observation' from observations where type <> 'TRACE') group by 1")
