@@ -31,6 +31,22 @@ def test_stack_of_the_parser():
     assert P.open_at_end("```py\nx = (\n```") == []
 
 
+def test_repeated_and_short_questions():
+    for q in (ZH, EN):
+        for answer in (f"{q}\n{q}", f"{q} {q} {q}", f"{q}\n{q[: len(q) // 2]}"):
+            assert P.defect(answer, q) == "copied_question"
+    assert P.defect("Delivery time?", "Delivery time?") == P.defect("Delivery time?\nDelivery time?", "Delivery time?") == "copied_question"
+    assert P.defect("Delivery question?", "Delivery question?") == P.defect("交期？", "交期？") == "copied_question"
+    # answers that only name a choice of the question, or say more than it
+    assert P.defect("Acme Freight Partners", "Is the deposit paid by Acme Freight Partners or by Bortick?") is None and P.defect("不含税。", "含税还是不含税？") is None
+    assert not P.is_copied("Delivery time: 30 days.", "Delivery time?") and not P.is_copied("支払いません", "支払いは？") and not P.is_copied("50", "？")
+    assert not P.is_copied(EN + " The bond runs until the end of the warranty under clause 9.", EN)
+
+
+def test_long_repetition_is_bounded():
+    assert P.is_copied(ZH * 400, ZH) and not P.is_copied("甲方" * 20_000, ZH)
+
+
 def test_tiling():
     assert P.tile_cover(list("abcdefxabc"), list("zabcdefq")) == 6
     assert P.tile_cover(list("aaaa"), list("aa"), 2) == 2 or P.tile_cover(list("aaaa"), list("aa"), 2) == 0

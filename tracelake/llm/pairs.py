@@ -4,7 +4,8 @@ Method.
 empty           nothing visible after removing invisible characters and markup, or a placeholder.
 refusal         a grammar over sentences: at least one sentence declines, and all others are greetings, apologies or
                 advice, so no answer is left.
-copied_question greedy string tiling of the answer with the question: what the tiles don't cover is only a wrapper.
+copied_question greedy string tiling of the answer with the question, once per repetition: what the tiles don't cover is
+                only a wrapper.
 other_language  script and function-word scores of question and answer differ; quotations, names, ids and numbers
                 don't count, and a language the question asks for is the language expected.
 truncated       a pushdown parser over fences, quotations, brackets, lists and markup that ends with something open,
@@ -12,7 +13,7 @@ truncated       a pushdown parser over fences, quotations, brackets, lists and m
 The checks run in this order and the first that applies names the defect.
 
 Scale. Row-local; Python only sees the question and the distinct non-NULL answers of its batch. Tiling starts only where
-most of the answer's character pairs occur in the question, and costs at most (answer x question) per pair.
+enough of the answer lies in runs of the question for the share asked for, and costs at most (answer x question) per round.
 
 Defined results. A NULL final answer is ``empty``; a NULL reference answer is no case. A NULL or blank question can't be
 copied and has no language. Very long texts are read whole. Repeated rows are judged each on its own. Empty tables
@@ -21,6 +22,7 @@ give no rows.
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -220,15 +222,18 @@ def is_refusal(text: str) -> bool:
 
 # --- copied questions -----------------------------------------------------------------------------------------------
 
-_UNIT = re.compile(r"[A-Za-zÀ-ɏЀ-ӿ]+(?:['’][a-z]+)?|\d+|[一-鿿]")
+_UNIT = re.compile(r"[A-Za-zÀ-ɏЀ-ӿ]+(?:['’][a-z]+)?|\d+|[^\W\d_]")
 # Words around a repeated question that say nothing themselves.
 _WRAPPER = re.compile(r"(?:您|你)(?:问的|的问题|的提问|想问的|想知道的|刚才问的|咨询的|想了解(?:的)?|想问|想知道)(?:是|为|就是)?|问题(?:是|为|如下)?[：:]|关于(?:您|你)的问题|用户(?:问|提问|的问题)(?:是|为)?|您好|你好|以下是(?:您|你)?的?问题|\b(?:you asked|your question (?:was|is|reads)?|the question (?:was|is)|question|user asked|you (?:want|would like) to know|you are asking|asked|q)\b\s*[:：]?|^\s*>", re.I | re.M)
 MIN_TILE = 3
 
 
-def tile_cover(answer: list[str], question: list[str], least: int = MIN_TILE) -> int:
-    """Units of the answer covered by greedy string tiling with the question (longest common runs first, no overlap)."""
-    free_a, free_q = [True] * len(answer), [True] * len(question)
+def tile_cover(answer: list[str], question: list[str], least: int = MIN_TILE, times: int = 1) -> int:
+    """Units of the answer covered by greedy string tiling with the question (longest common runs first, no overlap).
+
+    Each unit of the question is used ``times`` times at most.
+    """
+    free_a, left_q = [True] * len(answer), [times] * len(question)
     where: dict[str, list[int]] = {}
     for j, u in enumerate(question):
         where.setdefault(u, []).append(j)
@@ -239,8 +244,10 @@ def tile_cover(answer: list[str], question: list[str], least: int = MIN_TILE) ->
         while i < len(answer):
             if free_a[i]:
                 for j in where.get(answer[i], ()):
+                    if i and j and free_a[i - 1] and left_q[j - 1] and answer[i - 1] == question[j - 1]:
+                        continue  # within a longer run, seen at its start
                     k = 0
-                    while i + k < len(answer) and j + k < len(question) and answer[i + k] == question[j + k] and free_a[i + k] and free_q[j + k]:
+                    while i + k < len(answer) and j + k < len(question) and answer[i + k] == question[j + k] and free_a[i + k] and left_q[j + k]:
                         k += 1
                     if k > best:
                         best, tiles = k, [(i, j)]
@@ -250,21 +257,39 @@ def tile_cover(answer: list[str], question: list[str], least: int = MIN_TILE) ->
         if not tiles:
             return covered
         for i, j in tiles:
-            if all(free_a[i : i + best]) and all(free_q[j : j + best]):
+            if all(free_a[i : i + best]) and all(left_q[j : j + best]):
                 free_a[i : i + best] = [False] * best
-                free_q[j : j + best] = [False] * best
+                left_q[j : j + best] = [n - 1 for n in left_q[j : j + best]]
                 covered += best
 
 
+def _coverable(answer: list[str], question: list[str], least: int) -> int:
+    """Units of the answer that lie in some run of ``least`` units of the question: no tiling covers more."""
+    runs = {tuple(question[j : j + least]) for j in range(len(question) - least + 1)}
+    n = end = 0
+    for i in range(len(answer) - least + 1):
+        if tuple(answer[i : i + least]) in runs:
+            n += i + least - max(i, end)
+            end = i + least
+    return n
+
+
 def is_copied(answer: str, question: str, share: float = 0.82) -> bool:
+    """The answer is the question, once or several times, in a wrapper at most.
+
+    Under 0.4 of the question is no copy of it but a choice it names; an answer of under 4 units has to be the whole of a
+    question as short.
+    """
     q = [u.lower() for u in _UNIT.findall(question)]
-    a = [u.lower() for u in _UNIT.findall(_WRAPPER.sub(" ", visible(answer)))]
-    if len(a) < 4 or len(q) < 4 or len(a) > 1.3 * len(q) + 6 or len(a) < 0.4 * len(q):
-        return False
-    pairs = set(zip(q, q[1:]))
-    if sum(p in pairs for p in zip(a, a[1:])) < 0.6 * (len(a) - 1):
-        return False
-    return tile_cover(a, q) >= share * len(a)
+    said = visible(answer)
+    for text in dict.fromkeys((_WRAPPER.sub(" ", said), said)):  # a short question may itself read like a wrapper
+        a = [u.lower() for u in _UNIT.findall(text)]
+        if not a or not q or len(a) < (share if len(a) < 4 else 0.4) * len(q):
+            continue
+        least, times = min(MIN_TILE, len(q)), math.ceil(share * len(a) / len(q))  # fewer copies can't cover the share
+        if _coverable(a, q, least) >= share * len(a) and tile_cover(a, q, least, times) >= share * len(a):
+            return True
+    return False
 
 
 # --- languages ------------------------------------------------------------------------------------------------------
