@@ -192,3 +192,11 @@ def test_components_and_top_k(spark):
         for r in top_k(df.where("vec_id % 20 = 0 and vec_id < 150"), df, "vec_id", "embedding", 3, block=block).collect():
             out.setdefault(r.query_id, {})[r.rank] = r.row_id
         assert {k: [v[i] for i in (1, 2, 3)] for k, v in out.items()} == want
+
+
+def test_block_markdown_holds_every_row(spark):
+    """All rows are rendered, in blocks of 30 under the header; a sheet of its header alone is one block."""
+    cells = [(1, r, c, f"{r}.{c}") for r in range(1, 65) for c in (1, 2)] + [(2, 1, 1, "h"), (3, 3, 1, None), (3, 3, 2, "x"), (3, 40, 1, "y")]
+    got = {(r.sheet, r.block): r.markdown.split("\n") for r in grids.block_markdown(spark.createDataFrame(cells, "sheet long, row int, col int, value string")).collect()}
+    line = lambda r: f"| {r}.1 | {r}.2 |"
+    assert got == {(1, 0): [line(r) for r in range(1, 32)], (1, 1): [line(1), *(line(r) for r in range(32, 62))], (1, 2): [line(1), *(line(r) for r in range(62, 65))], (2, 0): ["| h |"], (3, 0): ["|  | x |"], (3, 1): ["| y |"]}

@@ -56,6 +56,21 @@ def blocks(grid: DataFrame, rows: int = BLOCK_ROWS) -> DataFrame:
     return grid.groupBy("sheet", "row").agg(F.count("value").alias("n")).where("row >= 2").groupBy("sheet", F.floor((F.col("row") - 2) / rows).alias("block")).agg(F.min("row").alias("first_row"), F.max("row").alias("last_row"), F.sum("n").alias("n_cells"))
 
 
+def block_markdown(grid: DataFrame, rows: int = BLOCK_ROWS) -> DataFrame:
+    """One Markdown text per (sheet, block) with the blocks of ``blocks``; the first row of a sheet, its header, stands above each.
+
+    A sheet of nothing but its first row is one block.
+    """
+    cells_ = F.array_sort(F.collect_list(F.struct("col", F.coalesce("value", F.lit("")).alias("v"))))  # as many as a row has columns
+    line = F.concat(F.lit("| "), F.array_join(F.transform(cells_, lambda x: x["v"]), " | "), F.lit(" |"))
+    lines = grid.groupBy("sheet", "row").agg(line.alias("line"))
+    block = F.greatest(F.floor((F.col("row") - 2) / rows), F.lit(0)).cast("bigint")
+    body = F.array_sort(F.collect_list(F.when(F.col("row") >= 2, F.struct("row", "line"))))  # as many as a block has rows
+    cut = lines.groupBy("sheet", block.alias("block")).agg(F.transform(body, lambda x: x["line"]).alias("body"))
+    heads = lines.where("row = 1").select("sheet", F.col("line").alias("head"))
+    return cut.join(heads, "sheet", "left").select("sheet", "block", F.array_join(F.concat(F.array_compact(F.array("head")), "body"), "\n").alias("markdown"))
+
+
 def contained(ranges: DataFrame, allowed: DataFrame) -> DataFrame:
     """Ranges that lie within an allowed range of the same sheet and row band.
 

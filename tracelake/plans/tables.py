@@ -111,6 +111,15 @@ def she_05(spark, d):
     return rows.groupBy("sheet").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", F.concat(F.lit("| "), "v", F.lit(" |")).alias("l")))), lambda x: x["l"]), "\n").alias("markdown"))
 
 
+_MD = "ml as (select sheet, row, '| ' || string_agg(coalesce(value, ''), ' | ' order by col) || ' |' as line from grid group by 1, 2)"
+
+
+@query("SHE-05_blocks", f"with {_GRID}, {_MD} select b.sheet, b.block, coalesce(max(h.line) || chr(10), '') || string_agg(b.line, chr(10) order by b.row) as markdown from (select *, cast((row - 2) // 30 as bigint) as block from ml where row >= 2) b left join ml h on h.sheet = b.sheet and h.row = 1 group by 1, 2 union all select sheet, 0, max(line) from ml group by 1 having max(row) = 1")
+def she_05_blocks(spark, d):
+    """Every block of a sheet as Markdown, all rows of all sheets."""
+    return G.block_markdown(_grid(spark, d))
+
+
 @query("SHE-06", f"with {_GRID} select distinct value as field_name from grid g join hdr h on h.sheet = g.sheet and h.header_row = g.row where value is not null")
 def she_06(spark, d):
     g = _grid(spark, d)
