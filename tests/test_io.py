@@ -1,6 +1,7 @@
 """Sources and sinks, the registry, and that the core doesn't need the llm subpackage."""
 
 import io
+import json
 import os
 import subprocess
 import sys
@@ -14,7 +15,7 @@ from tracelake.operators.model import judge_with
 from tracelake.sources import documents as D
 from tracelake.sources import files
 from tracelake.sources.jsonl import read_jsonl
-from tracelake.sources.paged import read_pages
+from tracelake.sources.paged import LANES, read_all, read_pages
 
 ROOT = Path(__file__).resolve().parent.parent
 
@@ -87,6 +88,26 @@ def test_paged_source(spark):
     assert sorted((r.page, r.payload, r.error) for r in rows) == [(1, '{"n": 1}', None), (2, None, "no"), (3, '{"n": 3}', None)]
 
 
+@pytest.mark.parametrize("n", [0, 1, 10, 40, 1234])
+def test_paged_source_reads_on_to_the_end(spark, n):
+    def _serves(kind, page, limit):
+        if page == 12:
+            raise TimeoutError("no")
+        return [{"n": k} for k in range((page - 1) * limit, min(n, page * limit))]
+
+    rows = read_all(spark, _serves, "x", 10).collect()
+    assert sorted(json.loads(r.payload)["n"] for r in rows if r.payload) == [k for k in range(n) if k // 10 != 11]
+    assert [(r.page, r.error) for r in rows if r.error] == ([(12, "no")] if n > 30 else [])
+
+
+def test_paged_source_of_a_dead_service_ends(spark):
+    def _dead(kind, page, limit):
+        raise TimeoutError("no")
+
+    errors = [r.error for r in read_all(spark, _dead, "x").collect()]
+    assert sum(e.startswith("given up") for e in errors) == LANES and len(errors) == 4 * LANES
+
+
 def test_model_errors_stay_in_their_row(spark):
     def _client(prompt):
         if prompt.startswith("bad"):

@@ -18,7 +18,7 @@ from ..operators.model import judge_with
 from ..runtime import new_path, table
 from ..sources.documents import read_documents
 from ..sources.jsonl import read_jsonl, write_jsonl
-from ..sources.paged import read_pages
+from ..sources.paged import read_all, read_pages
 from . import judging
 from . import sqltext as q
 from .define import Registry
@@ -36,12 +36,12 @@ def _service(kind: str, page: int, limit: int) -> list[dict]:
     return [{"id": f"{kind}-{n}", "status": "completed" if n % 2 == 0 else "error"} for n in range((page - 1) * limit, min(total, page * limit))]
 
 
-def _pulled(spark: SparkSession, kind: str, pages: int, limit: int) -> DataFrame:
-    p = read_pages(spark, _service, kind, pages, limit).where("payload is not null")
+def _pulled(spark: SparkSession, kind: str, pages: int | None, limit: int) -> DataFrame:
+    p = (read_all(spark, _service, kind, limit) if pages is None else read_pages(spark, _service, kind, pages, limit)).where("payload is not null")
     return p.select(F.from_json("payload", "id string, status string").alias("r")).agg(F.count("*").cast("int").alias("n_rows"), F.countDistinct("r.id").cast("int").alias("n_ids"))
 
 
-def _pull_query(name: str, doc: str, kind: str, pages: int, limit: int, rows: int) -> None:
+def _pull_query(name: str, doc: str, kind: str, pages: int | None, limit: int, rows: int) -> None:
     def run(spark: SparkSession, d: str) -> DataFrame:
         return _pulled(spark, kind, pages, limit)
 
@@ -53,9 +53,9 @@ _pull_query("SRC-05", "One page of traces.", "traces", 1, 50, 50)
 _pull_query("SRC-06", "The observations of one trace: one page of at most 100.", "observations", 1, 100, 7)
 _pull_query("SRC-08", "The first hundred datasets.", "datasets", 1, 100, 100)
 _pull_query("SRC-09", "One page of documents.", "documents", 1, 20, 20)
-_pull_query("SRC-10", "All documents, page by page; pages behind the last are empty.", "documents", 7, 20, 95)
+_pull_query("SRC-10", "All documents, page by page until a page is empty.", "documents", None, 20, 95)
 _pull_query("SRC-11", "One page of completed segments: the service applies the filter.", "completed", 1, 100, 100)
-_pull_query("SRC-12", "All segments.", "segments", 4, 100, 310)
+_pull_query("SRC-12", "All segments, page by page until a page is empty.", "segments", None, 100, 310)
 
 
 @query("SRC-13", "select case when c.deleted_at is not null then 'archived' when c.document_id not in (select document_id from chunk_catalog where document_id is not null) then 'no_segments' else 'pulled' end as state, count(*) as n from create_document c group by 1")

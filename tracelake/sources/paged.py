@@ -1,8 +1,8 @@
 """A paged service as a Spark data source, over an injected client.
 
-``client(kind, page, limit)`` returns one page of rows (dicts). Pages are the partitions of a batch read; the stream
-reader moves a cursor of page numbers. A failing page is tried again and then skipped with its error as a row, so one bad
-page does not cost the others.
+``client(kind, page, limit)`` returns one page of rows (dicts), an empty one behind the last. ``read_pages`` reads the first
+pages, as many as it is told, each as a partition; ``read_all`` reads on until there are no more. A failing page is tried
+again and then skipped with its error as a row, so one bad page does not cost the others.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 Client = Callable[[str, int, int], list[dict]]
 SCHEMA = "kind string, page int, payload string, error string"
 TRIES = 3
+LANES = 8  # partitions of a full read, that is calls at a time
 
 
 class _Page(InputPartition):
@@ -31,21 +32,54 @@ class _Reader(DataSourceReader):
     def partitions(self) -> list[_Page]:
         return [_Page(n) for n in range(1, self.pages + 1)]
 
-    def read(self, partition: _Page) -> Iterator[tuple]:
+    def page(self, page: int) -> tuple[list[dict], str | None]:
+        """The rows of a page, or what its last try failed with."""
         for n in range(TRIES):
             try:
-                rows = self.client(self.kind, partition.page, self.limit)
-                break
+                return self.client(self.kind, page, self.limit), None
             except Exception as e:
                 if n == TRIES - 1:
-                    yield self.kind, partition.page, None, str(e)[:200]
-                    return
+                    return [], str(e)[:200]
+
+    def rows(self, page: int, rows: list[dict]) -> Iterator[tuple]:
         for row in rows:
-            yield self.kind, partition.page, json.dumps(row, ensure_ascii=False), None
+            yield self.kind, page, json.dumps(row, ensure_ascii=False), None
+
+    def read(self, partition: _Page) -> Iterator[tuple]:
+        rows, error = self.page(partition.page)
+        if error is not None:
+            yield self.kind, partition.page, None, error
+        yield from self.rows(partition.page, rows)
+
+
+class _FullReader(_Reader):
+    """Lane n reads the pages n, n + LANES, ... until one is empty; the end needn't be known.
+
+    A failing page can't tell whether it is behind the end: the lane goes on, and gives up, with an error row that says so,
+    after TRIES failing pages on end.
+    """
+
+    def partitions(self) -> list[_Page]:
+        return [_Page(n) for n in range(1, LANES + 1)]
+
+    def read(self, partition: _Page) -> Iterator[tuple]:
+        page, failed = partition.page, 0
+        while failed < TRIES:
+            rows, error = self.page(page)
+            if error is not None:
+                failed += 1
+                yield self.kind, page, None, error
+            elif not rows:
+                return
+            else:
+                failed = 0
+                yield from self.rows(page, rows)
+            page += LANES
+        yield self.kind, page, None, f"given up: this page and every {LANES}th behind it were not read"
 
 
 def paged_source(client: Client, name: str = "paged") -> type[DataSource]:
-    """A data source class to be registered with ``spark.dataSource.register``; options: kind, pages, limit."""
+    """A data source class to be registered with ``spark.dataSource.register``; options: kind, pages (all without it), limit."""
 
     class Paged(DataSource):
         @classmethod
@@ -56,7 +90,8 @@ def paged_source(client: Client, name: str = "paged") -> type[DataSource]:
             return SCHEMA
 
         def reader(self, schema) -> _Reader:
-            return _Reader(client, self.options.get("kind", "traces"), int(self.options.get("pages", 1)), int(self.options.get("limit", 50)))
+            kind, pages, limit = self.options.get("kind", "traces"), self.options.get("pages"), int(self.options.get("limit", 50))
+            return _Reader(client, kind, int(pages), limit) if pages else _FullReader(client, kind, 0, limit)
 
     return Paged
 
@@ -64,3 +99,9 @@ def paged_source(client: Client, name: str = "paged") -> type[DataSource]:
 def read_pages(spark: SparkSession, client: Client, kind: str, pages: int, limit: int = 50) -> DataFrame:
     spark.dataSource.register(paged_source(client))
     return spark.read.format("paged").options(kind=kind, pages=str(pages), limit=str(limit)).load()
+
+
+def read_all(spark: SparkSession, client: Client, kind: str, limit: int = 50) -> DataFrame:
+    """All pages of a service."""
+    spark.dataSource.register(paged_source(client))
+    return spark.read.format("paged").options(kind=kind, limit=str(limit)).load()
