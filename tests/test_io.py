@@ -125,6 +125,16 @@ def test_entry_and_registry(spark, sf):
     assert df.count() > 0 and "final_answer" in df.columns
 
 
+def test_sinks_of_all_datasets(spark, sf):
+    """Every document is stored and every chunk exported, with each export column that the table has."""
+    q = entry.queries()
+    n = {t: spark.read.parquet(f"{sf}/{t}.parquet") for t in ("create_document", "chunk_catalog")}
+    assert q["SNK-23_all"](spark, sf).where("version = 1").count() == n["create_document"].count()
+    out = q["SNK-06_all"](spark, sf)
+    assert out.count() == n["chunk_catalog"].count() and out.select("dataset_id").distinct().count() == n["chunk_catalog"].select("dataset_id").distinct().count()
+    assert set(out.columns) == set(n["chunk_catalog"].columns) - {"created_at", "deleted_at"}
+
+
 def test_core_does_not_import_llm():
     code = "import sys; sys.modules['tracelake.llm'] = None; import tracelake.plans.registry as r; assert len(r.queries()) > 150; assert not any(m.startswith('tracelake.llm.') for m in sys.modules)"
     assert subprocess.run([sys.executable, "-c", code], cwd=ROOT, env=os.environ | {"PYTHONPATH": str(ROOT)}, capture_output=True, timeout=120).returncode == 0

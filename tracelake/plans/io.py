@@ -81,6 +81,20 @@ def _catalog_back(spark, c, path):
     return back.join(c.select("chunk_row", F.col("document_id").alias("own")), "chunk_row").withColumn("document_id", F.when(F.col("own").isNotNull(), F.coalesce("document_id", F.lit("")))).drop("own")
 
 
+#: The survey's columns of a catalog export, all but index_node_id and index_node_hash, which the table hasn't.
+_EXPORT = ["segment_id", "chunk_position", "document_id", "document_name", "dataset_id", "content", "summary", "tokens", "word_count", "enabled", "status", "content_hash"]
+_TEXTS = [c for c in _EXPORT if c not in ("chunk_position", "tokens", "word_count", "enabled")]
+
+
+@query("SNK-06_all", f"select chunk_row, {', '.join(f"coalesce({c}, '') as {c}" if c in _TEXTS else c for c in _EXPORT)} from chunk_catalog")
+def snk_06_all(spark, d):
+    """The catalog of all datasets as CSV, and back; NULL texts come back empty."""
+    path = new_path(spark, "csv")
+    c = table(spark, d, "chunk_catalog").select("chunk_row", *_EXPORT)
+    files.write_csv(c.fillna("", _TEXTS), path)
+    return files.read_csv(spark, path, ", ".join(f"{x} {t}" for x, t in c.dtypes))
+
+
 @query("SNK-08", "select dataset_id, count(*) as n, sum(tokens) as tokens from chunk_catalog group by 1")
 def snk_08(spark, d):
     """The whole catalog as CSV, partitioned by dataset."""

@@ -199,9 +199,18 @@ def src_30(spark, d):
 
 @query("SNK-23", "select document_id, 1 as version from create_document where dataset_id = 'ds-elm' union all select document_id, 2 from create_document where dataset_id = 'ds-elm' and deleted_at is null")
 def snk_23(spark, d):
-    """Versioned puts: an object stored again keeps its earlier version."""
+    """Versioned puts: an object stored again keeps its earlier version; one dataset."""
+    return _stored_versions(spark, table(spark, d, "create_document").where("dataset_id = 'ds-elm'"))
+
+
+@query("SNK-23_all", "select document_id, 1 as version from create_document union all select document_id, 2 from create_document where deleted_at is null")
+def snk_23_all(spark, d):
+    """Versioned puts of the documents of all datasets."""
+    return _stored_versions(spark, table(spark, d, "create_document"))
+
+
+def _stored_versions(spark: SparkSession, t: DataFrame) -> DataFrame:
     path = new_path(spark, "vault")
-    t = table(spark, d, "create_document").where("dataset_id = 'ds-elm'")
     t.select("document_id", "text").write.parquet(f"{path}/version=1")
     t.where("deleted_at is null").select("document_id", "text").write.parquet(f"{path}/version=2")
     return spark.read.parquet(path).select("document_id", F.col("version").cast("int").alias("version"))
