@@ -5,7 +5,8 @@ shares alone, raised to one exponent, can meet an entropy or a repetition limit
 many sources. So the tempering runs from the target shares (exponent 0) towards the shares that all repeats allow
 (exponent 1): w ~ target * (capacity / target) ** exponent. Without a ``budget`` the exponent is 0: every source has exactly its target share
 and the total is the largest that no source's cap of repeats forbids. With a larger budget the smallest exponent is bisected
-at which the caps hold. ``temper`` and ``temper_to_entropy`` are the plain tempering of natural shares, reported beside it.
+at which the caps hold. ``temper`` and ``temper_to_entropy`` are the plain tempering of natural shares; no query reports
+them.
 
 A source with weight w gets w * budget / tokens passes over its texts: whole passes are full permutations, the last
 one is the beginning of a permutation up to its token budget.
