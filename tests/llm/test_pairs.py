@@ -31,6 +31,16 @@ def test_stack_of_the_parser():
     assert P.open_at_end("```py\nx = (\n```") == []
 
 
+@pytest.mark.parametrize("item", ["deliver the pumps to the yard within nine days of the signing and the rest after the test", "设备应在合同签订后由供货方按约定的批次运至现场或仓库并在验收后移交的备件"])
+def test_lists_cut_within_an_item(item):
+    whole = f"1. {item}\n2. {item}\n3. "
+    assert not P.is_truncated(whole + item) and not P.is_truncated("1. bolts and nuts\n2. steel plates\n3. a pump")
+    words = item.split(" ") if " " in item else list(item)
+    joint = " " if " " in item else ""
+    cuts = [joint.join(words[:n]) for n in range(1, len(words)) if 0.3 <= n / len(words) <= 0.9 and words[n - 1] in {"the", "to", "within", "of", "and", "按", "的", "或"}]
+    assert len(cuts) >= 3 and all(P.is_truncated(whole + c) for c in cuts)
+
+
 def test_repeated_and_short_questions():
     for q in (ZH, EN):
         for answer in (f"{q}\n{q}", f"{q} {q} {q}", f"{q}\n{q[: len(q) // 2]}"):

@@ -135,6 +135,10 @@ def is_value(text: str) -> bool:
     return len(t) <= 60 and bool(_ENGLISH_NAME.match(t)) and bool(_ENGLISH_SUFFIX.search(t) or len(t.split()) <= 4)
 
 
+# Words and characters that don't end a list item, since something has to follow them.
+_DANGLING = re.compile(r"(?:(?<![\w-])(?:a|an|the|of|and|or|to|is|are|was|were|be|for|at|from|with|within|into|until|upon|which|whose|than|that|if|must|shall|will|as|its|their|per|und|oder|der|die|das|mit|für|von|zur|zum|et|ou|des|du|les|pour|avec|el|los|las|del|para|con)|[的及或从将被把按是于须且]|应[在由向为当]|不得)$", re.I)
+
+
 def is_truncated(text: str) -> bool:
     t = visible(text)
     if not t:
@@ -162,7 +166,7 @@ def is_truncated(text: str) -> bool:
     if len(lines) > 1 and _ITEM.match(last):  # a list whose other items end without a stop either
         others = [x for x in lines[:-1] if _ITEM.match(x)]
         if others and all(x.rstrip()[-1] not in ENDERS + ";；" for x in others) and not re.search(r"[，、,;；:：(（-]$", last.rstrip()):
-            return len(last) < 0.3 * min(len(x) for x in others)
+            return bool(_DANGLING.search(end)) or len(last) < 0.3 * min(len(x) for x in others)
     return True
 
 
