@@ -200,3 +200,12 @@ def test_block_markdown_holds_every_row(spark):
     got = {(r.sheet, r.block): r.markdown.split("\n") for r in grids.block_markdown(spark.createDataFrame(cells, "sheet long, row int, col int, value string")).collect()}
     line = lambda r: f"| {r}.1 | {r}.2 |"
     assert got == {(1, 0): [line(r) for r in range(1, 32)], (1, 1): [line(1), *(line(r) for r in range(32, 62))], (1, 2): [line(1), *(line(r) for r in range(62, 65))], (2, 0): ["| h |"], (3, 0): ["|  | x |"], (3, 1): ["| y |"]}
+
+
+def test_ranges_of_wide_rows(spark, tmp_path):
+    """PRJ-44 names columns right of Z."""
+    from tracelake.plans import tables
+
+    lines = "|".join("x" * 30) + "\n" + "|".join("y" * 3)
+    spark.createDataFrame([(7, "price-sheets", lines)], "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.cell_range for r in tables.prj_44(spark, str(tmp_path)).collect()} == {"A1:AD1", "A2:C2"}

@@ -145,7 +145,7 @@ def prj_43(spark, d):
 @query("PRJ-44", f"with {_GRID} select sheet, row, 'A' || row || ':' || chr(cast(64 + max(col) as integer)) || row as cell_range from grid where value is not null and col <= 26 group by 1, 2")
 def prj_44(spark, d):
     last = G.column_letters(F.max("col"))
-    g = _grid(spark, d).where("value is not null and col <= 26").groupBy("sheet", "row").agg(last.alias("l"))
+    g = _grid(spark, d).where("value is not null").groupBy("sheet", "row").agg(last.alias("l"))
     return g.select("sheet", "row", F.concat(F.lit("A"), F.col("row").cast("string"), F.lit(":"), "l", F.col("row").cast("string")).alias("cell_range"))
 
 
