@@ -30,6 +30,14 @@ def test_broken(spark):
     assert broken(spark, data) == {("s2", "u"), ("s3", "u"), ("s4", "u"), ("s5", "u"), ("c8", "w")}
 
 
+def test_user_of_any_row_and_first_reply_that_speaks(spark):
+    asked, reply = trace(1, "t1", "q", None, u=None)
+    span = (3, "s1", "t1", "SPAN", None, None, '{"sys.user_id": "w"}', None, None, None, None, "c")
+    untyped = (4, "s2", "t1", None, None, None, '{"sys.user_id": "w"}', None, None, None, None, "c")
+    assert broken(spark, [asked, reply, span]) == broken(spark, [asked, reply, untyped]) == {("s", "w")}
+    assert broken(spark, trace(1, "t1", "q", '{"text": " ", "answer": "yes"}')) == set() and broken(spark, trace(1, "t1", "q", '{"text": " ", "answer": ""}')) == {("s", "u")}
+
+
 def test_versions_retries_and_deletes(spark):
     ok = trace(1, "t1", "q", None)
     retry = (9, "g9", "t1", "GENERATION", None, None, '{"attempt": 2}', '{"text": "late"}', None, None, None, "c")

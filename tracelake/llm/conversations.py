@@ -10,7 +10,7 @@ white space) breaks it, and broken conversations are dropped.
 Session and user stand in their column, else in the row's metadata, else (user) in its input, else in another row of
 the trace.
 
-Scale. JSON is parsed in the JVM, outputs only where they can hold a reply. Everything is a grouped aggregate with partial aggregation, so a user who holds
+Scale. JSON is parsed in the JVM, outputs only where they can hold a reply, inputs beside the TRACE row's only where they name a user. Everything is a grouped aggregate with partial aggregation, so a user who holds
 a tenth or a third of all rows is folded on the map side first. Turn numbers don't sort a whole conversation in one
 task: turns are numbered within (conversation, day) and shifted by the counts of the days before.
 
@@ -47,9 +47,15 @@ def _message(map_col: str, raw: str, keys: list[str]) -> Column:
     return F.when(F.col(map_col).isNull(), F.col(raw)).otherwise(F.coalesce(*[F.try_element_at(F.col(map_col), F.lit(k)) for k in keys]))
 
 
+def _reply(map_col: str, raw: str) -> Column:
+    """The value under the first reply key that says something, or the plain text where the column isn't an object."""
+    values = [F.try_element_at(F.col(map_col), F.lit(k)) for k in REPLY_KEYS]
+    return F.when(F.col(map_col).isNull(), F.col(raw)).otherwise(F.coalesce(*[F.when(_says(v), v) for v in values]))
+
+
 def events(rows: DataFrame) -> DataFrame:
     """Row-local: (trace, event_id, version, type, session, user, message, reply, removed, started, collector)."""
-    typed = rows.where(_says(F.col("traceid"))).select("traceid", "id", "obs_key", "type", "sessionid", "userid", "collector_id", F.coalesce("trace_timestamp", "start_time").alias("started"), F.when(F.col("type").isin("TRACE", "GENERATION"), F.col("input")).alias("input"), F.when(F.col("type") == "GENERATION", F.col("output")).alias("output"), "metadata")
+    typed = rows.where(_says(F.col("traceid"))).select("traceid", "id", "obs_key", "type", "sessionid", "userid", "collector_id", F.coalesce("trace_timestamp", "start_time").alias("started"), F.when((F.col("type") == "TRACE") | F.contains("input", F.lit(INPUT_USER_KEY)), F.col("input")).alias("input"), F.when(F.col("type") == "GENERATION", F.col("output")).alias("output"), "metadata")
     parsed = typed.withColumns({"i": _object("input"), "o": _object("output"), "m": _object("metadata")})
     at = lambda col, key: F.try_element_at(F.col(col), F.lit(key))
     return parsed.select(
@@ -60,7 +66,7 @@ def events(rows: DataFrame) -> DataFrame:
         first_filled("sessionid", *[at("m", k) for k in SESSION_KEYS]).alias("session"),
         first_filled("userid", *[at("m", k) for k in USER_KEYS], at("i", INPUT_USER_KEY)).alias("user"),
         F.when(F.col("type") == "TRACE", _message("i", "input", INPUT_MESSAGE_KEYS)).alias("message"),
-        F.when(F.col("type") == "GENERATION", _message("o", "output", REPLY_KEYS)).alias("reply"),
+        F.when(F.col("type") == "GENERATION", _reply("o", "output")).alias("reply"),
         F.coalesce(F.lower(at("m", "status")) == "deleted", F.lit(False)).alias("removed"),
         "started",
         "collector_id",
