@@ -7,12 +7,13 @@ one band key, and representatives that share a band key are candidates. Of the m
 packed as two bit planes; the similarity estimated from them by bit counts, corrected for the quarter of chance
 matches, removes candidates that are far below the threshold. An exact count of common n-grams follows.
 
-Scale. Band keys are 64-bit numbers, so the candidate search shuffles 16 bytes per band and representative. A band key
-shared by more than ``HOT`` representatives isn't expanded into all its pairs: its members are searched by an exact
-prefix filter instead (rarest n-grams first, with the length bound), which loses no pair above the threshold.
-Estimates read 64 bytes per side; texts are only fetched for what is left, and their n-grams compared there.
+Scale. Band keys are 64-bit numbers, so the candidate search shuffles 16 bytes per band and representative. Pairs within
+a band key, and pairs of rows within two linked classes, come from one path at every size: members are spread by hash
+over blocks of about ``BLOCK`` and each pair of blocks is a group of its own, so a hot band key or a class that holds a
+third of all rows is cut into many groups of bounded size. Estimates read 64 bytes per side; texts are only fetched for
+what is left, and their n-grams compared there.
 
-Recall. A pair of similarity 0.7 shares a band key with probability 0.998, one of 0.75 with 0.99996 (70 bands of seven
+Recall. A pair of similarity 0.7 shares a band key with probability 0.998, one of 0.75 with 0.99991 (48 bands of six
 minima); the estimate is allowed an error of four standard deviations.
 
 Defined results. NULL texts are left out. Texts without any n-gram (shorter than three characters once squeezed) only
@@ -27,16 +28,16 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.components import connected_components
 from ..runtime import materialise
+from .components import connected_components
 
-BANDS, ROWS, PLANE_WORDS = 70, 7, 4
+BANDS, ROWS, PLANE_WORDS = 48, 6, 4
 SAMPLED = 64 * PLANE_WORDS  # minima of which the low bits are kept
-HOT = 2000
+BLOCK = 1024
 SLACK = 4 * (0.25 / SAMPLED) ** 0.5 / 0.75
 _CHUNK = 128
 
@@ -134,20 +135,6 @@ def _sign(n: int, words: bool):
     return run
 
 
-def _featured(n: int, words: bool):
-    """(rid, field_name, norm) -> (rid, field_name, features)."""
-    features = _features(n, words)
-    schema = pa.schema([("rid", pa.int64()), ("field_name", pa.string()), ("features", _LONGS)])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                part = batch.slice(start, 512)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), _lists([features(t) for t in part.column(2).to_pylist()])], schema=schema)
-
-    return run
-
-
 def _compare(n: int, words: bool, threshold: float):
     """(a, b, x, y) -> (a, b, similarity) of the texts x and y, where it reaches the threshold."""
     features = _features(n, words)
@@ -172,45 +159,47 @@ def _squeezed(texts: pd.Series) -> pd.Series:
 
 
 def classes(rows: DataFrame, words: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(members, representatives): every row with its class id, and one text per class.
+    """(members, representatives): every row with its class id, and one text per class with the size of the class.
 
-    ``rows`` has field_name, key and text. Texts are equal if their normal forms are; the class id is the least key.
+    ``rows`` has field_name, key and text. Texts are equal if two 64-bit hashes of their normal forms are; the class id is
+    the least key.
     """
     norm = F.trim(F.regexp_replace(F.lower("text"), r"(?U)\s+", " ")) if words else F.pandas_udf(_squeezed, T.StringType())("text")
-    normed = rows.where("text is not null").select("field_name", "key", norm.alias("norm")).withColumn("h", F.xxhash64("norm")).withColumn("h2", F.md5("norm"))
-    reps = normed.groupBy("field_name", "h", "h2").agg(F.min(F.struct("key", "norm")).alias("first"))
-    reps = reps.select("field_name", "h", "h2", F.col("first.key").alias("cid"), F.col("first.norm").alias("norm"), F.monotonically_increasing_id().alias("rid"))
+    normed = rows.where("text is not null").select("field_name", "key", norm.alias("norm")).withColumn("h", F.xxhash64("norm")).withColumn("h2", F.xxhash64(F.lit(1), "norm"))
+    reps = normed.groupBy("field_name", "h", "h2").agg(F.min(F.struct("key", "norm")).alias("first"), F.count("*").alias("n_rows"))
+    reps = reps.select("field_name", "h", "h2", "n_rows", F.col("first.key").alias("cid"), F.col("first.norm").alias("norm"), F.monotonically_increasing_id().alias("rid"))
     reps = materialise(reps, "classes")
-    members = normed.select("field_name", "key", "h", "h2").join(reps.select("field_name", "h", "h2", "cid", "rid"), ["field_name", "h", "h2"]).select("field_name", "key", "cid", "rid")
+    members = normed.select("field_name", "key", "h", "h2").join(reps.select("field_name", "h", "h2", "cid", "rid", "n_rows"), ["field_name", "h", "h2"]).select("field_name", "key", "cid", "rid", "n_rows")
     return materialise(members, "members"), reps
 
 
-def candidates(signed: DataFrame, reps: DataFrame, threshold: float, n: int, words: bool, hot: int = HOT) -> DataFrame:
-    """(a, b), a < b: representatives that share a band key, or that the prefix filter finds among hot band keys.
+def blocks(n: Column, block: int) -> Column:
+    """The number of blocks for n members."""
+    return F.greatest(F.ceil(n / block), F.lit(1)).cast("int")
+
+
+def pairs_within(rows: DataFrame, group: str, size: str, key: str, block: int = BLOCK) -> DataFrame:
+    """(a, b), a < b: the pairs of distinct keys that share a group, made in pairs of blocks.
+
+    A group of n rows has g = n / ``block`` blocks; a row goes to the g pairs of blocks that hold its own.
+    """
+    g = blocks(F.col(size), block)
+    placed = rows.select(group, F.col(key).alias("_k"), g.alias("_g"), F.pmod(F.xxhash64(key), g).cast("int").alias("_i"))
+    spread = lambda low, high, one, other: placed.withColumn("_j", F.explode(F.sequence(low, high))).select(group, F.col(one).alias("_p"), F.col(other).alias("_q"), "_k")
+    left = spread(F.col("_i"), F.col("_g") - 1, "_i", "_j").withColumnRenamed("_k", "x")
+    right = spread(F.lit(0), F.col("_i"), "_j", "_i").withColumnRenamed("_k", "y")
+    apart = ((F.col("_p") < F.col("_q")) & (F.col("x") != F.col("y"))) | (F.col("x") < F.col("y"))
+    return left.join(right, [group, "_p", "_q"]).where(apart).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
+def candidates(signed: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(a, b), a < b: representatives that share a band key.
 
-    The band keys are shuffled once: counting them and picking the shared ones use the same partitioning.
+    Band keys are counted with partial aggregation; only shared ones go on.
     """
-    bands = signed.select("rid", F.explode("bands").alias("band")).repartition("band")
+    bands = signed.select("rid", F.explode("bands").alias("band"))
     sizes = bands.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    shared = materialise(bands.join(sizes, "band"), "bands")
-    calm = shared.where(F.col("n") <= hot).select("band", "rid")
-    pairs = calm.withColumnRenamed("rid", "a").join(calm.withColumnRenamed("rid", "b"), "band").where("a < b").select("a", "b")
-    crowded = shared.where(F.col("n") > hot).select("rid").distinct()
-    among = reps.select("rid", "field_name", "norm").join(crowded, "rid", "left_semi").mapInArrow(_featured(n, words), "rid bigint, field_name string, features array<bigint>")
-    return pairs.unionByName(prefix_pairs(among, threshold)).distinct()
-
-
-def prefix_pairs(featured: DataFrame, threshold: float) -> DataFrame:
-    """Exact candidates: two sets of similarity t share a feature among their (1 - t) rarest, and differ little in size."""
-    features = featured.select("field_name", "rid", F.size("features").alias("size"), F.explode("features").alias("feature"))
-    rare = features.groupBy("field_name", "feature").agg(F.count("*").alias("freq"))
-    order = Window.partitionBy("rid").orderBy("freq", "feature")
-    keep = F.col("size") - F.ceil(F.col("size") * threshold - 1e-9) + 1
-    prefix = features.join(rare, ["field_name", "feature"]).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= keep)
-    a = prefix.select("field_name", "feature", F.col("rid").alias("a"), F.col("size").alias("size_a"))
-    b = prefix.select("field_name", "feature", F.col("rid").alias("b"), F.col("size").alias("size_b"))
-    fits = F.least("size_a", "size_b") >= F.greatest("size_a", "size_b") * threshold - 1e-9
-    return a.join(b, ["field_name", "feature"]).where((F.col("a") < F.col("b")) & fits).select("a", "b").distinct()
+    return pairs_within(bands.join(sizes, "band"), "band", "n", "rid", block).distinct()
 
 
 def estimate(x: Column, y: Column) -> Column:
@@ -228,37 +217,43 @@ def _both(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
     return pairs.join(one, "a").join(two, "b")
 
 
-def similar_classes(reps: DataFrame, threshold: float, n: int = 3, words: bool = False, hot: int = HOT) -> DataFrame:
+def similar_classes(reps: DataFrame, threshold: float, n: int = 3, words: bool = False, block: int = BLOCK) -> DataFrame:
     """(a, b, similarity): ids (``rid``) of representatives that reach the threshold."""
     signed = materialise(reps.select("rid", "field_name", "norm").mapInArrow(_sign(n, words), SIGNED), "signed")
-    near = _both(candidates(signed, reps, threshold, n, words, hot), signed, "planes").where(estimate(F.col("x"), F.col("y")) >= threshold - SLACK).select("a", "b")
+    near = _both(candidates(signed, block), signed, "planes").where(estimate(F.col("x"), F.col("y")) >= threshold - SLACK).select("a", "b")
     return _both(near, reps, "norm").select("a", "b", "x", "y").mapInArrow(_compare(n, words, threshold), "a bigint, b bigint, similarity double")
 
 
-def near_pairs(rows: DataFrame, threshold: float = 0.7, n: int = 3, hot: int = HOT) -> DataFrame:
+def near_pairs(rows: DataFrame, threshold: float = 0.7, n: int = 3, block: int = BLOCK) -> DataFrame:
     """(field_name, key_a, key_b): all pairs of rows of one field that are near duplicates or equal, least key first.
 
-    Rows are only joined for classes that have a link or several members.
+    Two linked classes give pairs of blocks of their rows, as many as their sizes ask for; a class of several rows is
+    linked with itself. Rows of classes without a link aren't read again.
     """
     members, reps = classes(rows)
-    links = materialise(similar_classes(reps, threshold, n, hot=hot).select("a", "b"), "links")
-    repeated = members.where("key != cid").select("rid").distinct()
-    links = links.unionByName(repeated.select(F.col("rid").alias("a"), F.col("rid").alias("b")))
-    linked = links.select(F.col("a").alias("rid")).unionByName(links.select(F.col("b").alias("rid"))).distinct()
-    members = materialise(members.join(linked, "rid", "left_semi"), "members")
-    one = members.select("field_name", F.col("rid").alias("a"), F.col("key").alias("ka"))
-    two = members.select(F.col("rid").alias("b"), F.col("key").alias("kb"))
-    out = links.join(one, "a").join(two, "b").where((F.col("a") != F.col("b")) | (F.col("ka") < F.col("kb")))
-    return out.select("field_name", F.least("ka", "kb").alias("key_a"), F.greatest("ka", "kb").alias("key_b"))
-
-
-def near_groups(rows: DataFrame, threshold: float = 0.7, n: int = 3, words: bool = False, hot: int = HOT) -> DataFrame:
+    sizes = reps.select("rid", blocks(F.col("n_rows"), block).alias("g"))
+    links = similar_classes(reps, threshold, n, block=block).select("a", "b")
+    sized = links.join(sizes.withColumnsRenamed({"rid": "a", "g": "ga"}), "a").join(sizes.withColumnsRenamed({"rid": "b", "g": "gb"}), "b")
+    own = reps.where("n_rows > 1").select(F.col("rid").alias("a"), F.col("rid").alias("b"), blocks(F.col("n_rows"), block).alias("ga"), blocks(F.col("n_rows"), block).alias("gb"))
+    grid = sized.unionByName(own).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("ga") - 1)))
+    grid = grid.withColumn("j", F.explode(F.sequence(F.when(F.col("a") == F.col("b"), F.col("i")).otherwise(0), F.col("gb") - 1)))
+    grid = materialise(grid.select("a", "b", "i", "j"), "links")
+    linked = grid.select(F.col("a").alias("rid")).unionByName(grid.select(F.col("b").alias("rid"))).distinct()
+    placed = members.join(linked, "rid", "left_semi").withColumn("at", F.pmod(F.xxhash64("key"), blocks(F.col("n_rows"), block)).cast("int"))
+    one = placed.select("field_name", F.col("rid").alias("a"), F.col("at").alias("i"), F.col("key").alias("x"))
+    two = placed.select(F.col("rid").alias("b"), F.col("at").alias("j"), F.col("key").alias("y"))
+    inner = (F.col("a") == F.col("b")) & (F.col("i") == F.col("j"))
+    out = grid.join(one, ["a", "i"]).join(two, ["b", "j"]).where(~inner | (F.col("x") < F.col("y")))
+    return out.select("field_name", F.least("x", "y").alias("key_a"), F.greatest("x", "y").alias("key_b"))
+
+
+def near_groups(rows: DataFrame, threshold: float = 0.7, n: int = 3, words: bool = False, block: int = BLOCK) -> DataFrame:
     """One row per row: its class (equal texts), its group (classes connected by links) and its class's links.
 
     With word shingles of five words and a threshold of 0.8 this is the usual near-duplicate stage of a corpus.
     """
     members, reps = classes(rows, words)
-    links = materialise(similar_classes(reps, threshold, n, words, hot).select("a", "b"), "links")
+    links = materialise(similar_classes(reps, threshold, n, words, block).select("a", "b"), "links")
     ends = links.select(F.col("a").alias("rid")).unionByName(links.select(F.col("b").alias("rid")))
     degree = ends.groupBy("rid").agg(F.count("*").alias("n_links"))
     parts = connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst"))).withColumnRenamed("node", "rid")
