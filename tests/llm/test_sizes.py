@@ -52,7 +52,7 @@ def test_split_frames(spark):
 
 def test_packing(spark):
     rng = random.Random(1)
-    rows = [(k, rng.choice([0, 1, 7, 90, 100, 100, 250, 1000])) for k in range(3000)] + [(5, 7), (9999, None)]
+    rows = [(k, rng.choice([0, 1, 7, 90, 100, 100, 250, 1000])) for k in range(3000)] + [(5000, 7), (9999, None)]
     df = spark.createDataFrame(rows, "key long, n_tokens long")
     for shard in (20_000, 500):
         out = K.pack(df, 100, shard=shard).toPandas()
@@ -63,10 +63,20 @@ def test_packing(spark):
         assert not out[out["key"].isin(whole)]["part"].any()
         report = [r for r in K.fill_report(K.pack(df, 100, shard=shard), 100).collect() if r.shard is None][0]
         assert 0 <= report.unused_share < 0.08
+        assert report.least_containers <= report.n_containers
     assert K.pack(df.where("1 = 0"), 100).collect() == []
     assert len(set(K.assign(np.array([60, 50, 50, 40]), 100).tolist())) == 2
 
 
+def test_packing_of_repeated_keys(spark):
+    """Copies of one key, whole ones and one over the capacity, are items of their own and spread over the shards."""
+    df = spark.createDataFrame([(5, 60)] * 4000 + [(5, 250), (5, 250), (6, 0)], "key long, n_tokens long")
+    out = K.pack(df, 100, shard=500).toPandas()
+    assert len(out) == 4006 and out["n_tokens"].sum() == 4000 * 60 + 500
+    assert sorted(out[out["part"] > 0]["n_tokens"]) == [50, 50, 100, 100] and out["shard"].nunique() > 1
+    assert out.groupby(["shard", "container"])["n_tokens"].sum().max() <= 100
+
+
 def test_plan_of_a_mix():
     total, x, plan = M.plan_mix([("a", 0.5, 1), ("b", 0.3, 2), ("c", 0.2, 3), ("gone", 0.4, 1), ("none", 0.0, 1)], {"a": 1000, "b": 100, "c": 500})
     assert x == 0 and total == pytest.approx(200 / 0.3)
@@ -74,6 +84,12 @@ def test_plan_of_a_mix():
     total, x, plan = M.plan_mix([("a", 0.5, 1), ("b", 0.5, 2)], {"a": 1000, "b": 100}, budget=900)
     assert 0 < x <= 1 and total == 900 and all(p.passes <= p.repeats + 1e-6 for p in plan) and plan[1].passes == pytest.approx(2, abs=1e-6)
     assert M.plan_mix([("a", 1.0, 1)], {})[0] == 0
+    total, x, w, plan = M.plan_natural([("a", 0.4, 1), ("b", 0.35, 4), ("c", 0.25, 9), ("gone", 0.1, 2)], {"a": 7000, "b": 2000, "c": 1000})
+    assert 0 < x < 1 and M.entropy(w) == pytest.approx(M.entropy([0.4, 0.35, 0.25])) and all(p.passes <= p.repeats for p in plan)
+    assert any(p.passes == pytest.approx(p.repeats) for p in plan) and total == pytest.approx(sum(p.budget for p in plan))
+    _, x, _, plan = M.plan_natural([("a", 0.5, 1), ("b", 0.5, 2)], {"a": 1000, "b": 100}, budget=900)
+    assert x > 0 and max(p.passes / p.repeats for p in plan) == pytest.approx(1, abs=1e-6)
+    assert M.plan_natural([("a", 1.0, 1)], {})[0] == 0
     shares = [0.7, 0.2, 0.1]
     assert M.entropy(M.temper(shares, M.temper_to_entropy(shares, 0.9))) == pytest.approx(0.9)
 

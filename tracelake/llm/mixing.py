@@ -1,12 +1,15 @@
 """Mixing sources to target weights under a cap of repeats.
 
-Method. Tempered weights, exponents found by bisection, realised as budgeted block permutations. The natural token
-shares alone, raised to one exponent, can meet an entropy or a repetition limit but not a given share for each of
-many sources. So the tempering runs from the target shares (exponent 0) towards the shares that all repeats allow
-(exponent 1): w ~ target * (capacity / target) ** exponent. Without a ``budget`` the exponent is 0: every source has exactly its target share
-and the total is the largest that no source's cap of repeats forbids. With a larger budget the smallest exponent is bisected
-at which the caps hold. ``temper`` and ``temper_to_entropy`` are the plain tempering of natural shares; no query reports
-them.
+Method. Tempered weights, exponents found by bisection, realised as budgeted block permutations.
+
+``plan_natural`` is the plain tempering: the natural token shares of the sources, raised to one exponent and normalised. The
+exponent is bisected until the weights have the entropy of the target shares; with a ``budget`` it goes on until no
+source needs more repeats than its cap. One exponent has one degree of freedom, so it can meet an entropy or a limit but not
+a given share for each of many sources.
+``plan_mix`` gives each source its own share: the tempering runs from the target shares (exponent 0) towards the shares that
+all repeats allow (exponent 1), w ~ target * (capacity / target) ** exponent. Without a ``budget`` every source has exactly
+its target share and the total is the largest that no source's cap of repeats forbids; with a larger one the smallest
+exponent is bisected at which the caps hold.
 
 A source with weight w gets w * budget / tokens passes over its texts: whole passes are full permutations, the last
 one is the beginning of a permutation up to its token budget.
@@ -94,6 +97,32 @@ def plan_mix(targets: list[tuple[str, float, int]], tokens: dict[str, int], budg
     return total, exponent, [Plan(s, t or 0.0, r or 0, tokens.get(s, 0), w.get(s, 0.0), w.get(s, 0.0) * total) for s, t, r in targets]
 
 
+def plan_natural(targets: list[tuple[str, float, int]], tokens: dict[str, int], budget: float | None = None) -> tuple[float, float, list[float], list[Plan]]:
+    """(total, exponent, weights of the sources that have both a target and texts, plan per target).
+
+    Without a ``budget`` the total is the largest that the caps allow at the exponent of the targets' entropy; with one, the
+    exponent is the least at or above that at which the caps hold for it (natural shares at the end of the range).
+    """
+    live = [(s, t, r) for s, t, r in targets if t and t > 0 and (r or 0) > 0 and tokens.get(s, 0) > 0]
+    empty = [Plan(s, t or 0.0, r or 0, tokens.get(s, 0), 0.0, 0.0) for s, t, r in targets]
+    if not live:
+        return 0.0, 0.0, [], empty
+    held = sum(tokens[s] for s, _, _ in live)
+    natural = [tokens[s] / held for s, _, _ in live]
+    asked = sum(t for _, t, _ in live)
+    room = [r * tokens[s] for s, _, r in live]
+    exponent = temper_to_entropy(natural, entropy([t / asked for _, t, _ in live]))
+    if budget is not None:
+        budget = min(budget, sum(room))
+        over = lambda x: max(w * budget / c for w, c in zip(temper(natural, x), room)) > 1 + 1e-9
+        exponent = bisect(exponent, max(1.0, exponent), over)
+    w = temper(natural, exponent)
+    most = min(c / x for c, x in zip(room, w) if x > 0)
+    total = most if budget is None else min(budget, most)
+    by_source = {s: x for (s, _, _), x in zip(live, w)}
+    return total, exponent, w, [Plan(s, t or 0.0, r or 0, tokens.get(s, 0), by_source.get(s, 0.0), by_source.get(s, 0.0) * total) for s, t, r in targets]
+
+
 def distinct_texts(sized: DataFrame) -> DataFrame:
     """(key, source, text_hash, n_tokens): one row per text, the row of the least key."""
     first = F.min(F.struct("key", "source", "n_tokens")).alias("first")

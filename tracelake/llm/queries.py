@@ -82,16 +82,28 @@ def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.fill_report(*_packed(spark, sf_dir))
 
 
-def _mix(spark: SparkSession, sf_dir: str, budget_share: float | None = None):
+def _mix_input(spark: SparkSession, sf_dir: str):
+    """(targets, texts, tokens per source); the targets are a settings table."""
     targets = [(r.source, r.target_share, r.max_repeats) for r in table(spark, sf_dir, "mix_targets").collect()]
     texts = materialise(mixing.distinct_texts(tokens.sized(table(spark, sf_dir, "documents"), source="source")), "texts")
-    held = mixing.source_tokens(texts, targets)
+    return targets, texts, mixing.source_tokens(texts, targets)
+
+
+def _mix(spark: SparkSession, sf_dir: str, budget_share: float | None = None):
+    targets, texts, held = _mix_input(spark, sf_dir)
     budget = None if budget_share is None else budget_share * sum(held.values())
     total, exponent, plan = mixing.plan_mix(targets, held, budget)
     return mixing.realise(texts, plan), plan, total, exponent
 
 
+def _natural(spark: SparkSession, sf_dir: str):
+    targets, texts, held = _mix_input(spark, sf_dir)
+    total, exponent, weights, plan = mixing.plan_natural(targets, held)
+    return mixing.realise(texts, plan), plan, total, exponent, weights
+
+
 def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix in which every source has its target share."""
     return _mix(spark, sf_dir)[0].withColumnRenamed("key", "doc_id")
 
 
@@ -100,6 +112,16 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares_report(mixed, plan, total)
 
 
+def p9_natural(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix by one exponent over the natural shares, at the entropy of the targets."""
+    return _natural(spark, sf_dir)[0].withColumnRenamed("key", "doc_id")
+
+
+def p9_natural_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed, plan, total, exponent, weights = _natural(spark, sf_dir)
+    return mixing.shares_report(mixed, plan, total).withColumn("exponent", F.lit(exponent)).withColumn("entropy", F.lit(mixing.entropy(weights)))
+
+
 def p9_tempered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mix of as many tokens as the documents have: the exponent is bisected until all caps of repeats hold."""
     mixed, plan, total, exponent = _mix(spark, sf_dir, 1.0)
@@ -115,7 +137,7 @@ def p10_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_report, p6_found, p6_conversations, p7_found, p7_pieces, p7_all, p8_containers, p8_report, p9_mix, p9_shares, p9_tempered, p10_found, p10_forms)}
+    return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_report, p6_found, p6_conversations, p7_found, p7_pieces, p7_all, p8_containers, p8_report, p9_mix, p9_shares, p9_natural, p9_natural_shares, p9_tempered, p10_found, p10_forms)}
 
 
 _OBJ = "case when ltrim({c}) like '{{%' and json_valid({c}) then {c} end"
