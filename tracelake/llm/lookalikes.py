@@ -3,13 +3,18 @@
 Method. (1) Compatibility normalization, character by character, with canonical composition at the end; superscripts,
 subscripts, circled forms and fractions stay, since they are visibly different. (2) Ignorable characters (format
 controls, variation selectors, soft hyphens, fillers) are deleted; every kind of space becomes one space; hyphens and CJK radicals become
-their common form. (3) Tokens with letters of the Latin, Greek and Cyrillic scripts become lattices of look-alike
+their common form. (3) Tokens of alphabetic letters become, decomposed into letters and accents, lattices of look-alike
 letters, and a Viterbi search takes the way through the lattice with the best script-consistent character bigram score.
-The bigram counts are taken over all documents.
+The bigram counts are taken over all documents; of a class only its first letter and letters that occur there are offered.
 
-Why the result is one form. A token's lattice depends only on the look-alike class of each character, so texts that
-look the same have the same lattices, hence the same best way. Two lattices differ in the class at some position, and classes share no letters, so texts
-that look different never meet.
+Look-alikes are the short table below and the published confusables data (Unicode Technical Standard 39) as the ICU library
+ships them with Spark: letters of one skeleton form a class. A stroke that stands for both a capital I and a small l is
+in neither class for good: its lattice offers both readings, the less likely by its case at ``DOUBT``, and the search decides.
+Digits are never letters, and ``rn`` is not ``m``: these are visible differences.
+
+Why the result is one form. Apart from such strokes a token's lattice depends only on the look-alike class of each character, so
+texts that look the same have the same lattices, hence the same best way. Two lattices differ in the class at some position, and
+classes share no letters, so texts that look different never meet. A stroke read as I meets the texts that have an I there.
 
 Scale. Counting sends one small table of bigrams (bounded by the letters of three scripts) to the driver. Finding pairs
 shuffles two hashes per text, never a text; groups of copies are folded into one row per distinct text first.
@@ -24,12 +29,13 @@ import math
 import re
 import unicodedata
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import materialise
@@ -38,9 +44,11 @@ from ..runtime import materialise
 LOOKALIKES = """
 aаα cсϲ eе iіι jјϳ oоοօ pрρ sѕ xхχ yуγ hһ dԁ qԛ wԝ vνѵ uυ nո lӏ kκ
 AАΑ BВΒ CСϹ EЕΕ FϜ HНΗ IІΙӀ JЈ KКΚ MМΜ NΝ OОΟՕ PРΡ SЅ TТΤ XХΧ YҮΥ ZΖ GԌ QԚ WԜ VѴ
-äӓ ëё ïї öӧ ÿӱ ÄӒ ËЁ ÏЇ ÖӦ ŸӰ
 """.split()
 
+# Scripts whose letters may be taken for one another, as they begin the characters' names.
+ALPHABETS = ("LATIN", "GREEK", "CYRILLIC", "ARMENIAN", "CHEROKEE", "COPTIC", "LISU", "GEORGIAN")
+
 # Hyphens that look like the ASCII one.
 HYPHENS = "‐‑⁃﹣－­"[:5]
 
@@ -54,13 +62,9 @@ RADICALS = """
 KEPT_TAGS = {"<super>", "<sub>", "<circle>", "<fraction>", "<square>"}
 IGNORABLE = re.compile("[­͏؜ᅟᅠ឴឵᠋-᠏​-‏‪-‮⁠-⁯ㅤ︀-️﻿ﾠ￹-￻\U0001bca0-\U0001bca3\U0001d173-\U0001d17a\U000e0000-\U000e0fff]")
 SPACES = re.compile("[   -     　\t\v\f\x85]")
-TOKEN = re.compile("[A-Za-zÀ-ɏͰ-ϿЀ-ԯԱ-ևḀ-ỿ]+")
 LETTER_TOP = 0x2000
-SCRIPT_SWITCH, SMOOTH = 9.0, 0.5
+SCRIPT_SWITCH, SMOOTH, DOUBT = 9.0, 0.5, 4.0
 
-_MEMBERS = {c: cls for cls in LOOKALIKES for c in cls}
-_SKELETON = {ord(c): cls[0] for cls in LOOKALIKES for c in cls}
-_RUN = re.compile("[" + "".join(cls[0] for cls in LOOKALIKES) + "]+")
 _RADICAL = {ord(p[0]): p[1] for p in RADICALS} | {ord(c): "-" for c in HYPHENS}
 
 
@@ -112,18 +116,73 @@ def prepare(text: str) -> str:
 
 
 def script(c: str) -> int:
+    """A number for the script of a letter; -1 for accents, which go with every script."""
     p = ord(c)
-    return 1 if 0x370 <= p <= 0x3FF else 2 if 0x400 <= p <= 0x52F else 3 if 0x531 <= p <= 0x587 else 0
+    if p < 0x300:
+        return 0
+    return -1 if p < 0x370 else 1 if p <= 0x3FF else 2 if p <= 0x52F else 3 if p <= 0x587 else 0 if 0x1E00 <= p < 0x1F00 else 4 + (p >> 8)
+
+
+def published(spark: SparkSession) -> list[str]:
+    """Letters of one skeleton in the published confusables data; nothing where the library isn't there."""
+    kind = getattr(spark.sparkContext._jvm.com.ibm.icu.text, "SpoofChecker", None)
+    if not hasattr(kind, "Builder"):
+        return []
+    letters = [c for p in range(0x41, 0x1F000) if unicodedata.category(c := chr(p))[0] == "L" and unicodedata.name(c, "").startswith(ALPHABETS) and unicodedata.normalize("NFKD", c) == c]
+    skeletons = kind.Builder().build().getSkeleton("\n".join(letters)).split("\n")
+    groups: dict[str, str] = {}
+    for c, skeleton in zip(letters, skeletons):
+        groups[skeleton] = groups.get(skeleton, "") + c
+    return [g for g in groups.values() if len(g) > 1]
+
+
+@dataclass(frozen=True)
+class Letters:
+    """Look-alike classes, and the letters that two of them claim: {letter: (class by its case, other class)}."""
+
+    classes: tuple[str, ...]
+    doubtful: dict[str, tuple[str, str]]
+
+    @staticmethod
+    def of(groups: list[str]) -> Letters:
+        """The fixed classes, extended by groups of letters of one skeleton."""
+        at = {c: k for k, cls in enumerate(LOOKALIKES) for c in cls}
+        classes, doubt = list(LOOKALIKES), {}
+        for group in groups:
+            held = sorted({at[c] for c in group if c in at and c.isascii()}) or sorted({at[c] for c in group if c in at})
+            new = "".join(c for c in group if c not in at)
+            if len(held) > 1:  # a capital and a small letter of one shape
+                upper, lower = sorted(held, key=lambda k: not classes[k][0].isupper())[:2]
+                doubt.update({c: (upper, lower) if c.isupper() else (lower, upper) for c in group if not c.isascii()})
+            elif held:
+                classes[held[0]] += new
+                at.update(dict.fromkeys(new, held[0]))
+            elif len(new) > 1:
+                classes.append(new)
+                at.update(dict.fromkeys(new, len(classes) - 1))
+        return Letters(tuple(classes), {c: (classes[k], classes[m]) for c, (k, m) in doubt.items()})
 
 
 class Lattice:
     """Viterbi over look-alike letters with bigram scores ``{(a << 16) | b: count}``; 0 stands for a token's edge."""
 
-    def __init__(self, counts: dict[int, int]):
+    def __init__(self, counts: dict[int, int], letters: Letters):
         self.counts = counts
-        self.total = dict.fromkeys((), 0)
+        self.total: dict[int, int] = {}
         for k, n in counts.items():
             self.total[k >> 16] = self.total.get(k >> 16, 0) + n
+        occurs = lambda cls: cls[0] + "".join(c for c in cls[1:] if ord(c) in self.total)
+        skeleton = {ord(c): cls[0] for cls in letters.classes for c in cls}
+        self.ways = {cls[0]: [(c, 0.0) for c in occurs(cls)] for cls in letters.classes}
+        signs: dict[tuple[str, str], str] = {}
+        for c, (likely, other) in letters.doubtful.items():
+            sign = signs.setdefault((likely, other), chr(0xE000 + len(signs)))  # no token holds such a character
+            skeleton[ord(c)] = sign
+            self.ways[sign] = [(d, 0.0) for d in occurs(likely)] + [(d, DOUBT) for d in occurs(other)]
+        self.skeleton = skeleton
+        self.run = re.compile("[" + "".join(self.ways) + "]+")
+        rare = [p for p in skeleton if p >= LETTER_TOP or 0x588 <= p < 0x1E00]
+        self.token = re.compile("(?:[A-Za-zÀ-ɏɐ-ʯ\u0300-\u036fͰ-ϿЀ-ԯԱ-ևḀ-ỿ]" + (f"|{_class_of(sorted(rare))}" if rare else "") + ")+")
         self.scores: dict[int, float] = {}
         self.memo: dict[tuple[str, str, str], str] = {}
         self.seen: set[str] = set()
@@ -133,15 +192,17 @@ class Lattice:
         known = self.scores.get((a << 16) | b)
         if known is None:
             known = math.log((self.counts.get((a << 16) | b, 0) + SMOOTH) / (self.total.get(a, 0) + SMOOTH * 400))
-            if a and b and script(chr(a)) != script(chr(b)):
+            one, two = (script(chr(x)) if x else -1 for x in (a, b))
+            if one != two and one >= 0 <= two:
                 known -= SCRIPT_SWITCH
             self.scores[(a << 16) | b] = known
         return known
 
     def best(self, token: str) -> str:
         """Letters without look-alikes are fixed points of every way, so each run between them is searched by itself."""
-        key = token.translate(_SKELETON)
-        return _RUN.sub(self._run, key)
+        if token.isascii():
+            return self.run.sub(self._run, token.translate(self.skeleton))
+        return unicodedata.normalize("NFC", self.run.sub(self._run, unicodedata.normalize("NFD", token).translate(self.skeleton)))
 
     def _run(self, m: re.Match) -> str:
         key, a, b = m.string, m.start(), m.end()
@@ -159,12 +220,12 @@ class Lattice:
         ways = [(ord(left) if left else 0, 0.0, "")]
         for c in run:
             nxt = []
-            for d in _MEMBERS[c]:
+            for d, doubt in self.ways[c]:
                 q, most, way = ord(d), -math.inf, ""
                 for p, s, w in ways:
                     if (v := s + score(p, q)) > most:
                         most, way = v, w
-                nxt.append((q, most, way + d))
+                nxt.append((q, most - doubt, way + d))
             ways = nxt
         end = ord(right) if right else 0
         return max(ways, key=lambda w: w[1] + score(w[0], end))[2]
@@ -172,7 +233,7 @@ class Lattice:
     def form(self, text: str) -> str:
         """Most texts have no token that changes, which is settled by set operations over their distinct tokens."""
         text = prepare(text)
-        tokens = set(TOKEN.findall(text))
+        tokens = set(self.token.findall(text))
         fresh = tokens - self.seen
         if fresh:
             if len(self.seen) > 1_000_000:
@@ -181,7 +242,7 @@ class Lattice:
             self.seen |= fresh
         if self.altered.keys().isdisjoint(tokens):
             return text
-        return TOKEN.sub(lambda m: self.altered.get(m[0], m[0]), text)
+        return self.token.sub(lambda m: self.altered.get(m[0], m[0]), text)
 
 
 def _bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,7 +250,7 @@ def _bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros(0, dtype=np.int64)
     keys = np.zeros(0, dtype=np.int64)
     for batch in batches:
-        joined = "\n".join(prepare(t) for t in batch.column(0).to_pylist() if t is not None)
+        joined = unicodedata.normalize("NFD", "\n".join(prepare(t) for t in batch.column(0).to_pylist() if t is not None))
         for k in range(0, len(joined) + 1, 1 << 22):
             p = np.frombuffer(("\n" + joined[k : k + (1 << 22)] + "\n").encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
             letter = ((p >= 65) & (p <= 90)) | ((p >= 97) & (p <= 122)) | ((p >= 0xC0) & (p < 0x588) & (p != 0xD7) & (p != 0xF7)) | ((p >= 0x1E00) & (p < 0x1F00))
@@ -208,25 +269,31 @@ def bigram_counts(docs: DataFrame, text: str = "text") -> dict[int, int]:
     return {r.pair: r.n for r in counted.collect()}
 
 
-def visual_forms(docs: DataFrame, key: str = "doc_id", text: str = "text", counts: dict[int, int] | None = None) -> DataFrame:
+def _model(docs: DataFrame, text: str):
+    """Bigram counts and classes for the workers; both are bounded by the letters of the alphabets."""
+    spark = docs.sparkSession
+    return spark.sparkContext.broadcast((bigram_counts(docs, text), Letters.of(published(spark))))
+
+
+def visual_forms(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, form): the consistent form of every text."""
-    model = docs.sparkSession.sparkContext.broadcast(bigram_counts(docs, text) if counts is None else counts)
+    model = _model(docs, text)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lattice = Lattice(model.value)
+        lattice = Lattice(*model.value)
         for part in parts:
             yield pd.DataFrame({"key": part["key"], "form": part["text"].map(lattice.form, na_action="ignore")})
 
     return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInPandas(run, "key bigint, form string")
 
 
-def form_keys(docs: DataFrame, key: str = "doc_id", text: str = "text", counts: dict[int, int] | None = None) -> DataFrame:
+def form_keys(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, form, raw): 128-bit hashes of each text's form and of the text itself."""
-    model = docs.sparkSession.sparkContext.broadcast(bigram_counts(docs, text) if counts is None else counts)
+    model = _model(docs, text)
     schema = pa.schema([("key", pa.int64()), ("form", pa.binary()), ("raw", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice = Lattice(model.value)
+        lattice = Lattice(*model.value)
         for batch in batches:
             for k in range(0, batch.num_rows, 1000):
                 part = batch.slice(k, 1000)
