@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import re
 
 import numpy as np
 import pytest
@@ -24,6 +25,27 @@ def test_pieces_give_the_text_back(text, limit, data):
     assert all(b[0] == a[1] - overlap and b[1] > a[1] for a, b in zip(parts, parts[1:]))
 
 
+# The boundaries as patterns, best kind last.
+PATTERNS = [
+    (5, re.compile(r"[^\S\r\n]+")),
+    (4, re.compile(r"[，、；：,;:][”’」』）】)\]]*[^\S\r\n]*")),
+    (3, re.compile(r"(?:[。！？…]|[.!?](?=\s|$))[”’」』）】\"')\]]*[^\S\r\n]*")),
+    (2, re.compile(r"\r\n|\n|\r")),
+    (1, re.compile(r"(?:\r\n|\n|\r(?!\n))(?:[^\S\r\n]*(?:\r\n|\n|\r(?!\n)))+")),
+]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text(alphabet="ab \t\u3000。，.!\n\r)”\"测😀", max_size=60))
+def test_boundaries_are_those_of_the_patterns(text):
+    want = {}
+    for kind, pattern in PATTERNS:
+        want.update({m.end(): kind for m in pattern.finditer(text)})
+    want = {p: k for p, k in want.items() if 0 < p < len(text)}
+    pos, kind = S.boundaries(text)
+    assert dict(zip(pos.tolist(), kind.tolist())) == want
+
+
 def test_cuts_are_natural_and_best():
     text = "aaaa. bbbb. cccc. dddd. "
     assert [text[s:e] for s, e, _ in S.split_text(text, 12, 0)] == ["aaaa. bbbb. ", "cccc. dddd. "]

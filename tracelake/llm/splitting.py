@@ -16,7 +16,6 @@ back. Ties go to the later boundary. Repeated rows are split each on its own.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,25 +25,57 @@ from pyspark.sql import functions as F
 
 PIECES = "item_key string, piece_no int, n_pieces int, start bigint, size bigint, cut string, piece string"
 
-# Kinds of boundaries, their penalties and the patterns after whose match a text may be cut.
+# Kinds of boundaries, their penalties, and the characters that make them.
 KINDS = ["end", "paragraph", "line", "sentence", "clause", "space", "hard"]
 PENALTY = np.array([0.0, 0.0, 1.0, 2.0, 4.0, 6.0, 12.0])
-BOUNDARIES = [
-    (5, re.compile(r"[^\S\r\n]+")),
-    (4, re.compile(r"[，、；：,;:][”’」』）】)\]]*[^\S\r\n]*")),
-    (3, re.compile(r"(?:[。！？…]|[.!?](?=\s|$))[”’」』）】\"')\]]*[^\S\r\n]*")),
-    (2, re.compile(r"\r\n|\n|\r")),
-    (1, re.compile(r"(?:\r\n|\n|\r)(?:[^\S\r\n]*(?:\r\n|\n|\r))+")),
-]
+FULL_STOPS, STOPS_BEFORE_SPACE, CLAUSE_MARKS, CLOSERS, QUOTES = "。！？…", ".!?", "，、；：,;:", "”’」』）】)]", "\"'"
 IMBALANCE = 40.0
 
 
+def _table() -> np.ndarray:
+    """Bits of every character of the basic plane: 1 blank, 2 line end, 4 stop, 8 stop before white space, 16 clause, 32 closer, 64 quote."""
+    bits = np.zeros(0x10000, dtype=np.uint8)
+    bits[[p for p in range(0x3001) if chr(p).isspace() and chr(p) not in "\r\n"]] = 1
+    for bit, chars in ((2, "\r\n"), (4, FULL_STOPS), (8, STOPS_BEFORE_SPACE), (16, CLAUSE_MARKS), (32, CLOSERS), (64, QUOTES)):
+        bits[[ord(c) for c in chars]] |= bit
+    return bits
+
+
+_BITS = _table()
+
+
+def _past(mask: np.ndarray) -> np.ndarray:
+    """For every position (one more than the text has) the first position from there on that the mask doesn't cover."""
+    at = np.where(mask, len(mask), np.arange(len(mask)))
+    return np.minimum.accumulate(np.append(at, len(mask))[::-1])[::-1]
+
+
 def boundaries(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Positions (0 < p < length) and kinds of all natural boundaries, each position with its best kind."""
-    kind = np.zeros(len(text) + 1, dtype=np.int8)
-    for k, pattern in BOUNDARIES:
-        at = [m.end() for m in pattern.finditer(text)]
-        kind[at] = k
+    """Positions (0 < p < length) and kinds of all natural boundaries, each position with its best kind.
+
+    A cut comes after blanks; after a clause mark or a stop with its closing marks and blanks; after a line end; and after
+    several line ends with nothing but blanks between them. All are found in vectors over the code points.
+    """
+    n = len(text)
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    bits = np.where(points < 0x10000, _BITS[np.minimum(points, 0xFFFF)], 0).astype(np.uint8)
+    kind = np.zeros(n + 1, dtype=np.int8)
+    blank, line = (bits & 1) > 0, (bits & 2) > 0
+    past_blank = _past(blank)
+    kind[np.flatnonzero(blank[:-1] & ~blank[1:]) + 1] = 5
+    clause = np.flatnonzero(bits & 16)
+    kind[past_blank[_past((bits & 32) > 0)[clause + 1]]] = 4
+    spaced = np.append(blank | line, True)
+    stop = np.flatnonzero(((bits & 4) > 0) | (((bits & 8) > 0) & spaced[1:]))
+    kind[past_blank[_past((bits & 96) > 0)[stop + 1]]] = 3
+    broken = np.append((points[:-1] == 13) & (points[1:] == 10), False) if n else line
+    ends = np.flatnonzero(line & ~broken) + 1  # positions after a line end; \r\n is one
+    if len(ends):
+        kind[ends] = 2
+        starts = ends - 1 - ((ends >= 2) & broken[np.maximum(ends - 2, 0)])
+        follows = np.append(starts[1:] == past_blank[ends[:-1]], False)  # only blanks before the next line end
+        after = np.append(False, follows[:-1])
+        kind[ends[after & ~follows]] = 1
     kind[[0, -1]] = 0
     where = np.flatnonzero(kind)
     return where, kind[where]
@@ -67,20 +98,26 @@ def cuts(text: str, limit: int, overlap: int) -> tuple[list[int], list[int]]:
     pos, kind = np.concatenate([pos, [n]]), np.concatenate([kind, [0]])
     k = -(-(n - overlap) // step)
     ideal = (n + (k - 1) * overlap) / k
-    cost, back = np.full(len(pos), np.inf), np.full(len(pos), -2, dtype=np.int64)
-    low = np.searchsorted(pos, pos - step, side="left")
-    for i in range(len(pos)):
-        if pos[i] <= limit:
-            cost[i], back[i] = IMBALANCE * ((pos[i] - ideal) / limit) ** 2 + PENALTY[kind[i]], -1
+    scale = IMBALANCE**0.5 / limit
+    here = pos * scale
+    there = (pos - overlap + ideal) * scale  # here[i] - there[j]: what the piece from j to i deviates by
+    penalty = PENALTY[kind]
+    cost = np.where(pos <= limit, (here - ideal * scale) ** 2 + penalty, np.inf)
+    back = np.where(pos <= limit, -1, -2)
+    onward = np.where(pos > overlap, cost, np.inf)  # a next piece may not start before the text does
+    low = np.searchsorted(pos, pos - step, side="left").tolist()
+    for i in range(1, len(pos)):
         j0 = low[i]
         if j0 < i:
-            p = pos[j0:i]
-            size = pos[i] - p + overlap
-            ways = cost[j0:i] + IMBALANCE * ((size - ideal) / limit) ** 2
-            ways[p <= overlap] = np.inf
-            j = len(ways) - 1 - int(ways[::-1].argmin())
-            if ways[j] + PENALTY[kind[i]] < cost[i]:
-                cost[i], back[i] = ways[j] + PENALTY[kind[i]], j0 + j
+            ways = here[i] - there[j0:i]
+            ways *= ways
+            ways += onward[j0:i]
+            j = i - 1 - int(ways[::-1].argmin())
+            total = ways[j - j0] + penalty[i]
+            if total < cost[i]:
+                cost[i], back[i] = total, j
+                if pos[i] > overlap:
+                    onward[i] = total
     if not np.isfinite(cost[-1]):  # an overlap so near the limit that the boundaries offered leave no way: even cuts
         ends = [min(n, limit + s * step) for s in range(k)]
         return ends, [6] * (len(ends) - 1) + [0]
