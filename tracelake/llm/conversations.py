@@ -3,7 +3,7 @@
 Method. Rows are an event log. The rows of one id are versions of one event (a row pulled again, an edit, a deletion); the
 one with the greatest record key is final, and a final version marked as deleted removes the event. Per trace the events
 fold into one turn: the user message of its TRACE row and the reply of its GENERATION rows, where a retry that says
-something replaces attempts that failed or said nothing. Turns are ordered by the instant at which the trace began.
+something replaces attempts that failed or said nothing. Turns are ordered by the instant at which the trace began, as problem 4 reads it.
 A conversation is all traces of one session and one user; one broken trace (no user message, or no reply beyond
 white space) breaks it, and broken conversations are dropped.
 
@@ -25,7 +25,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import first_filled
-from ..operators.instants import interpretations, zone_names
+from ..operators.instants import normalise
+from ..runtime import materialise
 
 # Where identities and messages stand, in order of precedence.
 SESSION_KEYS = ["conversation_id", "session_id", "sessionId"]
@@ -110,17 +111,18 @@ def broken_conversations(rows: DataFrame) -> DataFrame:
 
 
 def rebuilt_conversations(rows: DataFrame, collectors: DataFrame) -> DataFrame:
-    """(sessionid, userid, turn_no, traceid, at_us, role, content): the surviving conversations in order, two rows per turn."""
-    spark = rows.sparkSession
-    turned = turns(events(rows)).where("session is not null and user is not null and message is not null and reply is not null")
-    kept = conversations(turns(events(rows))).where("not broken").select("session", "user")
-    zones = collectors.groupBy("collector_id").agg(F.min("zone_name").alias("zone"))
-    regions = zone_names(spark)
-    flat = turned.join(kept, ["session", "user"], "left_semi").select("session", "user", "trace", "message", "reply", F.col("begin.started").alias("started"), F.col("begin.collector_id").alias("collector_id"))
-    zoned = flat.join(zones, "collector_id", "left").withColumn("zone", F.when(F.col("zone").isin(regions), F.col("zone")).otherwise("UTC"))
-    read = F.when(F.col("started").isNotNull(), interpretations(F.col("started"), F.col("zone"), regions))
-    timed = zoned.withColumn("at_us", F.try_element_at(read, F.lit(1))["us"]).withColumn("day", F.coalesce(F.floor(F.col("at_us") / 86_400_000_000), F.lit(-1)))
+    """(sessionid, userid, turn_no, traceid, at_us, role, content): the surviving conversations in order, two rows per turn.
+
+    The turns are folded once and written. Their starts are read as all timestamps are (``operators.instants``), with the
+    search over each collector's records.
+    """
     key = ["session", "user"]
+    turned = turns(events(rows)).where("session is not null and user is not null")
+    turned = materialise(turned.select(*key, "trace", "message", "reply", F.col("begin.version").alias("version"), F.col("begin.started").alias("started"), F.col("begin.collector_id").alias("collector_id")), "turns")
+    kept = conversations(turned).where("not broken").select(*key)
+    times = normalise(turned.select("version", "started", "collector_id"), ["started"], "version", "collector_id", collectors, "zone_name")
+    flat = turned.join(kept, key, "left_semi").join(times.select(F.col("record_key").alias("version"), F.col("epoch_us").alias("at_us")), "version", "left")
+    timed = flat.withColumn("day", F.coalesce(F.floor(F.col("at_us") / 86_400_000_000), F.lit(-1)))
     days = timed.groupBy(*key, "day").agg(F.count("*").alias("n"))
     days = days.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy(*key).orderBy("day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     within = F.row_number().over(Window.partitionBy(*key, "day").orderBy(F.col("at_us").asc_nulls_first(), "trace"))
