@@ -9,7 +9,6 @@ from tracelake.functions import jsons, text, times
 from tracelake.operators import candidates as C
 from tracelake.operators import chunking as K
 from tracelake.operators import configs, grids, judge, reports, samples
-from tracelake.operators.components import connected_components
 from tracelake.operators.retrieval import top_k
 
 OBS = "obs_key long, id string, traceid string, type string, name string, start_time string, end_time string, input string, output string, metadata string, sessionid string, userid string, tracename string, providedmodelname string, ord string"
@@ -174,10 +173,7 @@ def test_configs(spark):
     assert r.state == "v3" and [h.before for h in r.history] == ["v1", "v2"]
 
 
-def test_components_and_top_k(spark):
-    links = spark.createDataFrame([(k, k + 1) for k in range(1, 60)] + [(100, 101), (101, 100), (7, 7), (200, 200), (None, 1)], "src long, dst long")
-    got = {r.node: r.component for r in connected_components(links).collect()}
-    assert {got[k] for k in range(1, 61)} == {1} and got[101] == 100 and 200 not in got
+def test_top_k(spark):
     import random
 
     rng = random.Random(1)

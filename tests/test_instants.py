@@ -71,6 +71,25 @@ def test_blocks_give_the_result_of_one_search(spark):
         assert penalty(rows, cost[block][1]) == penalty(rows, cost[1 << 20][1])
 
 
+def test_first_readings_alone_are_wrong(spark):
+    """Month-first dates come out right by the search only: the first interpretation of each is day-first."""
+    days = [f"{m:02d}/{d:02d}/2025 08:00:00" for m, d in ((4, 30), (5, 1), (5, 2), (5, 7), (5, 12), (5, 13))]
+    want = [at(2025, m, d, 8) for m, d in ((4, 30), (5, 1), (5, 2), (5, 7), (5, 12), (5, 13))]
+    df = spark.createDataFrame([row(k, t, "n") for k, t in enumerate(days)], "k long, src string, t string, value string, cands string, source string")
+    found = I.readings(df, ["t"], "k", "src", spark.createDataFrame([("n", None)], "src string, zn string"), "zn")
+    first = {r.record_key: r.cands[0].us for r in found.collect()}
+    for block in (I.BLOCK, 2):
+        got = {r.record_key: r.epoch_us for r in I.choose(found, block).collect()}
+        assert [got[k] for k in range(6)] == want != [first[k] for k in range(6)]
+
+
+def test_null_keys_and_sources_are_cut_too(spark):
+    rows = [(None, None if k % 2 else "n", f"2025-01-{k % 28 + 1:02d} 10:00:00", "", "", "") for k in range(300)] + [(None, "n", "03/04/2025 10:00:00", "", "", "")]
+    df = spark.createDataFrame(rows, "k long, src string, t string, value string, cands string, source string")
+    got = I.normalise(df, ["t"], "k", "src", spark.createDataFrame([], "src string, zn string"), "zn", 20).collect()
+    assert len(got) == 301 and sum(r.epoch_us in (at(2025, 4, 3, 10), at(2025, 3, 4, 10)) for r in got) == 1
+
+
 def penalty(rows, got):
     total = 0.0
     for src in ("a", "n"):

@@ -9,21 +9,27 @@ Zones. An offset or zone in the text wins; else the zone of the source (NULL: UT
 means the first, one that was skipped is read with the offset before the change. Digits finer than a microsecond are
 cut off.
 
-Scale. Parsing is JVM-side, behind cheap patterns, and only touches values that aren't canonical already. The search
-runs in blocks of record keys, so a source that holds a third of all rows is cut into tasks of at most ``BLOCK`` records:
-each block is condensed to the penalties between the interpretations at its two ends, these few numbers are searched
-per source, and then every block is solved with its neighbours' choices fixed. The result is that of one long
-search. Blocks in which nothing is ambiguous only contribute their two ends.
+Scale. Reading is JVM-side, and only touches values that aren't canonical already; a value is matched against the patterns first and
+its zone resolved once, whatever the format. All values, sorted by (source, field, record key) into range partitions of about
+``BLOCK`` values, go through the search, so a source that holds a third of all rows, or rows without a record key, are cut into
+equal blocks by rank. A block whose values have one reading each is settled in vectors as it passes. A block
+with an ambiguous value is condensed to the penalties between the interpretations at its two ends; these few numbers are searched
+per source, and then the open blocks are solved with their neighbours' choices fixed. The result is that of one
+long search.
 
 Defined results. NULL, blank and unreadable values, impossible dates and years before 1970 or after 2199 have no
 instant and are left out. An unknown source zone counts as UTC. Ties go to the earlier format in ``FORMATS``. Rows
-with a NULL record key come first in their source's order.
+with a NULL record key come first in their source's order, by their first reading. A NULL source is a source of its own.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,6 +73,10 @@ def zone_names(spark: SparkSession) -> list[str]:
     return sorted(spark.sparkContext._jvm.java.time.ZoneId.getAvailableZoneIds())
 
 
+def _quoted(names: list[str]) -> str:
+    return ", ".join(f"'{n}'" for n in names)
+
+
 def _local(value: Column, pattern: str, groups: tuple[int, ...], month_names: bool) -> tuple[Column, Column]:
     """Local microseconds since 1970 and the zone text of one format; NULL where the value isn't a date in it."""
     y, mo, d, h, mi, s, frac, half, zone = [F.regexp_extract(value, pattern, g) if g else F.lit("") for g in groups]
@@ -86,20 +96,24 @@ def _local(value: Column, pattern: str, groups: tuple[int, ...], month_names: bo
     return F.when(fits, total), zone
 
 
+def _resolve(text: Column, local: Column, own: Column, regions: list[str]) -> Column:
+    """Instant of a local time: the zone in the text (offset, abbreviation or region) wins over the source's own."""
+    offset = r"^([+-])(\d\d):?(\d\d)?(?::?(\d\d))?$"
+    part = lambda g: F.coalesce(F.regexp_extract(text, offset, g).try_cast("bigint"), F.lit(0))
+    away = F.when(text.startswith("-"), -1).otherwise(1) * (part(2) * 3600 + part(3) * 60 + part(4)) * 1_000_000
+    short = F.try_element_at(F.expr("map(" + ", ".join(f"'{k}', {v}" for k, v in ABBREVIATIONS.items()) + ")"), F.upper(text)).cast("bigint") * 60_000_000
+    known = F.expr(f"map_from_arrays(array({_quoted(regions)}), array({_quoted(regions)}))")
+    zone = F.when(text == "", own).otherwise(F.try_element_at(known, text))
+    by_name = F.unix_micros(F.to_utc_timestamp(F.timestamp_micros(local), zone))
+    return F.when(text.rlike(offset), local - away).when(short.isNotNull(), local - short).otherwise(by_name)
+
+
 def interpretations(value: Column, zone: Column, regions: list[str]) -> Column:
     """array<struct<fmt int, us bigint>>: all valid readings of the text, in the order of ``FORMATS``."""
-    offset = r"^([+-])(\d\d):?(\d\d)?(?::?(\d\d))?$"
-    named = F.create_map(*[F.lit(x) for k, v in ABBREVIATIONS.items() for x in (k, v)])
-    readings = []
+    found = []
     for n, (name, pattern, groups) in enumerate(FORMATS):
         local, text = _local(value, pattern, groups, name in ("rfc", "month_first", "month_first_24"))
-        sign = F.when(F.regexp_extract(text, offset, 1) == "-", -1).otherwise(1)
-        part = lambda g, t=text: F.coalesce(F.regexp_extract(t, offset, g).try_cast("bigint"), F.lit(0))
-        away = sign * (part(2) * 3600 + part(3) * 60 + part(4)) * 1_000_000
-        short = F.try_element_at(named, F.upper(text)).cast("bigint") * 60_000_000
-        at_zone = lambda z, t=local: F.unix_micros(F.to_utc_timestamp(F.timestamp_micros(t), z))
-        us = F.when(text == "", at_zone(zone)).when(text.rlike(offset), local - away).when(short.isNotNull(), local - short).when(text.isin(regions), at_zone(F.when(text.isin(regions), text).otherwise("UTC")))
-        readings.append(F.when(value.rlike(pattern), F.struct(F.lit(n).alias("fmt"), us.alias("us"))))
+        found.append(F.when(value.rlike(pattern), F.struct(F.lit(n).alias("fmt"), local.alias("us"), text.alias("text"))))
     for n, (_, pattern, unit) in enumerate(EPOCHS, len(FORMATS)):
         whole = F.regexp_extract(value, pattern, 1).try_cast("bigint")
         if unit is None:
@@ -108,9 +122,10 @@ def interpretations(value: Column, zone: Column, regions: list[str]) -> Column:
             digits = len(str(unit)) - 1
             rest = F.coalesce(F.substring(F.rpad(F.regexp_extract(value, pattern, 2), digits, "0"), 1, digits).try_cast("bigint"), F.lit(0)) if digits else F.lit(0)
             us = whole * unit + rest
-        readings.append(F.when(value.rlike(pattern), F.struct(F.lit(n).alias("fmt"), us.alias("us"))))
-    valid = F.filter(F.array(*readings), lambda r: r["us"].isNotNull() & (r["us"] >= 0) & (r["us"] < LIMIT_US))
-    return valid
+        found.append(F.when(value.rlike(pattern), F.struct(F.lit(n).alias("fmt"), us.alias("us"), F.lit("UTC").alias("text"))))
+    local = F.filter(F.array(*found), lambda r: r["us"].isNotNull())
+    read = F.transform(local, lambda r: F.struct(r["fmt"].alias("fmt"), _resolve(r["text"], r["us"], zone, regions).alias("us")))
+    return F.filter(read, lambda r: r["us"].isNotNull() & (r["us"] >= 0) & (r["us"] < LIMIT_US))
 
 
 def readings(rows: DataFrame, fields: list[str], key: str, source: str, sources: DataFrame, source_zone: str) -> DataFrame:
@@ -119,10 +134,10 @@ def readings(rows: DataFrame, fields: list[str], key: str, source: str, sources:
     ``sources`` maps a source to its zone; it is joined after a reduction to one row per source.
     """
     regions = zone_names(rows.sparkSession)
-    zones = sources.groupBy(F.col(source).alias("source")).agg(F.min(source_zone).alias("zone"))
+    zones = sources.groupBy(F.col(source).alias("source")).agg(F.min(source_zone).alias("zone")).withColumn("zone", F.expr(f"case when zone in ({_quoted(regions)}) then zone end"))
     values = F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).alias("value")) for f in fields])
     long = rows.select(F.col(source).alias("source"), F.col(key).cast("bigint").alias("record_key"), F.explode(values).alias("v")).select("source", "record_key", "v.*").where(r"value is not null and trim(value) != ''")
-    long = long.join(zones, "source", "left").withColumn("zone", F.when(F.col("zone").isin(regions), F.col("zone")).otherwise("UTC"))
+    long = long.join(zones, "source", "left").withColumn("zone", F.coalesce("zone", F.lit("UTC")))
     own = F.unix_micros(F.col("value").try_cast("timestamp"))
     canonical = F.col("value").rlike(CANONICAL)
     plain = F.when(canonical & own.isNotNull(), F.array(F.struct(F.lit(0).alias("fmt"), own.alias("us"))))
@@ -139,9 +154,8 @@ def _narrowed(cands) -> tuple[np.ndarray, np.ndarray]:
     return np.array([c["fmt"] for c in cands], dtype=np.int64), np.array([c["us"] for c in cands], dtype=np.int64)
 
 
-def condense(pdf: pd.DataFrame) -> tuple[list, list, np.ndarray]:
+def condense(cands: list) -> tuple[tuple, tuple, np.ndarray]:
     """First and last interpretations of an ordered block and the least penalty between each pair of them."""
-    cands = pdf["cands"].tolist()
     first = _narrowed(cands[0])
     cost, last = np.where(np.eye(len(first[0]), dtype=bool), 0.0, np.inf), first
     single = np.array([len(c) == 1 for c in cands])
@@ -193,15 +207,62 @@ def solve(cands: list, before: tuple[int, int] | None, after: tuple[int, int] |
     return chosen
 
 
-_KEYS = ["source", "field_name", "block"]
-_ENDS = "source string, field_name string, block bigint, first_fmt array<bigint>, first_us array<bigint>, last_fmt array<bigint>, last_us array<bigint>, cost array<double>"
+_PLACE = ["source", "field_name", "block"]
+_VALUE = "source string, record_key bigint, field_name string, canonical boolean, fmt int, us bigint, cands array<struct<fmt:int,us:bigint>>"
+_PASSED = f"kind string, block bigint, {_VALUE}, first_fmt array<bigint>, first_us array<bigint>, last_fmt array<bigint>, last_us array<bigint>, cost array<double>"
 _FIXED = "source string, field_name string, block bigint, before_fmt bigint, before_us bigint, after_fmt bigint, after_us bigint"
-
-
-def _ends(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("record_key", na_position="first", kind="stable")
-    first, last, cost = condense(pdf)
-    return pd.DataFrame({"source": [pdf["source"].iloc[0]], "field_name": [pdf["field_name"].iloc[0]], "block": [pdf["block"].iloc[0]], "first_fmt": [first[0]], "first_us": [first[1]], "last_fmt": [last[0]], "last_us": [last[1]], "cost": [cost.ravel()]})
+_SOLVED = "record_key bigint, field_name string, canonical boolean, fmt int, epoch_us bigint"
+_PAIRS = pa.list_(pa.struct([("fmt", pa.int32()), ("us", pa.int64())]))
+_ARROW = pa.schema(
+    [("kind", pa.string()), ("block", pa.int64()), ("source", pa.string()), ("record_key", pa.int64()), ("field_name", pa.string()), ("canonical", pa.bool_()), ("fmt", pa.int32()), ("us", pa.int64()), ("cands", _PAIRS)]
+    + [(n, pa.list_(pa.int64())) for n in ("first_fmt", "first_us", "last_fmt", "last_us")]
+    + [("cost", pa.list_(pa.float64()))]
+)
+
+
+def _edges(values: pa.Table) -> np.ndarray:
+    """Where a new (source, field) begins in an ordered table; the last entry is its length."""
+    n = values.num_rows
+    new = np.zeros(n, dtype=bool)
+    for c in ("source", "field_name"):
+        codes = values[c].combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+        new[1:] |= codes[1:] != codes[:-1]
+    new[:1] = True
+    return np.append(np.flatnonzero(new), n)
+
+
+def _search_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first pass over one ordered block: values of settled runs are done, others stay open; every run has its ends."""
+    held = [b for b in batches if b.num_rows]
+    if not held:
+        return
+    values = pa.Table.from_batches(held)
+    edges = _edges(values)
+    single = pa.compute.is_null(values["cands"]).to_numpy(zero_copy_only=False)
+    nulls = lambda n, name: pa.nulls(n, _ARROW.field(name).type)
+    for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist()):
+        part = values.slice(lo, hi - lo).combine_chunks()
+        settled = bool(single[lo:hi].all())
+        kind = "done" if settled else "open"
+        for batch in part.to_batches(max_chunksize=50_000):
+            n = batch.num_rows
+            cols = {"kind": pa.array([kind] * n), **{c: batch.column(c) for c in batch.schema.names}}
+            yield pa.RecordBatch.from_arrays([cols[f.name].cast(f.type) if f.name in cols else nulls(n, f.name) for f in _ARROW], schema=_ARROW)
+        ends = condense(_cands(part["fmt"], part["us"], part["cands"])) if not settled else _plain_ends(part)
+        first, last, cost = ends
+        row = {"kind": "ends", "block": part["block"][0].as_py(), "source": part["source"][0].as_py(), "field_name": part["field_name"][0].as_py(), "first_fmt": first[0], "first_us": first[1], "last_fmt": last[0], "last_us": last[1], "cost": cost.ravel()}
+        yield pa.RecordBatch.from_arrays([pa.array([row[f.name]], f.type) if f.name in row else nulls(1, f.name) for f in _ARROW], schema=_ARROW)
+
+
+def _plain_ends(part: pa.Table) -> tuple:
+    """The ends of a run in which every value has one reading; the penalty inside is the same for all ways, so 0."""
+    one = lambda i: (np.array([part["fmt"][i].as_py()], dtype=np.int64), np.array([part["us"][i].as_py()], dtype=np.int64))
+    return one(0), one(part.num_rows - 1), np.zeros((1, 1))
+
+
+def _cands(fmt, us, cands) -> list:
+    """The interpretations of every value: its list where there are several, else its only one."""
+    return [c if c is not None else [{"fmt": f, "us": u}] for f, u, c in zip(fmt.to_pylist(), us.to_pylist(), cands.to_pylist())]
 
 
 def _chain(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -235,34 +296,39 @@ def _chain(pdf: pd.DataFrame) -> pd.DataFrame:
     return out
 
 
-def _choose(rows: pd.DataFrame, fixed: pd.DataFrame) -> pd.DataFrame:
-    if rows.empty:
-        return pd.DataFrame({"record_key": [], "field_name": [], "canonical": [], "fmt": [], "epoch_us": []})
-    rows = rows.sort_values("record_key", na_position="first", kind="stable")
-    cands = rows["cands"].tolist()
+def _choose(rows: pa.Table, fixed: pa.Table) -> pa.Table:
+    """The second pass over one open run, with the choices beside it fixed."""
+    rows = rows.sort_by([("seq", "ascending")])
     side = {}
     for name in ("before", "after"):
-        ok = len(fixed) and pd.notna(fixed[f"{name}_fmt"].iloc[0])
-        side[name] = (int(fixed[f"{name}_fmt"].iloc[0]), int(fixed[f"{name}_us"].iloc[0])) if ok else None
+        given = fixed.num_rows and fixed[f"{name}_fmt"][0].as_py() is not None
+        side[name] = (fixed[f"{name}_fmt"][0].as_py(), fixed[f"{name}_us"][0].as_py()) if given else None
+    cands = _cands(rows["fmt"], rows["us"], rows["cands"])
     picked = [c[k] for c, k in zip(cands, solve(cands, side["before"], side["after"]))]
-    return pd.DataFrame({"record_key": rows["record_key"], "field_name": rows["field_name"], "canonical": rows["canonical"], "fmt": [p["fmt"] for p in picked], "epoch_us": [p["us"] for p in picked]})
+    fmt, us = pa.array([p["fmt"] for p in picked], pa.int32()), pa.array([p["us"] for p in picked], pa.int64())
+    return pa.table({"record_key": rows["record_key"], "field_name": rows["field_name"], "canonical": rows["canonical"], "fmt": fmt, "epoch_us": us})
 
 
 def choose(candidates: DataFrame, block: int = BLOCK) -> DataFrame:
     """(record_key, field_name, canonical, fmt, epoch_us) with one interpretation per value.
 
-    Sources without any ambiguous value need no search: their only readings are the result as they are.
+    ``candidates`` is read twice (to count it and to sort it), so give a table, not a long computation.
     """
-    blocked = candidates.withColumn("block", F.floor(F.col("record_key") / block))
-    ambiguous = blocked.where(F.size("cands") > 1).select("source", "field_name").distinct()
-    key = lambda a, b: a["source"].eqNullSafe(b["source"]) & (a["field_name"] == b["field_name"])
-    searched = materialise(blocked.join(ambiguous, key(blocked, ambiguous), "left_semi"), "instants")
-    plain = blocked.where(F.size("cands") == 1).join(ambiguous, key(blocked, ambiguous), "left_anti")
-    plain = plain.select("record_key", "field_name", "canonical", F.col("cands")[0]["fmt"].alias("fmt"), F.col("cands")[0]["us"].alias("epoch_us"))
-    ends = searched.groupBy(*_KEYS).applyInPandas(_ends, _ENDS)
+    blocks = max(1, -(-candidates.count() // block))
+    first = F.col("cands")[0]
+    values = candidates.select("source", "record_key", "field_name", "canonical", first["fmt"].alias("fmt"), first["us"].alias("us"), F.when(F.size("cands") > 1, F.col("cands")).alias("cands"))
+    order = [F.col(c).asc_nulls_first() for c in ("source", "field_name", "record_key", "us", "fmt")]
+    placed = values.repartitionByRange(blocks, *order).sortWithinPartitions(*order).withColumn("block", F.spark_partition_id().cast("bigint"))
+    passed = materialise(placed.mapInArrow(_search_blocks, _PASSED).withColumn("seq", F.monotonically_increasing_id()), "instants")
+    done = passed.where("kind = 'done'").select("record_key", "field_name", "canonical", "fmt", F.col("us").alias("epoch_us"))
+    opened = passed.where("kind = 'open'").select(*_PLACE, "seq", "record_key", "canonical", "fmt", "us", "cands")
+    ends = passed.where("kind = 'ends'").select(*_PLACE, "first_fmt", "first_us", "last_fmt", "last_us", "cost")
     fixed = ends.groupBy("source", "field_name").applyInPandas(_chain, _FIXED)
-    solved = searched.groupBy(*_KEYS).cogroup(fixed.groupBy(*_KEYS)).applyInPandas(_choose, "record_key bigint, field_name string, canonical boolean, fmt int, epoch_us bigint")
-    return plain.unionByName(solved)
+    solved = opened.groupBy(*_PLACE).cogroup(fixed.groupBy(*_PLACE)).applyInArrow(lambda rows, beside: _choose(rows, beside) if rows.num_rows else _NOTHING, _SOLVED)
+    return done.unionByName(solved)
+
+
+_NOTHING = pa.table({"record_key": pa.array([], pa.int64()), "field_name": pa.array([], pa.string()), "canonical": pa.array([], pa.bool_()), "fmt": pa.array([], pa.int32()), "epoch_us": pa.array([], pa.int64())})
 
 
 def normalise(rows: DataFrame, fields: list[str], key: str, source: str, sources: DataFrame, source_zone: str, block: int = BLOCK) -> DataFrame:

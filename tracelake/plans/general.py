@@ -19,6 +19,7 @@ ENTITIES = [
 ]
 KEYS = [ForeignKey(t, f, target) for t in ("questions", "samples") for f, target in (("expected_segment_id", "chunk_catalog"), ("document_id", "create_document"), ("snapshot_id", "snapshots"))]
 KEYS.append(ForeignKey("chunk_catalog", "document_id", "create_document"))
+ORDER_KEYS = 1_000_000_000_000
 TIME_FIELDS = ["trace_timestamp", "start_time", "created_at"]
 
 
@@ -46,6 +47,19 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.where("not canonical").select(F.col("record_key").alias("obs_key"), "field_name", "epoch_us")
 
 
+def p4_regional(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dates of all orders, written day-first or month-first as each priority's office does, read back by the search.
+
+    Two of five dates can be read both ways; the records of an office come in the order of time.
+    """
+    priority, day = F.col("o_orderpriority"), F.col("o_orderdate").cast("date")
+    text = F.when(F.substring(priority, 1, 1).isin("1", "3", "5"), F.date_format(day, "dd/MM/yyyy")).otherwise(F.date_format(day, "MM/dd/yyyy"))
+    rows = table(spark, sf_dir, "orders").select(priority.alias("office"), (F.unix_date(day).cast("bigint") * ORDER_KEYS + F.col("o_orderkey")).alias("seq"), F.concat(text, F.lit(" 00:00:00")).alias("o_orderdate"))
+    offices = rows.select("office", F.lit("UTC").alias("zone")).distinct()
+    found = normalise(rows, ["o_orderdate"], "seq", "office", offices, "zone")
+    return found.select(F.pmod("record_key", F.lit(ORDER_KEYS)).alias("o_orderkey"), "epoch_us")
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicate_deliveries(read_stream(spark, f"{sf_dir}/traces.parquet"), table(spark, sf_dir, "traces"), "trace_id", "received_at", "delivery_id")
 
@@ -57,7 +71,7 @@ def p5_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p3_found, p3_inherited, p3_report, p4_found, p5_found, p5_kept)}
+    return {f.__name__: f for f in (p3_found, p3_inherited, p3_report, p4_found, p4_regional, p5_found, p5_kept)}
 
 
 _REFS = """refs as (
@@ -93,6 +107,7 @@ def oracle_sql() -> dict[str, str]:
         "p3_found": f"with {_REFS} select * from found",
         "p3_inherited": f"with {_REFS}, {_INHERITED} select * from inherited",
         "p3_report": f"with {_REFS}, {_INHERITED}, every as (select table_name, field_name, period, reason from found union all select table_name, field_name, period, 'inherited' from inherited) select table_name, field_name, period, reason, count(*) as n_orphans from every group by all",
+        "p4_regional": "select o_orderkey, epoch_us(cast(cast(o_orderdate as date) as timestamp)) as epoch_us from orders",
         "p5_found": _DROPPED,
         "p5_kept": f"select delivery_id, trace_id, batch_id, received_at from traces where delivery_id not in ({_DROPPED})",
     }
