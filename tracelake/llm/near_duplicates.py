@@ -195,11 +195,13 @@ def pairs_within(rows: DataFrame, group: str, size: str, key: str, block: int =
 def candidates(signed: DataFrame, block: int = BLOCK) -> DataFrame:
     """(a, b), a < b: representatives that share a band key.
 
-    Band keys are counted with partial aggregation; only shared ones go on.
+    Band keys are counted with partial aggregation and only shared ones are written, so that the planner knows their size
+    when it joins them with their members.
     """
     bands = signed.select("rid", F.explode("bands").alias("band"))
-    sizes = bands.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    return pairs_within(bands.join(sizes, "band"), "band", "n", "rid", block).distinct()
+    sizes = materialise(bands.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "bands")
+    shared = materialise(bands.join(sizes, "band"), "shared")
+    return pairs_within(shared, "band", "n", "rid", block).distinct()
 
 
 def estimate(x: Column, y: Column) -> Column:
