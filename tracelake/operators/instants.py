@@ -24,6 +24,7 @@ with a NULL record key come first in their source's order, by their first readin
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -77,23 +78,30 @@ def _quoted(names: list[str]) -> str:
     return ", ".join(f"'{n}'" for n in names)
 
 
-def _local(value: Column, pattern: str, groups: tuple[int, ...], month_names: bool) -> tuple[Column, Column]:
-    """Local microseconds since 1970 and the zone text of one format; NULL where the value isn't a date in it."""
-    y, mo, d, h, mi, s, frac, half, zone = [F.regexp_extract(value, pattern, g) if g else F.lit("") for g in groups]
-    if month_names:
-        mo = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.lower(F.substring(mo, 1, 3))).cast("string")
-    day = F.unix_date(F.concat_ws("-", F.lpad(y, 4, "0"), F.lpad(mo, 2, "0"), F.lpad(d, 2, "0")).try_cast("date")).cast("bigint")
-    hour, minute, second = h.try_cast("int"), mi.try_cast("int"), F.coalesce(s.try_cast("int"), F.lit(0))
-    if groups[7]:
-        late = half.isin("P", "p", "下午", "晚上", "中午")
-        twelve = half.isin("A", "a", "P", "p", "上午", "下午")
-        clocked = F.when(half == "", hour).when((hour == 12) & ~late, F.lit(0)).when(late & (hour < 12) & ~((half == "中午") & (hour == 11)), hour + 12).otherwise(hour)
-        fits = (half == "") | ~twelve | hour.between(0, 12)
-        hour = F.when(fits, clocked)
-    micro = F.substring(F.rpad(frac, 6, "0"), 1, 6).try_cast("bigint") if groups[6] else F.lit(0)
-    fits = hour.between(0, 23) & minute.between(0, 59) & second.between(0, 59)
-    total = day * US_DAY + (hour.cast("bigint") * 3600 + minute.cast("bigint") * 60 + second.cast("bigint")) * 1_000_000 + F.coalesce(micro, F.lit(0))
-    return F.when(fits, total), zone
+def _local(value: Column, pattern: str, groups: tuple[int, ...], month_names: bool) -> Column:
+    """struct<us, text>: local microseconds since 1970 (NULL where the value isn't a date in the format) and the zone text.
+
+    The value is matched once: its groups are cut out together.
+    """
+    cut = F.split(F.regexp_replace(value, pattern, "\x1f".join(f"${g}" if g else "" for g in groups)), "\x1f", -1)
+
+    def read(parts: Column) -> Column:
+        y, mo, d, h, mi, s, frac, half, zone = [parts[k] for k in range(9)]
+        if month_names:
+            mo = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.lower(F.substring(mo, 1, 3))).cast("string")
+        day = F.unix_date(F.concat_ws("-", F.lpad(y, 4, "0"), F.lpad(mo, 2, "0"), F.lpad(d, 2, "0")).try_cast("date")).cast("bigint")
+        hour, minute, second = h.try_cast("int"), mi.try_cast("int"), F.coalesce(s.try_cast("int"), F.lit(0))
+        if groups[7]:
+            late = half.isin("P", "p", "下午", "晚上", "中午")
+            twelve = half.isin("A", "a", "P", "p", "上午", "下午")
+            clocked = F.when(half == "", hour).when((hour == 12) & ~late, F.lit(0)).when(late & (hour < 12) & ~((half == "中午") & (hour == 11)), hour + 12).otherwise(hour)
+            hour = F.when((half == "") | ~twelve | hour.between(0, 12), clocked)
+        micro = F.coalesce(F.substring(F.rpad(frac, 6, "0"), 1, 6).try_cast("bigint"), F.lit(0))
+        fits = hour.between(0, 23) & minute.between(0, 59) & second.between(0, 59)
+        total = day * US_DAY + (hour.cast("bigint") * 3600 + minute.cast("bigint") * 60 + second.cast("bigint")) * 1_000_000 + micro
+        return F.struct(F.when(fits, total).alias("us"), zone.alias("text"))
+
+    return F.transform(F.array(cut), read)[0]
 
 
 def _resolve(text: Column, local: Column, own: Column, regions: list[str]) -> Column:
@@ -112,8 +120,8 @@ def interpretations(value: Column, zone: Column, regions: list[str]) -> Column:
     """array<struct<fmt int, us bigint>>: all valid readings of the text, in the order of ``FORMATS``."""
     found = []
     for n, (name, pattern, groups) in enumerate(FORMATS):
-        local, text = _local(value, pattern, groups, name in ("rfc", "month_first", "month_first_24"))
-        found.append(F.when(value.rlike(pattern), F.struct(F.lit(n).alias("fmt"), local.alias("us"), text.alias("text"))))
+        local = _local(value, pattern, groups, name in ("rfc", "month_first", "month_first_24"))
+        found.append(F.when(value.rlike(pattern), F.struct(F.lit(n).alias("fmt"), local.alias("read"))))
     for n, (_, pattern, unit) in enumerate(EPOCHS, len(FORMATS)):
         whole = F.regexp_extract(value, pattern, 1).try_cast("bigint")
         if unit is None:
@@ -122,9 +130,9 @@ def interpretations(value: Column, zone: Column, regions: list[str]) -> Column:
             digits = len(str(unit)) - 1
             rest = F.coalesce(F.substring(F.rpad(F.regexp_extract(value, pattern, 2), digits, "0"), 1, digits).try_cast("bigint"), F.lit(0)) if digits else F.lit(0)
             us = whole * unit + rest
-        found.append(F.when(value.rlike(pattern), F.struct(F.lit(n).alias("fmt"), us.alias("us"), F.lit("UTC").alias("text"))))
-    local = F.filter(F.array(*found), lambda r: r["us"].isNotNull())
-    read = F.transform(local, lambda r: F.struct(r["fmt"].alias("fmt"), _resolve(r["text"], r["us"], zone, regions).alias("us")))
+        found.append(F.when(value.rlike(pattern), F.struct(F.lit(n).alias("fmt"), F.struct(us.alias("us"), F.lit("UTC").alias("text")).alias("read"))))
+    local = F.filter(F.array(*found), lambda r: r["read"]["us"].isNotNull())
+    read = F.transform(local, lambda r: F.struct(r["fmt"].alias("fmt"), _resolve(r["read"]["text"], r["read"]["us"], zone, regions).alias("us")))
     return F.filter(read, lambda r: r["us"].isNotNull() & (r["us"] >= 0) & (r["us"] < LIMIT_US))
 
 
@@ -209,14 +217,12 @@ def solve(cands: list, before: tuple[int, int] | None, after: tuple[int, int] |
 
 _PLACE = ["source", "field_name", "block"]
 _VALUE = "source string, record_key bigint, field_name string, canonical boolean, fmt int, us bigint, cands array<struct<fmt:int,us:bigint>>"
-_PASSED = f"kind string, block bigint, {_VALUE}, first_fmt array<bigint>, first_us array<bigint>, last_fmt array<bigint>, last_us array<bigint>, cost array<double>"
+_PASSED = f"kind string, block bigint, {_VALUE}, ends string"
 _FIXED = "source string, field_name string, block bigint, before_fmt bigint, before_us bigint, after_fmt bigint, after_us bigint"
 _SOLVED = "record_key bigint, field_name string, canonical boolean, fmt int, epoch_us bigint"
 _PAIRS = pa.list_(pa.struct([("fmt", pa.int32()), ("us", pa.int64())]))
 _ARROW = pa.schema(
-    [("kind", pa.string()), ("block", pa.int64()), ("source", pa.string()), ("record_key", pa.int64()), ("field_name", pa.string()), ("canonical", pa.bool_()), ("fmt", pa.int32()), ("us", pa.int64()), ("cands", _PAIRS)]
-    + [(n, pa.list_(pa.int64())) for n in ("first_fmt", "first_us", "last_fmt", "last_us")]
-    + [("cost", pa.list_(pa.float64()))]
+    [("kind", pa.string()), ("block", pa.int64()), ("source", pa.string()), ("record_key", pa.int64()), ("field_name", pa.string()), ("canonical", pa.bool_()), ("fmt", pa.int32()), ("us", pa.int64()), ("cands", _PAIRS), ("ends", pa.string())]
 )
 
 
@@ -248,9 +254,9 @@ def _search_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             n = batch.num_rows
             cols = {"kind": pa.array([kind] * n), **{c: batch.column(c) for c in batch.schema.names}}
             yield pa.RecordBatch.from_arrays([cols[f.name].cast(f.type) if f.name in cols else nulls(n, f.name) for f in _ARROW], schema=_ARROW)
-        ends = condense(_cands(part["fmt"], part["us"], part["cands"])) if not settled else _plain_ends(part)
-        first, last, cost = ends
-        row = {"kind": "ends", "block": part["block"][0].as_py(), "source": part["source"][0].as_py(), "field_name": part["field_name"][0].as_py(), "first_fmt": first[0], "first_us": first[1], "last_fmt": last[0], "last_us": last[1], "cost": cost.ravel()}
+        first, last, cost = condense(_cands(part["fmt"], part["us"], part["cands"])) if not settled else _plain_ends(part)
+        ends = json.dumps([first[0].tolist(), first[1].tolist(), last[0].tolist(), last[1].tolist(), cost.tolist()])
+        row = {"kind": "ends", "block": part["block"][0].as_py(), "source": part["source"][0].as_py(), "field_name": part["field_name"][0].as_py(), "ends": ends}
         yield pa.RecordBatch.from_arrays([pa.array([row[f.name]], f.type) if f.name in row else nulls(1, f.name) for f in _ARROW], schema=_ARROW)
 
 
@@ -267,10 +273,11 @@ def _cands(fmt, us, cands) -> list:
 
 def _chain(pdf: pd.DataFrame) -> pd.DataFrame:
     """Viterbi over the blocks of one source: what the neighbours of each block are."""
-    pdf = pdf.sort_values("block", na_position="first").reset_index(drop=True)
+    pdf = pdf.sort_values("block").reset_index(drop=True)
+    pdf[["first_fmt", "first_us", "last_fmt", "last_us", "cost"]] = pd.DataFrame([json.loads(e) for e in pdf["ends"]], dtype=object)
     total, steps = None, []
     for r in pdf.itertuples():
-        inner = np.asarray(r.cost).reshape(len(r.first_fmt), len(r.last_fmt))
+        inner = np.asarray(r.cost, dtype=float)
         if total is None:
             steps.append((None, inner.argmin(axis=0)))
             total = inner.min(axis=0)
@@ -322,7 +329,7 @@ def choose(candidates: DataFrame, block: int = BLOCK) -> DataFrame:
     passed = materialise(placed.mapInArrow(_search_blocks, _PASSED).withColumn("seq", F.monotonically_increasing_id()), "instants")
     done = passed.where("kind = 'done'").select("record_key", "field_name", "canonical", "fmt", F.col("us").alias("epoch_us"))
     opened = passed.where("kind = 'open'").select(*_PLACE, "seq", "record_key", "canonical", "fmt", "us", "cands")
-    ends = passed.where("kind = 'ends'").select(*_PLACE, "first_fmt", "first_us", "last_fmt", "last_us", "cost")
+    ends = passed.where("kind = 'ends'").select(*_PLACE, "ends")
     fixed = ends.groupBy("source", "field_name").applyInPandas(_chain, _FIXED)
     solved = opened.groupBy(*_PLACE).cogroup(fixed.groupBy(*_PLACE)).applyInArrow(lambda rows, beside: _choose(rows, beside) if rows.num_rows else _NOTHING, _SOLVED)
     return done.unionByName(solved)
