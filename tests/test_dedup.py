@@ -63,3 +63,26 @@ def test_restart_goes_on_where_it_stopped(spark, tmp_path):
     assert run(spark, path, folder=folder) == {2, 3}
     with pytest.raises(Exception):
         read_stream(spark, str(tmp_path / "nothing"))
+
+
+def test_the_state_alone_finds_what_came_in_time(spark, tmp_path):
+    """Without late rows nothing is looked up: the verdicts of the state are the result; with them they aren't enough."""
+    path, folder = str(tmp_path / "t"), str(tmp_path / "state")
+    write(spark, path, [[(k, f"i{k % 50}", T0 + timedelta(seconds=k), "", "", "") for k in range(120)], [(200 + k, f"I-{k % 50}", T0 + timedelta(seconds=k), "", "", "") for k in range(60)]])
+    got = run(spark, path, folder=folder)
+    log = spark.read.parquet(f"{folder}/log")
+    assert got == ids(log.where("verdict = 'dropped'")) and len(got) == 130
+    write(spark, path, [[(900, "zz", T0 + timedelta(days=200), "", "", "")]])
+    write(spark, path, [[(901, "i-1", T0, "", "", ""), (902, "new", T0, "", "", ""), (903, "i7", None, "", "", "")]])
+    got = run(spark, path, folder=folder)
+    assert {901, 903} & got and 902 not in got and not {902, 903} & {r.delivery_id for r in spark.read.parquet(f"{folder}/log").collect()}
+
+
+def test_concurrent_streams(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
+    paths = [write(spark, str(tmp_path / f"t{n}"), [[(k, f"i{k % (5 + n)}", T0, "", "", "") for k in range(40)]]) for n in range(3)]
+    with ThreadPoolExecutor(3) as pool:
+        assert [len(x) for x in pool.map(lambda p: run(spark, p), paths)] == [35, 34, 33]
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass", None) == before

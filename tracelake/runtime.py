@@ -50,6 +50,22 @@ def delete_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def _status(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs.getFileStatus(target) if fs.exists(target) else None
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    return _status(spark, path) is not None
+
+
+def path_size(spark: SparkSession, path: str) -> int:
+    """Bytes of one file; 0 where it is gone."""
+    status = _status(spark, path)
+    return status.getLen() if status else 0
+
+
 def _clean() -> None:
     for spark, path in _written:
         try:
