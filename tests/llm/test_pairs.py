@@ -68,3 +68,31 @@ def test_frame(spark):
     got = sorted((r.sample_id, r.field_name, r.defect_type) for r in P.defects(df).collect())
     assert got == [(1, "final_answer", "empty"), (1, "final_answer", "empty"), (2, "reference_answer", "empty"), (3, "final_answer", "truncated"), (3, "reference_answer", "other_language")]
     assert P.defects(df.where("1 = 0")).collect() == []
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("I cannot answer this.", True), ("We are not able to share that.", True), ("I'm not sure.", True), ("The documents do not mention a bond.", True), ("No relevant passages were found.", True), ("This question is outside my scope.", True), ("We have no information about it.", True),
+        ("目前无法确认。", True), ("我不太清楚。", True), ("系统没有检索到相关内容。", True), ("该问题超出我的能力范围。", True), ("我没法告诉您。", True), ("Ich kann das leider nicht beantworten.", True), ("Je ne sais pas.", True), ("No puedo responder.", True),
+        ("The supplier cannot pass on more than 5%.", False), ("Deliveries are not accepted on Sundays.", False), ("供应商不能转包。", False), ("逾期无法交货的，扣除保证金。", False), ("No deposit is due.", False), ("Der Lieferant kann die Preise nicht ändern.", False),
+    ],
+)
+def test_refusal_grammar(text, want):
+    assert P.is_refusal(text) is want
+
+
+def test_forms_of_values():
+    for t in ("Harbour & Sons plc", "Müller GmbH", "Port of Example", "东城冷链仓", "3 pallets", "1,200.50 credits", "约5吨", "12 km", "€40 per tonne"):
+        assert P.is_value(t), t
+    for t in ("The buyer must", "12 within", "Payment is due", "采购方应在", "5日内由", "after 5 days", "Deliver the pumps to"):
+        assert not P.is_value(t), t
+
+
+def test_open_markup_is_seen_at_any_length():
+    assert P.open_at_end("<b>" + "x" * 5000)[-1] == "<b" and P.open_at_end("text <a href='" + "y" * 5000)[-1] == "<" and P.open_at_end("a < b, c <d\n" * 3000) == []
+
+
+def test_no_length_hides_a_copy():
+    filler = " and please also see what was said before about this matter in the annex"
+    assert P.is_copied(f"{EN} {EN}", EN) and P.is_copied("Q: " + EN + " " + EN + " " + EN, EN) and not P.is_copied(EN + filler * 3, EN)

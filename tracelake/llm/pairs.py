@@ -6,7 +6,7 @@ refusal         a grammar over sentences: at least one sentence declines, and al
                 advice, so no answer is left.
 copied_question greedy string tiling of the answer with the question, once per repetition: what the tiles don't cover is
                 only a wrapper.
-other_language  script and function-word scores of question and answer differ; quotations, names, ids and numbers
+other_language  script and stop-word scores of question and answer differ; quotations, names, ids and numbers
                 don't count, and a language the question asks for is the language expected.
 truncated       a pushdown parser over fences, quotations, brackets, lists and markup that ends with something open,
                 or a last sentence without an end, unless the answer is a bare value (a date, an amount, a name).
@@ -37,6 +37,7 @@ FOUND = "sample_id bigint, field_name string, defect_type string"
 PLACEHOLDERS = {"n/a", "na", "n.a", "none", "null", "nil", "nan", "nul", "undefined", "unknown", "tbd", "todo", "tba", "empty", "no answer", "no response", "not available", "not applicable", "pending", "blank", "placeholder", "answer", "response", "暂无", "无", "空", "暂缺", "待定", "待补充", "待填写", "未知", "没有", "无答案", "无内容", "暂无内容", "暂无答案", "暂无数据", "暂无回答", "无回答", "略", "答案", "回答", "空白", "不适用", "未填写"}
 
 _TAG = re.compile(r"<!--.*?-->|</?[A-Za-z][A-Za-z0-9]*(?:\s[^<>]*)?/?>|&(?:nbsp|amp|lt|gt|#\d+|#x[0-9a-f]+);", re.S | re.I)
+_TAG_START = re.compile(r"</?[A-Za-z]")
 _FENCE = re.compile(r"(?m)^\s*(?:```|~~~)[^\n`]*$")
 _HIDDEN = re.compile("[­͏؜ᅟᅠ឴឵᠋-᠏​-‏‪-‮⁠-⁯ㅤ︀-️﻿ﾠ]")
 
@@ -67,6 +68,7 @@ def open_at_end(text: str) -> list[str]:
     """The stack of a pushdown parser at the end of the text: fences, code spans, quotations, brackets, markup."""
     stack: list[str] = []
     i, n = 0, len(text)
+    last_close = max(text.rfind(">"), text.rfind("\n"))
     while i < n:
         if text.startswith("```", i):
             if stack and stack[-1] == "```":
@@ -108,31 +110,36 @@ def open_at_end(text: str) -> list[str]:
                     stack.append(f"<{name[1].lower()}")
                 i = m.end()
                 continue
-            if re.match(r"</?[A-Za-z]", text[i:]) and "\n" not in text[i:] and len(text) - i < 200:
+            if i > last_close and _TAG_START.match(text, i):  # a tag that nothing closes
                 return [*stack, "<"]
         i += 1
     return stack
 
 
 _DATE = re.compile(r"^(?:\d{4}\s*[年./-]\s*\d{1,2}\s*[月./-]\s*\d{1,2}\s*日?|\d{1,2}\s+[A-Z][a-z]+\s+\d{4}|[A-Z][a-z]+\s+\d{1,2},\s*\d{4}|\d{4}年(?:\d{1,2}月)?)$")
-_AMOUNT = re.compile(r"^(?:[约共计]|about |approx\. ?)?[¥$€]?\s*\d[\d,.]*\s*(?:%|％|‰|元|万元|天|日|个工作日|工作日|个月|月|年|小时|分钟|台|套|件|次|项|份|学时|credits?|(?:working |business |calendar )?(?:days?|hours?|months?|years?|weeks?)|units?|pieces?|sets?|times?|per ?cent)?(?:\s*(?:per day|每日))?$", re.I)
+# A number with a unit: signs, or a short noun behind it.
+_AMOUNT = re.compile(r"^(?:[约共计]|about |approx\. ?)?[¥$€£]?\s*\d[\d,.]*\s*(?:[%％‰]|(?P<unit>[^\W\d_]{1,12}(?:\s[^\W\d_]{1,12})?))?(?:\s*(?:per \w+|每\w))?$", re.I)
 _YES = re.compile(r"^(?:yes|no|可以|不可以|是|否|不是|能|不能|对|不对|有|没有|是的|正确|错误|会|不会|true|false)$", re.I)
 _CODE = re.compile(r"^[A-Z]{1,4}(?:[-/ ][A-Z0-9]+)+(?:\s*\d+)*$")
-_ENGLISH_NAME = re.compile(r"^(?:[A-Z][\w'’&.-]*|of|and|the|de|von|GmbH|plc|LLC|Ltd|Inc|Co|I{1,3}|line|yard|extension|station|store|terminal|substation|hall|retrofit|depot|pumping|cold)(?:\s+(?:[A-Z][\w'’&.-]*|of|and|the|plc|line|yard|extension|station|store|terminal|substation|hall|retrofit|depot|pumping|retrofit))*$")
-_ENGLISH_SUFFIX = re.compile(r"(?:plc|LLC|Ltd|Inc|Co|GmbH|Group|Partners|Services|Supply|Company|Corp)$")
-# Words at the end of Chinese names of firms, offices and places.
-_CHINESE_NAME = re.compile(r"(?:公司|集团|研究所|事业部|采购中心|供应站|设备厂|厂|中心|部门|部|岗|组|办|室|科|仓|码头|园区|泵站|换热站|东区|北线|二期|三期|一期|三号库|仓储|扩建|技改|标段|示范段|数据机房|机房|医疗器材|精密制造|电缆|建材|信息|物流|能源|科技|船舶|轨道|净水|环保|照明|园林|食品|仪表|机电|化工|包装|冷链|运维|股份|有限)$")
-_CHINESE_VERB = re.compile(r"[，,、；;：:。的为在由须应可是与将被已向于按从及并至不需凭]")
+# A name in Latin letters: capitalised words, with connectives and legal forms in small letters between or behind them.
+_LATIN_NAME = re.compile(r"^[A-ZÀ-Þ][\w'’&.-]*(?:\s+(?:[A-ZÀ-Þ&][\w'’&.-]*|of|and|the|de|du|des|la|von|für|y|e|plc|mbh))*$")
+# Chinese verbs, prepositions, conjunctions and particles; a name of Han characters has none of them.
+_HAN_CLAUSE = re.compile(r"[，,、；;：:。的为在由须可是与将被已向于按从及并至不需凭了或若则且就对把使让给]|应(?!站|链|商|中心)")
+MOST_HAN, MOST_WORDS = 24, 6
 
 
 def is_value(text: str) -> bool:
     """A bare value, complete without an end of sentence."""
     t = text.strip()
-    if _DATE.match(t) or _AMOUNT.match(t) or _YES.match(t) or _CODE.match(t):
+    if _DATE.match(t) or _YES.match(t) or _CODE.match(t):
         return True
-    if len(t) <= 24 and re.fullmatch(r"[一-鿿·]+", t):
-        return bool(_CHINESE_NAME.search(t)) and not _CHINESE_VERB.search(t.replace("供应", ""))
-    return len(t) <= 60 and bool(_ENGLISH_NAME.match(t)) and bool(_ENGLISH_SUFFIX.search(t) or len(t.split()) <= 4)
+    amount = _AMOUNT.match(t)
+    if amount:
+        unit = amount["unit"] or ""
+        return not any(w.lower() in _WORDS["en"] - {"per"} for w in unit.split()) and not _HAN_CLAUSE.search(unit)
+    if re.fullmatch(r"[一-鿿·]+", t):
+        return len(t) <= MOST_HAN and not _HAN_CLAUSE.search(t)
+    return len(t.split()) <= MOST_WORDS and bool(_LATIN_NAME.match(t)) and not any(w.lower() in _WORDS["en"] for w in t.split()[1:] if w[0].isupper())
 
 
 # Words and characters that don't end a list item, since something has to follow them.
@@ -181,21 +188,55 @@ _ADVICE = re.compile(
     r"(?:请|建议|您可以|可以|欢迎|如有|如需|如果您|若您|麻烦|推荐)(?:您)?.{0,12}(?:换个|重新|再试|联系|咨询|查阅|查看|参考|提供|补充|提问|询问|核实|确认|尝试|人工|客服|上传)|如有其他问题|欢迎继续|请换|请再|^(?:please |kindly |you (?:may|can|could|might) |feel free |i (?:suggest|recommend)|try |let me know|if you (?:have|need|can)|for (?:further|more) )|please (?:ask|contact|check|try|consult|rephrase|provide|refer|reach)|happy to help|another question|anything else",
     re.I,
 )
+
+
+def _any(words: str) -> str:
+    """One of the words or word patterns of a list set apart by blanks; ``_`` stands for a blank inside one."""
+    return "(?:" + "|".join(w.replace("_", " ") for w in words.split()) + ")"
+
+
+# The refusal grammar. A clause declines if it is
+#   subject (gap) negated-modal (gap) act      "I cannot (really) answer", "目前 无法 回答"
+#   subject (gap) ignorance                    "I am not sure", "我 不清楚"
+#   subject (gap) lack (gap) ground            "we have no information", "没有 相关资料"
+#   source (gap) negated-verb (gap) content    "the documents do not contain"
+#   impersonal                                 "cannot be answered", "outside my scope"
+# The words of each part.
+ZH_SUBJECT = "我 本助手 作为.{0,10}(?:助手|模型|AI|系统) 目前 现有 当前 暂时 这个 该问题 系统 很遗憾 抱歉 对不起 不好意思 ^"
+ZH_ACT = "回答 提供 给出 判断 确定 解答 告诉 回复 评论 评价"
+ZH_UNABLE = "作答 确认 查询 查看 访问 得知 协助 处理"
+ZH_IGNORANCE = "不(?:太)?(?:清楚|知道|了解|确定) 不便(?:回答|透露|评论|评价|提供) 不足以(?:支持|回答|判断|给出|得出) 难以(?:回答|判断|给出|确定) 拒绝回答 无(?:权|可奉告) 超出.{0,12}(?:范围|能力) 不在.{0,10}范围"
+ZH_GROUND = "权限 资格 足够 找到 查到 检索到 覆盖 包含 提到 提及 涉及 相关(?:信息|资料|内容|片段|记录)"
+ZH_SOUGHT = "检索到 找到 查到 查询到 能找到 能检索 提供 提及 包含 覆盖 涉及"
 _DECLINE = re.compile(
-    r"(?:我|本助手|作为.{0,10}(?:助手|模型|AI|系统)|目前|现有|当前|暂时|这个|该问题|系统|很遗憾|抱歉|对不起|不好意思|^).{0,24}?(?:"
-    r"无法(?:回答|提供|给出|判断|确定|确认|回复|作答|解答|查询|查看|访问|告诉|得知|协助|处理|评价|评论)|没有?办法(?:回答|提供|给出|告诉|解答|确定|回复|判断)|没法(?:回答|告诉|提供|给出|判断|确定|解答)|不能(?:回答|提供|给出|作出|做出|判断|确定|告诉|解答|评论|评价|对.{0,30}(?:作出|做出|发表|给出|评论|评价|判断))|"
-    r"不(?:太)?(?:清楚|知道|了解|确定|便(?:回答|透露|评论|评价|提供))|没有(?:权限|资格|相关(?:信息|资料|内容|片段|记录)|足够|找到|查到|检索到|覆盖|包含|提到|提及|涉及)|未(?:检索到|找到|查到|查询到|能找到|能检索|提供|提及|包含|覆盖|涉及).{0,20}|不足以(?:支持|回答|判断|给出|得出)|无(?:权|可奉告|相关(?:信息|资料|内容))|超出.{0,12}(?:范围|能力)|不在.{0,10}范围|拒绝回答|难以(?:回答|判断|给出|确定))",
+    _any(ZH_SUBJECT) + ".{0,24}?(?:"
+    + f"无法{_any(ZH_ACT + ' ' + ZH_UNABLE)}|(?:没有?办法|没法|不能){_any(ZH_ACT)}|不能(?:作出|做出|对.{{0,30}}(?:作出|做出|发表|给出|评论|评价|判断))|"
+    + f"{_any(ZH_IGNORANCE)}|没有{_any(ZH_GROUND)}|未{_any(ZH_SOUGHT)}.{{0,20}}|无相关(?:信息|资料|内容))",
     re.I,
 )
+EN_SUBJECT = "i we the_assistant this_assistant"
+EN_NEGATED = "do_not don'?t cannot can'?t can_not could_not couldn'?t am_unable are_unable '?m_unable am_not_able '?m_not_able are_not_able '?m_afraid_i won'?t will_not would_not wouldn'?t must_decline have_to_decline decline prefer_not have_no lack am_not_sure '?m_not_sure am_not_allowed '?m_not_allowed am_not_authori[sz]ed '?m_not_authori[sz]ed am_not_permitted '?m_not_permitted did_not_find didn'?t_find found_no find_no"
+EN_ACT = "know answer help assist say tell provide access find determine comment information confirm share discuss give have respond reply judge permission that this able sure idea see look"
+EN_SOURCE = "context documents? knowledge_base sources? passages? material information excerpts?"
+EN_HOLDS_NOT = "does_not do_not doesn'?t don'?t did_not is_not isn'?t are_not aren'?t"
+EN_CONTENT = "contain cover include mention support provide enough sufficient say hold address answer"
+EN_GROUND = "information passages? context documents? results? records? excerpts? answers?"
+EN_IMPERSONAL = "it_(?:would_not|wouldn'?t|is_not)_(?:be_)?appropriate not_able_to_answer unable_to_(?:answer|provide|help|assist|determine|comment|find) can(?:not|'?t)_be_answered cannot_answer can'?t_(?:answer|help|say) (?:insufficient|not_enough)_(?:context|information) nothing_(?:relevant|suitable|in_the)[^.!?]{0,40}(?:found|retrieved|answers|covers)? (?:outside|beyond)_(?:my|the)_(?:scope|knowledge|remit)"
 _DECLINE_EN = re.compile(
-    r"\b(?:i|we|the assistant|this assistant)\b[^.!?]{0,40}?\b(?:(?:do not|don'?t|cannot|can'?t|can not|could not|couldn'?t|am unable|are unable|'?m unable|am not able|'?m not able|are not able|'?m afraid i|won'?t|will not|would not|wouldn'?t|must decline|have to decline|decline|prefer not|have no|lack|am not sure|'?m not sure|am not allowed|'?m not allowed|am not authori[sz]ed|'?m not authori[sz]ed|am not permitted|'?m not permitted|did not find|didn'?t find|found no|find no)(?: be able)?)\b(?:[^.!?]{0,30}\b(?:know|answer|help|assist|say|tell|provide|access|find|determine|comment|information|confirm|share|discuss|give|have|respond|reply|judge|permission|that|this|able|sure|idea|see|look)\b|$)|"
-    r"\b(?:it would not be appropriate|it wouldn'?t be appropriate|it is not appropriate|not able to answer|unable to (?:answer|provide|help|assist|determine|comment|find)|cannot be answered|can'?t be answered|cannot answer|can'?t (?:answer|help|say)|no (?:relevant |matching |such |sufficient )?(?:information|passage|passages|context|document|documents|result|results|record|records|excerpt|answer)s? (?:is |are |was |were |could |can )?(?:available|found|retrieved|returned|be found|in the)|(?:context|documents?|knowledge base|sources?|passages?|material|information|excerpts?)[^.!?]{0,40}(?:does not|do not|doesn'?t|don'?t|did not|is not|isn'?t|are not|aren'?t)[^.!?]{0,20}(?:contain|cover|include|mention|support|provide|enough|sufficient|say|hold|address|answer)|insufficient (?:context|information)|not enough (?:context|information)|nothing (?:relevant|suitable|in the)[^.!?]{0,40}(?:found|retrieved|answers|covers)?|outside (?:my|the) (?:scope|knowledge|remit)|beyond (?:my|the) (?:scope|knowledge))\b",
+    rf"\b{_any(EN_SUBJECT)}\b[^.!?]{{0,40}}?\b{_any(EN_NEGATED)}(?: be able)?\b(?:[^.!?]{{0,30}}\b{_any(EN_ACT)}\b|(?=[.!?]|$))|"
+    rf"\b(?:{_any(EN_SOURCE)}[^.!?]{{0,40}}{_any(EN_HOLDS_NOT)}[^.!?]{{0,20}}{_any(EN_CONTENT)}|"
+    rf"no (?:relevant |matching |such |sufficient )?{_any(EN_GROUND)} (?:is |are |was |were |could |can )?(?:available|found|retrieved|returned|be found|in the)|{_any(EN_IMPERSONAL)})\b",
     re.I,
 )
-_DECLINE_OTHER = re.compile(r"\b(?:ich kann (?:diese|die|das|dazu|hierzu|leider)[^.]{0,40}nicht|kann ich nicht|ich weiß (?:es )?nicht|keine (?:informationen|angaben)|nicht beantworten|je ne (?:peux|sais|dispose|suis)[^.]{0,30}pas|impossible de répondre|aucune information|no puedo (?:responder|ayudar|contestar)|no lo sé|no tengo (?:acceso|información))\b", re.I)
+OTHER_DECLINES = "ich_kann_(?:diese|die|das|dazu|hierzu|leider)[^.]{0,40}nicht kann_ich_nicht ich_weiß_(?:es_)?nicht keine_(?:informationen|angaben) nicht_beantworten je_ne_(?:peux|sais|dispose|suis)[^.]{0,30}pas impossible_de_répondre aucune_information no_puedo_(?:responder|ayudar|contestar) no_lo_sé no_tengo_(?:acceso|información)"
+_DECLINE_OTHER = re.compile(rf"\b{_any(OTHER_DECLINES)}\b", re.I)
 _CLAUSE = re.compile(r"[，,]\s*|\s[-–—]+\s|\s*——\s*|：|:\s")
 
 
+# Numbers in identifiers (capitals and figures joined by hyphens) state nothing.
+_IDENTIFIER = re.compile(r"[A-Z]+[A-Z0-9]*(?:-[A-Z0-9]+)+")
+
+
 def _declines(s: str) -> bool:
     return bool(_DECLINE.search(s) or _DECLINE_EN.search(s) or _DECLINE_OTHER.search(s))
 
@@ -216,7 +257,7 @@ def is_refusal(text: str) -> bool:
         if _declines(s):
             # a sentence that declines one thing may still state another: a number or a stated rule speaks for an answer
             rest = [c for c in clauses if not (_declines(c) or _POLITE.match(c) or _ADVICE.search(c) or len(c) < 24 or re.match(r"(?:也|so|and|as an?|作为|关于|regarding|about)", c, re.I))]
-            if any(re.search(r"\d", re.sub(r"[A-Z]{2}-\d\d-\w+", "", c)) for c in rest):
+            if any(re.search(r"\d", _IDENTIFIER.sub("", c)) for c in rest):
                 return False
             said = True
         elif not _ADVICE.search(s):
@@ -298,13 +339,14 @@ def is_copied(answer: str, question: str, share: float = 0.82) -> bool:
 
 # --- languages ------------------------------------------------------------------------------------------------------
 
-# Frequent function words; a word of two languages counts for both.
+# Articles, pronouns, prepositions, conjunctions, auxiliaries and particles of each language, as stop-word lists
+# hold them; a word of two languages counts for both.
 FUNCTION_WORDS = {
-    "en": "a the of and to in is are was were be been for on at by from with within after before if not no may must shall can will than that this these those it its as or an into under until only upon which when who whose all any each more most less least up out over days day working months hours credits per passes pass once both has have had does do goes go keeps keep stays yes runs run applies apply follows becomes counts holds lasts carries carry takes pays paid",
-    "de": "der die das den dem des und nicht ist sind war ein eine einer eines einem einen im in ab auf von vom zu zum zur mit für nach bei bis aus wird werden muss müssen kann sonst pro tag tage tagen läuft zahlen innerhalb trägt kosten monate beträgt gilt oder sowie über unter",
-    "fr": "le la les des du de et est sont un une dans en à au aux pour par sur avec pas ne que qui doit être jours jour mois après avant délai dus due compter pendant court solde livrer faute quoi ou sous unités payé signature garantie réception",
-    "es": "el la los las de del y es son un una en a al para por con no que se debe días día meses después antes plazo pago contra entrega o su sobre desde hasta será corre garantía saldo",
-    "ru": "и в не на с по из к от для до за что это как дней день после оплата должен быть срок гарантия или при течение месяцев",
+    "en": "a an the this that these those it its he she they them their we you your i my our who whom whose which what when where why how all any both each few more most other some such no nor not only own same so than too very of at by for with about against between into through during before after above below to from up down in out on off over under again further then once here there and but if or because as until while is am are was were be been being have has had having do does did doing can could will would shall should may might must within without upon per least less yes",
+    "de": "der die das den dem des ein eine einer eines einem einen und oder aber nicht kein keine ist sind war waren wird werden wurde hat haben kann können muss müssen soll sollen darf in im an am auf von vom zu zum zur mit für nach bei bis aus ab vor über unter um durch gegen ohne als wie wenn weil dass ob sich es er sie wir ihr man nur noch auch schon sowie innerhalb sonst wer was wo wann",
+    "fr": "le la les l un une des du de d et ou mais ne pas est sont était sera être a ont avoir au aux en dans par pour sur sous avec sans ce cet cette ces il elle ils elles on nous vous qui que quoi dont où si plus moins très tout tous doit peut avant après pendant entre chez comme quand y à",
+    "es": "el la los las lo un una unos unas y o u pero no es son era será ser ha han haber en de del al a por para con sin sobre entre hasta desde se su sus le les que quien cual cuando donde como si más menos muy todo todos debe puede antes después durante contra este esta estos estas ya",
+    "ru": "и в во не что он на я с со как а то все она так его но да ты к у же вы за бы по только ее мне было вот от меня еще нет о из ему когда даже ну ли если уже или ни быть был него до вас при для это эта этот их чем без после под над через между должен может",
 }
 _WORDS = {lang: set(words.split()) for lang, words in FUNCTION_WORDS.items()}
 _HAN = re.compile(r"[㐀-䶿一-鿿豈-﫿]")
