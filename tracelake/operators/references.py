@@ -28,12 +28,12 @@ from ..runtime import materialise
 SALTS = 16
 BEGINNING, END = "timestamp_ntz'0001-01-01 00:00:00'", "timestamp_ntz'9999-12-31 23:59:59'"
 
-ORPHANS = "table_name string, row_key bigint, field_name string, reason string, period string, depth int, own_key string"
+ORPHANS = "table_name string, row_key bigint, row_id string, field_name string, reason string, period string, depth int, own_key string"
 
 
 @dataclass(frozen=True)
 class Entity:
-    """A table: its unique row key, the id under which others refer to it, and its life span."""
+    """A table: its unique row key (of any type; compared as text), the id under which others refer to it, and its life span."""
 
     name: str
     row_key: str
@@ -71,7 +71,7 @@ def life_spans(rows: DataFrame, salts: int = SALTS) -> DataFrame:
 def _references(frame: DataFrame, entity: Entity, field: str) -> DataFrame:
     own = id_key(entity.id_field) if entity.id_field else F.lit(None).cast("string")
     at = F.col(entity.created).cast("timestamp_ntz")
-    return frame.select(F.lit(entity.name).alias("table_name"), F.col(entity.row_key).cast("bigint").alias("row_key"), F.lit(field).alias("field_name"), id_key(field).alias("key"), at.alias("at"), own.alias("own_key")).where("key is not null")
+    return frame.select(F.lit(entity.name).alias("table_name"), F.col(entity.row_key).try_cast("bigint").alias("row_key"), F.col(entity.row_key).cast("string").alias("row_id"), F.lit(field).alias("field_name"), id_key(field).alias("key"), at.alias("at"), own.alias("own_key")).where("key is not null")
 
 
 def direct_orphans(frames: dict[str, DataFrame], entities: list[Entity], keys: list[ForeignKey]) -> DataFrame:
@@ -90,7 +90,7 @@ def direct_orphans(frames: dict[str, DataFrame], entities: list[Entity], keys: l
         live = F.exists("spans", lambda x: (x["s"] <= F.col("at")) & (x["e"] > F.col("at")))
         reason = F.when(F.col("spans").isNull(), "missing").when(F.col("at").isNull() | live, F.lit(None)).when(F.col("spans")[0]["s"] > F.col("at"), "late").otherwise("deleted")
         orphans = refs.join(spans, "key", "left").withColumn("reason", reason).where("reason is not null")
-        orphans = orphans.select("table_name", "row_key", "field_name", "reason", F.date_format("at", "yyyy-MM").alias("period"), F.lit(0).alias("depth"), "own_key")
+        orphans = orphans.select("table_name", "row_key", "row_id", "field_name", "reason", F.date_format("at", "yyyy-MM").alias("period"), F.lit(0).alias("depth"), "own_key")
         found = orphans if found is None else found.unionByName(orphans)
     return found
 
@@ -113,17 +113,17 @@ def orphan_cascade(frames: dict[str, DataFrame], entities: list[Entity], keys: l
         step = None
         for target in dict.fromkeys(k.target for k in edges):
             goal = by_name[target]
-            rows = frames[target].select(id_key(goal.id_field).alias("key"), F.col(goal.row_key).cast("bigint").alias("row_key")).where("key is not null")
-            hit = found.where(F.col("table_name") == target).select("row_key").distinct().withColumn("hit", F.lit(1))
+            rows = frames[target].select(id_key(goal.id_field).alias("key"), F.col(goal.row_key).cast("string").alias("row_id")).where("key is not null")
+            hit = found.where(F.col("table_name") == target).select("row_id").distinct().withColumn("hit", F.lit(1))
             fresh = newest.where(F.col("table_name") == target).select(F.col("own_key").alias("key")).where("key is not null").distinct()
-            states = rows.join(fresh, "key", "left_semi").join(hit, "row_key", "left").groupBy("key").agg(F.count("*").alias("n"), F.count("hit").alias("n_hit"))
+            states = rows.join(fresh, "key", "left_semi").join(hit, "row_id", "left").groupBy("key").agg(F.count("*").alias("n"), F.count("hit").alias("n_hit"))
             gone = states.where("n = n_hit").select("key")
             for k in edges:
                 if k.target == target:
                     one = _references(frames[k.table], by_name[k.table], k.field).join(gone, "key", "left_semi")
                     step = one if step is None else step.unionByName(one)
-        step = step.join(found.select("table_name", "row_key", "field_name"), ["table_name", "row_key", "field_name"], "left_anti")
-        step = step.select("table_name", "row_key", "field_name", F.lit("inherited").alias("reason"), F.date_format("at", "yyyy-MM").alias("period"), F.lit(depth).alias("depth"), "own_key")
+        step = step.join(found.select("table_name", "row_id", "field_name"), ["table_name", "row_id", "field_name"], "left_anti")
+        step = step.select("table_name", "row_key", "row_id", "field_name", F.lit("inherited").alias("reason"), F.date_format("at", "yyyy-MM").alias("period"), F.lit(depth).alias("depth"), "own_key")
         newest = materialise(step, "orphans")
         if newest.isEmpty():
             return found

@@ -14,8 +14,8 @@ ENTITIES = [
     Entity("questions", "question_row"),
     Entity("samples", "sample_id"),
     Entity("chunk_catalog", "chunk_row", "segment_id", deleted="deleted_at"),
-    Entity("create_document", "row_id", "document_id", deleted="deleted_at"),
-    Entity("snapshots", "row_id", "snapshot_id", deleted="deleted_at"),
+    Entity("create_document", "document_id", "document_id", deleted="deleted_at"),
+    Entity("snapshots", "snapshot_id", "snapshot_id", deleted="deleted_at"),
 ]
 KEYS = [ForeignKey(t, f, target) for t in ("questions", "samples") for f, target in (("expected_segment_id", "chunk_catalog"), ("document_id", "create_document"), ("snapshot_id", "snapshots"))]
 KEYS.append(ForeignKey("chunk_catalog", "document_id", "create_document"))
@@ -24,10 +24,7 @@ TIME_FIELDS = ["trace_timestamp", "start_time", "created_at"]
 
 
 def _cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    frames = {e.name: table(spark, sf_dir, e.name) for e in ENTITIES}
-    for name, own in (("create_document", "document_id"), ("snapshots", "snapshot_id")):
-        frames[name] = frames[name].withColumn("row_id", F.xxhash64(own))
-    return orphan_cascade(frames, ENTITIES, KEYS)
+    return orphan_cascade({e.name: table(spark, sf_dir, e.name) for e in ENTITIES}, ENTITIES, KEYS)
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
