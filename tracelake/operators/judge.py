@@ -84,14 +84,15 @@ def exact_judged(samples: DataFrame, hits: DataFrame) -> DataFrame:
 
 
 def evidence_ranks(samples: DataFrame, hits: DataFrame, max_rank: int = 10) -> DataFrame:
-    """Per sample: results, results with content among the first five, and the first rank that contains the gold evidence.
+    """Per sample: results, results with content among the first five, the first rank that contains the gold evidence, and the first that contains the answer.
 
     The containment test runs on pairs of an equi-join (trace), never on all pairs.
     """
-    want = samples.select("sample_id", "trace_id", match_form(gold_evidence()).alias("gold"))
+    want = samples.select("sample_id", "trace_id", match_form(gold_evidence()).alias("gold"), match_form("final_answer").alias("said"))
     got = hits.where(F.col("call_order") == 1).select("trace_id", F.col("rank_position").alias("rank"), non_blank("content").alias("content"))
     inside = F.when(F.col("content").isNotNull() & (F.col("rank") <= max_rank) & (F.length("gold") >= MIN_GOLD) & F.contains(match_form("content"), F.col("gold")), F.col("rank"))
-    return want.join(got, "trace_id").groupBy("sample_id").agg(F.count("*").cast("int").alias("n_results"), F.count_if(F.col("content").isNotNull() & (F.col("rank") <= 5)).cast("int").alias("n_content"), F.min(inside).alias("gold_rank"))
+    quoted = F.when(F.col("content").isNotNull() & (F.col("said") != "") & F.contains(match_form("content"), F.col("said")), F.col("rank"))
+    return want.join(got, "trace_id").groupBy("sample_id").agg(F.count("*").cast("int").alias("n_results"), F.count_if(F.col("content").isNotNull() & (F.col("rank") <= 5)).cast("int").alias("n_content"), F.min(inside).alias("gold_rank"), F.min(quoted).alias("answer_rank"))
 
 
 def prescreened(samples: DataFrame, hits: DataFrame) -> DataFrame:
@@ -119,7 +120,36 @@ def prescreened(samples: DataFrame, hits: DataFrame) -> DataFrame:
     pending = (F.col("rule") == "needs_model") | ((F.col("rule") == "chunk_exact") & (F.coalesce("chunk_exact_status", F.lit("")) != ""))
     tops = [F.when(pending, None).otherwise(F.coalesce((F.col("position") <= k).cast("int"), F.lit(0))).alias(f"top{k}_hit") for k in KS]
     hint = F.when((F.col("rule") == "needs_model") & (F.col("track") == "retrieval") & F.col("gold_rank").between(2, 5), F.col("gold_rank"))
-    return s.withColumn("position", position).select("sample_id", "trace_id", "run_id", "track", "rule", *tops, F.col("position").alias("hit_evidence_position"), "chunk_exact_status", hint.alias("rule_hint"))
+    return s.withColumn("position", position).select("sample_id", "trace_id", "run_id", "track", "rule", *tops, F.col("position").alias("hit_evidence_position"), "chunk_exact_status", hint.alias("rule_hint"), "answer_rank")
+
+
+# How a result is shown, as (icon, title, status, description).
+TITLES = {
+    "strict_qa": (("✅", "回答正确", "correct", "与参考答案一致"), ("❌", "回答错误", "incorrect", "与参考答案不一致或遗漏关键点")),
+    "grounded_qa": (("✅", "回答有据", "grounded", "回答被检索内容支持"), ("⚠️", "回答缺乏依据", "not_grounded", "回答未被检索内容充分支持")),
+}
+PENDING = {
+    "missing_binding": ("缺少绑定", "chunk_exact 题缺少 expected_segment_id / expected_content_hash"),
+    "no_trace": ("未关联 trace", "chunk_exact 题未关联真实 Langfuse trace"),
+    "no_retrieval": ("无检索结果", "trace 已关联但无检索结果，无法判定"),
+}
+HIT, MISS, BAR = "命中", "未命中", "｜"
+NOT_EVALUABLE = ("⚠️", "缺少金标准证据", "not_evaluable", "无法可靠计算检索命中率")
+UNKNOWN_TRACK = ("❓", "未知评测类型", "unknown", "")
+
+
+def status_label() -> Column:
+    """struct<icon, title, status, description> of a result."""
+    label = lambda icon, title, status, text: F.struct(F.lit(icon).alias("icon"), (F.lit(title) if isinstance(title, str) else title).alias("title"), F.lit(status).alias("status"), F.lit(text).alias("description"))
+    tops = F.array_compact(F.array(*[F.when(F.col(f"top{k}_hit").isNotNull(), F.concat(F.lit(f"Top{k} "), F.when(F.col(f"top{k}_hit") == 1, HIT).otherwise(MISS))) for k in (1, 3, 5)]))
+    hits = lambda nothing: F.when(F.size(tops) > 0, F.array_join(tops, BAR)).otherwise(nothing)
+    out = F.when(F.col("track") == "retrieval", label("🔍", hits("无检索结果"), "retrieval", "检索命中评测"))
+    for track_, (good, bad) in TITLES.items():
+        out = out.when((F.col("track") == track_) & (F.coalesce("answer_correct", F.lit(0)) == 1), label(*good)).when(F.col("track") == track_, label(*bad))
+    out = out.when(F.col("track") == "not_evaluable", label(*NOT_EVALUABLE))
+    for status, (title, text) in PENDING.items():
+        out = out.when((F.col("track") == "chunk_exact") & (F.col("chunk_exact_status") == status), label("⚠️", title, "chunk_exact_pending", text))
+    return out.when(F.col("track") == "chunk_exact", label("🎯", hits("待判定"), "chunk_exact", "精确匹配评测（segment_id / content_hash）")).otherwise(label(*UNKNOWN_TRACK))
 
 
 def metrics(results: DataFrame, by: list[str]) -> DataFrame:
@@ -130,6 +160,7 @@ def metrics(results: DataFrame, by: list[str]) -> DataFrame:
     rate = lambda cond, v: F.avg(F.when(cond, v))
     cols = [F.count("*").alias("total"), F.count_if(ok).alias("evaluated"), F.count_if(~ok).alias("errors")]
     cols += [F.count_if(on("retrieval") & usable).alias("retrieval_track_count")]
+    cols += [F.count_if(on(t)).alias(f"{t}_track_count") for t in ("strict_qa", "grounded_qa", "chunk_exact")]
     cols += [rate(on("retrieval") & usable, F.coalesce(f"top{k}_hit", F.lit(0))).alias(f"retrieval_top{k}_hit_rate") for k in (1, 3, 5)]
     cols += [rate(on(f"{t}_qa"), F.coalesce("answer_correct", F.lit(0))).alias(f"{t}_qa_answer_rate") for t in ("strict", "grounded")]
     cols += [F.count_if(on("chunk_exact") & usable & F.col("top1_hit").isNotNull()).alias("chunk_exact_evaluable_count")]

@@ -1,7 +1,8 @@
 """Judging, metrics, reports and run comparison.
 
-The model's part of a verdict can't be computed here: over the test tables a fixed stand-in takes its place
-(``answer_correct`` from the length of the answer, an error for every 97th sample), the same in Spark and in SQL.
+No model can be asked here. Answers are judged exactly: one is correct if it contains its reference or is contained in it, and
+grounded if a result contains it, in the normal form of containment tests. Retrieval samples that only a model could
+settle have the error ``not_judged``. The model's stage itself runs over an injected client (JDG-07, JDG-08).
 """
 
 from __future__ import annotations
@@ -11,8 +12,11 @@ from pyspark.sql import functions as F
 
 from ..functions.text import non_blank
 from ..operators import judge as J
+from ..operators import model as M
+from ..operators import prompts as T
 from ..operators import reports as P
-from ..runtime import table
+from ..runtime import materialise, new_path, table
+from ..sources import files
 from . import sqltext as q
 from .assembly import judge_key
 from .define import Registry
@@ -35,14 +39,15 @@ def results(spark: SparkSession, d: str) -> DataFrame:
     pre = J.prescreened(_samples(spark, d), _hits(spark, d))
     s = _samples(spark, d).select("sample_id", "question_id", "question_set_id", "source_file_name", "topic", "difficulty", "source_format", "document_id", "config_id", "question", "final_answer", "reference_answer")
     r = pre.join(s, "sample_id")
-    answered = F.col("track").isin("strict_qa", "grounded_qa") & non_blank("final_answer").isNotNull()
     pending = (F.col("track") == "chunk_exact") & (F.coalesce("chunk_exact_status", F.lit("")) != "")
+    said, asked = J.match_form("final_answer"), J.match_form("reference_answer")
+    right = F.when(F.col("track") == "strict_qa", F.contains(said, asked) | F.contains(asked, said)).when(F.col("track") == "grounded_qa", F.col("answer_rank").isNotNull())
     return r.withColumns(
         {
             "has_reference": non_blank("reference_answer").isNotNull(),
-            "answer_correct": F.when(answered, (F.length("final_answer") % 3 > 0).cast("int")),
+            "answer_correct": F.when(non_blank("final_answer").isNotNull(), right.cast("int")),
             "retrieval_evaluable": ~((F.col("track") == "not_evaluable") | pending),
-            "error": F.when((F.col("track") != "chunk_exact") & (F.col("sample_id") % 97 == 0), "timeout"),
+            "error": F.when((F.col("track") == "retrieval") & (F.col("rule") == "needs_model"), "not_judged"),
         }
     ).drop("final_answer", "reference_answer")
 
@@ -50,6 +55,7 @@ def results(spark: SparkSession, d: str) -> DataFrame:
 _RES = f"with {q.EXACT}, {q.PRE}, {q.RESULTS}"
 _TOPS = ", ".join(f"avg(case when track = 'retrieval' and retrieval_evaluable then coalesce(top{k}_hit, 0) end) as retrieval_top{k}_hit_rate" for k in (1, 3, 5))
 _METRICS = f"""count(*) as total, count(*) filter (error is null) as evaluated, count(*) filter (error is not null) as errors, count(*) filter (error is null and track = 'retrieval' and retrieval_evaluable) as retrieval_track_count,
+{', '.join(f"count(*) filter (error is null and track = '{t}') as {t}_track_count" for t in ('strict_qa', 'grounded_qa', 'chunk_exact'))},
 {', '.join(f"avg(case when error is null and track = 'retrieval' and retrieval_evaluable then coalesce(top{k}_hit, 0) end) as retrieval_top{k}_hit_rate" for k in (1, 3, 5))},
 {', '.join(f"avg(case when error is null and track = '{t}_qa' then coalesce(answer_correct, 0) end) as {t}_qa_answer_rate" for t in ('strict', 'grounded'))},
 count(*) filter (error is null and track = 'chunk_exact' and retrieval_evaluable and top1_hit is not null) as chunk_exact_evaluable_count,
@@ -62,14 +68,14 @@ def jdg_01(spark, d):
     return _samples(spark, d).select("sample_id", J.track().alias("track"))
 
 
-@query("JDG-02", f"with {q.EXACT}, {q.PRE} select * from pre")
+@query("JDG-02", f"with {q.EXACT}, {q.PRE} select * exclude (answer_rank) from pre")
 def jdg_02(spark, d):
-    return J.prescreened(_samples(spark, d), _hits(spark, d))
+    return J.prescreened(_samples(spark, d), _hits(spark, d)).drop("answer_rank")
 
 
 @query("JDG-03", f"with {q.EXACT}, {q.PRE} select sample_id, n_results, n_content, gold_rank from ranks")
 def jdg_03(spark, d):
-    return J.evidence_ranks(_samples(spark, d), _hits(spark, d))
+    return J.evidence_ranks(_samples(spark, d), _hits(spark, d)).drop("answer_rank")
 
 
 @query("JOI-12", f"with {q.EXACT}, {q.PRE} select sample_id, gold_rank from ranks where gold_rank is not null")
@@ -106,21 +112,107 @@ def jdg_06(spark, d):
     return open_.join(keys, "sample_id").groupBy("judge_key").agg(F.count("*").alias("n_samples"), F.min("sample_id").alias("first_sample"))
 
 
-@query("JDG-07")
+_SHOWN = f"""shown as (select trace_id, rank_position, hit_id, concat_ws(' ', '[' || rank_position || ']', nullif(document_name, ''), '(score: ' || printf('%.4f', score) || ')') as label,
+  {q.strip(r"regexp_replace(regexp_replace(coalesce(nullif(content, ''), '" + T.NO_CONTENT + r"'), '<metadata>\\s*\\{[\\s\\S]*?\\}\\s*</metadata>\\s*', '', 'g'), '\\n{3,}', chr(10) || chr(10), 'g')")} as body,
+  row_number() over (partition by trace_id order by rank_position, hit_id) as i from retrieval_results where call_order = 1),
+cutted as (select trace_id, i, case when length(body) > lim then left(body, lim) || '{T.CUT}' else body end as body, label from (select *, coalesce([{', '.join(map(str, T.CONTENT_LIMITS))}][i], {T.CONTENT_LIMITS[-1]}) as lim from shown)),
+lst as (select trace_id, cast(count(*) as integer) as n_results, list(case when label <> '' then label || chr(10) else '' end || body order by i) as blocks, string_agg('--- 检索结果 ' || i || ' ---' || chr(10) || case when label <> '' then label || chr(10) else '' end || body, chr(10) || chr(10) order by i) as listing from cutted group by 1)"""
+
+
+def _sql_text(t: str) -> str:
+    return "'" + t.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+
+
+def _sql_prompt() -> str:
+    """The prompt of a sample as SQL, from the same templates."""
+    values = {
+        "question": f"coalesce(nullif(question, ''), '{T.NOTHING}')",
+        "retrieval_query": f"coalesce(nullif(retrieval_query, ''), '{T.NOTHING}')",
+        "retrieval_results": f"coalesce(listing, '{T.NO_RESULTS}')",
+        "final_answer": f"coalesce(nullif(final_answer, ''), '{T.NOTHING}')",
+        "gold_evidence": f"coalesce(nullif({q.gold()}, ''), '{T.NO_GOLD}')",
+        "reference_answer": f"coalesce(nullif(reference_answer, ''), '{T.NOTHING}')",
+        "source_excerpt": f"coalesce(nullif(source_excerpt, ''), '{T.NOTHING}')",
+    }
+    whens = []
+    for name, template in T.TEMPLATES.items():
+        filled = _sql_text(template)
+        for place, value in values.items():
+            if "{" + place + "}" in template:
+                filled = f"replace({filled}, '{{{place}}}', {value})"
+        whens.append(f"when track = '{name}' then {filled}")
+    hint = f"case when track = 'retrieval' and rule_hint is not null then replace({_sql_text(T.HINT)}, '{{rank}}', cast(rule_hint as varchar)) else '' end"
+    return f"case {' '.join(whens)} end || {hint}"
+
+
+_PROMPTS = f"with {q.EXACT}, {q.PRE}, {_SHOWN}, pr as (select p.sample_id, p.track, p.rule, coalesce(l.n_results, 0) as n_results, l.blocks, {_sql_prompt()} as prompt, {q.gold()} as gold, {q.strip(chr(39) + chr(39) + ' || s.final_answer')} as said, {q.strip('s.reference_answer')} as ref from pre p join samples s using (sample_id) left join lst l on l.trace_id = s.trace_id)"
+
+
+def _prompts(spark, d):
+    pre = J.prescreened(_samples(spark, d), _hits(spark, d)).select("sample_id", "track", "rule", "rule_hint")
+    return T.prompts(_samples(spark, d).join(pre, "sample_id"), _hits(spark, d)).join(pre.select("sample_id", "rule"), "sample_id")
+
+
+@query("JDG-10", f"{_PROMPTS} select sample_id, track, length(prompt) as n_chars, md5(prompt) as prompt_md5 from pr")
+def jdg_10(spark, d):
+    """The whole prompt of every sample by the template of its track, as size and digest."""
+    return _prompts(spark, d).select("sample_id", "track", F.length("prompt").cast("bigint").alias("n_chars"), F.md5("prompt").alias("prompt_md5"))
+
+
+@query("JDG-07", f"""{_PROMPTS}, a as (select *, list_position(list_transform(blocks[:5], lambda x: contains(x, gold)), true) as pos0, case when coalesce(ref, '') <> '' and track = 'strict_qa' then contains(said, ref) or contains(ref, said) else coalesce(len(list_filter(blocks, lambda x: contains(x, said))) > 0, false) end as good from pr where rule = 'needs_model'),
+b as (select *, nullif(coalesce(pos0, 0), 0) as pos from a)
+select sample_id, case when track = 'retrieval' then cast(pos as integer) end as position, {', '.join(f"case when track = 'retrieval' then cast(coalesce(pos <= {k}, false) as integer) end as top{k}" for k in (1, 3, 5))}, case when track <> 'retrieval' then cast(coalesce(said, '') <> '' and good as integer) end as answer_correct, cast(null as varchar) as problem from b""")
 def jdg_07(spark, d):
-    """The model's stage with an injected client: verdicts for distinct contents in parallel, errors kept per row."""
-    from ..operators.model import judge_with, stub_client
+    """The model's stage over its prompts with an injected client that looks for evidence and answers word for word; replies parsed and checked."""
+    asked = materialise(_prompts(spark, d).where("rule = 'needs_model'").withColumn("judge_key", F.md5("prompt")), "prompts")
+    distinct = asked.groupBy("judge_key").agg(F.min("prompt").alias("prompt"))  # one call per content
+    called = M.call_model(distinct, M.exact_reader, pause=lambda s: None)
+    v = asked.drop("prompt").join(called, "judge_key").withColumn("v", M.verdict(F.col("reply"), F.col("track"), F.col("n_results")))
+    return v.select("sample_id", "v.position", "v.top1", "v.top3", "v.top5", "v.answer_correct", F.coalesce("error", "v.problem").alias("problem"))
+
+
+@query("JDG-08", "with a as (select sample_id, case when coalesce(final_answer, '') = '' then 1 else least(sample_id % 6 + 1, 4) end as tries, case when coalesce(final_answer, '') = '' then 'HTTP 400' when sample_id % 6 > 3 then case when sample_id % 2 = 0 then 'HTTP 429' else 'timeout' end end as error from samples) select sample_id, cast(tries as integer) as tries, error from a")
+def jdg_08(spark, d):
+    """Calls over a service that is overloaded or slow for some and refuses empty answers: what passes is tried again, up to four tries in all."""
+
+    def client_for() -> M.Client:
+        seen: dict[str, int] = {}
+
+        def client(prompt: str) -> str:
+            key, _, answer = prompt.partition("\n")
+            seen[key] = n = seen.get(key, 0) + 1
+            if not answer:
+                raise M.ServiceError("HTTP 400", 400)
+            if n <= int(key) % 6:
+                raise M.ServiceError("HTTP 429", 429, "0") if int(key) % 2 == 0 else TimeoutError("timeout")
+            return "{}"
 
-    plan = jdg_06(spark, d).join(_samples(spark, d).select(F.col("sample_id").alias("first_sample"), "question", "final_answer"), "first_sample")
-    return judge_with(plan.select("judge_key", "question", "final_answer"), stub_client)
+        return client
 
+    key = F.col("sample_id").cast("string")
+    rows = _samples(spark, d).select(key.alias("judge_key"), F.concat(key, F.lit("\n"), F.coalesce("final_answer", F.lit(""))).alias("prompt"))
+    return M.call_model(rows, client_for(), pause=lambda s: None).select(F.col("judge_key").cast("bigint").alias("sample_id"), "tries", "error")
 
-@query("JDG-09", f"{_RES} select case when rule <> 'needs_model' then 'prescreened' when error is not null then 'retry' when sample_id % 2 = 0 then 'success' else 'new' end as step, count(*) as n from results group by 1")
+
+_KEY = "left(md5(" + " || chr(10) || ".join([q.strip(f"coalesce({c}, '')") for c in ("question_mode", "question", "retrieval_query", "final_answer")] + [q.gold()]) + "), 12)"
+_EXISTING = "ex as (select trace_id, true as judged, bool_and(coalesce(final_answer, '') = '') as failed from samples where created_at < (select date_trunc('month', max(created_at)) from samples) group by 1)"
+
+
+@query("JDG-09", f"""with {q.EXACT}, {q.PRE}, {_EXISTING}, st as (select p.sample_id, p.rule = 'needs_model' as needs, {_KEY} as key, case when ex.judged is null then 'new' when failed then 'retry' else 'success' end as state from pre p join samples using (sample_id) left join ex on ex.trace_id = p.trace_id),
+m as (select 'incremental' as mode, * from st where state <> 'success' union all select 'retry_failed', * from st where state = 'retry' union all select 'force_all', * from st union all select 'quick_test', * from (select * from st where needs and state <> 'success' order by state = 'retry', sample_id limit 1))
+select mode, count(*) as n_samples, count(*) filter (state = 'new') as n_new, count(*) filter (state = 'retry') as n_retry, count(*) filter (state = 'success') as n_again, count(distinct case when needs then key end) as n_calls from m group by 1""")
 def jdg_09(spark, d):
-    """The plan of an incremental judge run: results exist for even samples; errors are retried, the rest is new."""
-    done = results(spark, d).select("sample_id", "error", "rule")
-    step = F.when(F.col("rule") != "needs_model", "prescreened").when(F.col("error").isNotNull(), "retry").when(F.col("sample_id") % 2 == 0, "success").otherwise("new")
-    return done.groupBy(step.alias("step")).agg(F.count("*").alias("n"))
+    """What a judge run would take up in each mode, where all samples before the last month have results and empty answers had failed."""
+    s = _samples(spark, d)
+    last = s.agg(F.date_trunc("month", F.max("created_at")).cast("timestamp_ntz").alias("since"))
+    existing = s.crossJoin(last).where("created_at < since").select("trace_id", F.when(F.coalesce("final_answer", F.lit("")) == "", "failed").alias("error"))
+    pre = J.prescreened(s, _hits(spark, d)).select("sample_id", (F.col("rule") == "needs_model").alias("needs_model"))
+    open_ = materialise(pre.join(s.select("sample_id", "trace_id", judge_key().alias("judge_key")), "sample_id"), "plan")
+    out = None
+    for mode in M.PLAN_MODES:
+        one = M.plan_counts(M.run_plan(open_, existing, mode)).select(F.lit(mode).alias("mode"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out.where("n_samples > 0")
 
 
 @query("AGG-03", f"{_RES} select {_METRICS} from results")
@@ -382,10 +474,24 @@ def joi_06(spark, d):
     return s.groupBy("run_id").agg(F.count("*").alias("n_samples"), F.count_if("judged").alias("n_judged"), F.countDistinct("stored").alias("n_traces"))
 
 
-@query("PRJ-23", f"{_RES} select sample_id, case when error is not null then 'error' when not retrieval_evaluable then 'pending' when top1_hit = 1 then 'hit_top1' when top5_hit = 1 then 'hit_top5' when top5_hit = 0 then 'miss' else 'open' end as status from results")
+def _sql_label() -> str:
+    row = lambda icon, title, status, text: f"{{'icon': '{icon}', 'title': {title}, 'status': '{status}', 'description': '{text}'}}"
+    tops = "list_filter([" + ", ".join(f"case when top{k}_hit = 1 then 'Top{k} {J.HIT}' when top{k}_hit is not null then 'Top{k} {J.MISS}' end" for k in (1, 3, 5)) + "], lambda x: x is not null)"
+    hits = lambda nothing: f"coalesce(nullif(array_to_string({tops}, '{J.BAR}'), ''), '{nothing}')"
+    text = lambda t: (t[0], f"'{t[1]}'", t[2], t[3])
+    whens = [f"when track = 'retrieval' then {row('🔍', hits('无检索结果'), 'retrieval', '检索命中评测')}"]
+    for track, (good, bad) in J.TITLES.items():
+        whens += [f"when track = '{track}' and coalesce(answer_correct, 0) = 1 then {row(*text(good))}", f"when track = '{track}' then {row(*text(bad))}"]
+    whens.append(f"when track = 'not_evaluable' then {row(*text(J.NOT_EVALUABLE))}")
+    whens += [f"when track = 'chunk_exact' and chunk_exact_status = '{k}' then {row('⚠️', chr(39) + t + chr(39), 'chunk_exact_pending', x)}" for k, (t, x) in J.PENDING.items()]
+    whens.append(f"when track = 'chunk_exact' then {row('🎯', hits('待判定'), 'chunk_exact', '精确匹配评测（segment_id / content_hash）')}")
+    return f"case {' '.join(whens)} else {row(*text(J.UNKNOWN_TRACK))} end"
+
+
+@query("PRJ-23", f"{_RES} select sample_id, l.icon as icon, l.title as title, l.status as status, l.description as description from (select sample_id, {_sql_label()} as l from results)")
 def prj_23(spark, d):
-    s = F.when(F.col("error").isNotNull(), "error").when(~F.col("retrieval_evaluable"), "pending").when(F.col("top1_hit") == 1, "hit_top1").when(F.col("top5_hit") == 1, "hit_top5").when(F.col("top5_hit") == 0, "miss").otherwise("open")
-    return results(spark, d).select("sample_id", s.alias("status"))
+    """How each result is shown: icon, title, status and description by track."""
+    return results(spark, d).select("sample_id", J.status_label().alias("l")).select("sample_id", "l.*")
 
 
 @query("FLT-11", f"{_RES} select sample_id, case when hit_evidence_position is null then (coalesce(top1_hit, 0), coalesce(top3_hit, 0), coalesce(top5_hit, 0)) = (0, 0, 0) when hit_evidence_position <= 5 then (top1_hit, top3_hit, top5_hit) = (cast(hit_evidence_position <= 1 as integer), cast(hit_evidence_position <= 3 as integer), 1) else top5_hit = 0 end as consistent from results")

@@ -292,15 +292,6 @@ TEMPLATES = {
 }
 
 
-@query("JDG-10", f"select sample_id, case {q.track()} when 'retrieval' then 3 when 'strict_qa' then 3 when 'grounded_qa' then 2 end as n_places from samples")
-def jdg_10(spark, d):
-    """The template of a sample's track, by its number of places."""
-    from ..operators.judge import track
-
-    sizes = F.create_map(*[F.lit(x) for k, v in TEMPLATES.items() for x in (k, v.count("{"))])
-    return table(spark, d, "samples").select("sample_id", F.try_element_at(sizes, track()).alias("n_places"))
-
-
 @query("LLM-04", "select sample_id, 'Question: ' || coalesce(nullif(question, ''), '(none)') || chr(10) || 'Answer: ' || coalesce(nullif(final_answer, ''), '(none)') as prompt from samples")
 def llm_04(spark, d):
     """Prompts from a template."""
@@ -313,19 +304,6 @@ def llm_10(spark, d):
     return n.select("sheet", T.filled("Sheet {sheet} with {rows} rows", sheet=F.col("sheet"), rows=F.col("rows")).alias("prompt"))
 
 
-@query("JDG-08", "select count(*) as n_rows, count(*) filter (coalesce(final_answer, '') = '') as n_errors from samples")
-def jdg_08(spark, d):
-    """Calls with retries: a client that refuses empty answers, its errors kept per row."""
-
-    def client(prompt: str) -> str:
-        if not prompt.partition("\n")[2]:
-            raise RuntimeError("empty")
-        return json.dumps({"answer_correct": 1})
-
-    rows = table(spark, d, "samples").select(F.col("sample_id").cast("string").alias("judge_key"), F.regexp_replace("question", "\n", " ").alias("question"), "final_answer")
-    return judge_with(rows, client).agg(F.count("*").alias("n_rows"), F.count("error").alias("n_errors"))
-
-
 @query("LLM-12", "select count(*) as n_rows, count(distinct question_id) as n_questions from questions where trim(coalesce(question, '')) <> ''")
 def llm_12(spark, d):
     """A batch of questions asked through a client: one row per question, failures isolated."""

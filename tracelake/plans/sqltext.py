@@ -80,21 +80,21 @@ exact0 as (select s.sample_id, s.trace_id, s.run_id, p.pos, p.n_calls, p.n_hit,
 exact as (select sample_id, trace_id, run_id, {', '.join(f"case when st = '' then coalesce(cast(pos <= {k} as integer), 0) end as retrieval_top{k}_hit" for k in (1, 3, 5, 10))},
     case when st = '' then pos end as hit_evidence_position, st as chunk_exact_status, st = '' as retrieval_evaluable, case when st = '' then n_calls end as retrieval_call_count, case when st = '' then n_hit end as subquery_hit_count from exact0)"""
 
-PRE = f"""golds as (select sample_id, trace_id, {match_form(gold())} as g from samples),
+PRE = f"""golds as (select sample_id, trace_id, {match_form(gold())} as g, {match_form('final_answer')} as said from samples),
 hits1 as (select trace_id, rank_position as rank, {non_blank('content')} as content, {match_form(non_blank('content'))} as form from retrieval_results where call_order = 1),
 ranks as (select sample_id, cast(count(*) as integer) as n_results, cast(count(*) filter (content is not null and rank <= 5) as integer) as n_content,
-    min(case when content is not null and rank <= 10 and length(g) >= 8 and contains(form, g) then rank end) as gold_rank from golds join hits1 using (trace_id) group by 1),
-ruled as (select s.*, r.n_results, r.n_content, r.gold_rank, e.hit_evidence_position as ep, e.chunk_exact_status, coalesce(r.n_results, 0) = 0 as none, {non_blank('s.question')} is null as no_q, {non_blank('s.final_answer')} is null as no_a
+    min(case when content is not null and rank <= 10 and length(g) >= 8 and contains(form, g) then rank end) as gold_rank, min(case when content is not null and said <> '' and contains(form, said) then rank end) as answer_rank from golds join hits1 using (trace_id) group by 1),
+ruled as (select s.*, r.n_results, r.n_content, r.gold_rank, r.answer_rank, e.hit_evidence_position as ep, e.chunk_exact_status, coalesce(r.n_results, 0) = 0 as none, {non_blank('s.question')} is null as no_q, {non_blank('s.final_answer')} is null as no_a
   from (select *, {track()} as track from samples) s left join ranks r using (sample_id) left join exact e using (sample_id)),
 named as (select *, case when track = 'not_evaluable' then 'not_evaluable' when track = 'chunk_exact' then 'chunk_exact' when no_q then 'no_question' when track = 'retrieval' and none then 'empty_results'
     when track = 'retrieval' and n_content = 0 then 'no_content' when track = 'retrieval' and gold_rank = 1 then 'exact_contains_top1' when track = 'retrieval' then 'needs_model' when none and no_a then 'no_retrieval_no_answer'
     when none then 'needs_model' when no_a then 'no_answer' else 'needs_model' end as rule from ruled),
 placed as (select *, case when rule = 'exact_contains_top1' then 1 when rule = 'chunk_exact' then ep end as position, rule = 'needs_model' or (rule = 'chunk_exact' and coalesce(chunk_exact_status, '') <> '') as pending from named),
 pre as (select sample_id, trace_id, run_id, track, rule, {', '.join(f"case when not pending then coalesce(cast(position <= {k} as integer), 0) end as top{k}_hit" for k in (1, 3, 5, 10))}, position as hit_evidence_position, chunk_exact_status,
-    case when rule = 'needs_model' and track = 'retrieval' and gold_rank between 2 and 5 then gold_rank end as rule_hint from placed)"""
+    case when rule = 'needs_model' and track = 'retrieval' and gold_rank between 2 and 5 then gold_rank end as rule_hint, answer_rank from placed)"""
 
-#: Judge results over the test tables: rule verdicts, the model's part replaced by a fixed stand-in (see plans.judging).
+#: Judge results over the test tables: rule verdicts, and for answers the exact judge (see plans.judging).
 RESULTS = f"""results as (select p.*, s.question_id, s.question_set_id, s.source_file_name, s.topic, s.difficulty, s.source_format, s.document_id, s.config_id, s.question, {non_blank('s.reference_answer')} is not null as has_reference,
-    case when track in ('strict_qa', 'grounded_qa') and {non_blank('s.final_answer')} is not null then cast(length(s.final_answer) % 3 > 0 as integer) end as answer_correct,
+    case when {non_blank('s.final_answer')} is null then null when track = 'strict_qa' then cast(contains({match_form('s.final_answer')}, {match_form('s.reference_answer')}) or contains({match_form('s.reference_answer')}, {match_form('s.final_answer')}) as integer) when track = 'grounded_qa' then cast(answer_rank is not null as integer) end as answer_correct,
     not (track = 'not_evaluable' or (track = 'chunk_exact' and coalesce(p.chunk_exact_status, '') <> '')) as retrieval_evaluable,
-    case when track <> 'chunk_exact' and s.sample_id % 97 = 0 then 'timeout' end as error from pre p join samples s using (sample_id))"""
+    case when track = 'retrieval' and rule = 'needs_model' then 'not_judged' end as error from pre p join samples s using (sample_id))"""
