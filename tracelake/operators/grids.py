@@ -9,7 +9,7 @@ from ..functions.text import non_blank, strip
 
 BLOCK_ROWS = 30
 # Words of total rows, and the form of numbers, percentages and amounts.
-TOTALS = "合计|总计|小计|汇总|total|subtotal|sum"
+TOTALS = "总计|合计|小计|汇总|总成本|总费用|总金额|小合计|total|subtotal|grand total|sum"
 NUMBER = r"^[-+]?[¥$€]?\s*\d[\d,]*(?:\.\d+)?\s*(?:%|元|万元)?$"
 
 
@@ -25,9 +25,10 @@ def cells(lines: DataFrame, sheet: str, text: str, joint: str = r"\|") -> DataFr
 
 
 def row_profile(grid: DataFrame) -> DataFrame:
-    """Per row: filled cells, numeric cells, and whether it is a total row (a key word, or nothing but numbers)."""
+    """Per row: filled cells, numeric cells, and whether it is a total row (a key word in its first filled cell, or nothing but numbers)."""
     filled, number = F.col("value").isNotNull(), is_number(F.col("value"))
-    p = grid.groupBy("sheet", "row").agg(F.count_if(filled).cast("int").alias("n_filled"), F.count_if(number).cast("int").alias("n_numeric"), F.bool_or(F.coalesce(F.lower("value").rlike(TOTALS), F.lit(False))).alias("has_total"))
+    first = F.min(F.when(filled, F.struct("col", "value")))["value"]
+    p = grid.groupBy("sheet", "row").agg(F.count_if(filled).cast("int").alias("n_filled"), F.count_if(number).cast("int").alias("n_numeric"), F.coalesce(F.lower(first).rlike(TOTALS), F.lit(False)).alias("has_total"))
     return p.withColumn("is_summary", F.col("has_total") | ((F.col("n_filled") > 0) & (F.col("n_filled") == F.col("n_numeric"))))
 
 

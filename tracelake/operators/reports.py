@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import non_blank
+from .judge import match_form
+
 UNKNOWN = "(unknown)"
 
 
@@ -30,13 +33,23 @@ def grouped_rates(results: DataFrame, dims: list[str]) -> DataFrame:
     return out.select(which.alias("dimension"), F.coalesce(*dims).alias("value"), "n", "top1_rate", "top3_rate", "top5_rate", "strict_rate", "grounded_rate")
 
 
-def aligned(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Two runs side by side on question_id, one row per question of either run, the last sample of a question winning."""
+def aligned(old: DataFrame, new: DataFrame, hits: DataFrame, max_rank: int = 10) -> DataFrame:
+    """Two runs side by side on question_id, one row per question of either run, the last sample of a question winning.
 
-    def last(df: DataFrame, tag: str) -> DataFrame:
-        return df.where("question_id is not null and question_id != ''").groupBy("question_id").agg(F.max_by(F.struct("rank", "top5_hit"), F.col("sample_id")).alias(tag))
+    Both sides have the columns question_id, sample_id, trace_id, gold and top5_hit. ``rank`` is where the gold evidence (the old
+    run's, else the new one's) first stands in each run's own results, so a verdict of a model isn't needed.
+    """
 
-    return last(old, "old").join(last(new, "new"), "question_id", "full")
+    def last(df: DataFrame, tag: str) -> DataFrame:
+        return df.where("question_id is not null and question_id != ''").groupBy("question_id").agg(F.max_by(F.struct("trace_id", "gold", "top5_hit"), F.col("sample_id")).alias(tag))
+
+    pairs = last(old, "o").join(last(new, "n"), "question_id", "full").withColumn("gold", F.coalesce(F.nullif("o.gold", F.lit("")), F.nullif("n.gold", F.lit(""))))
+    sides = F.array(*[F.struct(F.lit(t).alias("side"), F.col(f"{t}.trace_id").alias("trace_id")) for t in ("o", "n")])
+    asked = pairs.where("gold is not null").select("question_id", "gold", F.explode(sides).alias("s")).select("question_id", "gold", "s.*").where("trace_id is not null")
+    shown = hits.where((F.col("call_order") == 1) & (F.col("rank_position") <= max_rank)).select("trace_id", "rank_position", match_form(non_blank("content")).alias("form")).where("form != ''")
+    found = asked.join(shown, "trace_id").where(F.contains("form", "gold")).groupBy("question_id").agg(*[F.min(F.when(F.col("side") == t, F.col("rank_position"))).alias(f"{t}_rank") for t in ("o", "n")])
+    side = lambda t: F.when(F.col(t).isNotNull(), F.struct(F.col(f"{t}_rank").alias("rank"), F.col(f"{t}.top5_hit").alias("top5_hit")))
+    return pairs.join(found, "question_id", "left").select("question_id", side("o").alias("old"), side("n").alias("new"))
 
 
 def diff_class() -> Column:

@@ -7,7 +7,7 @@ settle have the error ``not_judged``. The model's stage itself runs over an inje
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import non_blank
@@ -325,16 +325,19 @@ def flt_24(spark, d):
 
 def _pair(spark, d):
     """The two runs with most samples (ties by id) as old and new."""
-    r = results(spark, d).withColumn("rank", F.when(F.col("top10_hit") == 1, F.col("hit_evidence_position")))
+    gold = _samples(spark, d).select("sample_id", J.match_form(J.gold_evidence()).alias("gold"))
+    r = results(spark, d).select("sample_id", "run_id", "question_id", "trace_id", "top5_hit").join(gold, "sample_id")
     runs = [x.run_id for x in _samples(spark, d).where("run_id is not null").groupBy("run_id").count().orderBy(F.desc("count"), "run_id").limit(2).collect()]
     runs += [None] * (2 - len(runs))
-    return P.aligned(r.where(F.col("run_id") == F.lit(runs[0])), r.where(F.col("run_id") == F.lit(runs[1])))
+    return P.aligned(r.where(F.col("run_id") == F.lit(runs[0])), r.where(F.col("run_id") == F.lit(runs[1])), _hits(spark, d))
 
 
 _PAIR = f"""{_RES}, top2 as (select run_id, row_number() over (order by count(*) desc, run_id) as rn from samples where run_id is not null group by 1),
-side as (select question_id, rn, arg_max(coalesce(case when top10_hit = 1 then hit_evidence_position end, 99), sample_id) as rank, arg_max(coalesce(top5_hit, -1), sample_id) as h from results join top2 using (run_id) where rn <= 2 and question_id is not null and question_id <> '' group by 1, 2),
-al as (select coalesce(a.question_id, b.question_id) as question_id, a.question_id is not null as has_old, b.question_id is not null as has_new, nullif(a.rank, 99) as o, nullif(b.rank, 99) as n, nullif(a.h, -1) as oh, nullif(b.h, -1) as nh
-  from (select * from side where rn = 1) a full join (select * from side where rn = 2) b on a.question_id = b.question_id)"""
+side as (select question_id, rn, arg_max(coalesce(r.trace_id, ''), r.sample_id) as tid, arg_max(g.g, r.sample_id) as gold, arg_max(coalesce(top5_hit, -1), r.sample_id) as h from results r join top2 using (run_id) join golds g on g.sample_id = r.sample_id where rn <= 2 and question_id is not null and question_id <> '' group by 1, 2),
+al0 as (select coalesce(a.question_id, b.question_id) as question_id, a.question_id is not null as has_old, b.question_id is not null as has_new, a.tid as ot, b.tid as nt, coalesce(nullif(a.gold, ''), nullif(b.gold, '')) as gold, nullif(a.h, -1) as oh, nullif(b.h, -1) as nh
+  from (select * from side where rn = 1) a full join (select * from side where rn = 2) b on a.question_id = b.question_id),
+rk as (select question_id, min(case when t.trace_id = ot then rank end) as o, min(case when t.trace_id = nt then rank end) as n from al0 join hits1 t on (t.trace_id = ot or t.trace_id = nt) where rank <= 10 and form <> '' and gold is not null and contains(form, gold) group by 1),
+al as (select al0.*, o, n from al0 left join rk using (question_id))"""
 
 
 @query("JOI-07", f"{_PAIR} select question_id, o as old_rank, n as new_rank, has_old, has_new from al")
@@ -405,7 +408,10 @@ def agg_20(spark, d):
 
 
 def _failures(spark, d):
-    r = results(spark, d)
+    return _failure_rows(results(spark, d))
+
+
+def _failure_rows(r):
     miss5, miss1 = F.coalesce("top5_hit", F.lit(0)) == 0, F.coalesce("top1_hit", F.lit(0)) == 0
     bad = F.col("error").isNotNull() | miss5 | miss1 | F.coalesce(F.col("answer_correct") == 0, F.lit(False))
     kind = F.when(F.col("error").isNotNull(), "error").when(miss5, "top5_miss").when(F.col("answer_correct") == 0, "wrong_answer").otherwise("sorting_issue")
@@ -416,8 +422,6 @@ def _failures(spark, d):
 @query("AGG-21", f"{_RES}, f as (select sample_id, case when error is not null then 'error' when coalesce(top5_hit, 0) = 0 then 'top5_miss' when answer_correct = 0 then 'wrong_answer' else 'sorting_issue' end as failure_type, coalesce(nullif(source_file_name, ''), nullif(question_set_id, ''), '(unknown)') as source_key from results where error is not null or coalesce(top5_hit, 0) = 0 or coalesce(top1_hit, 0) = 0 or answer_correct = 0) select sample_id, failure_type, source_key, cast((row_number() over (partition by failure_type, source_key order by sample_id) - 1) // 4 as bigint) as batch from f")
 def agg_21(spark, d):
     """Sub-batches of four within a failure group."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy("failure_type", "source_key").orderBy("sample_id")
     return _failures(spark, d).withColumn("batch", F.floor((F.row_number().over(w) - 1) / 4))
 
@@ -435,26 +439,85 @@ def agg_18(spark, d):
     return results(spark, d).select(F.explode(parts).alias("p")).groupBy("p.part", "p.value").agg(F.count("*").alias("n"))
 
 
-@query("SNK-14", f"{_RES} select run_id, count(*) as n_samples, count(*) filter (top1_hit = 0 and top5_hit = 1) as sort_issues, count(*) filter (top5_hit = 0) as misses from results group by 1")
-def snk_14(spark, d):
-    """One row per run, as the runs CSV holds it."""
-    return results(spark, d).groupBy("run_id").agg(F.count("*").alias("n_samples"), F.count_if((F.col("top1_hit") == 0) & (F.col("top5_hit") == 1)).alias("sort_issues"), F.count_if(F.col("top5_hit") == 0).alias("misses"))
+_RUN_TEXTS = ["run_id", "config_id", "config_name", "knowledge_base_version", "workflow_version", "question_set_name", "question_set_id", "started_at", "status"]
+_RUN_COUNTS = ["question_count", "batch_success", "batch_total", "raw_count", "processed_count", "judge_count", "retrieval_track_count"]
+_RUN_TYPES = [(c, "string") for c in _RUN_TEXTS] + [(c, "bigint") for c in _RUN_COUNTS] + [(f"retrieval_top{k}_hit_rate", "double") for k in (1, 3, 5)]
+_RUN_TYPES += [x for t in ("strict_qa", "grounded_qa") for x in ((f"{t}_count", "bigint"), (f"{t}_answer_rate", "double"))] + [("chunk_exact_count", "bigint")]
+_RUN_TYPES += [(f"chunk_exact_top{k}_hit_rate", "double") for k in J.KS] + [("top10_miss_count", "bigint"), ("sorting_issue_count", "bigint"), ("errors", "bigint"), ("config_snapshot_summary", "string")]
+_TRACED = "st as (select distinct lower(replace(trim(trace_id), '-', '')) as k from traces where trim(trace_id) <> '')"
 
 
-@query("SNK-15", f"{_RES}, h as (select trace_id, {', '.join(f'max(segment_id) filter (rank_position = {k}) as segment_{k}, max(score) filter (rank_position = {k}) as score_{k}' for k in range(1, 6))} from retrieval_results where call_order = 1 group by 1) select r.sample_id, {', '.join(f'segment_{k}, score_{k}' for k in range(1, 6))} from results r left join h using (trace_id) where r.top5_hit = 0")
-def snk_15(spark, d):
-    """Failed samples with their first five results unrolled into columns, by one conditional aggregate."""
-    cols = [f(F.when(F.col("rank_position") == k, F.col(c))).alias(f"{n}_{k}") for k in range(1, 6) for f, c, n in ((F.max, "segment_id", "segment"), (F.max, "score", "score"))]
-    wide = _hits(spark, d).where("call_order = 1").groupBy("trace_id").agg(*cols)
-    return results(spark, d).where("top5_hit = 0").select("sample_id", "trace_id").join(wide, "trace_id", "left").drop("trace_id")
+def _csv_round_trip(spark, df, name: str, types: list[tuple[str, str]]):
+    """A table written as CSV and read again: NULL texts come back empty."""
+    path = new_path(spark, name)
+    files.write_csv(df.select(*[c for c, _ in types]).fillna("", [c for c, t in types if t == "string"]), path)
+    return files.read_csv(spark, path, ", ".join(f"{c} {t}" for c, t in types))
 
 
-@query("SNK-16", f"{_RES}, h as (select trace_id, string_agg(segment_id, '; ' order by rank_position, hit_id) as ids from retrieval_results where call_order = 1 and rank_position <= 10 group by 1) select r.sample_id, h.ids as returned_ids from results r left join h using (trace_id) where track = 'chunk_exact'")
+@query("SNK-14", f"""{_RES}, {_TRACED}, m as (select run_id, {_METRICS}, count(*) filter (error is null and track = 'chunk_exact' and coalesce(top10_hit, 0) = 0) as top10_miss_count, count(*) filter (error is null and track = 'retrieval' and retrieval_evaluable and coalesce(top1_hit, 0) = 0 and top5_hit = 1) as sorting_issue_count from results where run_id is not null group by 1),
+s as (select run_id, min(config_id) as config_id, min(question_set_id) as question_set_id, strftime(min(created_at), '%Y-%m-%dT%H:%M:%S') as started_at, count(*) as question_count, count(*) filter ({q.non_blank('final_answer')} is not null) as batch_success, count(st.k) as raw_count from samples left join st on st.k = lower(replace(trim(trace_id), '-', '')) where run_id is not null group by 1),
+qn as (select question_set_id, min(question_set_name) as question_set_name from questions group by 1)
+select run_id, coalesce(config_id, '') as config_id, '' as config_name, '' as knowledge_base_version, '' as workflow_version, coalesce(question_set_name, '') as question_set_name, coalesce(question_set_id, '') as question_set_id, coalesce(started_at, '') as started_at, '' as status, question_count, batch_success, question_count as batch_total, raw_count, question_count as processed_count, evaluated as judge_count, retrieval_track_count,
+{', '.join(f'retrieval_top{k}_hit_rate' for k in (1, 3, 5))}, strict_qa_track_count as strict_qa_count, strict_qa_answer_rate, grounded_qa_track_count as grounded_qa_count, grounded_qa_answer_rate, chunk_exact_track_count as chunk_exact_count, {', '.join(f'chunk_exact_top{k}_hit_rate' for k in J.KS)}, top10_miss_count, sorting_issue_count, errors, coalesce('config_id=' || config_id, '') as config_snapshot_summary
+from s join m using (run_id) left join qn using (question_set_id)""")
+def snk_14(spark, d):
+    """The runs CSV, all 32 columns; what no table holds (names and versions of configurations) stays empty."""
+    r = results(spark, d).where("run_id is not null")
+    ok = F.col("error").isNull()
+    extra = r.groupBy("run_id").agg(F.count_if(ok & (F.col("track") == "chunk_exact") & (F.coalesce("top10_hit", F.lit(0)) == 0)).alias("top10_miss_count"), F.count_if(ok & (F.col("track") == "retrieval") & F.col("retrieval_evaluable") & (F.coalesce("top1_hit", F.lit(0)) == 0) & (F.col("top5_hit") == 1)).alias("sorting_issue_count"))
+    key = lambda c: F.lower(F.replace(F.trim(c), F.lit("-"), F.lit("")))
+    stored = table(spark, d, "traces").where("trim(trace_id) != ''").select(key("trace_id").alias("k")).distinct().withColumn("stored", F.lit(1))
+    s = _samples(spark, d).where("run_id is not null").withColumn("k", key("trace_id")).join(stored, "k", "left")
+    s = s.groupBy("run_id").agg(F.min("config_id").alias("config_id"), F.min("question_set_id").alias("question_set_id"), F.date_format(F.min("created_at"), "yyyy-MM-dd'T'HH:mm:ss").alias("started_at"), F.count("*").alias("question_count"), F.count_if(non_blank("final_answer").isNotNull()).alias("batch_success"), F.count("stored").alias("raw_count"))
+    names = table(spark, d, "questions").groupBy("question_set_id").agg(F.min("question_set_name").alias("question_set_name"))
+    out = s.join(J.metrics(r, ["run_id"]), "run_id").join(extra, "run_id").join(names, "question_set_id", "left")
+    out = out.withColumnsRenamed({"evaluated": "judge_count", **{f"{t}_track_count": f"{t}_count" for t in ("strict_qa", "grounded_qa", "chunk_exact")}})
+    blank = {c: F.lit("") for c in ("config_name", "knowledge_base_version", "workflow_version", "status")}
+    out = out.withColumns({**blank, "batch_total": F.col("question_count"), "processed_count": F.col("question_count"), "config_snapshot_summary": F.concat(F.lit("config_id="), "config_id")})
+    return _csv_round_trip(spark, out, "runs", _RUN_TYPES)
+
+
+_FAIL_TEXTS = ["category", "run_id", "trace_id", "config_id", "config_name", "question_id", "question_set_id", "question", "retrieval_query", "gold_evidence", "evaluation_track"]
+_FAIL_TYPES = [("sample_id", "bigint")] + [(c, "string") for c in _FAIL_TEXTS] + [("hit_evidence_position", "int"), ("judge_reason", "string"), ("retrieval_result_count", "bigint")]
+_FAIL_TYPES += [(c, "string") for c in ("diagnostic_status", "source_format", "source_file_name", "topic", "difficulty", "evidence_sheet", "evidence_range", "knowledge_base_version", "workflow_version")]
+_FAIL_TYPES += [x for k in range(1, 6) for x in ((f"retrieval_{k}_document_name", "string"), (f"retrieval_{k}_score", "double"), (f"retrieval_{k}_content", "string"))]
+_FAILED = "error is null and track = 'retrieval' and retrieval_evaluable and coalesce(top1_hit, 0) = 0"
+
+
+@query("SNK-15", f"""{_RES}, h as (select trace_id, count(*) as n, {', '.join(f"max(document_name) filter (i = {k}) as d{k}, max(score) filter (i = {k}) as s{k}, max(content) filter (i = {k}) as c{k}" for k in range(1, 6))} from (select *, row_number() over (partition by trace_id order by rank_position, hit_id) as i from retrieval_results where call_order = 1) group by 1)
+select r.sample_id, case when coalesce(top5_hit, 0) = 0 then 'top5_miss' else 'sorting_issue' end as category, {', '.join(f"coalesce({c}, '') as {c.split('.')[1]}" for c in ('r.run_id', 'r.trace_id', 'r.config_id', 'r.question_id', 'r.question_set_id', 'r.question'))}, coalesce(nullif(s.retrieval_query, ''), r.question, '') as retrieval_query, {q.gold().replace('source_excerpt', 's.source_excerpt').replace('reference_answer', 's.reference_answer')} as gold_evidence, track as evaluation_track, hit_evidence_position, rule as judge_reason, coalesce(h.n, 0) as retrieval_result_count, case when h.n is null then 'no_results' else 'ok' end as diagnostic_status,
+{', '.join(f"coalesce(r.{c}, '') as {c}" for c in ('source_format', 'source_file_name', 'topic', 'difficulty'))}, {', '.join(f"'' as {c}" for c in ('config_name', 'evidence_sheet', 'evidence_range', 'knowledge_base_version', 'workflow_version'))}, {', '.join(f"coalesce(d{k}, '') as retrieval_{k}_document_name, s{k} as retrieval_{k}_score, coalesce(c{k}, '') as retrieval_{k}_content" for k in range(1, 6))}
+from results r join samples s using (sample_id) left join h on h.trace_id = r.trace_id where {_FAILED}""")
+def snk_15(spark, d):
+    """The CSV of failed retrieval samples (missed, or found too low), their first five results unrolled; every failure, whole contents."""
+    place = F.row_number().over(Window.partitionBy("trace_id").orderBy("rank_position", "hit_id"))  # a trace's results are few
+    got = _hits(spark, d).where("call_order = 1").withColumn("i", place)
+    at = lambda c, k: F.max(F.when(F.col("i") == k, F.col(c)))
+    wide = got.groupBy("trace_id").agg(F.count("*").alias("n"), *[at(c, k).alias(f"retrieval_{k}_{c}") for k in range(1, 6) for c in ("document_name", "score", "content")])
+    own = _samples(spark, d).select("sample_id", "retrieval_query", J.gold_evidence().alias("gold_evidence"))
+    out = results(spark, d).where(_FAILED).join(own, "sample_id").join(wide, "trace_id", "left")
+    out = out.withColumns({
+        "category": F.when(F.coalesce("top5_hit", F.lit(0)) == 0, "top5_miss").otherwise("sorting_issue"), "retrieval_query": F.coalesce(F.nullif("retrieval_query", F.lit("")), "question"), "evaluation_track": F.col("track"), "judge_reason": F.col("rule"),
+        "retrieval_result_count": F.coalesce("n", F.lit(0)), "diagnostic_status": F.when(F.col("n").isNull(), "no_results").otherwise("ok"), **{c: F.lit("") for c in ("config_name", "evidence_sheet", "evidence_range", "knowledge_base_version", "workflow_version")},
+    })
+    return _csv_round_trip(spark, out, "failed", _FAIL_TYPES)
+
+
+_EXACT_TYPES = [("sample_id", "bigint")] + [(c, "string") for c in ("run_id", "question_set_id", "question_id", "query", "evaluation_track", "expected_segment_id", "expected_content_hash", "chunk_exact_status")]
+_EXACT_TYPES += [("hit_evidence_position", "int"), *[(f"top{k}_hit", "int") for k in J.KS], ("returned_segment_ids", "string"), ("retrieval_scores", "string")]
+
+
+@query("SNK-16", f"""{_RES}, h as (select trace_id, string_agg(coalesce(segment_id, document_name, ''), '; ' order by call_order, rank_position, hit_id) as ids, string_agg(coalesce(printf('%.4f', score), ''), '; ' order by call_order, rank_position, hit_id) as scores from retrieval_results group by 1)
+select r.sample_id, {', '.join(f"coalesce({c}, '') as {n}" for c, n in (('r.run_id', 'run_id'), ('r.question_set_id', 'question_set_id'), ('r.question_id', 'question_id'), ('r.question', 'query'), ('s.expected_segment_id', 'expected_segment_id'), ('s.expected_content_hash', 'expected_content_hash'), ('r.chunk_exact_status', 'chunk_exact_status'), ('h.ids', 'returned_segment_ids'), ('h.scores', 'retrieval_scores')))}, track as evaluation_track, hit_evidence_position, {', '.join(f'top{k}_hit' for k in J.KS)} from results r join samples s using (sample_id) left join h on h.trace_id = r.trace_id where track = 'chunk_exact' and error is null""")
 def snk_16(spark, d):
-    """Exact-match results with the ids that were returned, joined in rank order (at most ten per call)."""
-    h = _hits(spark, d).where("call_order = 1 and rank_position <= 10").groupBy("trace_id").agg(F.array_sort(F.collect_list(F.struct("rank_position", "hit_id", "segment_id"))).alias("x"))
-    ids = F.array_join(F.filter(F.transform("x", lambda s: s["segment_id"]), lambda v: v.isNotNull()), "; ")
-    return results(spark, d).where("track = 'chunk_exact'").select("sample_id", "trace_id").join(h, "trace_id", "left").select("sample_id", ids.alias("returned_ids"))
+    """The CSV of exact-match results: binding, hits, and every segment and score that was returned, over all calls in order."""
+    row = F.struct("call_order", "rank_position", "hit_id", F.coalesce("segment_id", "document_name", F.lit("")).alias("s"), F.when(F.col("score").isNull(), "").otherwise(F.format_string("%.4f", "score")).alias("v"))
+    h = _hits(spark, d).groupBy("trace_id").agg(F.array_sort(F.collect_list(row)).alias("x"))  # as many as a trace's calls return
+    joined = lambda c: F.array_join(F.transform("x", lambda r: r[c]), "; ")
+    own = _samples(spark, d).select("sample_id", "expected_segment_id", "expected_content_hash")
+    out = results(spark, d).where("track = 'chunk_exact' and error is null").join(own, "sample_id").join(h, "trace_id", "left")
+    out = out.withColumns({"query": F.col("question"), "evaluation_track": F.col("track"), "returned_segment_ids": joined("s"), "retrieval_scores": joined("v")})
+    return _csv_round_trip(spark, out, "exact", _EXACT_TYPES)
 
 
 @query("SRT-03", f"{_RES} select sample_id, cast(rn as integer) as place from (select sample_id, row_number() over (order by coalesce(source_file_name, ''), trace_id, sample_id) as rn from results where top5_hit = 0) where rn <= 20")
@@ -503,6 +566,31 @@ def flt_11(spark, d):
     return results(spark, d).select("sample_id", F.when(p.isNull(), zero).when(p <= 5, fits).otherwise(F.col("top5_hit") == 0).alias("consistent"))
 
 
+#: The parts of a run report in order, each a SELECT of (part, cells): the SQL twin of ``report_rows``.
+_OR_ZERO = "coalesce(top{k}_hit, 0)"
+_REPORT_SQL = f"""{_RES}, rep as (
+  select 1 as part, [track, count(*)::varchar, count(*) filter (error is not null)::varchar, {', '.join(f"sum(case when error is null then {_OR_ZERO.format(k=k)} else 0 end)::varchar" for k in J.KS)}, sum(case when error is null then coalesce(answer_correct, 0) else 0 end)::varchar] as cells from results group by track
+  union all select 2, [dimension, value, count(*)::varchar, sum({_OR_ZERO.format(k=1)})::varchar, sum({_OR_ZERO.format(k=5)})::varchar] from (select unnest([{', '.join(f"{{'dimension': '{c}', 'value': coalesce(nullif({c}, ''), '(unknown)'), 'top1_hit': top1_hit, 'top5_hit': top5_hit}}" for c in _DIMS)}], recursive := true) from results where error is null and track = 'retrieval') group by dimension, value
+  union all select 3, [case when top1_hit = 1 then 'top1' when hit_evidence_position between 2 and 3 then 'top2_3' when hit_evidence_position between 4 and 5 then 'top4_5' when hit_evidence_position between 6 and 10 or top10_hit = 1 then 'top6_10' else 'top10_miss' end, count(*)::varchar] {_EVAL} group by case when top1_hit = 1 then 'top1' when hit_evidence_position between 2 and 3 then 'top2_3' when hit_evidence_position between 4 and 5 then 'top4_5' when hit_evidence_position between 6 and 10 or top10_hit = 1 then 'top6_10' else 'top10_miss' end
+  union all select 4, [failure_type, source_key, count(*)::varchar] from (select case when error is not null then 'error' when coalesce(top5_hit, 0) = 0 then 'top5_miss' when answer_correct = 0 then 'wrong_answer' else 'sorting_issue' end as failure_type, coalesce(nullif(source_file_name, ''), nullif(question_set_id, ''), '(unknown)') as source_key from results where error is not null or coalesce(top5_hit, 0) = 0 or coalesce(top1_hit, 0) = 0 or answer_correct = 0) group by failure_type, source_key)"""
+PARTS = {1: ("Tracks", ["track", "samples", "errors", "top1", "top3", "top5", "top10", "correct"]), 2: ("Groups", ["dimension", "value", "samples", "top1", "top5"]), 3: ("Ranks", ["rank", "samples"]), 4: ("Failures", ["failure", "source", "samples"])}
+
+
+def report_rows(spark: SparkSession, d: str) -> DataFrame:
+    """(part, cells): the tables of a report, each from one grouped aggregate; as many rows as there are groups."""
+    r = materialise(results(spark, d), "results")
+    ok = F.col("error").isNull()
+    total = lambda c: F.sum(F.when(ok, F.coalesce(c, F.lit(0))).otherwise(0)).cast("string")
+    n = F.count("*").cast("string")
+    cells = lambda df, part, *cs: df.select(F.lit(part).alias("part"), F.array(*cs).alias("cells"))
+    tracks = cells(r.groupBy("track").agg(n.alias("n"), F.count_if(~ok).cast("string").alias("e"), *[total(f"top{k}_hit").alias(f"t{k}") for k in J.KS], total("answer_correct").alias("a")), 1, "track", "n", "e", "t1", "t3", "t5", "t10", "a")
+    dims = F.array(*[F.struct(F.lit(c).alias("dimension"), F.coalesce(F.nullif(c, F.lit("")), F.lit(P.UNKNOWN)).alias("value")) for c in _DIMS])
+    groups = r.where("error is null and track = 'retrieval'").withColumn("g", F.explode(dims)).groupBy("g.dimension", "g.value").agg(n.alias("n"), total("top1_hit").alias("t1"), total("top5_hit").alias("t5"))
+    ranks = r.where("track = 'chunk_exact' and retrieval_evaluable").groupBy(P.rank_bucket(F.col("hit_evidence_position"), F.col("top1_hit"), F.col("top10_hit")).alias("rank")).agg(n.alias("n"))
+    failures = _failure_rows(r).groupBy("failure_type", "source_key").agg(n.alias("n"))
+    return tracks.unionByName(cells(groups, 2, "dimension", "value", "n", "t1", "t5")).unionByName(cells(ranks, 3, "rank", "n")).unionByName(cells(failures, 4, "failure_type", "source_key", "n"))
+
+
 def queries() -> dict:
     return R.queries
 

@@ -243,27 +243,64 @@ def snk_20(spark, d):
     return T.document(c, ["k"], "line", ["# Comparison", "| k | old | new |", "| --- | --- | --- |"])
 
 
-@query("SNK-17", f"{judging._RES} select track, '<tr><td>' || track || '</td><td>' || count(*) || '</td></tr>' as html from results group by 1")
+def _sql_cells(cells: str, line: str) -> str:
+    return f"{judging._REPORT_SQL} select part, {line.format(c=cells)} as line from rep"
+
+
+def _html(rows: DataFrame) -> DataFrame:
+    safe = lambda c: F.replace(F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    row = F.concat(F.lit("<tr>"), F.array_join(F.transform("cells", lambda c: F.concat(F.lit("<td>"), safe(c), F.lit("</td>"))), ""), F.lit("</tr>"))
+    return rows.select("part", row.alias("line"))
+
+
+def _markdown(rows: DataFrame) -> DataFrame:
+    row = F.concat(F.lit("| "), F.array_join(F.transform("cells", lambda c: F.replace(F.coalesce(c, F.lit("")), F.lit("|"), F.lit("\\|"))), " | "), F.lit(" |"))
+    return rows.select("part", row.alias("line"))
+
+
+def _pages(spark, lines: DataFrame, name: str, heads: dict[int, list[str]], feet: list[str]) -> DataFrame:
+    """A report written as text, one file a part: heading lines, rows in order, closing lines; read back as (part, line)."""
+    path = new_path(spark, name)
+    fixed = [(part, 0, n, t) for part, ts in heads.items() for n, t in enumerate(ts)] + [(part, 2, n, t) for part in heads for n, t in enumerate(feet)]
+    all_ = lines.select("part", F.lit(1).alias("at"), F.lit(0).alias("n"), "line").unionByName(spark.createDataFrame(fixed, "part int, at int, n int, line string"))
+    all_.repartition("part").sortWithinPartitions("part", "at", "n", "line").select("part", F.regexp_replace("line", "[\r\n]+", " ").alias("line")).write.partitionBy("part").text(path)
+    return spark.read.text(path).select(F.col("part").cast("int").alias("part"), F.col("value").alias("line"))
+
+
+def _sql_fixed(heads: dict[int, list[str]], feet: list[str]) -> str:
+    quoted = lambda t: t.replace("'", "''")
+    return " union all ".join(f"select {part}, '{quoted(t)}'" for part, ts in heads.items() for t in [*ts, *feet])
+
+
+_MD_HEADS = {part: [f"## {title}", "| " + " | ".join(cols) + " |", "|" + " --- |" * len(cols)] for part, (title, cols) in judging.PARTS.items()}
+_HTML_HEADS = {part: [f"<h2>{title}</h2>", "<table>", "<tr>" + "".join(f"<th>{c}</th>" for c in cols) + "</tr>"] for part, (title, cols) in judging.PARTS.items()}
+_HTML_LINE = "'<tr>' || array_to_string(list_transform({c}, lambda x: '<td>' || replace(replace(replace(x, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</td>'), '') || '</tr>'"
+_MD_LINE = "'| ' || array_to_string(list_transform({c}, lambda x: replace(x, '|', chr(92) || '|')), ' | ') || ' |'"
+
+
+@query("SNK-17", f"{_sql_cells('cells', _HTML_LINE)} union all {_sql_fixed(_HTML_HEADS, ['</table>'])}")
 def snk_17(spark, d):
-    """Rows of the HTML report."""
-    c = judging.results(spark, d).groupBy("track").agg(F.count("*").alias("n"))
-    return c.select("track", T.html_row("track", "n").alias("html"))
+    """The HTML report: tracks, groups, ranks and failures as tables, stored a file a part and read back line by line."""
+    return _pages(spark, _html(judging.report_rows(spark, d)), "html", _HTML_HEADS, ["</table>"])
 
 
-@query("SNK-18", f"{judging._RES} select track, '| ' || track || ' | ' || count(*) || ' | ' || count(*) filter (error is not null) || ' |' as line from results group by 1")
+@query("SNK-18", f"{_sql_cells('cells', _MD_LINE)} union all {_sql_fixed(_MD_HEADS, [])}")
 def snk_18(spark, d):
-    c = judging.results(spark, d).groupBy("track").agg(F.count("*").alias("n"), F.count_if(F.col("error").isNotNull()).alias("e"))
-    return c.select("track", T.markdown_line("track", "n", "e").alias("line"))
+    """The Markdown report, in the same parts."""
+    return _pages(spark, _markdown(judging.report_rows(spark, d)), "markdown", _MD_HEADS, [])
+
+
+_FACTS = f"{judging._REPORT_SQL} select '# Facts' || chr(10) || string_agg('- ' || array_to_string(cells, ' / '), chr(10) order by part, array_to_string(cells, ' / ')) as document from rep where part in (1, 3)"
 
 
-@query("AGG-26", f"{judging._RES} select '# Facts' || chr(10) || string_agg('- ' || track || ': ' || n, chr(10) order by track) as document from (select track, count(*) as n from results group by 1)")
+@query("AGG-26", _FACTS)
 def agg_26(spark, d):
-    """The deterministic part of an analysis: one line per track."""
-    c = judging.results(spark, d).groupBy("track").agg(F.count("*").alias("n")).select("track", F.concat(F.lit("- "), "track", F.lit(": "), F.col("n").cast("string")).alias("line"))
-    return T.document(c, ["track"], "line", ["# Facts"])
+    """The deterministic part of an analysis: what the tracks and ranks hold, one line each (a few dozen at most)."""
+    c = judging.report_rows(spark, d).where("part in (1, 3)").select("part", F.array_join("cells", " / ").alias("t")).select("part", "t", F.concat(F.lit("- "), "t").alias("line"))
+    return T.document(c, ["part", "t"], "line", ["# Facts"])
 
 
-@query("SNK-26", f"{judging._RES} select '# Facts' || chr(10) || string_agg('- ' || track || ': ' || n, chr(10) order by track) as document from (select track, count(*) as n from results group by 1)")
+@query("SNK-26", _FACTS)
 def snk_26(spark, d):
     """The report stored as a file and read back."""
     path = new_path(spark, "report")

@@ -26,7 +26,7 @@ _NUM = f"coalesce(regexp_matches({q.strip('value')}, '{G.NUMBER}'), false)"
 _GRID = f"""ln as (select doc_id as sheet, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as row from documents where source = 'price-sheets'),
 cl as (select sheet, row, unnest(string_split(line, '|')) as v, generate_subscripts(string_split(line, '|'), 1) as col from ln where contains(line, '|')),
 grid as (select sheet, cast(row as integer) as row, cast(col as integer) as col, {q.non_blank('v')} as value from cl),
-prof as (select sheet, row, cast(count(value) as integer) as n_filled, cast(count(*) filter ({_NUM}) as integer) as n_numeric, coalesce(bool_or(regexp_matches(lower(value), '{G.TOTALS}')), false) as has_total from grid group by 1, 2),
+prof as (select sheet, row, cast(count(value) as integer) as n_filled, cast(count(*) filter ({_NUM}) as integer) as n_numeric, coalesce(regexp_matches(lower(arg_min(value, col) filter (value is not null)), '{G.TOTALS}'), false) as has_total from grid group by 1, 2),
 prof2 as (select *, has_total or (n_filled > 0 and n_filled = n_numeric) as is_summary from prof),
 isl as (select sheet, row, min(col) as first_col, max(col) as last_col, cast(count(*) filter ({_NUM}) as integer) as n_numeric from (select *, col - row_number() over (partition by sheet, row order by col) as k from grid where value is not null) group by sheet, row, k),
 hdr as (select sheet, min(row) as header_row, min(row) + 1 as data_start from prof where n_filled > 1 and n_numeric = 0 group by 1)"""
@@ -70,15 +70,16 @@ def win_09(spark, d):
     return G.blocks(_grid(spark, d))
 
 
-_RANGES = "rg as (select sheet, sheet * 100000 + row as range_id, row as min_row, row + 1 as max_row, 1 as min_col, 2 as max_col from prof)"
+_RANGES = "rg as (select sheet, row, col, row as min_row, row + 1 as max_row, col as min_col, col + 1 as max_col from grid)"
 
 
-@query("FLT-14", f"with {_GRID}, {_RANGES}, hit as (select range_id, count(distinct i.row) as n from rg join isl i on i.sheet = rg.sheet and i.row between rg.min_row and rg.max_row and i.first_col <= 1 and i.last_col >= 2 group by 1) select rg.range_id, coalesce(n = 2, false) as inside from rg left join hit using (range_id)")
+@query("FLT-14", f"with {_GRID}, {_RANGES}, hit as (select rg.sheet, rg.row, rg.col, count(distinct i.row) as n from rg join isl i on i.sheet = rg.sheet and i.row between rg.min_row and rg.max_row and i.first_col <= rg.min_col and i.last_col >= rg.max_col group by 1, 2, 3) select rg.sheet, rg.row, rg.col, coalesce(n = 2, false) as inside from rg left join hit using (sheet, row, col)")
 def flt_14(spark, d):
-    """Two-row ranges over the first two columns, inside the filled runs or not."""
+    """Every range of two rows by two columns, inside the filled runs or not."""
     g = _grid(spark, d)
-    rows = G.row_profile(g).select("sheet", (F.col("sheet") * 100000 + F.col("row")).alias("range_id"), F.col("row").alias("min_row"), (F.col("row") + 1).alias("max_row"), F.lit(1).alias("min_col"), F.lit(2).alias("max_col"))
-    return G.contained(rows, G.islands(g)).select("range_id", "inside")
+    at = F.struct("row", "col")
+    ranges = g.select("sheet", at.alias("range_id"), F.col("row").alias("min_row"), (F.col("row") + 1).alias("max_row"), F.col("col").alias("min_col"), (F.col("col") + 1).alias("max_col"))
+    return G.contained(ranges, G.islands(g)).select("sheet", "range_id.row", "range_id.col", "inside")
 
 
 @query("FLT-16", f"with {_GRID} select distinct a.sheet, a.row from isl a join isl b on a.sheet = b.sheet and b.row = a.row + 1 and a.first_col <= b.last_col and b.first_col <= a.last_col")
@@ -104,18 +105,11 @@ def she_03(spark, d):
     return G.rendered(_grid(spark, d).where("col <= 3 or value is null"))
 
 
-@query("SHE-05", f"with {_GRID} select sheet, cast(string_agg('| ' || coalesce(v, '') || ' |', chr(10) order by row) as varchar) as markdown from (select sheet, row, string_agg(coalesce(value, ''), ' | ' order by col) as v from grid where row < 30 group by 1, 2) group by 1")
-def she_05(spark, d):
-    """The first block of a sheet as Markdown (rows below 30)."""
-    rows = _grid(spark, d).where("row < 30").groupBy("sheet", "row").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("col", F.coalesce("value", F.lit("")).alias("v")))), lambda x: x["v"]), " | ").alias("v"))
-    return rows.groupBy("sheet").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", F.concat(F.lit("| "), "v", F.lit(" |")).alias("l")))), lambda x: x["l"]), "\n").alias("markdown"))
-
-
 _MD = "ml as (select sheet, row, '| ' || string_agg(coalesce(value, ''), ' | ' order by col) || ' |' as line from grid group by 1, 2)"
 
 
-@query("SHE-05_blocks", f"with {_GRID}, {_MD} select b.sheet, b.block, coalesce(max(h.line) || chr(10), '') || string_agg(b.line, chr(10) order by b.row) as markdown from (select *, cast((row - 2) // 30 as bigint) as block from ml where row >= 2) b left join ml h on h.sheet = b.sheet and h.row = 1 group by 1, 2 union all select sheet, 0, max(line) from ml group by 1 having max(row) = 1")
-def she_05_blocks(spark, d):
+@query("SHE-05", f"with {_GRID}, {_MD} select b.sheet, b.block, coalesce(max(h.line) || chr(10), '') || string_agg(b.line, chr(10) order by b.row) as markdown from (select *, cast((row - 2) // 30 as bigint) as block from ml where row >= 2) b left join ml h on h.sheet = b.sheet and h.row = 1 group by 1, 2 union all select sheet, 0, max(line) from ml group by 1 having max(row) = 1")
+def she_05(spark, d):
     """Every block of a sheet as Markdown, all rows of all sheets."""
     return G.block_markdown(_grid(spark, d))
 
@@ -135,14 +129,17 @@ def joi_18(spark, d):
     return g.where("value is not null and col >= 2").join(rows, ["sheet", "row"], "left_semi").select("sheet", "row", "col")
 
 
-@query("PRJ-43", "select p_partkey, case when n <= 26 then chr(cast(n + 64 as integer)) when n <= 702 then chr(cast((n - 27) // 26 + 65 as integer)) || chr(cast((n - 27) % 26 + 65 as integer)) else chr(cast((n - 703) // 676 + 65 as integer)) || chr(cast(((n - 703) // 26) % 26 + 65 as integer)) || chr(cast((n - 703) % 26 + 65 as integer)) end as letters, cast(n as integer) as back from (select p_partkey, p_partkey % 18278 + 1 as n from part)")
+_LETTERS = "case when {n} <= 26 then chr(cast({n} + 64 as integer)) when {n} <= 702 then chr(cast(({n} - 27) // 26 + 65 as integer)) || chr(cast(({n} - 27) % 26 + 65 as integer)) else chr(cast(({n} - 703) // 676 + 65 as integer)) || chr(cast((({n} - 703) // 26) % 26 + 65 as integer)) || chr(cast(({n} - 703) % 26 + 65 as integer)) end"
+
+
+@query("PRJ-43", f"select p_partkey, {_LETTERS.format(n='n')} as letters, cast(n as integer) as back from (select p_partkey, p_partkey % 18278 + 1 as n from part)")
 def prj_43(spark, d):
     """Column letters there and back."""
     n = F.col("p_partkey") % 18278 + 1
     return table(spark, d, "part").select("p_partkey", G.column_letters(n).alias("letters"), G.column_number(G.column_letters(n)).alias("back"))
 
 
-@query("PRJ-44", f"with {_GRID} select sheet, row, 'A' || row || ':' || chr(cast(64 + max(col) as integer)) || row as cell_range from grid where value is not null and col <= 26 group by 1, 2")
+@query("PRJ-44", f"with {_GRID} select sheet, row, 'A' || row || ':' || {_LETTERS.format(n='max(col)')} || row as cell_range from grid where value is not null group by 1, 2")
 def prj_44(spark, d):
     last = G.column_letters(F.max("col"))
     g = _grid(spark, d).where("value is not null").groupBy("sheet", "row").agg(last.alias("l"))
@@ -191,11 +188,12 @@ def cfg_04(spark, d):
     return C.rebind(runs, plan, "p_partkey").groupBy("p_partkey").agg(F.count("*").alias("n"))
 
 
-@query("CFG-01", "select s.snapshot_id, project_id from snapshots s union all select 'new_' || collector_id, 'proj-new' from collectors")
+@query("CFG-01", "select snapshot_id, project_id from snapshots union all select distinct snapshot_id, null from samples where trim(snapshot_id) <> '' and snapshot_id not in (select snapshot_id from snapshots)")
 def cfg_01(spark, d):
-    """New profiles beside those there are."""
-    new = table(spark, d, "collectors").select(F.concat(F.lit("new_"), "collector_id").alias("snapshot_id"), F.lit("proj-new").alias("project_id"))
-    return C.merge(table(spark, d, "snapshots").select("snapshot_id", "project_id"), new, "snapshot_id", [])
+    """Profiles registered anew: snapshots that samples name and no table holds, beside those there are."""
+    base = table(spark, d, "snapshots").select("snapshot_id", "project_id")
+    new = table(spark, d, "samples").where("trim(snapshot_id) != ''").select("snapshot_id").distinct().join(base.select("snapshot_id"), "snapshot_id", "left_anti").withColumn("project_id", F.lit(None).cast("string"))
+    return C.merge(base, new, "snapshot_id", [])
 
 
 @query("CFG-02", "select snapshot_id, project_id, snapshot_type from snapshots where deleted_at is null")
@@ -203,18 +201,27 @@ def cfg_02(spark, d):
     return table(spark, d, "snapshots").where("deleted_at is null").select("snapshot_id", "project_id", "snapshot_type")
 
 
-@query("CFG-03", "select snapshot_id, project_id, case when snapshot_type = 'frozen' then 'changed' else snapshot_type end as snapshot_type from snapshots")
+_USED = "us as (select snapshot_id, min(run_id) as run_id, count(*) as n from samples where trim(snapshot_id) <> '' group by 1)"
+
+
+def _used(spark, d):
+    return table(spark, d, "samples").where("trim(snapshot_id) != ''").groupBy("snapshot_id").agg(F.min("run_id").alias("run_id"), F.count("*").alias("n"))
+
+
+@query("CFG-03", f"with {_USED} select s.snapshot_id, project_id, case when us.n is not null then 'used' else snapshot_type end as snapshot_type from snapshots s left join us using (snapshot_id)")
 def cfg_03(spark, d):
-    """An update of a free field and of a protected one, which stays."""
+    """An update from the samples: every snapshot they name becomes 'used'; its project, a protected field, stays although the update carries the run."""
     base = table(spark, d, "snapshots").select("snapshot_id", "project_id", "snapshot_type")
-    return C.merge(base, base.where("snapshot_type = 'frozen'").select("snapshot_id", F.lit("stolen").alias("project_id"), F.lit("changed").alias("snapshot_type")), "snapshot_id", ["project_id"])
+    update = _used(spark, d).join(base.select("snapshot_id"), "snapshot_id", "left_semi").select("snapshot_id", F.coalesce("run_id", F.lit("-")).alias("project_id"), F.lit("used").alias("snapshot_type"))
+    return C.merge(base, update, "snapshot_id", ["project_id"])
 
 
-@query("FLT-25", "select snapshot_id, project_id from snapshots")
+@query("FLT-25", f"with {_USED} select s.snapshot_id, project_id, coalesce(us.n, trace_count) as trace_count from snapshots s left join us using (snapshot_id)")
 def flt_25(spark, d):
-    """Protected fields survive an update of every row."""
-    base = table(spark, d, "snapshots").select("snapshot_id", "project_id")
-    return C.merge(base, base.select("snapshot_id", F.lit("x").alias("project_id")), "snapshot_id", ["project_id"])
+    """Protected fields of an update are left out, its other fields are taken."""
+    base = table(spark, d, "snapshots").select("snapshot_id", "project_id", "trace_count")
+    update = _used(spark, d).join(base.select("snapshot_id"), "snapshot_id", "left_semi").select("snapshot_id", F.lit("x").alias("project_id"), F.col("n").alias("trace_count"))
+    return C.merge(base, update, "snapshot_id", ["project_id"])
 
 
 @query("RUN-01", "select run_id, min(config_id) as config_id, min(created_at) as started_at, count(*) as question_count from samples where run_id is not null group by 1")
@@ -250,11 +257,12 @@ def reg_02(spark, d):
     return s.join(s.agg(F.min("snapshot_id").alias("snapshot_id")), "snapshot_id", "left_semi")
 
 
-@query("REG-03", "select field from (values ('document_type'), ('snapshot_id'), ('topics')) v(field) where field not in ('snapshot_id', 'project_id')")
+@query("REG-03", "select snapshot_id, list_sort(list_filter([case when project_id is null then 'project_id' end, case when snapshot_type is null then 'snapshot_type' end, case when created_at is null then 'created_at' end, case when trace_count is null then 'trace_count' end, case when coalesce(has_observations, false) and observation_count is null then 'observation_count' end], lambda x: x is not null)) as missing from snapshots")
 def reg_03(spark, d):
-    """Required fields that a table lacks."""
-    have = spark.createDataFrame([(c,) for c in table(spark, d, "snapshots").columns], "field string")
-    return spark.createDataFrame([("document_type",), ("snapshot_id",), ("topics",)], "field string").join(have, "field", "left_anti")
+    """The required fields that each registered snapshot lacks, as a sorted list."""
+    need = {"project_id": None, "snapshot_type": None, "created_at": None, "trace_count": None, "observation_count": F.coalesce("has_observations", F.lit(False))}
+    lacks = [F.when(F.col(c).isNull() & (on if on is not None else F.lit(True)), c) for c, on in need.items()]
+    return table(spark, d, "snapshots").select("snapshot_id", F.array_sort(F.array_compact(F.array(*lacks))).alias("missing"))
 
 
 @query("FLT-22", "select snapshot_id, case when snapshot_type <> 'frozen' then 'not_frozen' when not coalesce(has_observations, false) then 'no_observations' when coalesce(trace_count, 0) = 0 then 'empty' when observation_count < trace_count then 'incomplete' else 'eligible' end as state from snapshots")
@@ -284,10 +292,10 @@ def srt_08(spark, d):
     return table(spark, d, "snapshots").where("deleted_at is null").select("snapshot_id", label.alias("label"))
 
 
-@query("SRC-29", "select document_id, created_at from create_document where dataset_id = 'ds-elm'")
+@query("SRC-29", "select dataset_id, document_id, created_at from create_document where dataset_id is not null")
 def src_29(spark, d):
-    """The ledger of one dataset: the filter reaches the scan."""
-    return table(spark, d, "create_document").where("dataset_id = 'ds-elm'").select("document_id", "created_at")
+    """The ledgers of all datasets; a filter on one dataset reaches the scan."""
+    return table(spark, d, "create_document").where("dataset_id is not null").select("dataset_id", "document_id", "created_at")
 
 
 @query("SRC-34", "select config_id, count(distinct run_id) as n_runs from samples where config_id is not null group by 1")
