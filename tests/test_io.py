@@ -129,8 +129,8 @@ def test_sinks_of_all_datasets(spark, sf):
     """Every document is stored and every chunk exported, with each export column that the table has."""
     q = entry.queries()
     n = {t: spark.read.parquet(f"{sf}/{t}.parquet") for t in ("create_document", "chunk_catalog")}
-    assert q["SNK-23_all"](spark, sf).where("version = 1").count() == n["create_document"].count()
-    out = q["SNK-06_all"](spark, sf)
+    assert q["SNK-23"](spark, sf).where("version = 1").count() == n["create_document"].count()
+    out = q["SNK-06"](spark, sf)
     assert out.count() == n["chunk_catalog"].count() and out.select("dataset_id").distinct().count() == n["chunk_catalog"].select("dataset_id").distinct().count()
     assert set(out.columns) == set(n["chunk_catalog"].columns) - {"created_at", "deleted_at"}
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import sys
+import unicodedata
+from functools import lru_cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -51,3 +55,52 @@ def content_hash(c: Column | str) -> Column:
 def short_md5(c: Column | str) -> Column:
     """First 12 hex digits of the MD5."""
     return F.substring(F.md5(as_col(c)), 1, 12)
+
+
+@lru_cache(maxsize=1)
+def _compatibility() -> tuple[dict[str, str], dict[str, str], dict[str, str]]:
+    """From the Unicode data: characters that become one other, those that become several, and pairs that compose."""
+    one, several, pairs = {}, {}, {}
+    for p in range(0x80, sys.maxunicode + 1):
+        c = chr(p)
+        if 0xAC00 <= p < 0xE000 or not unicodedata.decomposition(c):
+            continue
+        form = unicodedata.normalize("NFKC", c)
+        if form != c:
+            (one if len(form) == 1 else several)[c] = form
+        parts = unicodedata.normalize("NFD", c)
+        head, mark = unicodedata.normalize("NFC", parts[:-1]), parts[-1]
+        if len(head) == 1 and unicodedata.combining(mark) and unicodedata.normalize("NFC", head + mark) == c:
+            pairs[head + mark] = c
+    return one, several, pairs
+
+
+def _lookup(entries: dict[str, str], key: Column) -> Column:
+    listed = lambda xs: F.split(F.lit("\x1f".join(xs)), "\x1f", -1)
+    return F.try_element_at(F.map_from_arrays(listed(entries.keys()), listed(entries.values())), key)
+
+
+def _one_of(chars) -> str:
+    """A character class of runs of code points."""
+    runs: list[list[int]] = []
+    for p in sorted(map(ord, chars)):
+        if runs and runs[-1][1] == p - 1:
+            runs[-1][1] = p
+        else:
+            runs.append([p, p])
+    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in runs) + "]"
+
+
+def compatible(c: Column | str) -> Column:
+    """Compatibility normalization (NFKC), in the JVM: characters that become one other by a translation; those that become
+    several, and accents that compose with the letter before them, one by one where a text has any.
+
+    Several accents on one letter are composed in the order in which they stand.
+    """
+    one, several, pairs = _compatibility()
+    text = F.translate(as_col(c), "".join(one), "".join(one.values()))
+    chars = lambda t: F.filter(F.split(t, ""), lambda x: x != "")
+    text = F.when(text.rlike(_one_of(several)), F.array_join(F.transform(chars(text), lambda x: F.coalesce(_lookup(several, x), x)), "")).otherwise(text)
+    joined = lambda acc, x: _lookup(pairs, F.concat(F.right(acc, F.lit(1)), x))
+    composed = F.aggregate(chars(text), F.lit(""), lambda acc, x: F.when(joined(acc, x).isNotNull(), F.concat(F.left(acc, F.length(acc) - 1), joined(acc, x))).otherwise(F.concat(acc, x)))
+    return F.when(text.rlike(_one_of({k[-1] for k in pairs})), composed).otherwise(text)

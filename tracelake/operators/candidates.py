@@ -10,7 +10,8 @@ from ..functions.text import non_blank, squeeze, strip
 # What is no content (headings, page numbers, signatures, tables of contents, appendices, short numbered titles).
 NO_CONTENT = [r"^\s*#{1,6}\s+\S+\s*$", r"^\s*第?\s*\d+\s*页?\s*$", r"^\s*(?:签字|签名|签章|盖章)\s*[：:]\s*$", r"^\s*(?:目录|目\s*录)\s*$", r"^\s*(?:附录|附件)\s*[A-Z\d]?\s*$", r"^\s*\d+(?:\.\d+)*\s+\S{1,10}\s*$"]
 MIN_CONTENT = 20
-# Words that make a query a question, and its limits.
+# Words that make a query a question or link several concepts, and its limits.
+LINKS = ("与|和|及|以及|并且|同时|另外|此外|还有", r"\band\b|\bor\b|\bas well as\b|\bin addition\b", "[、，].*[、，]")
 QUESTION_WORDS = ["什么", "为何", "为什么", "如何", "是否", "哪些", "请分析", "请说明", "分别", "what", "why", "how", "whether"]
 RETRIEVAL_WORDS = ["什么", "为何", "为什么", "如何", "是否", "哪些", "请分析", "请说明", "请解释", "请描述", "请比较", "分别", "哪些方面", "怎么回事"]
 ZH_MIN, ZH_MAX, EN_MAX, MIN_EVIDENCE = 3, 30, 15, 15
@@ -50,7 +51,7 @@ def query_errors(query: Column, label: Column) -> Column:
     low = F.lower(q)
     word = F.exists(F.array(*[F.lit(w) for w in QUESTION_WORDS]), lambda w: F.contains(low, w))
     items = F.size(F.filter(F.transform(F.split(q, "[、，,]"), strip), lambda x: F.length(x) >= 2))
-    linked = q.rlike("与|和|及|以及|并且|同时|另外|此外|还有") | q.rlike(r"\band\b|\bor\b|\bas well as\b|\bin addition\b") | q.rlike("[、，].*[、，]")
+    linked = q.rlike("|".join(LINKS))
     checks = [
         F.when(non_blank(label).isNull(), "no_label"),
         F.when(word, "question_word"),
@@ -61,16 +62,19 @@ def query_errors(query: Column, label: Column) -> Column:
     return F.when(q == "", F.array(F.lit("empty"))).otherwise(F.array_compact(F.array(*checks)))
 
 
-def grounded(query: Column, content: Column) -> Column:
+def grounded(query: Column, content: Column, synonyms: dict[str, list[str]] | None = None) -> Column:
     """A query is grounded unless none of its terms occurs in the content and a term of three or more characters is missing.
 
-    Chinese runs count by their two-character pieces: a longer piece only occurs where its pairs do.
+    Chinese runs count by their two-character pieces: a longer piece only occurs where its pairs do. ``synonyms`` names other words
+    that are allowed to stand for a word of the query.
     """
     q, c = F.coalesce(strip(query), F.lit("")), F.lower(F.coalesce(strip(content), F.lit("")))
     runs = F.regexp_extract_all(q, F.lit("([一-鿿]+)"), F.lit(1))
     pairs = F.flatten(F.transform(runs, lambda r: F.when(F.length(r) <= 2, F.array(r)).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.length(r) - 1, F.lit(1))), lambda i: F.substring(r, i, F.lit(2))))))
     terms = F.concat(F.regexp_extract_all(q, F.lit("([A-Za-z][A-Za-z0-9_-]+)"), F.lit(1)), F.regexp_extract_all(q, F.lit(r"(\d+(?:\.\d+)*(?:\s*[条款项号])?)"), F.lit(1)))
     found = F.exists(F.concat(pairs, terms), lambda t: F.contains(c, F.lower(t)))
+    for word, others in (synonyms or {}).items():
+        found = found | (F.contains(F.lower(q), F.lit(word.lower())) & F.exists(F.array(*[F.lit(o.lower()) for o in others]), lambda o: F.contains(c, o)))
     long_term = F.exists(F.concat(runs, terms), lambda t: F.length(t) > 2)
     return (q != "") & (c != "") & (found | ~long_term)
 

@@ -8,14 +8,33 @@ from pyspark.sql import functions as F
 from ..functions.text import non_blank
 
 
+# Fields that say nothing about what a configuration does, and secrets.
+NOT_BUSINESS = {"config_id", "created_at", "updated_at", "edit_note", "archived_duplicate", "config_snapshot", "run_id", "question_set_id", "question_set_name"}
+SECRETS = {"api_key", "secret_key", "lf_public_key", "lf_secret_key", "openai_api_key", "api_keys", "cookie", "session_token", "password", "token"}
+
+
+def business_fields(fields: list[str]) -> list[str]:
+    return sorted(f for f in fields if f not in NOT_BUSINESS | SECRETS)
+
+
+def _json_text(c: Column) -> Column:
+    """A text as a JSON string in ASCII, characters beyond it as \\uXXXX (two of them beyond the basic plane)."""
+    plain = F.replace(F.replace(F.replace(F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit("\\n")), F.lit("\r"), F.lit("\\r")), F.lit("\t"), F.lit("\\t"))
+    units = lambda x: F.regexp_replace(F.lower(F.hex(F.encode(x, "UTF-16BE"))), "(.{4})", r"\\u$1")
+    wide = F.array_join(F.transform(F.filter(F.split(plain, ""), lambda x: x != ""), lambda x: F.when(x.rlike(r"[^\x00-\x7f]"), units(x)).otherwise(x)), "")
+    return F.concat(F.lit('"'), F.when(plain.rlike(r"[^\x00-\x7f]"), wide).otherwise(plain), F.lit('"'))
+
+
 def fingerprint(fields: list[str]) -> Column:
-    """Hash of the business fields that hold something, by name, numbers as text: equal contents, equal fingerprints."""
-    parts = [F.when(non_blank(F.col(f).cast("string")).isNotNull(), F.concat(F.lit(f + "="), non_blank(F.col(f).cast("string")))) for f in sorted(fields)]
-    return F.substring(F.sha2(F.concat_ws("\x1f", *parts), 256), 1, 16)
+    """First 16 digits of the SHA-256 of the business fields that hold something, as sorted JSON of texts: equal contents, equal fingerprints."""
+    value = lambda f: non_blank(F.col(f).cast("string"))
+    parts = [F.when(value(f).isNotNull(), F.concat(F.lit(f'"{f}": '), _json_text(value(f)))) for f in business_fields(fields)]
+    return F.substring(F.sha2(F.concat(F.lit("{"), F.concat_ws(", ", *parts), F.lit("}")), 256), 1, 16)
 
 
 def summary(fields: list[str]) -> Column:
-    return F.concat_ws(" | ", *[F.concat(F.lit(f + ": "), F.coalesce(non_blank(F.col(f).cast("string")), F.lit("-"))) for f in fields])
+    """The fields without secrets as one line."""
+    return F.concat_ws(" | ", *[F.concat(F.lit(f + ": "), F.coalesce(non_blank(F.col(f).cast("string")), F.lit("-"))) for f in fields if f not in SECRETS])
 
 
 def duplicate_groups(configs: DataFrame, key: str, fields: list[str], created: str) -> DataFrame:

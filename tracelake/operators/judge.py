@@ -9,11 +9,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import content_hash, non_blank
+from ..functions.text import compatible, content_hash, non_blank
 
 KS = (1, 3, 5, 10)
 MIN_GOLD = 8
 
+# Inline markup whose text stays (code, emphasis, underline, links), and tags.
+INLINE_MARKUP = (r"`([^`]*)`", r"\*{1,2}([^*]*)\*{1,2}", r"__([^_]*)__", r"\[([^\]]*)\]\([^)]*\)")
+TAGS = r"<[^>]+>"
 # Punctuation of full width and its ASCII form, position by position.
 WIDE_PUNCTUATION, ASCII_PUNCTUATION = "，。！？；：（）【】「」、", ",.!?;:()[][],"
 
@@ -35,18 +38,12 @@ def gold_evidence() -> Column:
     return F.coalesce(non_blank("source_excerpt"), non_blank("reference_answer"), F.lit(""))
 
 
-def half_width(c: Column) -> Column:
-    """The part of compatibility normalization that occurs in such texts: full-width ASCII and the wide space."""
-    wide = "".join(chr(p) for p in range(0xFF01, 0xFF5F))
-    narrow = "".join(chr(p - 0xFEE0) for p in range(0xFF01, 0xFF5F))
-    return F.translate(c, wide + "　", narrow + " ")
-
-
 def match_form(c: Column | str) -> Column:
-    """The text without inline markup, in half width, white space folded, for containment tests."""
-    t = half_width(F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit("")))
-    for pattern, keep in ((r"`([^`]*)`", "$1"), (r"\*{1,2}([^*]*)\*{1,2}", "$1"), (r"__([^_]*)__", "$1"), (r"\[([^\]]*)\]\([^)]*\)", "$1"), (r"<[^>]+>", "")):
-        t = F.regexp_replace(t, pattern, keep)
+    """The text in its compatible form, without inline markup, white space folded, for containment tests."""
+    t = compatible(F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit("")))
+    for pattern in INLINE_MARKUP:
+        t = F.regexp_replace(t, pattern, "$1")
+    t = F.regexp_replace(t, TAGS, "")
     t = F.regexp_replace(F.regexp_replace(t, r"(?U)\s+", " "), "^ | $", "")
     return F.translate(t, WIDE_PUNCTUATION, ASCII_PUNCTUATION)
 
@@ -89,10 +86,10 @@ def evidence_ranks(samples: DataFrame, hits: DataFrame, max_rank: int = 10) -> D
     The containment test runs on pairs of an equi-join (trace), never on all pairs.
     """
     want = samples.select("sample_id", "trace_id", match_form(gold_evidence()).alias("gold"), match_form("final_answer").alias("said"))
-    got = hits.where(F.col("call_order") == 1).select("trace_id", F.col("rank_position").alias("rank"), non_blank("content").alias("content"))
-    inside = F.when(F.col("content").isNotNull() & (F.col("rank") <= max_rank) & (F.length("gold") >= MIN_GOLD) & F.contains(match_form("content"), F.col("gold")), F.col("rank"))
-    quoted = F.when(F.col("content").isNotNull() & (F.col("said") != "") & F.contains(match_form("content"), F.col("said")), F.col("rank"))
-    return want.join(got, "trace_id").groupBy("sample_id").agg(F.count("*").cast("int").alias("n_results"), F.count_if(F.col("content").isNotNull() & (F.col("rank") <= 5)).cast("int").alias("n_content"), F.min(inside).alias("gold_rank"), F.min(quoted).alias("answer_rank"))
+    got = hits.where(F.col("call_order") == 1).select("trace_id", F.col("rank_position").alias("rank"), non_blank("content").isNotNull().alias("filled"), match_form(non_blank("content")).alias("form"))
+    inside = F.when(F.col("filled") & (F.col("rank") <= max_rank) & (F.length("gold") >= MIN_GOLD) & F.contains("form", "gold"), F.col("rank"))
+    quoted = F.when(F.col("filled") & (F.col("said") != "") & F.contains("form", "said"), F.col("rank"))
+    return want.join(got, "trace_id").groupBy("sample_id").agg(F.count("*").cast("int").alias("n_results"), F.count_if(F.col("filled") & (F.col("rank") <= 5)).cast("int").alias("n_content"), F.min(inside).alias("gold_rank"), F.min(quoted).alias("answer_rank"))
 
 
 def prescreened(samples: DataFrame, hits: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from ..functions.text import content_hash, non_blank, short_md5, squeeze, strip
 from ..functions.times import iso_instant, iso_text, latency_ms
 from ..operators import samples as S
 from ..operators.judge import clean_content, gold_evidence, match_form
-from ..runtime import new_path, table
+from ..runtime import materialise, new_path, table
 from ..sources.jsonl import read_jsonl, write_jsonl
 from . import sqltext as q
 from .define import Registry
@@ -50,8 +50,12 @@ def srt_01(spark, d):
 
 
 def ranked(df: DataFrame, order: list, name: str) -> DataFrame:
-    """A global row number without a single-task window: numbers within range partitions plus the sizes before them."""
+    """A global row number without a single-task window: numbers within range partitions plus the sizes before them.
+
+    The sorted partitions are written once and both uses read them, so that their bounds are the same.
+    """
     parts = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("pid", F.spark_partition_id()).withColumn("mono", F.monotonically_increasing_id())
+    parts = materialise(parts, "ranked")
     sizes = parts.groupBy("pid").agg(F.count("*").alias("n"), F.min("mono").alias("first"))
     before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # one row per partition
     return parts.join(F.broadcast(before), "pid").withColumn(name, F.col("before") + F.col("mono") - F.col("first") + 1).drop("pid", "mono", "n", "first", "before")

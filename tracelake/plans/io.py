@@ -10,7 +10,6 @@ from ..runtime import new_path, table
 from ..sources import files
 from ..sources.documents import file_fingerprints, read_documents
 from ..sources.jsonl import read_jsonl, write_jsonl
-from ..sources.paged import read_pages
 from ..streaming.dedup import read_stream
 from ..streaming.sync import sync, synced, windowed
 from .define import Registry
@@ -32,13 +31,16 @@ def snk_01(spark, d):
     return good.drop("file_name")
 
 
-@query("SNK-02", "select count(*) as n_samples, count(distinct run_id) as n_runs, count(*) filter (coalesce(final_answer, '') = '') as n_unanswered from samples")
+@query("SNK-02", "select count(*) as n_samples, count(distinct run_id) as n_runs, count(*) filter (coalesce(final_answer, '') = '') as n_unanswered, count(*) as n_stored from samples")
 def snk_02(spark, d):
-    """The one-row summary that is stored beside the samples."""
+    """The summary that is stored beside the samples: a one-row envelope and the rows it speaks of, both read back."""
     path = new_path(spark, "summary")
-    s = _rows(spark, d).agg(F.count("*").alias("n_samples"), F.countDistinct("run_id").alias("n_runs"), F.count_if(F.coalesce("final_answer", F.lit("")) == "").alias("n_unanswered"))
-    s.write.json(path)
-    return spark.read.schema(s.schema).json(path)
+    rows = _rows(spark, d)
+    s = rows.agg(F.count("*").alias("n_samples"), F.countDistinct("run_id").alias("n_runs"), F.count_if(F.coalesce("final_answer", F.lit("")) == "").alias("n_unanswered"))
+    write_jsonl(rows, f"{path}/samples")
+    s.coalesce(1).write.json(f"{path}/summary")
+    stored = spark.read.schema("sample_id bigint").json(f"{path}/samples").agg(F.count("*").alias("n_stored"))
+    return spark.read.schema(s.schema).json(f"{path}/summary").crossJoin(stored)  # one row each
 
 
 @query("SNK-03", "select sample_id, question from samples")
@@ -65,29 +67,13 @@ def snk_05(spark, d):
     return files.read_csv(spark, path, "sample_id bigint, question string, final_answer string")
 
 
-_CAT = "chunk_row, segment_id, document_id, coalesce(content, '') as content, tokens"
-
-
-@query("SNK-06", f"select {_CAT} from chunk_catalog where dataset_id = 'ds-elm'")
-def snk_06(spark, d):
-    path = new_path(spark, "csv")
-    c = table(spark, d, "chunk_catalog").where("dataset_id = 'ds-elm'")
-    files.write_csv(c.select("chunk_row", "segment_id", "document_id", F.coalesce("content", F.lit("")).alias("content"), "tokens"), path)
-    return _catalog_back(spark, c, path)
-
-
-def _catalog_back(spark, c, path):
-    back = files.read_csv(spark, path, "chunk_row bigint, segment_id string, document_id string, content string, tokens bigint")
-    return back.join(c.select("chunk_row", F.col("document_id").alias("own")), "chunk_row").withColumn("document_id", F.when(F.col("own").isNotNull(), F.coalesce("document_id", F.lit("")))).drop("own")
-
-
 #: The survey's columns of a catalog export, all but index_node_id and index_node_hash, which the table hasn't.
 _EXPORT = ["segment_id", "chunk_position", "document_id", "document_name", "dataset_id", "content", "summary", "tokens", "word_count", "enabled", "status", "content_hash"]
 _TEXTS = [c for c in _EXPORT if c not in ("chunk_position", "tokens", "word_count", "enabled")]
 
 
-@query("SNK-06_all", f"select chunk_row, {', '.join(f"coalesce({c}, '') as {c}" if c in _TEXTS else c for c in _EXPORT)} from chunk_catalog")
-def snk_06_all(spark, d):
+@query("SNK-06", f"select chunk_row, {', '.join(f"coalesce({c}, '') as {c}" if c in _TEXTS else c for c in _EXPORT)} from chunk_catalog")
+def snk_06(spark, d):
     """The catalog of all datasets as CSV, and back; NULL texts come back empty."""
     path = new_path(spark, "csv")
     c = table(spark, d, "chunk_catalog").select("chunk_row", *_EXPORT)
@@ -111,12 +97,16 @@ def snk_07(spark, d):
     return spark.read.schema(c.schema).json(path)
 
 
-@query("SNK-09", "select dataset_id, count(*) as n_chunks from chunk_catalog group by 1")
+@query("SNK-09", "select dataset_id, count(*) as n_chunks, cast(sum(tokens) as bigint) as n_tokens, count(*) as n_stored from chunk_catalog group by 1")
 def snk_09(spark, d):
-    """Catalog with its metadata: counters per dataset stored beside the rows."""
+    """The catalog with its metadata: counters per dataset stored beside the rows of each, both read back."""
     path = new_path(spark, "json")
-    table(spark, d, "chunk_catalog").groupBy("dataset_id").agg(F.count("*").alias("n_chunks")).write.json(path)
-    return spark.read.schema("dataset_id string, n_chunks bigint").json(path)
+    c = table(spark, d, "chunk_catalog").select("dataset_id", "chunk_row", "segment_id", "content", "tokens")
+    write_jsonl(c, f"{path}/chunks")
+    c.groupBy("dataset_id").agg(F.count("*").alias("n_chunks"), F.sum("tokens").alias("n_tokens")).write.json(f"{path}/metadata")
+    meta = spark.read.schema("dataset_id string, n_chunks bigint, n_tokens bigint").json(f"{path}/metadata")
+    stored = spark.read.schema("dataset_id string, chunk_row bigint").json(f"{path}/chunks").groupBy(F.col("dataset_id").alias("own")).agg(F.count("*").alias("n_stored"))
+    return meta.join(stored, F.col("dataset_id").eqNullSafe(F.col("own"))).drop("own")
 
 
 @query("SNK-10", "select question_set_id, count(*) as n from questions group by 1")
@@ -220,27 +210,12 @@ def src_15(spark, d):
     return b.groupBy(F.regexp_extract("path", r"([^/]+)\.txt$", 1).alias("document_id")).agg(F.count("*").alias("n_blocks"))
 
 
-def _page(kind: str, page: int, limit: int) -> list[dict]:
-    """A service of 230 rows that fails on its third page."""
-    if page == 3:
-        raise TimeoutError("page 3")
-    return [{"id": n, "kind": kind} for n in range((page - 1) * limit, min(230, page * limit))]
-
-
-@query("SRC-04", "select 180 as n_rows, 1 as n_errors")
-def src_04(spark, d):
-    """A paged pull of a simulated service: a failing page costs only its own rows."""
-    p = read_pages(spark, _page, "traces", 5, 50)
-    return p.agg(F.count("payload").cast("int").alias("n_rows"), F.count("error").cast("int").alias("n_errors"))
-
-
-@query("STR-01", "select 'roots' as store, count(distinct id) as n from observations where type = 'TRACE' union all select 'rest', count(distinct id) from observations where type is distinct from 'TRACE'")
+@query("STR-01", "select 'roots' as store, count(distinct id) as n from observations where type = 'TRACE' union all select 'rest', count(distinct id) from (select id, bool_or(type = 'TRACE') over (partition by id) as root from observations) where root is distinct from true")
 def str_01(spark, d):
     """Incremental synchronisation: each id once, roots and the rest in two stores."""
     folder = new_path(spark, "sync")
-    s = read_stream(spark, f"{d}/observations.parquet").select("id", "type", F.coalesce(F.col("end_time").try_cast("timestamp"), F.timestamp_seconds(F.lit(1_700_000_000))).alias("at"))
-    sync(s, folder, "id", "type", "TRACE", "at", "100000 days")
-    return synced(spark, folder, "roots").select(F.lit("roots").alias("store"), "id").unionByName(synced(spark, folder, "rest").select(F.lit("rest").alias("store"), "id")).groupBy("store").agg(F.count("*").alias("n"))
+    sync(read_stream(spark, f"{d}/observations.parquet").select("id", "type", "obs_key"), folder, "id", "type", "TRACE", "obs_key")
+    return synced(spark, folder, "roots").select(F.lit("roots").alias("store"), "id").unionByName(synced(spark, folder, "rest").select(F.lit("rest").alias("store"), "id")).where("id is not null").groupBy("store").agg(F.count("*").alias("n"))
 
 
 def _events(spark, d):
@@ -260,7 +235,7 @@ def events_sliding(spark, d):
 @query("events_sessions", """with e as (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) < interval '30 minutes' then 0 else 1 end as opened from events), s as (select *, sum(opened) over (partition by user_id order by ts rows unbounded preceding) as k from e)
 select min(ts) as window_start, max(ts) + interval '30 minutes' as window_end, user_id, count(*) as n from s group by user_id, k""")
 def events_sessions(spark, d):
-    return windowed(_events(spark, d), new_path(spark, "windows"), "at", F.session_window("at", "30 minutes"), ["user_id"], [F.count("*").alias("n")])
+    return windowed(_events(spark, d), new_path(spark, "windows"), "at", F.session_window("at", "30 minutes"), ["user_id"], [F.count("*").alias("n")], sessions=True)
 
 
 @query("STR-02", "select snapshot_id, cast(1 as integer) as version from snapshots union all select snapshot_id, 2 from snapshots where deleted_at is null")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import csv
 import io
 import json
+import re
 import zipfile
 from xml.sax.saxutils import escape
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,9 +19,11 @@ from ..operators import grids as G
 from ..operators import render as T
 from ..operators.model import judge_with
 from ..runtime import new_path, table
-from ..sources.documents import read_documents
+from ..sources.documents import NUMBERED_HEADINGS, read_documents
+from ..sources.files import write_files
 from ..sources.jsonl import read_jsonl, write_jsonl
 from ..sources.paged import read_all, read_pages
+from ..sources.service import TableService
 from . import judging
 from . import sqltext as q
 from .define import Registry
@@ -30,32 +35,61 @@ query = R.query
 # --- paged services ---------------------------------------------------------------------------------------------------
 
 
-def _service(kind: str, page: int, limit: int) -> list[dict]:
-    """A simulated service: 230 traces, 7 observations each, 120 datasets, 95 documents, 310 segments in two states."""
-    total = {"traces": 230, "observations": 7, "datasets": 120, "documents": 95, "segments": 310, "completed": 155}[kind]
-    return [{"id": f"{kind}-{n}", "status": "completed" if n % 2 == 0 else "error"} for n in range((page - 1) * limit, min(total, page * limit))]
+def _pulled(spark: SparkSession, d: str, kind: str, schema: str, pages: int | None, limit: int, broken: tuple[int, ...] = ()) -> DataFrame:
+    """The rows of one pull from a service that serves the tables."""
+    client = TableService(d, broken)
+    p = read_all(spark, client, kind, limit) if pages is None else read_pages(spark, client, kind, pages, limit)
+    return p.select(F.from_json("payload", schema).alias("r"), "page", "error")
 
 
-def _pulled(spark: SparkSession, kind: str, pages: int | None, limit: int) -> DataFrame:
-    p = (read_all(spark, _service, kind, limit) if pages is None else read_pages(spark, _service, kind, pages, limit)).where("payload is not null")
-    return p.select(F.from_json("payload", "id string, status string").alias("r")).agg(F.count("*").cast("int").alias("n_rows"), F.countDistinct("r.id").cast("int").alias("n_ids"))
+@query("SRC-04", "select 'row' as what, delivery_id as id from (select delivery_id, row_number() over (order by delivery_id) as rn from traces) where rn <= 250 and (rn - 1) // 50 <> 2 union all select 'error', 3")
+def src_04(spark, d):
+    """Five pages of traces from a service that fails on the third: it costs only its own rows, and stands as an error."""
+    p = _pulled(spark, d, "traces", "delivery_id bigint", 5, 50, (3,))
+    return p.where("error is null or page = 3").select(F.when(F.col("error").isNull(), "row").otherwise("error").alias("what"), F.when(F.col("error").isNull(), F.col("r.delivery_id")).otherwise(F.col("page").cast("bigint")).alias("id"))
 
 
-def _pull_query(name: str, doc: str, kind: str, pages: int | None, limit: int, rows: int) -> None:
-    def run(spark: SparkSession, d: str) -> DataFrame:
-        return _pulled(spark, kind, pages, limit)
+@query("SRC-05", "select delivery_id, trace_id from traces order by delivery_id limit 50")
+def src_05(spark, d):
+    """One page of traces."""
+    return _pulled(spark, d, "traces", "delivery_id bigint, trace_id string", 1, 50).select("r.*")
 
-    run.__doc__ = doc
-    query(name, f"select {rows} as n_rows, {rows} as n_ids")(run)
 
+@query("SRC-06", "select obs_key, type from observations where traceid = (select min(traceid) from observations) order by obs_key limit 100")
+def src_06(spark, d):
+    """The observations of one trace: one page of at most 100."""
+    trace = table(spark, d, "observations").agg(F.min("traceid")).first()[0]
+    return _pulled(spark, d, f"observations:{trace}", "obs_key bigint, type string", 1, 100).select("r.*")
 
-_pull_query("SRC-05", "One page of traces.", "traces", 1, 50, 50)
-_pull_query("SRC-06", "The observations of one trace: one page of at most 100.", "observations", 1, 100, 7)
-_pull_query("SRC-08", "The first hundred datasets.", "datasets", 1, 100, 100)
-_pull_query("SRC-09", "One page of documents.", "documents", 1, 20, 20)
-_pull_query("SRC-10", "All documents, page by page until a page is empty.", "documents", None, 20, 95)
-_pull_query("SRC-11", "One page of completed segments: the service applies the filter.", "completed", 1, 100, 100)
-_pull_query("SRC-12", "All segments, page by page until a page is empty.", "segments", None, 100, 310)
+
+@query("SRC-08", "select distinct dataset_id from create_document where dataset_id is not null order by 1 limit 100")
+def src_08(spark, d):
+    """The first hundred datasets."""
+    return _pulled(spark, d, "datasets", "dataset_id string", 1, 100).select("r.*")
+
+
+@query("SRC-09", "select document_id, dataset_id from create_document order by document_id limit 20")
+def src_09(spark, d):
+    """One page of documents."""
+    return _pulled(spark, d, "documents", "document_id string, dataset_id string", 1, 20).select("r.*")
+
+
+@query("SRC-10", "select document_id, dataset_id from create_document")
+def src_10(spark, d):
+    """All documents, page by page until a page is empty."""
+    return _pulled(spark, d, "documents", "document_id string, dataset_id string", None, 20).select("r.*")
+
+
+@query("SRC-11", "select chunk_row, segment_id from chunk_catalog where status = 'completed' order by chunk_row limit 100")
+def src_11(spark, d):
+    """One page of completed segments: the service applies the filter."""
+    return _pulled(spark, d, "completed", "chunk_row bigint, segment_id string", 1, 100).select("r.*")
+
+
+@query("SRC-12", "select chunk_row, segment_id, status from chunk_catalog")
+def src_12(spark, d):
+    """All segments, page by page until a page is empty."""
+    return _pulled(spark, d, "segments", "chunk_row bigint, segment_id string, status string", None, 100).select("r.*")
 
 
 @query("SRC-13", "select case when c.deleted_at is not null then 'archived' when c.document_id not in (select document_id from chunk_catalog where document_id is not null) then 'no_segments' else 'pulled' end as state, count(*) as n from create_document c group by 1")
@@ -66,100 +100,163 @@ def src_13(spark, d):
     return t.groupBy(F.when(F.col("deleted_at").isNotNull(), "archived").when(F.col("have").isNull(), "no_segments").otherwise("pulled").alias("state")).agg(F.count("*").alias("n"))
 
 
-@query("STR-03", "select 'ready' as outcome, 3 as n_polls")
+@query("STR-03", "with n as (select d.document_id, count(c.document_id) as n from create_document d left join chunk_catalog c on c.document_id = d.document_id group by 1) select document_id, case when n = 0 or n % 17 > 10 then 'timeout' else 'ready' end as outcome, cast(case when n = 0 or n % 17 > 10 then 11 else n % 17 + 1 end as integer) as n_polls from n")
 def str_03(spark, d):
-    """Polling with an injected clock: the third answer has segments."""
+    """Polling for the segments of every document, with an injected clock: they appear after some polls, or not in time."""
     from ..sources.poll import poll_until
 
-    answers = iter([0, 0, 12])
-    outcome, n = poll_until(lambda: next(answers), lambda x: x > 0, timeout=60, interval=5, clock=iter(range(0, 100, 5)).__next__, sleep=lambda s: None)
-    return spark.createDataFrame([(outcome, n)], "outcome string, n_polls int")
+    def run(parts):
+        for part in parts:
+            out = []
+            for document, n in zip(part["document_id"], part["n"]):
+                seen = iter([0] * (n % 17) + [n] * 99)
+                now = [0.0]
+                asked = poll_until(lambda seen=seen: next(seen), lambda x: x > 0, 52, 5, lambda now=now: now[0], lambda s, now=now: now.__setitem__(0, now[0] + s))
+                out.append((document, *asked))
+            yield pd.DataFrame(out, columns=["document_id", "outcome", "n_polls"])
+
+    segments = table(spark, d, "chunk_catalog").groupBy("document_id").agg(F.count("*").alias("n"))
+    waiting = table(spark, d, "create_document").select("document_id").join(segments, "document_id", "left").select("document_id", F.coalesce("n", F.lit(0)).alias("n"))
+    return waiting.mapInPandas(run, "document_id string, outcome string, n_polls int")
 
 
 # --- files ------------------------------------------------------------------------------------------------------------
 
 _W = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
 _S = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+_UNSAFE = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\ufffe\uffff]")  # not allowed in XML
+
+
+def _xml(t: str) -> str:
+    return escape(_UNSAFE.sub("", t))
+
+
+def _zipped(entries: dict[str, str]) -> bytes:
+    b = io.BytesIO()
+    with zipfile.ZipFile(b, "w") as z:
+        for k, v in entries.items():
+            z.writestr(k, v.encode("utf-8", "replace"))
+    return b.getvalue()
+
+
+def _word(text: str) -> bytes:
+    """A text as a Word document, a paragraph a line."""
+    body = "".join(f"<w:p><w:r><w:t>{_xml(line)}</w:t></w:r></w:p>" for line in text.split("\n"))
+    return _zipped({"word/document.xml": f"<w:document {_W}><w:body>{body}</w:body></w:document>"})
+
 
+def _sheet(cells: list) -> bytes:
+    """The filled cells of a grid as a workbook of one sheet; rows keep their numbers."""
+    rows: dict[int, list] = {}
+    for c in sorted(cells, key=lambda c: (c["row"], c["col"])):
+        rows.setdefault(c["row"], []).append(f'<c r="{_letters(c["col"])}{c["row"]}" t="inlineStr"><is><t>{_xml(c["value"])}</t></is></c>')
+    data = "".join(f'<row r="{n}">{"".join(cs)}</row>' for n, cs in rows.items())
+    return _zipped({"xl/workbook.xml": f'<workbook {_S}><sheets><sheet name="S"/></sheets></workbook>', "xl/worksheets/sheet1.xml": f"<worksheet {_S}><sheetData>{data}</sheetData></worksheet>"})
 
-def _office_folder(spark: SparkSession, d: str) -> str:
-    """The 25 nations as a Word table, a sheet and a CSV file."""
-    rows = [("key", "name")] + sorted((str(r.n_nationkey), r.n_name or "") for r in table(spark, d, "nation").select("n_nationkey", "n_name").collect())  # 25 rows
+
+def _letters(n: int) -> str:
+    out = ""
+    while n:
+        n, r = divmod(n - 1, 26)
+        out = chr(65 + r) + out
+    return out
+
+
+def _csv(cells: list) -> bytes:
+    """The rows with a filled cell as CSV in a legacy encoding."""
+    rows: dict[int, dict[int, str]] = {}
+    for c in cells:
+        rows.setdefault(c["row"], {})[c["col"]] = c["value"]
+    out = io.StringIO()
+    csv.writer(out, lineterminator="\n").writerows([[r.get(k, "") for k in range(1, max(r) + 1)] for _, r in sorted(rows.items())])
+    return out.getvalue().encode("gb18030", "replace")
+
+
+def _sheets(spark: SparkSession, d: str) -> DataFrame:
+    """(name, cells): the filled cells of every price sheet, which is as many as one sheet holds."""
+    cells = _grid(spark, d).where("value is not null").groupBy("sheet").agg(F.collect_list(F.struct("row", "col", "value")).alias("cells"))
+    return cells.select(F.col("sheet").cast("string").alias("name"), "cells")
+
+
+def _made(df: DataFrame, make, ext: str) -> DataFrame:
+    """(name, content) of files built from each row's second column."""
+
+    def run(parts):
+        for part in parts:
+            yield pd.DataFrame({"name": part["name"] + ext, "content": [make(x) for x in part.iloc[:, 1]]})
+
+    return df.mapInPandas(run, "name string, content binary")
+
+
+def _office(spark: SparkSession, d: str, *kinds: str) -> str:
+    """A folder of files of the kinds asked for: documents as Word files, price sheets as workbooks and CSV, old workbooks."""
     path = new_path(spark, "office")
-    cell = lambda t: f"<w:tc><w:p><w:r><w:t>{escape(t)}</w:t></w:r></w:p></w:tc>"
-    word = f"<w:document {_W}><w:body><w:p><w:r><w:t>第一章 Nations</w:t></w:r></w:p><w:tbl>{''.join('<w:tr>' + ''.join(map(cell, r)) + '</w:tr>' for r in rows)}</w:tbl></w:body></w:document>"
-    sheet = f"<worksheet {_S}><sheetData>{''.join(f'<row r=\"{n}\">' + ''.join(f'<c r=\"{c}{n}\" t=\"inlineStr\"><is><t>{escape(t)}</t></is></c>' for c, t in zip('AB', r)) + '</row>' for n, r in enumerate(rows, 1))}</sheetData></worksheet>"
-    parts = {"a.docx": {"word/document.xml": word}, "b.xlsx": {"xl/workbook.xml": f'<workbook {_S}><sheets><sheet name="N"/></sheets></workbook>', "xl/worksheets/sheet1.xml": sheet}}
-    blobs = [("c.csv", "\n".join(",".join(r) for r in rows).encode("gb18030")), ("d.xls", b"\xd0\xcf\x11\xe0")]
-    for name, entries in parts.items():
-        b = io.BytesIO()
-        with zipfile.ZipFile(b, "w") as z:
-            for k, v in entries.items():
-                z.writestr(k, v)
-        blobs.append((name, b.getvalue()))
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for name, data in blobs:
-        at = jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
-        out = at.getFileSystem(conf).create(at)
-        out.write(bytearray(data))
-        out.close()
+    docs = table(spark, d, "create_document").where("text is not null").select(F.col("document_id").alias("name"), "text")
+    old = table(spark, d, "collectors").select(F.col("collector_id").alias("name"), F.lit("\u00d0\u00cf").alias("text"))
+    makers = {"docx": lambda: _made(docs, _word, ".docx"), "xlsx": lambda: _made(_sheets(spark, d), _sheet, ".xlsx"), "csv": lambda: _made(_sheets(spark, d), _csv, ".csv"), "xls": lambda: _made(old, lambda t: t.encode("latin-1"), ".xls")}
+    for kind in kinds:
+        write_files(makers[kind](), "name", "content", path)
     return path
 
 
-def _parsed(spark, d, pattern):
-    return read_documents(spark, _office_folder(spark, d), pattern)
+def _parsed(spark, d, *kinds):
+    return read_documents(spark, _office(spark, d, *kinds), "*").withColumn("name", F.regexp_extract("path", r"([^/]+)\.[a-z]+$", 1))
+
+
+_LINES = f"ls as (select document_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as n from create_document where text is not null), pg as (select document_id, n, {q.strip('line')} as t from ls where {q.non_blank('line')} is not null)"
+_HEAD = "|".join(NUMBERED_HEADINGS)
+_FILLED = f"{_GRID}, fl as (select sheet, row, col, value from grid where value is not null), r0 as (select sheet, min(row) as r0 from fl group by 1), hd0 as (select fl.sheet, fl.col, fl.value as head from fl join r0 on r0.sheet = fl.sheet and r0.r0 = fl.row), bl as (select fl.sheet, fl.row, string_agg(coalesce(head, fl.col::varchar) || '：' || fl.value, '；' order by fl.col) as text, dense_rank() over (partition by fl.sheet order by fl.row) + 1 as n from fl join r0 on r0.sheet = fl.sheet and fl.row > r0.r0 left join hd0 on hd0.sheet = fl.sheet and hd0.col = fl.col group by 1, 2)"
 
 
-@query("SRC-16", "select 'paragraph' as kind, '第一章 Nations' as heading, 1 as n_lines union all select 'table', '第一章 Nations', 27")
+@query("SRC-16", f"with {_LINES} select document_id, count(*) as n_paragraphs, count(*) filter (h > 0) as n_headed from (select *, sum(case when regexp_matches(t, '{_HEAD}') then 1 else 0 end) over (partition by document_id order by n) as h from pg) group by 1")
 def src_16(spark, d):
-    """Word documents: paragraphs and tables under their running heading."""
-    return _parsed(spark, d, "*.docx").select("kind", "heading", F.size(F.split("text", "\n")).alias("n_lines"))
+    """Word documents: their paragraphs, and how many stand under a heading."""
+    return _parsed(spark, d, "docx").groupBy(F.col("name").alias("document_id")).agg(F.count("*").alias("n_paragraphs"), F.count_if(F.col("heading") != "").alias("n_headed"))
 
 
-@query("SRC-17", "select 'key：' || n_nationkey || '；name：' || n_name as text from nation")
+@query("SRC-17", f"with {_FILLED} select sheet, row as row_number, text from bl")
 def src_17(spark, d):
-    """Sheets: one block per row below the header."""
-    return _parsed(spark, d, "*.xlsx").select("text")
+    """Workbooks: one block per row below the header, with its number."""
+    return _parsed(spark, d, "xlsx").select(F.col("name").cast("bigint").alias("sheet"), "row_number", "text")
 
 
-@query("SRC-18", "select 'key：' || n_nationkey || '；name：' || n_name as text from nation")
+@query("SRC-18", f"with {_FILLED} select sheet, text from bl")
 def src_18(spark, d):
     """CSV in a legacy encoding."""
-    return _parsed(spark, d, "*.csv").select("text")
+    return _parsed(spark, d, "csv").select(F.col("name").cast("bigint").alias("sheet"), "text")
 
 
-@query("SRC-19", "select 'unsupported: xls' as error")
+@query("SRC-19", "select collector_id as name, 'unsupported: xls' as error from collectors")
 def src_19(spark, d):
-    """The binary sheet format needs a library that isn't there: an error row, no crash."""
-    return _parsed(spark, d, "*.xls").select("error")
+    """The binary sheet format needs a library that isn't there: an error row a file, no crash."""
+    return _parsed(spark, d, "xls").select("name", "error")
 
 
-@query("SRC-25", "select 26 as last_row, 25 as n_rows")
+@query("SRC-25", f"with {_FILLED} select sheet, cast(max(n) as integer) as last_row, count(*) as n_rows from bl group by 1")
 def src_25(spark, d):
-    return _parsed(spark, d, "*.csv").agg(F.max("row_number").alias("last_row"), F.count("*").cast("int").alias("n_rows"))
+    """Rows of every CSV file, and the number of its last one."""
+    return _parsed(spark, d, "csv").groupBy(F.col("name").cast("bigint").alias("sheet")).agg(F.max("row_number").alias("last_row"), F.count("*").alias("n_rows"))
 
 
-@query("SRC-26", "select 'c.csv' as name, 0 as n_replaced")
+@query("SRC-26", f"with {_FILLED} select sheet, cast(sum(len(text) - len(replace(text, chr(65533), ''))) as bigint) as n_replaced from bl group by 1")
 def src_26(spark, d):
-    """The encoding probe: no replacement characters after decoding."""
-    p = _parsed(spark, d, "*.csv").select(F.regexp_extract("path", "([^/]+)$", 1).alias("name"), F.regexp_count("text", F.lit("�")).alias("n"))
-    return p.groupBy("name").agg(F.sum("n").cast("int").alias("n_replaced"))
+    """The encoding probe: decoding adds no replacement character."""
+    p = _parsed(spark, d, "csv").select(F.col("name").cast("bigint").alias("sheet"), F.regexp_count("text", F.lit("\ufffd")).alias("n"))
+    return p.groupBy("sheet").agg(F.sum("n").alias("n_replaced"))
 
 
-@query("SRC-27", "select ext, n from (values ('csv', 25), ('docx', 2), ('xls', 1), ('xlsx', 25)) v(ext, n)")
+@query("SRC-27", f"with {_FILLED}, {_LINES} select 'csv' as ext, count(*) as n from bl union all select 'xlsx', count(*) from bl union all select 'docx', count(*) from pg union all select 'xls', count(*) from collectors")
 def src_27(spark, d):
     """Dispatch on the extension: blocks per kind of file."""
-    return _parsed(spark, d, "*").groupBy(F.regexp_extract("path", r"\.([a-z]+)$", 1).alias("ext")).agg(F.count("*").cast("int").alias("n"))
+    return _parsed(spark, d, "csv", "xlsx", "docx", "xls").groupBy(F.regexp_extract("path", r"\.([a-z]+)$", 1).alias("ext")).agg(F.count("*").alias("n"))
 
 
-_HEAD = r"^(第[一二三四五六七八九十百\d]+[章节条]|\d+(\.\d+)*[、.\s]|[一二三四五六七八九十]+、|（[一二三四五六七八九十\d]+）)"
-
-
-@query("SRC-20", f"select document_id, cast(len(list_filter(string_split(text, chr(10)), lambda x: length(x) <= 60 and regexp_matches(x, '{_HEAD}'))) as integer) as n_headings from create_document where text is not null")
+@query("SRC-20", f"with {_LINES} select document_id, cast(count(*) filter (regexp_matches(t, '{_HEAD}')) as integer) as n_headings from pg group by 1")
 def src_20(spark, d):
-    """Numbered headings per document."""
-    n = F.size(F.filter(F.split("text", "\n"), lambda x: (F.length(x) <= 60) & x.rlike(_HEAD)))
-    return table(spark, d, "create_document").where("text is not null").select("document_id", n.alias("n_headings"))
+    """Numbered headings per document: paragraphs that begin like one."""
+    lines = F.transform(F.split("text", "\n"), lambda x: non_blank(x))
+    t = table(spark, d, "create_document").where("text is not null").select("document_id", F.array_compact(lines).alias("lines")).where(F.size("lines") > 0)
+    return t.select("document_id", F.size(F.filter("lines", lambda x: x.rlike(_HEAD))).alias("n_headings"))
 
 
 @query("SRC-21", f"with {_GRID} select sheet, row, '| ' || string_agg(coalesce(value, ''), ' | ' order by col) || ' |' as line from grid group by 1, 2")
@@ -189,22 +286,19 @@ def src_28(spark, d):
     return good.groupBy("dataset_id").agg(F.count("*").alias("n"))
 
 
-@query("SRC-30", "select 4 as n_objects")
+@query("SRC-30", "select document_id from create_document where text is not null")
 def src_30(spark, d):
-    """Stored objects without their sidecars."""
-    path = _office_folder(spark, d)
-    files_ = spark.read.format("binaryFile").load(path).select("path").where(~F.col("path").rlike(r"\.(metadata\.json|chunks\.json|cleaned\.txt)$"))
-    return files_.agg(F.count("*").cast("int").alias("n_objects"))
+    """Stored objects without the sidecars beside them."""
+    path = new_path(spark, "objects")
+    docs = table(spark, d, "create_document").where("text is not null")
+    for ext, content in ((".txt", F.col("text")), (".metadata.json", F.to_json(F.struct("document_id", "dataset_id"))), (".cleaned.txt", F.trim("text"))):
+        write_files(docs.select(F.concat("document_id", F.lit(ext)).alias("name"), content.alias("content")), "name", "content", path)
+    stored = spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", "([^/]+)$", 1).alias("name"))
+    return stored.where(~F.col("name").rlike(r"\.(metadata\.json|chunks\.json|cleaned\.txt)$")).select(F.regexp_replace("name", r"\.txt$", "").alias("document_id"))
 
 
-@query("SNK-23", "select document_id, 1 as version from create_document where dataset_id = 'ds-elm' union all select document_id, 2 from create_document where dataset_id = 'ds-elm' and deleted_at is null")
+@query("SNK-23", "select document_id, 1 as version from create_document union all select document_id, 2 from create_document where deleted_at is null")
 def snk_23(spark, d):
-    """Versioned puts: an object stored again keeps its earlier version; one dataset."""
-    return _stored_versions(spark, table(spark, d, "create_document").where("dataset_id = 'ds-elm'"))
-
-
-@query("SNK-23_all", "select document_id, 1 as version from create_document union all select document_id, 2 from create_document where deleted_at is null")
-def snk_23_all(spark, d):
     """Versioned puts of the documents of all datasets."""
     return _stored_versions(spark, table(spark, d, "create_document"))
 

@@ -149,7 +149,7 @@ def prj_44(spark, d):
 # --- configurations: parts stand for profiles, suppliers for runs ---------------------------------------------------
 
 _FIELDS = ["p_brand", "p_type", "p_size"]
-_FP = "left(sha256('p_brand=' || p_brand || chr(31) || 'p_size=' || p_size || chr(31) || 'p_type=' || p_type), 16)"
+_FP = "left(sha256('{' || concat_ws(', ', " + ", ".join(f"'\"{f}\": \"' || nullif(trim(cast({f} as varchar)), '') || '\"'" for f in sorted(_FIELDS)) + ") || '}'), 16)"
 _DUP = f"fp as (select *, {_FP} as fingerprint from part), dup as (select fingerprint, count(*) as n, arg_min(p_partkey, (p_retailprice, p_partkey)) as canonical from fp group by 1 having count(*) > 1)"
 
 

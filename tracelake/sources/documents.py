@@ -18,7 +18,9 @@ SUPPORTED = ("txt", "md", "csv", "docx", "xlsx")
 UNCACHED = "[公式未计算]"
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 _S = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
-_NUMBERED = re.compile(r"^(?:第[一二三四五六七八九十百\d]+[章节条]|\d+(?:\.\d+)*[、.\s]|[一二三四五六七八九十]+、|（[一二三四五六七八九十\d]+）)")
+# The forms of numbered headings (1. x, 1.2 x, 1.2.3, 第一章 and the like).
+NUMBERED_HEADINGS = (r"^\d+\.\s+\S", r"^\d+\.\d+\s+\S", r"^\d+\.\d+\.\d+", r"^第[一二三四五六七八九十\d]+[章节篇]")
+_NUMBERED = re.compile("|".join(NUMBERED_HEADINGS))
 
 
 def decoded(data: bytes) -> str:
@@ -30,7 +32,7 @@ def decoded(data: bytes) -> str:
 
 
 def is_numbered_heading(text: str) -> bool:
-    return len(text) <= 60 and bool(_NUMBERED.match(text))
+    return bool(_NUMBERED.match(text))
 
 
 def docx_blocks(data: bytes) -> Iterator[tuple[str, str, str]]:
@@ -48,14 +50,18 @@ def docx_blocks(data: bytes) -> Iterator[tuple[str, str, str]]:
             yield "paragraph", heading, text
         elif node.tag == f"{_W}tbl":
             rows = [["".join(t.text or "" for t in c.iter(f"{_W}t")).strip() for c in r.iter(f"{_W}tc")] for r in node.iter(f"{_W}tr")]
-            if rows:
-                yield "table", heading, table_markdown(rows)
+            if table := table_markdown(rows):
+                yield "table", heading, table
 
 
 def table_markdown(rows: list[list[str]]) -> str:
-    width = max(len(r) for r in rows)
-    padded = [r + [""] * (width - len(r)) for r in rows]
-    return "\n".join("| " + " | ".join(r) + " |" for r in [padded[0], ["---"] * width, *padded[1:]])
+    """Rows as Markdown under the first of them, as wide as that; shorter rows are filled up, empty rows are left out."""
+    filled = [[c.replace("\n", " ") for c in r] for r in rows if any(r)]
+    if not filled:
+        return ""
+    width = len(filled[0])
+    line = lambda r: "| " + " | ".join([*r, *[""] * width][:width]) + " |"
+    return "\n".join([line(filled[0]), line(["---"] * width), *map(line, filled[1:])])
 
 
 def column_index(ref: str) -> int:

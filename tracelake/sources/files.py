@@ -18,27 +18,35 @@ def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return out.fillna("")
 
 
-def write_text_files(df: DataFrame, key: str, text: str, path: str) -> None:
-    """One text file per row, written by the tasks themselves through the shared folder's file system."""
-    root = path.removeprefix("file://")
+def write_files(df: DataFrame, name: str, content: str, path: str) -> None:
+    """One file per row, named and filled by two columns (texts are written as UTF-8), by the tasks themselves.
+
+    Works on every file system that pyarrow knows (local, hdfs, s3, gs). A file is written under another name and moved to its
+    own, so a task that runs twice leaves the same file.
+    """
 
     def run(parts):
-        import os
+        import uuid
 
         import pandas as pd
+        from pyarrow.fs import FileSystem
 
-        os.makedirs(root, exist_ok=True)
+        fs, root = FileSystem.from_uri(path)
+        fs.create_dir(root, recursive=True)
         for part in parts:
-            for k, t in zip(part["key"], part["text"]):
-                at = os.path.join(root, f"{k}.txt")
-                with open(f"{at}.{os.getpid()}.part", "w", encoding="utf-8", newline="") as f:
-                    f.write(t)
-                os.replace(f"{at}.{os.getpid()}.part", at)  # a task that runs twice leaves the same file
+            for n, data in zip(part["name"], part["content"]):
+                draft = f"{root}/_{uuid.uuid4().hex}.part"
+                with fs.open_output_stream(draft) as out:
+                    out.write(data.encode("utf-8", "surrogatepass") if isinstance(data, str) else bytes(data))
+                fs.move(draft, f"{root}/{n}")
             yield pd.DataFrame({"n": [len(part)]})
 
-    if "://" in root:
-        raise ValueError("text files are written to a mounted folder")
-    df.select(F.col(key).cast("string").alias("key"), F.col(text).alias("text")).mapInPandas(run, "n bigint").agg(F.sum("n")).collect()
+    df.select(F.col(name).cast("string").alias("name"), F.col(content).alias("content")).mapInPandas(run, "n bigint").agg(F.sum("n")).collect()
+
+
+def write_text_files(df: DataFrame, key: str, text: str, path: str) -> None:
+    """One text file per row, named by its key."""
+    write_files(df.select(F.concat(F.col(key).cast("string"), F.lit(".txt")).alias("name"), F.col(text).alias("content")), "name", "content", path)
 
 
 def write_all_or_nothing(df: DataFrame, path: str, invalid: Column) -> None:

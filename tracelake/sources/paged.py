@@ -7,6 +7,7 @@ again and then skipped with its error as a row, so one bad page does not cost th
 
 from __future__ import annotations
 
+import itertools
 import json
 from collections.abc import Callable, Iterator
 
@@ -96,12 +97,20 @@ def paged_source(client: Client, name: str = "paged") -> type[DataSource]:
     return Paged
 
 
+_names = itertools.count(1)
+
+
+def _reader_of(spark: SparkSession, client: Client):
+    """A reader of this client alone: names are registered for the whole session, so each client gets its own."""
+    name = f"paged_{next(_names)}"
+    spark.dataSource.register(paged_source(client, name))
+    return spark.read.format(name)
+
+
 def read_pages(spark: SparkSession, client: Client, kind: str, pages: int, limit: int = 50) -> DataFrame:
-    spark.dataSource.register(paged_source(client))
-    return spark.read.format("paged").options(kind=kind, pages=str(pages), limit=str(limit)).load()
+    return _reader_of(spark, client).options(kind=kind, pages=str(pages), limit=str(limit)).load()
 
 
 def read_all(spark: SparkSession, client: Client, kind: str, limit: int = 50) -> DataFrame:
     """All pages of a service."""
-    spark.dataSource.register(paged_source(client))
-    return spark.read.format("paged").options(kind=kind, limit=str(limit)).load()
+    return _reader_of(spark, client).options(kind=kind, limit=str(limit)).load()
