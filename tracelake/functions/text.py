@@ -91,16 +91,44 @@ def _one_of(chars) -> str:
     return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in runs) + "]"
 
 
+#: Characters that are their own compatible form, or full-width ASCII: nearly all that texts hold.
+_USUAL = r"[^\x00-\x7f\x{c0}-\x{131}\x{400}-\x{52f}\x{2010}\x{2012}-\x{2016}\x{2018}-\x{2022}\x{3000}-\x{3035}\x{4e00}-\x{9fff}\x{ff01}-\x{ff5e}]"
+
+
+def half_width(c: Column | str) -> Column:
+    """Full-width ASCII and the wide space in their ASCII form."""
+    wide = range(0xFF01, 0xFF5F)
+    return F.translate(as_col(c), "".join(map(chr, wide)) + "\u3000", "".join(chr(p - 0xFEE0) for p in wide) + " ")
+
+
 def compatible(c: Column | str) -> Column:
-    """Compatibility normalization (NFKC), in the JVM: characters that become one other by a translation; those that become
-    several, and accents that compose with the letter before them, one by one where a text has any.
+    """Compatibility normalization (NFKC), in the JVM.
 
-    Several accents on one letter are composed in the order in which they stand.
+    Full-width ASCII is translated at once; only a text with an unusual character is taken through all tables: characters that
+    become one other by a translation, those that become several, and accents that compose with the letter before them, one by
+    one. Several accents on one letter are composed in the order in which they stand.
     """
+    plain = half_width(c)
+    return F.when(plain.rlike(_USUAL), _all_compatible(plain)).otherwise(plain)
+
+
+@lru_cache(maxsize=1)
+def _tables() -> tuple[str, str, str, str]:
+    """Texts of the translation, and the classes of characters that become several and of accents."""
     one, several, pairs = _compatibility()
-    text = F.translate(as_col(c), "".join(one), "".join(one.values()))
+    return "".join(one), "".join(one.values()), _one_of(several), _one_of({k[-1] for k in pairs})
+
+
+def _named(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often it is named."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _all_compatible(c: Column) -> Column:
+    _, several, pairs = _compatibility()
+    old, new, widening, accents = _tables()
     chars = lambda t: F.filter(F.split(t, ""), lambda x: x != "")
-    text = F.when(text.rlike(_one_of(several)), F.array_join(F.transform(chars(text), lambda x: F.coalesce(_lookup(several, x), x)), "")).otherwise(text)
-    joined = lambda acc, x: _lookup(pairs, F.concat(F.right(acc, F.lit(1)), x))
-    composed = F.aggregate(chars(text), F.lit(""), lambda acc, x: F.when(joined(acc, x).isNotNull(), F.concat(F.left(acc, F.length(acc) - 1), joined(acc, x))).otherwise(F.concat(acc, x)))
-    return F.when(text.rlike(_one_of({k[-1] for k in pairs})), composed).otherwise(text)
+    widened = lambda t: F.when(t.rlike(widening), F.array_join(F.transform(chars(t), lambda x: F.coalesce(_lookup(several, x), x)), "")).otherwise(t)
+    with_last = lambda acc, x: _named(_lookup(pairs, F.concat(F.right(acc, F.lit(1)), x)), lambda one: F.when(one.isNotNull(), F.concat(F.left(acc, F.length(acc) - 1), one)).otherwise(F.concat(acc, x)))
+    composed = lambda t: F.when(t.rlike(accents), F.aggregate(chars(t), F.lit(""), with_last)).otherwise(t)
+    return _named(_named(F.translate(c, old, new), widened), composed)
