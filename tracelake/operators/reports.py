@@ -33,7 +33,16 @@ def grouped_rates(results: DataFrame, dims: list[str]) -> DataFrame:
     return out.select(which.alias("dimension"), F.coalesce(*dims).alias("value"), "n", "top1_rate", "top3_rate", "top5_rate", "strict_rate", "grounded_rate")
 
 
-def aligned(old: DataFrame, new: DataFrame, hits: DataFrame, max_rank: int = 10) -> DataFrame:
+def aligned(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Two runs with known ranks side by side on question_id, one row per question of either run, the last sample of a question winning."""
+
+    def last(df: DataFrame, tag: str) -> DataFrame:
+        return df.where("question_id is not null and question_id != ''").groupBy("question_id").agg(F.max_by(F.struct("rank", "top5_hit"), F.col("sample_id")).alias(tag))
+
+    return last(old, "old").join(last(new, "new"), "question_id", "full")
+
+
+def evidence_aligned(old: DataFrame, new: DataFrame, hits: DataFrame, max_rank: int = 10) -> DataFrame:
     """Two runs side by side on question_id, one row per question of either run, the last sample of a question winning.
 
     Both sides have the columns question_id, sample_id, trace_id, gold and top5_hit. ``rank`` is where the gold evidence (the old

@@ -329,7 +329,7 @@ def _pair(spark, d):
     r = results(spark, d).select("sample_id", "run_id", "question_id", "trace_id", "top5_hit").join(gold, "sample_id")
     runs = [x.run_id for x in _samples(spark, d).where("run_id is not null").groupBy("run_id").count().orderBy(F.desc("count"), "run_id").limit(2).collect()]
     runs += [None] * (2 - len(runs))
-    return P.aligned(r.where(F.col("run_id") == F.lit(runs[0])), r.where(F.col("run_id") == F.lit(runs[1])), _hits(spark, d))
+    return P.evidence_aligned(r.where(F.col("run_id") == F.lit(runs[0])), r.where(F.col("run_id") == F.lit(runs[1])), _hits(spark, d))
 
 
 _PAIR = f"""{_RES}, top2 as (select run_id, row_number() over (order by count(*) desc, run_id) as rn from samples where run_id is not null group by 1),
