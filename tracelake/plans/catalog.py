@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import content_hash, non_blank, short_md5, squeeze, strip
 from ..operators import candidates as C
 from ..operators import chunking as K
+from ..operators import generation as N
 from ..operators.samples import run_of_user
 from ..runtime import table
 from . import sqltext as q
@@ -43,13 +44,18 @@ _Q = q.strip("coalesce(retrieval_query, '')")
 _ZH = "len(regexp_extract_all({c}, '[一-鿿]')) >= 0.3 * greatest(length({c}), 1)"
 _EN = "len(regexp_extract_all({c}, '[A-Za-z]')) >= 0.5 * greatest(length({c}), 1)"
 _WORDS = " or ".join(f"contains(lower(x), '{w}')" for w in C.QUESTION_WORDS)
-_LINKED = r"(regexp_matches(x, '与|和|及|以及|并且|同时|另外|此外|还有') or regexp_matches(x, '\band\b|\bor\b|\bas well as\b|\bin addition\b') or regexp_matches(x, '[、，].*[、，]'))"
+_LINKED = "(" + " or ".join(f"regexp_matches(x, '{p}')" for p in C.LINKS) + ")"
 
 
-@query("FLT-03", f"""with s as (select sample_id, {_Q} as x, topic from samples) select sample_id, case when x = '' then 'empty' else array_to_string(list_filter([
- case when {q.non_blank('topic')} is null then 'no_label' end, case when {_WORDS} then 'question_word' end, case when regexp_matches(x, '[?？]') then 'question_mark' end,
+def _errors_sql(label: str) -> str:
+    """The names of the rules that the query x breaks, as a list."""
+    return f"""case when x = '' then ['empty'] else list_filter([
+ case when {q.non_blank(label)} is null then 'no_label' end, case when {_WORDS} then 'question_word' end, case when regexp_matches(x, '[?？]') then 'question_mark' end,
  case when {_ZH.format(c='x')} and length(x) < 3 then 'too_short' when {_ZH.format(c='x')} and length(x) > 30 then 'too_long' when not ({_ZH.format(c='x')}) and {_EN.format(c='x')} and len(string_split_regex(x, '{q.WS}+')) > 15 then 'too_long' end,
- case when {_LINKED} and len(list_filter(list_transform(string_split_regex(x, '[、，,]'), lambda t: {q.strip('t')}), lambda t: length(t) >= 2)) >= 3 then 'several_concepts' end], lambda e: e is not null), ',') end as errors from s""")
+ case when {_LINKED} and len(list_filter(list_transform(string_split_regex(x, '[、，,]'), lambda t: {q.strip('t')}), lambda t: length(t) >= 2)) >= 3 then 'several_concepts' end], lambda e: e is not null) end"""
+
+
+@query("FLT-03", f"with s as (select sample_id, {_Q} as x, topic from samples) select sample_id, array_to_string({_errors_sql('topic')}, ',') as errors from s")
 def flt_03(spark, d):
     return table(spark, d, "samples").select("sample_id", F.array_join(C.query_errors(F.col("retrieval_query"), F.col("topic")), ",").alias("errors"))
 
@@ -58,8 +64,11 @@ _PAIRS2 = "flatten(list_transform(regexp_extract_all(x, '[一-鿿]+'), lambda r:
 _TERMS = r"list_concat(regexp_extract_all(x, '[A-Za-z][A-Za-z0-9_-]+'), regexp_extract_all(x, '\d+(?:\.\d+)*(?:\s*[条款项号])?'))"
 
 
+_GROUNDED = f"(x <> '' and c <> '' and (len(list_filter(list_concat({_PAIRS2}, {_TERMS}), lambda t: contains(c, lower(t)))) > 0 or len(list_filter(list_concat(regexp_extract_all(x, '[一-鿿]+'), {_TERMS}), lambda t: length(t) > 2)) = 0))"
+
+
 @query("FLT-04", f"""with g as (select sample_id, hit_id, {_Q} as x, lower(coalesce({q.strip('content')}, '')) as c from samples join (select hit_id, trace_id, content from retrieval_results where content is not null) using (trace_id))
-select sample_id, hit_id, x <> '' and c <> '' and (len(list_filter(list_concat({_PAIRS2}, {_TERMS}), lambda t: contains(c, lower(t)))) > 0 or len(list_filter(list_concat(regexp_extract_all(x, '[一-鿿]+'), {_TERMS}), lambda t: length(t) > 2)) = 0) as grounded from g""")
+select sample_id, hit_id, {_GROUNDED} as grounded from g""")
 def flt_04(spark, d):
     """Groundedness of every retrieval query in the contents that were returned for it."""
     h = table(spark, d, "retrieval_results").where("content is not null").select("hit_id", "trace_id", "content")
@@ -453,11 +462,84 @@ def llm_07(spark, d):
     return _catalog(spark, d).select("chunk_row", F.when(F.length("content") > 300, cut).otherwise(F.col("content")).alias("excerpt"))
 
 
-@query("LLM-03", f"with u as (select distinct {q.squeeze('source_excerpt')} as e from questions where source_excerpt <> '') select c.chunk_row from chunk_catalog c where {q.squeeze('content')} not in (select e from u) and enabled")
+_TARGET = 5  # questions a document should have
+_USED = f"us as (select distinct {q.squeeze('source_excerpt')} as e from questions where source_excerpt <> '')"
+
+
+@query("LLM-03", f"""with {_USED}, have as (select document_id, count(*) as n from questions where document_id is not null group by 1),
+pool as (select c.document_id, c.chunk_row, {_TARGET} - coalesce(h.n, 0) as missing, row_number() over (partition by c.document_id order by coalesce(chunk_position, 0), chunk_row) as i, count(*) over (partition by c.document_id) as k from chunk_catalog c left join have h using (document_id) where enabled and content is not null and c.document_id is not null and {q.squeeze('content')} not in (select e from us)),
+t as (select document_id, chunk_row, cast(r as integer) as round, least({N.AT_ONCE}, missing - {N.AT_ONCE} * ((r - 1) * k + i - 1)) as n from pool, range(1, {N.ROUNDS} + 1) v(r) where missing > 0)
+select document_id, chunk_row, round, cast(n as integer) as n from t where n > 0""")
 def llm_03(spark, d):
-    """Chunks whose text isn't used as evidence yet: the pool of supplementary rounds."""
-    used = table(spark, d, "questions").where("source_excerpt != ''").select(squeeze("source_excerpt").alias("e")).distinct()
-    return _catalog(spark, d).where("enabled and content is not null").withColumn("e", squeeze("content")).join(used, "e", "left_anti").select("chunk_row")
+    """Extra rounds: what each chunk whose text isn't used as evidence yet is asked for, until every document would have its five questions."""
+    t = table(spark, d, "questions")
+    used = t.where("source_excerpt != ''").select(squeeze("source_excerpt").alias("e")).distinct()
+    pool = _catalog(spark, d).where("enabled and content is not null and document_id is not null").withColumn("e", squeeze("content")).join(used, "e", "left_anti").select(F.col("document_id").alias("doc"), F.col("chunk_row").alias("chunk"), F.coalesce("chunk_position", F.lit(0)).alias("place"))
+    have = t.where("document_id is not null").groupBy(F.col("document_id").alias("doc")).agg(F.count("*").alias("n"))
+    missing = pool.select("doc").distinct().join(have, "doc", "left").select("doc", (F.lit(_TARGET) - F.coalesce("n", F.lit(0))).alias("missing"))
+    return N.extra_requests(pool, missing).select(F.col("doc").alias("document_id"), F.col("chunk").alias("chunk_row"), "round", "n")
+
+
+def _qgen_sql(mode: str, n: str) -> str:
+    text = lambda t: "'" + t.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+    one, many = N.COVERAGE[mode]
+    values = {"content": "coalesce(content, '')", "num_questions": f"{n}::varchar", "difficulty": "'mixed'", "topic_hint_section": "''", "coverage_instruction": f"case when {n} <= 1 then {text(one)} else replace({text(many)}, '{{n}}', {n}::varchar) end",
+              "section_context": f"case when nullif(document_name, '') is not null then replace({text(N.SECTION)}, '{{title}}', document_name) || coalesce({text(N.STRUCTURE)} || nullif(summary, ''), '') else '' end"}
+    out = text(N.TEMPLATES[mode])
+    for place in ("content", "num_questions", "difficulty", "topic_hint_section", "section_context", "coverage_instruction"):
+        if "{" + place + "}" in N.TEMPLATES[mode]:
+            out = f"replace({out}, '{{{place}}}', {values[place]})"
+    return out
+
+
+_N_ASKED = "least(greatest(length(coalesce(content, '')) // 400, 1), 3)"
+
+
+@query("LLM-04", f"with p as (select chunk_row, {_qgen_sql('qa', _N_ASKED)} as a, {_qgen_sql('retrieval', _N_ASKED)} as b from chunk_catalog) select chunk_row, md5(a) as qa_md5, md5(b) as retrieval_md5, length(a) as n_chars from p")
+def llm_04(spark, d):
+    """The generation prompts of every chunk, for questions with answers and for search queries, as digests."""
+    c = _catalog(spark, d)
+    n = F.least(F.greatest(F.floor(F.length(F.coalesce("content", F.lit(""))) / 400), F.lit(1)), F.lit(3))
+    prompt = lambda mode: N.generation_prompt(mode, F.col("content"), n, F.lit("mixed"), F.lit(None).cast("string"), F.col("document_name"), F.col("summary"))
+    return c.select("chunk_row", F.md5(prompt("qa")).alias("qa_md5"), F.md5(prompt("retrieval")).alias("retrieval_md5"), F.length(prompt("qa")).cast("bigint").alias("n_chars"))
+
+
+_PLANNED = f"""cand as (select distinct document_id as doc, segment_id as cid from chunk_catalog where document_id is not null and segment_id is not null),
+it as (select question_row as seq, document_id as doc, coalesce({q.strip('expected_segment_id')}, '') as cid, query_style as style, coalesce({q.non_blank('source_excerpt')}, {q.non_blank('topic')}) as fact, target_label as label, topic as question from questions where document_id is not null and question_mode = 'chunk_exact'),
+kn as (select it.*, c.cid is not null as known from it left join cand c on c.doc = it.doc and c.cid = it.cid),
+fs as (select *, coalesce(known and seq = min(case when known then seq end) over (partition by doc, cid), false) as is_first from kn),
+rs as (select *, case when cid = '' then 'no_candidate' when not known then 'unknown_candidate' when not is_first then 'repeated' when fact is null then 'no_fact' when {q.non_blank('label')} is null then 'no_label' end as reason from fs),
+pl as (select *, case when reason is not null then reason when row_number() over (partition by doc, reason is null order by seq) <= {_TARGET} then 'planned' else 'beyond_target' end as outcome from rs)"""
+
+
+def _plan_of_questions(spark, d):
+    """The exact-match questions as the items of a plan, and the chunks they choose from."""
+    t = table(spark, d, "questions").where("document_id is not null and question_mode = 'chunk_exact'")
+    items = t.select(F.col("document_id").alias("doc"), F.col("question_row").alias("seq"), F.col("expected_segment_id").alias("candidate_id"), F.col("query_style").alias("style"), F.col("source_excerpt").alias("fact"), F.col("topic").alias("intent"), F.col("target_label").alias("label"), F.array().cast("array<string>").alias("modifiers"), F.col("topic").alias("query"))
+    candidates = _catalog(spark, d).where("document_id is not null and segment_id is not null").select(F.col("document_id").alias("doc"), F.col("segment_id").alias("candidate_id"), "content", "chunk_row")
+    return items, candidates
+
+
+@query("LLM-06", f"with {_PLANNED} select seq as question_row, outcome, case when style in {N.STYLES} then style else '{N.ANY_STYLE}' end as style, fact from pl")
+def llm_06(spark, d):
+    """A plan checked: unknown, repeated and incomplete items rejected, styles outside the list replaced, at most five a document."""
+    items, candidates = _plan_of_questions(spark, d)
+    return N.plan_items(items.drop("query"), candidates, _TARGET).select(F.col("seq").alias("question_row"), "outcome", "style", "fact")
+
+
+@query("LLM-05", f"""with {_PLANNED}, ct as (select document_id as doc, segment_id as cid, lower(coalesce({q.strip('arg_min(content, chunk_row)')}, '')) as c from chunk_catalog where document_id is not null and segment_id is not null and content is not null group by 1, 2),
+qs as (select pl.doc, pl.seq, pl.cid, {q.strip("coalesce(question, '')")} as x, coalesce(ct.c, '') as c, label, exists (select 1 from pl p where p.doc = pl.doc and p.cid = pl.cid and p.outcome = 'planned') as planned from pl left join ct on ct.doc = pl.doc and ct.cid = pl.cid),
+f2 as (select *, coalesce(planned and seq = min(case when planned then seq end) over (partition by doc, cid), false) as is_first from qs),
+st as (select doc, case when cid = '' then 'no_candidate' when not planned then 'not_planned' when not is_first then 'repeated' when x = '' then 'no_query' when len({_errors_sql('label')}) = 0 and {_GROUNDED} then 'passed' else 'rejected' end as status from f2)
+select doc as document_id, count(*) as n_items, count(*) filter (status = 'passed') as n_passed, count(*) filter (status = 'rejected') as n_rejected, count(*) filter (status = 'repeated') as n_repeated from st group by 1""")
+def llm_05(spark, d):
+    """Queries (the topics) bound to their planned candidates and checked (rules of a query, groundedness), counted per document."""
+    items, candidates = _plan_of_questions(spark, d)
+    contents = candidates.where("content is not null").groupBy("doc", "candidate_id").agg(F.min_by("content", "chunk_row").alias("content"))
+    plan = N.plan_items(items.drop("query"), candidates, _TARGET)
+    bound = N.bind_queries(items.select("doc", "seq", "candidate_id", "query", "label"), plan, contents)
+    n = lambda s: F.count_if(F.col("status") == s)
+    return bound.groupBy(F.col("doc").alias("document_id")).agg(F.count("*").alias("n_items"), n("passed").alias("n_passed"), n("rejected").alias("n_rejected"), n("repeated").alias("n_repeated"))
 
 
 @query("PRJ-42", r"select question_row, regexp_replace(regexp_replace(regexp_replace(question, '^\s*\d+[.\-]\d+[.\d]*\s*', ''), '[（(][^）)]*[）)]', '', 'g'), '[《》「」""“”]', '', 'g') as bare from questions")

@@ -27,7 +27,7 @@ from ..sources.service import TableService
 from . import judging
 from . import sqltext as q
 from .define import Registry
-from .tables import _GRID, _REND, _grid
+from .tables import _GRID, _MD, _REND, _grid
 
 R = Registry()
 query = R.query
@@ -423,16 +423,19 @@ TEMPLATES = {
 }
 
 
-@query("LLM-04", "select sample_id, 'Question: ' || coalesce(nullif(question, ''), '(none)') || chr(10) || 'Answer: ' || coalesce(nullif(final_answer, ''), '(none)') as prompt from samples")
-def llm_04(spark, d):
-    """Prompts from a template."""
-    return table(spark, d, "samples").select("sample_id", T.filled(TEMPLATES["grounded_qa"], question=F.col("question"), final_answer=F.col("final_answer")).alias("prompt"))
+_SHEET_PROMPT = "Write questions about the rows of a sheet.\n\n[Sheet]\n{sheet}\n\n[Columns]\n{columns}\n\n[Rows]\n{rows}\n\n[Reply]\nA JSON array of objects with question, sheet, row and column."
 
 
-@query("LLM-10", f"with {_GRID} select sheet, 'Sheet ' || sheet || ' with ' || count(distinct row) || ' rows' as prompt from grid group by 1")
+@query("LLM-10", f"""with {_GRID}, {_MD}, b0 as (select sheet, string_agg(line, chr(10) order by row) as rows from ml where row < {2 + G.BLOCK_ROWS} group by 1), cs as (select g.sheet, string_agg(g.value, '、' order by g.col) as cols from grid g join hdr h on h.sheet = g.sheet and h.header_row = g.row group by 1)
+select sheet, md5(replace(replace(replace({"'" + _SHEET_PROMPT.replace(chr(10), "' || chr(10) || '") + "'"}, '{{sheet}}', sheet::varchar), '{{columns}}', coalesce(cols, '(none)')), '{{rows}}', rows)) as prompt_md5 from b0 left join cs using (sheet)""")
 def llm_10(spark, d):
-    n = _grid(spark, d).groupBy("sheet").agg(F.countDistinct("row").alias("rows"))
-    return n.select("sheet", T.filled("Sheet {sheet} with {rows} rows", sheet=F.col("sheet"), rows=F.col("rows")).alias("prompt"))
+    """The prompt of a sheet: its columns and its first block, which is what a prompt has room for; later blocks are prompts of their own."""
+    g = _grid(spark, d)
+    first = G.block_markdown(g).where("block = 0").select("sheet", F.col("markdown").alias("rows"))
+    h = G.header_rows(g).select("sheet", F.col("header_row").alias("row"))
+    cols = g.where("value is not null").join(h, ["sheet", "row"], "left_semi").groupBy("sheet").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("col", "value"))), lambda x: x["value"]), "、").alias("cols"))
+    prompt = T.filled(_SHEET_PROMPT, sheet=F.col("sheet"), columns=F.col("cols"), rows=F.col("rows"))
+    return first.join(cols, "sheet", "left").select("sheet", F.md5(prompt).alias("prompt_md5"))
 
 
 @query("LLM-12", "select count(*) as n_rows, count(distinct question_id) as n_questions from questions where trim(coalesce(question, '')) <> ''")
@@ -447,19 +450,6 @@ def llm_12(spark, d):
     return asked.join(rows.select("judge_key", "question_id"), "judge_key").agg(F.count("*").alias("n_rows"), F.countDistinct("question_id").alias("n_questions"))
 
 
-@query("LLM-05", "select document_id, count(*) as planned, count(distinct expected_segment_id) as bound from questions where expected_segment_id <> '' and document_id is not null group by 1")
-def llm_05(spark, d):
-    """Binding of generated questions to candidates, per document."""
-    return table(spark, d, "questions").where("expected_segment_id != '' and document_id is not null").groupBy("document_id").agg(F.count("*").alias("planned"), F.countDistinct("expected_segment_id").alias("bound"))
-
-
-@query("LLM-06", "select question_row, case when query_style in ('keyword', 'direct', 'spoken') then query_style else 'semantic' end as style, coalesce(nullif(target_label, ''), 'none') as label from questions where expected_segment_id <> ''")
-def llm_06(spark, d):
-    """Planned items with style whitelist and fallbacks."""
-    style = F.when(F.col("query_style").isin("keyword", "direct", "spoken"), F.col("query_style")).otherwise("semantic")
-    return table(spark, d, "questions").where("expected_segment_id != ''").select("question_row", style.alias("style"), F.coalesce(F.nullif("target_label", F.lit("")), F.lit("none")).alias("label"))
-
-
 @query("LLM-08", f"with {_GRID}, c as (select case when is_summary then 'summary_row' when n_filled < 2 then 'too_few_cells' else 'accepted' end as outcome from prof2) select outcome, count(*) as n from c group by 1")
 def llm_08(spark, d):
     """The accounting of sheet candidates: accepted and rejected rows by reason."""
@@ -482,10 +472,14 @@ def llm_09(spark, d):
     return _roles(spark, d).select("sheet", "col", "role")
 
 
-@query("PRJ-40", f"{_ROLE} select sheet, count(*) filter (n > 0 and num * 2 > n) as n_values, count(*) filter (n > 0 and num * 2 <= n) as n_labels from r group by 1")
+@query("PRJ-40", f"{_ROLE}, hs as (select g.sheet, g.col, g.value as head from grid g join hdr h on h.sheet = g.sheet and h.header_row = g.row) select r.sheet, '[' || string_agg('{{\"col\":' || r.col || ',\"name\":' || to_json(coalesce(head, '列' || r.col))::varchar || ',\"role\":\"' || case when n = 0 then 'empty' when num * 2 > n then 'value' else 'label' end || '\"}}', ',' order by r.col) || ']' as schema from r left join hs on hs.sheet = r.sheet and hs.col = r.col group by 1")
 def prj_40(spark, d):
-    """A schema per sheet with its defaults."""
-    return _roles(spark, d).groupBy("sheet").agg(F.count_if(F.col("role") == "value").alias("n_values"), F.count_if(F.col("role") == "label").alias("n_labels"))
+    """A sheet's schema as JSON: number, name and role of each column; columns without a name get the default one."""
+    g = _grid(spark, d)
+    h = G.header_rows(g).select("sheet", F.col("header_row").alias("row"))
+    heads = g.join(h, ["sheet", "row"], "left_semi").select("sheet", "col", F.col("value").alias("head"))
+    one = F.struct("col", F.coalesce("head", F.concat(F.lit("列"), F.col("col").cast("string"))).alias("name"), "role")
+    return _roles(spark, d).join(heads, ["sheet", "col"], "left").groupBy("sheet").agg(F.to_json(F.array_sort(F.collect_list(one))).alias("schema"))
 
 
 @query("LLM-11", f"{judging._RES} select coalesce(nullif(source_file_name, ''), '(unknown)') as source_key, count(*) as n, cast(ceil(count(*) / 4.0) as bigint) as n_batches from results where top5_hit = 0 group by 1")
