@@ -154,7 +154,7 @@ def test_synchronised_ids_come_once_however_late(spark, tmp_path):
 
     def add(rows):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
-        sync(spark.readStream.schema(schema).parquet(path).drop("epoch"), folder, "id", "kind", "TRACE", "n")
+        sync(spark.readStream.schema(schema).parquet(path), folder, "id", "kind", "TRACE", "n")
 
     add([("a", "SPAN", 1, 0), ("a", "TRACE", 2, 0), ("b", "SPAN", 3, 0), (None, None, 4, 0)])
     add([("a", "SPAN", 5, 0), ("b", "TRACE", 6, 0), ("c", "TRACE", 7, 0), ("c", "TRACE", 8, 0)])
@@ -177,3 +177,16 @@ def test_files_are_written_whole(spark, tmp_path):
     write_files(df, "n", "c", f"file://{tmp_path}/out")
     write_files(df, "n", "c", f"file://{tmp_path}/out")
     assert sorted((p.name, p.read_bytes()) for p in (tmp_path / "out").iterdir()) == [("a.bin", b"\x00\xff"), ("b.bin", b"")]
+
+
+def test_numbers_within_hot_and_small_groups(spark):
+    from tracelake.operators.ranking import numbered
+
+    rng = random.Random(8)
+    rows = [(rng.choice(["hot"] * 6 + [None, "a", "b"]), rng.randrange(10_000), k) for k in range(3000)]
+    df = spark.createDataFrame(rows, "g string, o int, k long")
+    want, seen = {}, {}
+    for g, o, k in sorted(rows, key=lambda r: (r[0] or "", r[0] is not None, r[1], r[2])):
+        want[k] = seen[g] = seen.get(g, 0) + 1
+    assert {r.k: r.n for r in numbered(df, ["g"], [F.col("o"), F.col("k")], "n").collect()} == want
+    assert sorted(r.n for r in numbered(df, [], [F.desc("k")], "n").collect()) == list(range(1, 3001)) and numbered(df.where("1 = 0"), ["g"], [F.col("o")], "n").collect() == []

@@ -124,7 +124,7 @@ def run_plan(samples: DataFrame, existing: DataFrame, mode: str) -> DataFrame:
     """
     state = F.when(F.col("judged").isNull(), "new").when(F.col("failed"), "retry").otherwise("success")
     past = existing.groupBy("trace_id").agg(F.lit(True).alias("judged"), F.bool_and(F.col("error").isNotNull()).alias("failed"))
-    all_ = samples.join(past, "trace_id", "left").select("sample_id", "trace_id", "judge_key", "needs_model", state.alias("state"))
+    all_ = samples.select("sample_id", "trace_id", "judge_key", "needs_model").join(past, "trace_id", "left").select("sample_id", "trace_id", "judge_key", "needs_model", state.alias("state"))
     if mode == "incremental":
         return all_.where("state != 'success'")
     if mode == "retry_failed":

@@ -54,4 +54,5 @@ def prompts(samples: DataFrame, hits: DataFrame) -> DataFrame:
                 filled = F.replace(filled, F.lit("{" + place + "}"), value)
         text = F.when(F.col("track") == name, filled).otherwise(text)
     hint = F.when((F.col("track") == "retrieval") & F.col("rule_hint").isNotNull(), F.replace(F.lit(HINT), F.lit("{rank}"), F.col("rule_hint").cast("string"))).otherwise("")
-    return samples.join(listed(hits), "trace_id", "left").select("sample_id", "track", F.coalesce("n_results", F.lit(0)).alias("n_results"), F.concat(text, hint).alias("prompt"))
+    own = ["sample_id", "trace_id", "track", "rule_hint", "question", "retrieval_query", "final_answer", "source_excerpt", "reference_answer"]
+    return samples.select(*own).join(listed(hits), "trace_id", "left").select("sample_id", "track", F.coalesce("n_results", F.lit(0)).alias("n_results"), F.concat(text, hint).alias("prompt"))

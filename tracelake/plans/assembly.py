@@ -10,7 +10,8 @@ from ..functions.text import content_hash, non_blank, short_md5, squeeze, strip
 from ..functions.times import iso_instant, iso_text, latency_ms
 from ..operators import samples as S
 from ..operators.judge import clean_content, gold_evidence, match_form
-from ..runtime import materialise, new_path, table
+from ..operators.ranking import numbered
+from ..runtime import new_path, table
 from ..sources.jsonl import read_jsonl, write_jsonl
 from . import sqltext as q
 from .define import Registry
@@ -39,6 +40,18 @@ def agg_01(spark, d):
     return S.assemble_samples(_obs(spark, d)).drop("retrieval_json", "root_input", "root_output", "llm_output")
 
 
+@query("AGG-01_payloads", f"""with {q.OBS},
+a as (select *, not strong and type = 'SPAN' and coalesce(json_exists(o, '$.answer'), false) as weak from ordered),
+x as (select trace_id, least(min(ord) filter (strong and input is not null), min(ord) filter (weak and input is not null)) as ri, min(ord) filter (strong and output is not null) as so, min(ord) filter (weak and output is not null) as wo, max(ord) filter (is_llm) as lo, cast(count(*) filter (is_retrieval and json_array_length({q.obj('output')}, '$.result') > 0) as integer) as n_filled from a group by 1),
+y as (select *, least(so, case when ri is null or wo <= ri then wo end) as ro from x)
+select y.trace_id, md5(i.input) as root_input, md5(u.output) as root_output, md5(l.output) as llm_output, n_filled from y left join a i on i.trace_id = y.trace_id and i.ord = ri left join a u on u.trace_id = y.trace_id and u.ord = ro left join a l on l.trace_id = y.trace_id and l.ord = lo""")
+def agg_01_payloads(spark, d):
+    """The payloads of the assembled samples as digests, and the retrieval calls of each trace that returned something."""
+    s = S.assemble_samples(_obs(spark, d)).select("trace_id", *[F.md5(c).alias(c) for c in ("root_input", "root_output", "llm_output")])
+    calls = S.retrieval_calls(_obs(spark, d)).where("hit is not null").groupBy("trace_id").agg(F.countDistinct("call_order").cast("int").alias("n_filled"))
+    return s.join(calls, "trace_id", "left").withColumn("n_filled", F.coalesce("n_filled", F.lit(0)))
+
+
 _INSTANT = f"try_cast(case when regexp_matches({q.non_blank('trace_timestamp')}, '{q.ISO}') then case when regexp_matches({q.iso('trace_timestamp')}, '(Z|[+-]\\d\\d:\\d\\d)$') then {q.iso('trace_timestamp')} else {q.iso('trace_timestamp')} || 'Z' end end as timestamptz)"
 
 
@@ -46,25 +59,13 @@ _INSTANT = f"try_cast(case when regexp_matches({q.non_blank('trace_timestamp')},
 def srt_01(spark, d):
     """Traces newest first, those without a readable time last; ties by id. The rank comes from a range-partitioned sort."""
     t = table(spark, d, "traces").where("trace_id is not null").groupBy("trace_id").agg(F.max(iso_instant("trace_timestamp")).alias("ts"))
-    return ranked(t, [F.col("ts").desc_nulls_last(), F.col("trace_id")], "place").select("trace_id", "place")
-
-
-def ranked(df: DataFrame, order: list, name: str) -> DataFrame:
-    """A global row number without a single-task window: numbers within range partitions plus the sizes before them.
-
-    The sorted partitions are written once and both uses read them, so that their bounds are the same.
-    """
-    parts = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("pid", F.spark_partition_id()).withColumn("mono", F.monotonically_increasing_id())
-    parts = materialise(parts, "ranked")
-    sizes = parts.groupBy("pid").agg(F.count("*").alias("n"), F.min("mono").alias("first"))
-    before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # one row per partition
-    return parts.join(F.broadcast(before), "pid").withColumn(name, F.col("before") + F.col("mono") - F.col("first") + 1).drop("pid", "mono", "n", "first", "before")
+    return numbered(t, [], [F.col("ts").desc_nulls_last(), F.col("trace_id")], "place").select("trace_id", "place")
 
 
 @query("SRT-02", "select sample_id, row_number() over (order by coalesce(question, ''), trace_id, sample_id) as place from samples")
 def srt_02(spark, d):
     t = table(spark, d, "samples").select("sample_id", "trace_id", F.coalesce("question", F.lit("")).alias("question"))
-    return ranked(t, [F.col("question"), F.col("trace_id"), F.col("sample_id")], "place").select("sample_id", "place")
+    return numbered(t, [], [F.col("question"), F.col("trace_id"), F.col("sample_id")], "place").select("sample_id", "place")
 
 
 @query("WIN-01", f"with {q.OBS} select obs_key, trace_id, cast(ord as integer) as ord from ordered")
@@ -167,9 +168,9 @@ def prj_11(spark, d):
 @query("PRJ-12", "select 'batch_qa_' || cast(row_number() over (partition by file_name order by line_no, question_row) - 1 as varchar) || '_' || file_name as trace_id, question_row, question, coalesce(reference_answer, '') as reference_answer, 'rag_eval:' || question_set_id || ':' || question_id as user_id from questions")
 def prj_12(spark, d):
     """Responses of a batch as samples with pseudo ids: index within the batch and the batch's name."""
-    w = Window.partitionBy("file_name").orderBy("line_no", "question_row")
-    i = (F.row_number().over(w) - 1).cast("string")
-    return table(spark, d, "questions").select(F.concat(F.lit("batch_qa_"), i, F.lit("_"), "file_name").alias("trace_id"), "question_row", "question", F.coalesce("reference_answer", F.lit("")).alias("reference_answer"), F.concat(F.lit("rag_eval:"), "question_set_id", F.lit(":"), "question_id").alias("user_id"))
+    t = table(spark, d, "questions").select("file_name", "line_no", "question_row", "question", "reference_answer", "question_set_id", "question_id")
+    t = numbered(t, ["file_name"], [F.col("line_no"), F.col("question_row")], "n")
+    return t.select(F.concat(F.lit("batch_qa_"), (F.col("n") - 1).cast("string"), F.lit("_"), "file_name").alias("trace_id"), "question_row", "question", F.coalesce("reference_answer", F.lit("")).alias("reference_answer"), F.concat(F.lit("rag_eval:"), "question_set_id", F.lit(":"), "question_id").alias("user_id"))
 
 
 @query("PRJ-13", f"select chunk_row, segment_id, chunk_position, document_id, coalesce(summary, '') as summary, {q.content_hash('content')} as content_hash, cast(length(content) as integer) as n_chars from chunk_catalog")

@@ -15,6 +15,7 @@ from ..operators import judge as J
 from ..operators import model as M
 from ..operators import prompts as T
 from ..operators import reports as P
+from ..operators.ranking import numbered
 from ..runtime import materialise, new_path, table
 from ..sources import files
 from . import sqltext as q
@@ -422,8 +423,8 @@ def _failure_rows(r):
 @query("AGG-21", f"{_RES}, f as (select sample_id, case when error is not null then 'error' when coalesce(top5_hit, 0) = 0 then 'top5_miss' when answer_correct = 0 then 'wrong_answer' else 'sorting_issue' end as failure_type, coalesce(nullif(source_file_name, ''), nullif(question_set_id, ''), '(unknown)') as source_key from results where error is not null or coalesce(top5_hit, 0) = 0 or coalesce(top1_hit, 0) = 0 or answer_correct = 0) select sample_id, failure_type, source_key, cast((row_number() over (partition by failure_type, source_key order by sample_id) - 1) // 4 as bigint) as batch from f")
 def agg_21(spark, d):
     """Sub-batches of four within a failure group."""
-    w = Window.partitionBy("failure_type", "source_key").orderBy("sample_id")
-    return _failures(spark, d).withColumn("batch", F.floor((F.row_number().over(w) - 1) / 4))
+    n = numbered(_failures(spark, d), ["failure_type", "source_key"], [F.col("sample_id")], "n")
+    return n.select("sample_id", "failure_type", "source_key", F.floor((F.col("n") - 1) / 4).alias("batch"))
 
 
 @query("AGG-19", f"{_RES} select source_file_name, count(*) as n, sum(coalesce(top1_hit, 0)) as hits1, sum(coalesce(top5_hit, 0)) as hits5, count(*) >= 3 as sufficient from results where error is null and track = 'retrieval' group by 1")

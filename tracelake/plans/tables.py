@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import configs as C
 from ..operators import grids as G
+from ..operators.ranking import numbered
 from ..operators.retrieval import top_k
 from ..runtime import table
 from . import sqltext as q
@@ -275,8 +276,8 @@ def flt_22(spark, d):
 @query("FLT-23", "with r as (select *, row_number() over (partition by project_id order by created_at desc, snapshot_id) as rn from snapshots) select snapshot_id from r where rn > 3 and parsed and snapshot_id not in (select snapshot_id from samples where snapshot_id is not null)")
 def flt_23(spark, d):
     """What a clean-up may delete: parsed, not among the newest three of its project, referred to by nothing."""
-    w = Window.partitionBy("project_id").orderBy(F.desc("created_at"), "snapshot_id")
-    old = table(spark, d, "snapshots").withColumn("rn", F.row_number().over(w)).where("rn > 3 and parsed")
+    t = table(spark, d, "snapshots").select("project_id", "created_at", "snapshot_id", "parsed")
+    old = numbered(t, ["project_id"], [F.desc("created_at"), F.col("snapshot_id")], "rn").where("rn > 3 and parsed")
     return old.join(table(spark, d, "samples").select("snapshot_id"), "snapshot_id", "left_anti").select("snapshot_id")
 
 

@@ -24,11 +24,11 @@ def sync(source: DataFrame, folder: str, key: str, kind: str, root_kind: str, or
         first = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.min_by(F.struct(*cols), rank).alias("row")).select("row.*")
         for store in ("roots", "rest"):
             if path_exists(spark, f"{folder}/{store}"):
-                known = spark.read.option("basePath", f"{folder}/{store}").parquet(f"{folder}/{store}").where(F.col("epoch") < epoch).select(key)
+                known = spark.read.option("basePath", f"{folder}/{store}").parquet(f"{folder}/{store}").where(F.col("sync_epoch") < epoch).select(key)
                 first = first.join(known, key, "left_anti")
         new = materialise(first.unionByName(df.where(F.col(key).isNull())), "epoch")
-        new.where(F.col(kind) == root_kind).write.mode("overwrite").parquet(f"{folder}/roots/epoch={epoch}")
-        new.where(F.coalesce(F.col(kind) != root_kind, F.lit(True))).write.mode("overwrite").parquet(f"{folder}/rest/epoch={epoch}")
+        new.where(F.col(kind) == root_kind).write.mode("overwrite").parquet(f"{folder}/roots/sync_epoch={epoch}")
+        new.where(F.coalesce(F.col(kind) != root_kind, F.lit(True))).write.mode("overwrite").parquet(f"{folder}/rest/sync_epoch={epoch}")
 
     q = source.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
@@ -49,11 +49,11 @@ def windowed(source: DataFrame, folder: str, event_time: str, window, by: list[s
     grouped = source.withWatermark(event_time, delay).groupBy(window.alias("w"), *by).agg(*aggs)
 
     def write(df: DataFrame, epoch: int) -> None:
-        df.write.mode("overwrite").parquet(f"{folder}/state/epoch={0 if sessions else epoch}")
+        df.write.mode("overwrite").parquet(f"{folder}/state/sync_epoch={0 if sessions else epoch}")
 
     q = grouped.writeStream.foreachBatch(write).outputMode("complete" if sessions else "update").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
     out = spark.read.option("basePath", f"{folder}/state").parquet(f"{folder}/state")
-    values = [c for c in out.columns if c not in ("w", "epoch", *by)]
-    last = out.groupBy("w", *by).agg(F.max_by(F.struct(*values), F.col("epoch")).alias("v")).select("w", *by, "v.*")
+    values = [c for c in out.columns if c not in ("w", "sync_epoch", *by)]
+    last = out.groupBy("w", *by).agg(F.max_by(F.struct(*values), F.col("sync_epoch")).alias("v")).select("w", *by, "v.*")
     return last.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), F.col("w.end").cast("timestamp_ntz").alias("window_end"), *by, *values)
