@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.jsons import first_array, first_object, get, get_filled, is_json, json_object, json_or_text
 from ..functions.text import content_hash, non_blank, short_md5, squeeze, strip
 from ..functions.times import iso_instant, iso_text, latency_ms
+from ..operators import items as I
 from ..operators import samples as S
 from ..operators.judge import clean_content, gold_evidence, match_form
 from ..operators.ranking import numbered
@@ -296,16 +297,31 @@ def prj_30(spark, d):
     return table(spark, d, "collectors").select("collector_id", F.concat(F.lit("proj_"), F.left(F.sha2(key, 256), F.lit(16))).alias("project_id")).distinct()
 
 
-@query("PRJ-34", f"with {q.OBS} select obs_key, {q.filled(q.get('m', 'conversation_id'), q.get('m', 'session_id'), q.get('m', 'sessionId'))} as alias_id, coalesce({q.get('m', 'status')}, '') <> 'failed' as success from obs")
+_N_ID = "length(coalesce(document_id, ''))"
+_GIVEN = "deleted_at is null"  # deleted documents come back without an id
+
+
+@query("PRJ-34", f"""select document_id as key, case when {_GIVEN} then document_id else '' end as document_id, coalesce({q.strip('document_name')}, '') as file_name, coalesce({q.non_blank('document_name')}, '') as title, list_filter([{q.strip("coalesce(dataset_id, '')")}, {q.strip("coalesce(doc_form, '')")}], lambda x: x <> '') as topics,
+case when {_GIVEN} then 'waiting' else 'completed' end as status, {_GIVEN} or doc_form is not null as success, case when {_GIVEN} or doc_form is not null then '' else '{I.NO_ID}' end as error from create_document""")
 def prj_34(spark, d):
-    """Alias coalescing over differently named keys."""
-    m = json_object("metadata")
-    return table(spark, d, "observations").withColumn("m", m).select("obs_key", get_filled("m", "conversation_id", "session_id", "sessionId").alias("alias_id"), (F.coalesce(get("m", "status"), F.lit("")) != "failed").alias("success"))
+    """Items of a store in differing shapes (names of fields, lists as arrays or texts), brought to one."""
+    n = F.length(F.coalesce("document_id", F.lit(""))) + F.length(F.coalesce("document_name", F.lit("")))
+    name = lambda names, by: F.element_at(F.array(*[F.lit(x) for x in names]), (by % len(names) + 1).cast("int"))
+    topics = F.when(n % 2 == 0, F.to_json(F.array(F.coalesce("dataset_id", F.lit("")), F.coalesce("doc_form", F.lit(""))))).otherwise(F.concat_ws(" , ", F.coalesce("dataset_id", F.lit("")), F.coalesce("doc_form", F.lit("")), F.lit("")))
+    fields = F.map_from_arrays(F.array(name(I.ID_NAMES, n), name(I.FILE_NAMES, n), F.lit("topics"), F.lit("document_type"), F.lit("document_summary")), F.array(F.when(F.col("deleted_at").isNull(), F.col("document_id")), F.col("document_name"), topics, F.col("doc_form"), F.when(F.col("doc_form").isNotNull(), F.lit("about"))))
+    item = I.ingested(F.to_json(fields), F.lit("p"), F.lit(None).cast("string"))
+    return table(spark, d, "create_document").select(F.col("document_id").alias("key"), item.alias("i")).select("key", *[f"i.{c}" for c in ("document_id", "file_name", "title", "topics", "status", "success", "error")])
 
 
-@query("PRJ-49", f"select obs_key, {q.filled(q.get('i', 'sys.query'), q.get('i', 'query'), q.get('i', 'model_mode'))} as picked from (select obs_key, {q.obj('input')} as i from observations)")
+@query("PRJ-49", f"select document_id as key, case when {_N_ID} % 5 < 4 then document_id end as found from create_document")
 def prj_49(spark, d):
-    return table(spark, d, "observations").withColumn("i", json_object("input")).select("obs_key", get_filled("i", "sys.query", "query", "model_mode").alias("picked"))
+    """The id in five shapes of a result: at the top, in the outputs, the only one of a list in either, one of two."""
+    doc, n = F.col("document_id"), F.length(F.coalesce("document_id", F.lit(""))) % 5
+    shapes = [F.to_json(F.struct(doc.alias("document_id"))), F.to_json(F.struct(F.struct(doc.alias("document_id")).alias("outputs"))), F.to_json(F.struct(F.struct(F.array(doc).alias("document_ids")).alias("outputs"))), F.to_json(F.struct(F.array(doc).alias("document_ids")))]
+    result = F.to_json(F.struct(F.array(doc, F.lit("other")).alias("document_ids")))
+    for k, shape in enumerate(shapes):
+        result = F.when(n == k, shape).otherwise(result)
+    return table(spark, d, "create_document").select(doc.alias("key"), I.document_id_of(result).alias("found"))
 
 
 @query("PRJ-48", "select snapshot_id, 'processed/' || coalesce(project_id, 'none') || '/' || snapshot_type || '/' || snapshot_id as path from snapshots")

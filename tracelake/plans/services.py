@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.jsons import first_array, get, json_object
 from ..functions.text import content_hash, non_blank
 from ..operators import grids as G
+from ..operators import items as I
 from ..operators import render as T
 from ..operators.model import judge_with
 from ..runtime import new_path, table
@@ -259,11 +260,14 @@ def src_20(spark, d):
     return t.select("document_id", F.size(F.filter("lines", lambda x: x.rlike(_HEAD))).alias("n_headings"))
 
 
-@query("SRC-21", f"with {_GRID} select sheet, row, '| ' || string_agg(coalesce(value, ''), ' | ' order by col) || ' |' as line from grid group by 1, 2")
+@query("SRC-21", f"with {_GRID}, ls as (select sheet, row, list(coalesce(value, '') order by col) as cs, count(value) as n from grid group by 1, 2 having count(value) > 0), hs as (select sheet, arg_min(len(cs), row) as w from ls group by 1) select sheet, row, '| ' || array_to_string(list_resize(cs, w, ''), ' | ') || ' |' as line from ls join hs using (sheet)")
 def src_21(spark, d):
-    """Table rows as Markdown."""
+    """Table rows as Markdown, as wide as the first of them: shorter rows are filled up, longer ones cut, empty ones left out."""
     cells = F.transform(F.array_sort(F.collect_list(F.struct("col", F.coalesce("value", F.lit("")).alias("v")))), lambda x: x["v"])
-    return _grid(spark, d).groupBy("sheet", "row").agg(F.concat(F.lit("| "), F.array_join(cells, " | "), F.lit(" |")).alias("line"))
+    lines = _grid(spark, d).groupBy("sheet", "row").agg(cells.alias("cells"), F.count("value").alias("n")).where("n > 0")
+    wide = lines.groupBy("sheet").agg(F.min_by(F.size("cells"), "row").alias("w"))
+    sized = F.slice(F.concat("cells", F.array_repeat(F.lit(""), F.col("w"))), F.lit(1), F.col("w"))
+    return lines.join(wide, "sheet").select("sheet", "row", F.concat(F.lit("| "), F.array_join(sized, " | "), F.lit(" |")).alias("line"))
 
 
 @query("SRC-22", f"with {_GRID} select sheet, row, col, case when value like '=%' then '[公式未计算]' else value end as shown from grid")
@@ -549,11 +553,14 @@ def flt_21(spark, d):
     return _checked(spark, d).groupBy(F.coalesce("reason", F.lit("accepted")).alias("reason")).agg(F.count("*").alias("n"))
 
 
-@query("PRJ-25", f"select obs_key, cast(len(list_filter(json_keys(m), lambda k: not regexp_matches(lower(k), 'key|secret|token|session'))) as integer) as n_safe from (select obs_key, {q.obj('metadata')} as m from observations) where m is not null")
+_PATH_SQL = " or ".join(f"starts_with(coalesce(json_extract_string(m, '$.\"' || k || '\"'), ''), '{p}')" for p in I.PATHS)
+
+
+@query("PRJ-25", f"select obs_key, list_sort(list_filter(json_keys(m), lambda k: k not in {I.HIDDEN} and not ({_PATH_SQL}))) as fields from (select obs_key, {q.obj('metadata')} as m from observations) where m is not null")
 def prj_25(spark, d):
-    """Metadata without keys that may hold secrets."""
+    """Metadata without secrets, payloads and paths of a machine: the fields that are left."""
     t = table(spark, d, "observations").select("obs_key", json_object("metadata").alias("m")).where("m is not null")
-    return t.select("obs_key", F.size(F.map_filter("m", lambda k, v: ~F.lower(k).rlike("key|secret|token|session"))).alias("n_safe"))
+    return t.select("obs_key", F.array_sort(F.map_keys(I.shown(F.col("m")))).alias("fields"))
 
 
 @query("PRJ-32", "select collector_id, rtrim('https://' || lower(collector_name) || '.example//', '/') as host from collectors")
