@@ -45,6 +45,22 @@ def header_rows(grid: DataFrame) -> DataFrame:
     return p.withColumn("data_start", F.col("header_row") + 1)
 
 
+def anchors(grid: DataFrame) -> DataFrame:
+    """Every cell as a candidate for a question: (sheet, row, col, value, label, reason), reason NULL where it may be asked for.
+
+    The checks run in this order: empty, no_header (the sheet has no header row), above_data, summary_row, no_label (nothing stands in
+    the header above it), aggregate_label (the header itself speaks of a total).
+    """
+    h = header_rows(grid)
+    heads = grid.join(h.select("sheet", F.col("header_row").alias("row")), ["sheet", "row"], "left_semi").select("sheet", "col", F.col("value").alias("label"))
+    g = grid.join(h, "sheet", "left").join(row_profile(grid).select("sheet", "row", "is_summary"), ["sheet", "row"]).join(heads, ["sheet", "col"], "left")
+    reason = (
+        F.when(F.col("value").isNull(), "empty").when(F.col("data_start").isNull(), "no_header").when(F.col("row") < F.col("data_start"), "above_data")
+        .when(F.col("is_summary"), "summary_row").when(F.col("label").isNull(), "no_label").when(F.lower("label").rlike(TOTALS), "aggregate_label")
+    )
+    return g.select("sheet", "row", "col", "value", "label", reason.alias("reason"))
+
+
 def value_pairs(grid: DataFrame) -> DataFrame:
     """A row of labels directly above a row of values, matched by adjacency."""
     w = Window.partitionBy("sheet").orderBy("row")

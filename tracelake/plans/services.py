@@ -18,8 +18,9 @@ from ..functions.text import content_hash, non_blank
 from ..operators import grids as G
 from ..operators import items as I
 from ..operators import render as T
+from ..operators import reports as P
 from ..operators.model import judge_with
-from ..runtime import new_path, table
+from ..runtime import materialise, new_path, table
 from ..sources.documents import NUMBERED_HEADINGS, read_documents
 from ..sources.files import write_files
 from ..sources.jsonl import read_jsonl, write_jsonl
@@ -327,18 +328,39 @@ def snk_24(spark, d):
 
 
 
-@query("SNK-19", f"{judging._PAIR} select case when regexp_matches(question_id, '[\",\\n\\r]') then '\"' || replace(question_id, '\"', '\"\"') || '\"' else question_id end || ',' || coalesce(cast(o as varchar), '') || ',' || coalesce(cast(n as varchar), '') as line from al")
+_KIND = "case when not has_old or not has_new then 'unpaired' when o is not null and n is null then 'evidence_lost' when o is not null and n > o then 'ranking_regression' when oh <> nh then 'judge_disagreement' else 'unchanged' end"
+_CELL = "case when regexp_matches({c}, '[\",\\n\\r]') then '\"' || replace({c}, '\"', '\"\"') || '\"' else {c} end"
+
+
+@query("SNK-19", f"{judging._PAIR} select {_CELL.format(c='question_id')} || ',' || coalesce(cast(o as varchar), '') || ',' || coalesce(cast(n as varchar), '') || ',' || coalesce(cast(oh as varchar), '') || ',' || coalesce(cast(nh as varchar), '') || ',' || {_KIND} as line from al")
 def snk_19(spark, d):
-    """The comparison of two runs as CSV lines."""
-    return judging._pair(spark, d).select(F.col("question_id"), F.col("old.rank").alias("o"), F.col("new.rank").alias("n")).select(T.csv_line("question_id", "o", "n").alias("line"))
+    """The comparison of two runs as CSV lines: question, both ranks of the evidence, both verdicts, and the kind of difference."""
+    rows = judging._pair(spark, d).select("question_id", F.col("old.rank").alias("o"), F.col("new.rank").alias("n"), F.col("old.top5_hit").alias("oh"), F.col("new.top5_hit").alias("nh"), P.diff_class().alias("kind"))
+    path = new_path(spark, "diff")
+    rows.select(T.csv_line("question_id", "o", "n", "oh", "nh", "kind").alias("line")).write.option("lineSep", "\x1e").text(path)
+    return spark.read.option("lineSep", "\x1e").text(path).withColumnRenamed("value", "line")
+
+
+_DIFF_KINDS = ("evidence_lost", "ranking_regression", "judge_disagreement", "unchanged")
+_DIFF_HEAD = ["# Comparison", "", "## Summary", ""]
+_CUT_HEAD = ["", "## By cutoff", "", "| cutoff | old | new | change | loss | evidence_lost | ranking_drop | gain |", "| --- | --- | --- | --- | --- | --- | --- | --- |"]
 
 
-@query("SNK-20", f"""{judging._PAIR}, c as (select k, coalesce(o <= k, false) as was, coalesce(n <= k, false) as now from al, (values (1), (3), (5)) v(k) where has_old and has_new), a as (select k, count(*) filter (was) as x, count(*) filter (now) as y from c group by 1)
-select '# Comparison' || chr(10) || '| k | old | new |' || chr(10) || '| --- | --- | --- |' || coalesce(chr(10) || string_agg('| ' || k || ' | ' || x || ' | ' || y || ' |', chr(10) order by k), chr(10)) as document from a""")
+@query("SNK-20", f"""{judging._PAIR}, c as (select k, coalesce(o <= k, false) as was, coalesce(n <= k, false) as now, n is null as gone from al, (values (1), (3), (5)) v(k) where has_old and has_new),
+ct as (select k, '| Top' || k || ' | ' || count(*) filter (was) || ' | ' || count(*) filter (now) || ' | ' || (count(*) filter (now) - count(*) filter (was)) || ' | ' || count(*) filter (was and not now) || ' | ' || count(*) filter (was and not now and gone) || ' | ' || count(*) filter (was and not now and not gone) || ' | ' || count(*) filter (not was and now) || ' |' as line from c group by 1),
+su as (select '- aligned: ' || count(*) filter (has_old and has_new) || chr(10) || '- missing_in_old: ' || count(*) filter (not has_old) || chr(10) || '- missing_in_new: ' || count(*) filter (not has_new){''.join(f" || chr(10) || '- {k}: ' || count(*) filter ({_KIND} = '{k}')" for k in _DIFF_KINDS)} as t from al)
+select {"'" + "' || chr(10) || '".join(_DIFF_HEAD) + "'"} || chr(10) || su.t || chr(10) || {"'" + "' || chr(10) || '".join(_CUT_HEAD) + "'"} || coalesce(chr(10) || (select string_agg(line, chr(10) order by k) from ct), '') as document from su""")
 def snk_20(spark, d):
-    """The comparison as a Markdown table: three lines at most."""
-    c = judging.agg_13(spark, d).select("k", T.markdown_line("k", "old_hits", "new_hits").alias("line"))
-    return T.document(c, ["k"], "line", ["# Comparison", "| k | old | new |", "| --- | --- | --- |"])
+    """The comparison as a Markdown report: what was aligned, the kinds of difference, and hits by cutoff (a few lines)."""
+    pairs = materialise(judging._pair(spark, d), "pairs")
+    n = lambda cond: F.count_if(cond).cast("string")
+    old, new = F.col("old").isNotNull(), F.col("new").isNotNull()
+    facts = [("aligned", old & new), ("missing_in_old", ~old), ("missing_in_new", ~new)] + [(k, P.diff_class() == k) for k in _DIFF_KINDS]
+    summary = pairs.agg(F.concat_ws("\n", *[F.concat(F.lit(f"- {name}: "), n(cond)) for name, cond in facts]).alias("t"))
+    line = F.concat(F.lit("| Top"), F.concat_ws(" | ", *[F.col(c).cast("string") for c in ("k", "old_hits", "new_hits", "delta", "loss", "evidence_lost", "ranking_drop", "gain")]), F.lit(" |"))
+    cuts = P.cutoff_stats(pairs).agg(F.array_sort(F.collect_list(F.struct("k", line.alias("line")))).alias("x")).select(F.transform("x", lambda x: x["line"]).alias("lines"))  # three lines
+    parts = F.concat(F.array(*[F.lit(t) for t in _DIFF_HEAD], F.col("t"), *[F.lit(t) for t in _CUT_HEAD]), "lines")
+    return summary.crossJoin(cuts).select(F.array_join(parts, "\n").alias("document"))
 
 
 def _sql_cells(cells: str, line: str) -> str:
@@ -522,35 +544,34 @@ def she_07(spark, d):
     return t.join(n, "file_hash").select("document_id", "file_hash", (F.col("n") > 1).alias("cached"))
 
 
-_CHAIN = f"case when {q.non_blank('question')} is null then 'empty' when expected_segment_id is null or trim(expected_segment_id) = '' then 'unbound' when trim(expected_segment_id) not in (select segment_id from chunk_catalog) then 'unknown_id' when regexp_matches(question, '合计|总计|小计|汇总') then 'aggregate' end"
+_ANCHORS = f"{_GRID}, hd1 as (select g.sheet, g.col, g.value as label from grid g join hdr h on h.sheet = g.sheet and h.header_row = g.row), an as (select g.sheet, g.row, g.col, g.value, label, case when g.value is null then 'empty' when h.data_start is null then 'no_header' when g.row < h.data_start then 'above_data' when is_summary then 'summary_row' when label is null then 'no_label' when regexp_matches(lower(label), '{G.TOTALS}') then 'aggregate_label' end as reason from grid g left join hdr h on h.sheet = g.sheet join prof2 p on p.sheet = g.sheet and p.row = g.row left join hd1 on hd1.sheet = g.sheet and hd1.col = g.col)"
 
 
-def _checked(spark, d):
-    known = table(spark, d, "chunk_catalog").select(F.col("segment_id").alias("sid")).distinct().withColumn("known", F.lit(True))
-    j = table(spark, d, "questions").withColumn("sid", F.trim("expected_segment_id")).join(known, "sid", "left")
-    reason = F.when(non_blank("question").isNull(), "empty").when(F.coalesce("sid", F.lit("")) == "", "unbound").when(F.col("known").isNull(), "unknown_id").when(F.col("question").rlike("合计|总计|小计|汇总"), "aggregate")
-    return j.withColumn("reason", reason)
-
-
-@query("FLT-18", f"select question_row, {_CHAIN} as reason from questions")
+@query("FLT-18", f"with {_ANCHORS} select sheet, row, col, reason from an")
 def flt_18(spark, d):
-    """Validations composed: the first rule that fails names the reason."""
-    return _checked(spark, d).select("question_row", "reason")
+    """The checks of a question's anchor composed over every cell: the first rule that fails names the reason."""
+    return G.anchors(_grid(spark, d)).select("sheet", "row", "col", "reason")
 
 
-@query("FLT-19", f"select question_row from questions where {_CHAIN} is null")
+@query("FLT-19", f"with {_ANCHORS} select sheet, row, col, label || '：' || value as evidence from an where reason is null")
 def flt_19(spark, d):
-    return _checked(spark, d).where("reason is null").select("question_row")
+    """Accepted anchors with their rendered evidence."""
+    return G.anchors(_grid(spark, d)).where("reason is null").select("sheet", "row", "col", F.concat("label", F.lit("："), "value").alias("evidence"))
 
 
-@query("FLT-17", "select question_row, regexp_matches(question, '合计|总计|小计|汇总|平均') as aggregate, regexp_matches(question, '[0-9]') as numeric_ from questions")
+@query("FLT-17", f"{_ROLE}, {_ANCHORS.removeprefix(_GRID + ', ')} select an.sheet, an.row, an.col, coalesce(regexp_matches(value, '{G.NUMBER}'), false) as numeric_value, not coalesce(regexp_matches(value, '{G.NUMBER}'), false) or num * 2 > n as consistent from an join r on r.sheet = an.sheet and r.col = an.col where reason is null")
 def flt_17(spark, d):
-    return table(spark, d, "questions").select("question_row", F.col("question").rlike("合计|总计|小计|汇总|平均").alias("aggregate"), F.col("question").rlike("[0-9]").alias("numeric_"))
+    """A number may only be asked for in a column of values: accepted anchors against the role of their column."""
+    g = _grid(spark, d)
+    a = G.anchors(g).where("reason is null").join(_roles(spark, d).select("sheet", "col", "role"), ["sheet", "col"])
+    number = G.is_number(F.col("value"))
+    return a.select("sheet", "row", "col", number.alias("numeric_value"), (~number | (F.col("role") == "value")).alias("consistent"))
 
 
-@query("FLT-21", f"select coalesce({_CHAIN}, 'accepted') as reason, count(*) as n from questions group by 1")
+@query("FLT-21", f"with {_ANCHORS} select sheet, coalesce(reason, 'accepted') as reason, count(*) as n from an group by 1, 2")
 def flt_21(spark, d):
-    return _checked(spark, d).groupBy(F.coalesce("reason", F.lit("accepted")).alias("reason")).agg(F.count("*").alias("n"))
+    """What the checks made of each sheet's cells."""
+    return G.anchors(_grid(spark, d)).groupBy("sheet", F.coalesce("reason", F.lit("accepted")).alias("reason")).agg(F.count("*").alias("n"))
 
 
 _PATH_SQL = " or ".join(f"starts_with(coalesce(json_extract_string(m, '$.\"' || k || '\"'), ''), '{p}')" for p in I.PATHS)
