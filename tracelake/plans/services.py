@@ -21,7 +21,7 @@ from ..operators import render as T
 from ..operators import reports as P
 from ..operators.model import judge_with
 from ..runtime import materialise, new_path, table
-from ..sources.documents import NUMBERED_HEADINGS, read_documents
+from ..sources.documents import NUMBERED_HEADINGS, UNCACHED, read_cells, read_documents
 from ..sources.files import write_files
 from ..sources.jsonl import read_jsonl, write_jsonl
 from ..sources.paged import read_all, read_pages
@@ -147,13 +147,23 @@ def _word(text: str) -> bytes:
     return _zipped({"word/document.xml": f"<w:document {_W}><w:body>{body}</w:body></w:document>"})
 
 
-def _sheet(cells: list) -> bytes:
-    """The filled cells of a grid as a workbook of one sheet; rows keep their numbers."""
+def _sheet(cells: list, merge: bool = False, formula=lambda c: False) -> bytes:
+    """The cells of a grid as a workbook of one sheet; rows keep their numbers. With ``merge`` an empty cell is merged with the
+    filled one before it; where ``formula`` holds, a formula without a cached value stands for the value."""
     rows: dict[int, list] = {}
+    spans, held = [], {(c["row"], c["col"]): c["value"] for c in cells}
     for c in sorted(cells, key=lambda c: (c["row"], c["col"])):
-        rows.setdefault(c["row"], []).append(f'<c r="{_letters(c["col"])}{c["row"]}" t="inlineStr"><is><t>{_xml(c["value"])}</t></is></c>')
+        ref = f'{_letters(c["col"])}{c["row"]}'
+        if c["value"] is None:
+            if held.get((c["row"], c["col"] - 1)) is not None:
+                spans.append(f'<mergeCell ref="{_letters(c["col"] - 1)}{c["row"]}:{ref}"/>')
+        elif formula(c):
+            rows.setdefault(c["row"], []).append(f'<c r="{ref}"><f>1+1</f></c>')
+        else:
+            rows.setdefault(c["row"], []).append(f'<c r="{ref}" t="inlineStr"><is><t>{_xml(c["value"])}</t></is></c>')
     data = "".join(f'<row r="{n}">{"".join(cs)}</row>' for n, cs in rows.items())
-    return _zipped({"xl/workbook.xml": f'<workbook {_S}><sheets><sheet name="S"/></sheets></workbook>', "xl/worksheets/sheet1.xml": f"<worksheet {_S}><sheetData>{data}</sheetData></worksheet>"})
+    merged = f"<mergeCells>{''.join(spans)}</mergeCells>" if merge and spans else ""
+    return _zipped({"xl/workbook.xml": f'<workbook {_S}><sheets><sheet name="S"/></sheets></workbook>', "xl/worksheets/sheet1.xml": f"<worksheet {_S}><sheetData>{data}</sheetData>{merged}</worksheet>"})
 
 
 def _letters(n: int) -> str:
@@ -271,14 +281,30 @@ def src_21(spark, d):
     return lines.join(wide, "sheet").select("sheet", "row", F.concat(F.lit("| "), F.array_join(sized, " | "), F.lit(" |")).alias("line"))
 
 
-@query("SRC-22", f"with {_GRID} select sheet, row, col, case when value like '=%' then '[公式未计算]' else value end as shown from grid")
+def _workbooks(spark: SparkSession, d: str, make) -> DataFrame:
+    """The cells of workbooks made of all price sheets, empty cells included, and read back."""
+    path = new_path(spark, "books")
+    cells = _grid(spark, d).groupBy("sheet").agg(F.collect_list(F.struct("row", "col", "value")).alias("cells"))  # a sheet's cells
+    write_files(_made(cells.select(F.col("sheet").cast("string").alias("name"), "cells"), make, ".xlsx"), "name", "content", path)
+    return read_cells(spark, path).select(F.regexp_extract("path", r"([0-9-]+)\.xlsx$", 1).cast("bigint").alias("sheet"), "row", "col", "value", "uncached")
+
+
+@query("SRC-22", f"with {_GRID} select sheet, row, col, case when col % 3 = 0 then '{UNCACHED}' else value end as shown, col % 3 = 0 as uncached from grid where value is not null")
 def src_22(spark, d):
-    return _grid(spark, d).select("sheet", "row", "col", F.when(F.startswith("value", F.lit("=")), "[公式未计算]").otherwise(F.col("value")).alias("shown"))
+    """Workbooks in which every third column holds formulas without a cached value: a mark stands for them."""
+    return _workbooks(spark, d, lambda cells: _sheet(cells, formula=lambda c: c["col"] % 3 == 0)).select("sheet", "row", "col", F.col("value").alias("shown"), "uncached")
+
+
+@query("SRC-23", f"with {_GRID}, m as (select *, lag(value) over w as v1, lag(col) over w as c1 from grid window w as (partition by sheet, row order by col)) select sheet, row, col, coalesce(value, case when c1 = col - 1 then v1 end) as value from m where coalesce(value, case when c1 = col - 1 then v1 end) is not null")
+def src_23(spark, d):
+    """Workbooks in which empty cells are merged with the filled ones before them, as one long grid."""
+    return _workbooks(spark, d, lambda cells: _sheet(cells, merge=True)).select("sheet", "row", "col", "value")
 
 
-@query("SRC-24", f"with {_GRID} select sheet, max(row) as n_rows, max(col) as n_cols from grid group by 1")
+@query("SRC-24", f"with {_GRID} select sheet, max(row) as n_rows, max(col) as n_cols, count(*) as n_cells from grid where value is not null group by 1")
 def src_24(spark, d):
-    return _grid(spark, d).groupBy("sheet").agg(F.max("row").alias("n_rows"), F.max("col").alias("n_cols"))
+    """The extent of every sheet of a workbook and its filled cells."""
+    return _workbooks(spark, d, _sheet).groupBy("sheet").agg(F.max("row").alias("n_rows"), F.max("col").alias("n_cols"), F.count("value").alias("n_cells"))
 
 
 @query("SRC-28", "select dataset_id, count(*) as n from create_document group by 1")

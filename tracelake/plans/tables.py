@@ -33,11 +33,6 @@ isl as (select sheet, row, min(col) as first_col, max(col) as last_col, cast(cou
 hdr as (select sheet, min(row) as header_row, min(row) + 1 as data_start from prof where n_filled > 1 and n_numeric = 0 group by 1)"""
 
 
-@query("SRC-23", f"with {_GRID} select * from grid")
-def src_23(spark, d):
-    return _grid(spark, d)
-
-
 @query("FLT-15", f"with {_GRID} select * from prof2")
 def flt_15(spark, d):
     return G.row_profile(_grid(spark, d))

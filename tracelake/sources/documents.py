@@ -150,6 +150,27 @@ def read_documents(spark: SparkSession, folder: str, pattern: str = "*") -> Data
     return files.select("path", "content").mapInPandas(run, BLOCKS)
 
 
+CELLS = "path string, sheet string, row int, col int, value string, uncached boolean, error string"
+
+
+def read_cells(spark: SparkSession, folder: str, pattern: str = "*.xlsx") -> DataFrame:
+    """The cells of all workbooks below a folder as one long grid: merged ranges filled from their first cell, formulas without a
+    cached value marked. A workbook that can't be read is one row with an error."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cols = [c.split()[0] for c in CELLS.split(", ")]
+        for part in parts:
+            for path, data in zip(part["path"], part["content"]):
+                try:
+                    rows = [(path, sheet, r, c, v, u, None) for sheet, r, c, v, u in xlsx_cells(bytes(data))]
+                except Exception as e:
+                    rows = [(path, None, None, None, None, None, str(e)[:200] or type(e).__name__)]
+                yield pd.DataFrame(rows, columns=cols).astype({"row": "Int32", "col": "Int32"})
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(folder)
+    return files.select("path", "content").mapInPandas(run, CELLS)
+
+
 def file_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     """sha256 of a file's first and last 4 KiB and its size, shortened, with the size."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
