@@ -26,11 +26,9 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..runtime import materialise
 from .components import connected_components
@@ -49,6 +47,10 @@ _BUFFER = np.empty((_CHUNK, BANDS * ROWS), dtype=np.uint32)
 _BAND_SALT = _rng.randint(0, 1 << 62, BANDS, dtype=np.uint64)
 
 
+#: White space as ``str.split`` knows it.
+WHITE = r"(?U)[\s\x1c-\x1f]+"
+
+
 def squeeze(text: str) -> str:
     return "".join(text.lower().split())
 
@@ -154,17 +156,13 @@ def _compare(n: int, words: bool, threshold: float):
     return run
 
 
-def _squeezed(texts: pd.Series) -> pd.Series:
-    return texts.map(squeeze, na_action="ignore")
-
-
 def classes(rows: DataFrame, words: bool = False) -> tuple[DataFrame, DataFrame]:
     """(members, representatives): every row with its class id, and one text per class with the size of the class.
 
     ``rows`` has field_name, key and text. Texts are equal if two 64-bit hashes of their normal forms are; the class id is
     the least key.
     """
-    norm = F.trim(F.regexp_replace(F.lower("text"), r"(?U)\s+", " ")) if words else F.pandas_udf(_squeezed, T.StringType())("text")
+    norm = F.trim(F.regexp_replace(F.lower("text"), r"(?U)\s+", " ")) if words else F.regexp_replace(F.lower("text"), WHITE, "")
     normed = rows.where("text is not null").select("field_name", "key", norm.alias("norm")).withColumn("h", F.xxhash64("norm")).withColumn("h2", F.xxhash64(F.lit(1), "norm"))
     reps = normed.groupBy("field_name", "h", "h2").agg(F.min(F.struct("key", "norm")).alias("first"), F.count("*").alias("n_rows"))
     reps = reps.select("field_name", "h", "h2", "n_rows", F.col("first.key").alias("cid"), F.col("first.norm").alias("norm"), F.monotonically_increasing_id().alias("rid"))
