@@ -221,7 +221,9 @@ def similar_classes(reps: DataFrame, threshold: float, n: int = 3, words: bool =
     """(a, b, similarity): ids (``rid``) of representatives that reach the threshold."""
     signed = materialise(reps.select("rid", "field_name", "norm").mapInArrow(_sign(n, words), SIGNED), "signed")
     near = _both(candidates(signed, block), signed, "planes").where(estimate(F.col("x"), F.col("y")) >= threshold - SLACK).select("a", "b")
-    return _both(near, reps, "norm").select("a", "b", "x", "y").mapInArrow(_compare(n, words, threshold), "a bigint, b bigint, similarity double")
+    near = materialise(near, "near")
+    asked = near.select(F.col("a").alias("rid")).unionByName(near.select(F.col("b").alias("rid"))).distinct()  # only their texts are moved
+    return _both(near, reps.select("rid", "norm").join(asked, "rid", "left_semi"), "norm").select("a", "b", "x", "y").mapInArrow(_compare(n, words, threshold), "a bigint, b bigint, similarity double")
 
 
 def near_pairs(rows: DataFrame, threshold: float = 0.7, n: int = 3, block: int = BLOCK) -> DataFrame:
