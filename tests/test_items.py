@@ -28,3 +28,25 @@ def test_ids_and_hidden_fields(spark):
     assert [r[0] for r in df.orderBy("k").select(I.document_id_of(F.col("t"))).collect()] == ["a"] * 4 + [None] * 3
     m = spark.createDataFrame([({"token": "1", "tokens": "2", "at": "/etc/x", "win": "C:\\x", "share": "\\\\h", "n": None},)], "m map<string,string>")
     assert set(m.select(I.shown(F.col("m"))).first()[0]) == {"tokens", "n"}
+
+
+def test_paged_stream_goes_on_behind_what_it_has_read(spark, tmp_path):
+    from tracelake.sources.paged import _StreamReader, stream_pages
+
+    size = tmp_path / "n"
+
+    def _grows(kind, page, limit, size=str(size)):
+        n = int(open(size).read())
+        return [{"n": k} for k in range((page - 1) * limit, min(n, page * limit))]
+
+    got = []
+    for n in (0, 7, 7, 10, 61):
+        size.write_text(str(n))
+        q = stream_pages(spark, _grows, "x", 5).writeStream.format("json").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        q.awaitTermination()
+        got.append(sorted(json.loads(r.payload)["n"] for r in spark.read.schema("payload string").json(str(tmp_path / "out")).collect()))
+    assert got == [list(range(n)) for n in (0, 7, 7, 10, 61)]
+    for n in range(0, 40):
+        size.write_text(str(n))
+        reader = _StreamReader(_grows, "x", 5)
+        assert reader.latestOffset() == {"rows": n} and sum(s.high - s.low for s in reader.partitions({"rows": n // 3}, {"rows": n})) == n - n // 3

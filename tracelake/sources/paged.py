@@ -1,6 +1,7 @@
 """A paged service as a Spark data source, over an injected client.
 
-``client(kind, page, limit)`` returns one page of rows (dicts), an empty one behind the last. ``read_pages`` reads the first
+``client(kind, page, limit)`` returns one page of rows (dicts), an empty one behind the last. As a stream the source goes on behind
+the rows it has read, for services that only append. ``read_pages`` reads the first
 pages, as many as it is told, each as a partition; ``read_all`` reads on until there are no more. A failing page is tried
 again and then skipped with its error as a row, so one bad page does not cost the others.
 """
@@ -12,7 +13,7 @@ import json
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 Client = Callable[[str, int, int], list[dict]]
 SCHEMA = "kind string, page int, payload string, error string"
@@ -79,6 +80,69 @@ class _FullReader(_Reader):
         yield self.kind, page, None, f"given up: this page and every {LANES}th behind it were not read"
 
 
+class _Slice(InputPartition):
+    """Rows ``low`` to ``high`` (from 0, the last one not included) of one page."""
+
+    def __init__(self, page: int, low: int, high: int):
+        super().__init__(page)
+        self.page, self.low, self.high = page, low, high
+
+
+class _StreamReader(DataSourceStreamReader):
+    """The offset is the number of rows read. The end of the service is found by doubling and halving page numbers, so a batch
+    costs the driver about log(pages) calls; the pages themselves are read by the tasks. A page that fails ends its batch, which is
+    then tried again from its own offset: an append-only cursor can't leave rows out.
+    """
+
+    def __init__(self, client: Client, kind: str, limit: int):
+        self.reader, self.limit, self.seen = _Reader(client, kind, 0, limit), limit, 0
+
+    def initialOffset(self) -> dict:
+        return {"rows": 0}
+
+    def _page(self, page: int) -> list[dict]:
+        rows, error = self.reader.page(page)
+        if error is not None:
+            raise RuntimeError(f"page {page}: {error}")
+        return rows
+
+    def latestOffset(self) -> dict:
+        """Rows there are: the last page that holds any, by search from the page of the last call on."""
+        full, empty = self.seen // self.limit, None  # pages known to hold a full set, a page known to be empty
+        step = 1
+        while empty is None:
+            n = len(self._page(full + step))
+            if n == self.limit:
+                full, step = full + step, step * 2
+            elif n:
+                self.seen = (full + step - 1) * self.limit + n
+                return {"rows": self.seen}
+            else:
+                empty = full + step
+        while empty - full > 1:
+            page = (full + empty) // 2
+            n = len(self._page(page))
+            if n == self.limit:
+                full = page
+            elif n:
+                self.seen = (page - 1) * self.limit + n
+                return {"rows": self.seen}
+            else:
+                empty = page
+        self.seen = max(self.seen, full * self.limit)
+        return {"rows": self.seen}
+
+    def partitions(self, start: dict, end: dict) -> list[_Slice]:
+        a, b, limit = start["rows"], end["rows"], self.limit
+        return [_Slice(k + 1, max(a - k * limit, 0), min(b - k * limit, limit)) for k in range(a // limit, -(-b // limit))]
+
+    def read(self, partition: _Slice) -> Iterator[tuple]:
+        yield from self.reader.rows(partition.page, self._page(partition.page)[partition.low : partition.high])
+
+    def commit(self, end: dict) -> None:
+        pass
+
+
 def paged_source(client: Client, name: str = "paged") -> type[DataSource]:
     """A data source class to be registered with ``spark.dataSource.register``; options: kind, pages (all without it), limit."""
 
@@ -94,6 +158,9 @@ def paged_source(client: Client, name: str = "paged") -> type[DataSource]:
             kind, pages, limit = self.options.get("kind", "traces"), self.options.get("pages"), int(self.options.get("limit", 50))
             return _Reader(client, kind, int(pages), limit) if pages else _FullReader(client, kind, 0, limit)
 
+        def streamReader(self, schema) -> _StreamReader:
+            return _StreamReader(client, self.options.get("kind", "traces"), int(self.options.get("limit", 50)))
+
     return Paged
 
 
@@ -114,3 +181,10 @@ def read_pages(spark: SparkSession, client: Client, kind: str, pages: int, limit
 def read_all(spark: SparkSession, client: Client, kind: str, limit: int = 50) -> DataFrame:
     """All pages of a service."""
     return _reader_of(spark, client).options(kind=kind, limit=str(limit)).load()
+
+
+def stream_pages(spark: SparkSession, client: Client, kind: str, limit: int = 50) -> DataFrame:
+    """The rows of a service that only appends, as a stream."""
+    name = f"paged_{next(_names)}"
+    spark.dataSource.register(paged_source(client, name))
+    return spark.readStream.format(name).options(kind=kind, limit=str(limit)).load()
