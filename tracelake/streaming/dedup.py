@@ -9,7 +9,7 @@ identifiers that expire: this log is the archive.
 
 Late-arrival lookup: only deliveries the state could not judge are looked up in the archive. These are rows without an event time, rows
 behind the watermark (the query's progress tells whether there were any; a note of each run keeps it across restarts, and a
-run that didn't end counts as having had some), and deliveries kept after some identifier had expired. They are compared with what was kept under their own identifiers, nothing else.
+run that didn't end counts as having had some), and deliveries kept under an identifier after it had expired. They are compared with what was kept under their own identifiers, nothing else.
 
 Scale. The stream shuffles narrow columns once. Copies are folded before the shuffle (per Arrow batch), so a hot
 identifier reaches its state once per batch and the copies that fell away are spread evenly. Identifiers are stored in
@@ -164,8 +164,10 @@ def duplicate_deliveries(source: DataFrame, batch: DataFrame, id_col: str, time_
     if runs.behind or runs.n > 2 * runs.ended:
         seen = log.where("verdict in ('kept', 'dropped')").select("delivery_id")
         late = late.unionByName(open_rows.where(F.col("at") < NEVER).join(seen, "delivery_id", "left_anti"))
-    since = log.where("verdict = 'expired'").agg(F.min("mark")).first()[0]
-    returned = kept.where(F.lit(False) if since is None else F.col("mark") >= since).select("key", "at", "delivery_id")
+    expired = log.where("verdict = 'expired'")
+    since = expired.agg(F.min("mark")).first()[0]
+    gone = expired.select("key", F.col("mark").alias("gone"), F.col("delivery_id").alias("old"))
+    returned = kept.where(F.lit(False) if since is None else F.col("mark") >= since).join(gone, "key").where("mark >= gone and delivery_id != old").select("key", "at", "delivery_id").distinct()
     asked = late.unionByName(returned)
     if asked.isEmpty():
         return dropped
